@@ -32,12 +32,14 @@ _NAMED = dict(name2codepoint)
 _NAMED["apos"] = 39
 
 
+_PAIR_SEP, _KV_SEP = "\u0001", "\u0002"
+
+
 def _named_entity_map() -> Column:
-    keys, vals = [], []
-    for name, cp in sorted(_NAMED.items()):
-        keys.append(F.lit(name))
-        vals.append(F.lit(chr(cp)))
-    return F.map_from_arrays(F.array(*keys), F.array(*vals))
+    """Name -> character map as ONE string literal folded by ``str_to_map`` (a map
+    built from hundreds of literal nodes would bloat every plan that decodes text)."""
+    packed = _PAIR_SEP.join(f"{name}{_KV_SEP}{chr(cp)}" for name, cp in sorted(_NAMED.items()))
+    return F.str_to_map(F.lit(packed), F.lit(_PAIR_SEP), F.lit(_KV_SEP))
 
 
 def collapse_ws(col: Column) -> Column:
@@ -93,11 +95,16 @@ def matches_any(text: Column, markers: Column) -> Column:
     )
 
 
+def py_strip(col: Column) -> Column:
+    """Python ``str.strip()``: trim the full Unicode whitespace set at both ends."""
+    return F.regexp_replace(col, r"^" + PY_WS_RUN + r"|" + PY_WS_RUN + r"$", "")
+
+
 def clean_link_title(title: Column, url: Column) -> Column:
-    """L2: whitespace-joined anchor text, left-stripped of list markers, URL if empty."""
-    t = F.trim(title)
-    first = F.when(t == "", url).otherwise(t)
-    stripped = F.trim(F.ltrim(first, F.lit(TITLE_LSTRIP)))
+    """L2: stripped anchor text (URL if empty), left-stripped of list-marker
+    characters, then stripped; the URL again if nothing is left."""
+    first = F.when(title == "", url).otherwise(title)
+    stripped = py_strip(F.ltrim(first, F.lit(TITLE_LSTRIP)))
     return F.when(stripped == "", url).otherwise(stripped)
 
 

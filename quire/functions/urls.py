@@ -7,7 +7,7 @@ behave the same in Java and RE2.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import PY_WS_CLASS
@@ -76,12 +76,10 @@ def is_child_slug(child_slug: Column, parent_slug: Column) -> Column:
 
 
 def href_usable(href: Column) -> Column:
-    """U8: trimmed href is non-empty and not an in-page, script or mail link."""
-    h = F.trim(href)
-    return (
-        h.isNotNull() & (h != "")
-        & ~h.startswith("#") & ~h.startswith("javascript:") & ~h.startswith("mailto:")
-    )
+    """U8: a stripped href that is non-empty and not an in-page, script or mail link.
+
+    One regex, so the (often large) href expression is referenced once."""
+    return F.coalesce(href.rlike(r"(?s)^(?!#|javascript:|mailto:)."), F.lit(False))
 
 
 def same_site(u: Column, base: Column) -> Column:
@@ -89,61 +87,55 @@ def same_site(u: Column, base: Column) -> Column:
     return F.lower(netloc(u)) == F.lower(netloc(base))
 
 
-def _remove_dot_segments(segments: Column) -> Column:
-    """Resolve ``.``/``..`` over a split path; ``..`` at the top is dropped."""
+URI_RE = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(//[^/?#]*)?([^?#]*)(.*)$"
+
+
+def _remove_dot_segments(path: Column) -> Column:
+    """Resolve ``.``/``..`` segments (``..`` at the top is dropped) of a path given as
+    a plain column; a trailing dot segment leaves a trailing slash."""
+    segs = F.split(path, "/")
+
     def step(acc, s):
-        return (F.when(s == "..", F.when(F.size(acc) > 0, F.slice(acc, 1, F.size(acc) - 1))
-                       .otherwise(acc))
+        return (F.when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
                 .when(s == ".", acc)
                 .otherwise(F.concat(acc, F.array(s))))
-    resolved = F.aggregate(segments, F.array().cast("array<string>"), step)
-    last = F.element_at(segments, -1)
-    # a trailing '.' or '..' leaves a directory: keep the trailing slash
-    return F.when(last.isin(".", ".."), F.concat(resolved, F.array(F.lit("")))).otherwise(resolved)
+    tail = F.when(F.element_at(segs, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(
+        F.array().cast("array<string>"))
+    return F.array_join(F.aggregate(segs, F.array().cast("array<string>"), step,
+                                    lambda acc: F.concat(acc, tail)), "/")
 
 
-def url_resolve(base: Column, href: Column) -> Column:
-    """RFC 3986 reference resolution of ``href`` against ``base``.
+def with_resolved_url(df: DataFrame, base: str, href: str, out: str) -> DataFrame:
+    """Add column ``out`` = RFC 3986 resolution of column ``href`` against ``base``.
 
-    Shapes: absolute (has a scheme), network path ``//host``, absolute path ``/p``,
-    query only ``?q``, fragment only ``#f``, empty, and relative path (merged with the
-    base directory; empty middle segments dropped; dot segments removed).
+    Shapes: absolute (has a scheme), network path ``//host``, empty, fragment only,
+    query only, absolute path ``/p``, and relative path (merged with the base
+    directory, repeated ``/`` collapsed); dot segments are removed from the path.
+    The parts are staged as columns so that no sub-expression is repeated in the plan.
     """
-    h = F.trim(href)
-    b_scheme = F.regexp_extract(base, SCHEME_RE, 1)
-    b_auth = F.regexp_extract(base, r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(//[^/?#]*)", 1)
-    b_rest = F.regexp_replace(base, r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?", "")
-    b_path = F.regexp_extract(b_rest, r"^([^?#]*)", 1)
-    b_query = F.regexp_extract(b_rest, r"^[^?#]*(\?[^#]*)?", 1)
-    prefix = F.concat(b_scheme, F.lit(":"), b_auth)
-
-    h_path = F.regexp_extract(h, r"^([^?#]*)", 1)
-    h_tail = F.regexp_extract(h, r"^[^?#]*(.*)$", 1)
-
-    # absolute path: split and remove dot segments (empty segments kept)
-    abs_segments = _remove_dot_segments(F.slice(F.split(h_path, "/"), 2, 1 << 30))
-    abs_path = F.concat(F.lit("/"), F.array_join(abs_segments, "/"))
-
-    # relative path: base directory + href path, empty middle segments dropped
-    base_dir = F.regexp_replace(b_path, r"[^/]*$", "")
-    merged = F.split(F.concat(base_dir, h_path), "/")
-    n = F.size(merged)
-    middle = F.filter(F.slice(merged, 2, F.greatest(n - 2, F.lit(0))), lambda s: s != "")
-    rel_segments = F.when(n <= 1, merged).otherwise(
-        F.concat(F.slice(merged, 1, 1), middle, F.slice(merged, -1, 1)))
-    rel_resolved = _remove_dot_segments(rel_segments)
-    rel_path = F.array_join(rel_resolved, "/")
-    rel_path = F.when(rel_path.startswith("/"), rel_path).otherwise(F.concat(F.lit("/"), rel_path))
-
-    return (
-        F.when(h.rlike(SCHEME_RE), h)
-        .when(h.startswith("//"), F.concat(b_scheme, F.lit(":"), h))
-        .when(h == "", base)
-        .when(h.startswith("#"), F.concat(prefix, b_path, b_query, h))
-        .when(h.startswith("?"), F.concat(prefix, b_path, h))
-        .when(h.startswith("/"), F.concat(prefix, abs_path, h_tail))
-        .otherwise(F.concat(prefix, rel_path, h_tail))
-    )
+    h, b = F.col(href), F.col(base)
+    t = df.select(
+        "*",
+        F.regexp_extract(h, URI_RE, 1).alias("_u_hs"), F.regexp_extract(h, URI_RE, 3).alias("_u_hp"),
+        F.regexp_extract(h, URI_RE, 4).alias("_u_ht"), F.regexp_extract(b, URI_RE, 1).alias("_u_bs"),
+        F.regexp_extract(b, URI_RE, 2).alias("_u_ba"), F.regexp_extract(b, URI_RE, 3).alias("_u_bp"),
+        F.regexp_extract(b, r"^[^?#]*(\?[^#]*)?", 1).alias("_u_bq"))
+    hp, bp = F.col("_u_hp"), F.col("_u_bp")
+    t = t.withColumn("_u_mp", F.when(hp.startswith("/"), hp).otherwise(
+        F.regexp_replace(F.concat(F.regexp_replace(bp, r"[^/]*$", ""), hp), r"/{2,}", "/")))
+    mp = F.col("_u_mp")
+    t = t.withColumn("_u_path", F.when(mp.rlike(r"(^|/)\.\.?(/|$)"), _remove_dot_segments(mp)).otherwise(mp))
+    path = F.col("_u_path")
+    path = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
+    prefix = F.concat(F.col("_u_bs"), F.lit(":"), F.col("_u_ba"))
+    res = (F.when(F.col("_u_hs") != "", h)
+           .when(h.startswith("//"), F.concat(F.col("_u_bs"), F.lit(":"), h))
+           .when(h == "", b)
+           .when(h.startswith("#"), F.concat(prefix, bp, F.col("_u_bq"), h))
+           .when(h.startswith("?"), F.concat(prefix, bp, h))
+           .otherwise(F.concat(prefix, path, F.col("_u_ht"))))
+    return t.withColumn(out, res).drop("_u_hs", "_u_hp", "_u_ht", "_u_bs", "_u_ba", "_u_bp",
+                                        "_u_bq", "_u_mp", "_u_path")
 
 
 def url_spans(text: Column) -> Column:

@@ -54,12 +54,12 @@ SEPARATOR = "<!---->"
 _BIG = 1 << 31
 
 
-def _attr(tk: Column, name: str) -> Column:
+def _attr(tk: Column, name: str, decode: bool = True) -> Column:
     """Value of attribute ``name`` in a start tag ('' when absent), entity-decoded."""
     pat = r"(?i)\s" + name + r"""\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
     raw = F.concat(F.regexp_extract(tk, pat, 1), F.regexp_extract(tk, pat, 2),
                    F.regexp_extract(tk, pat, 3))
-    return T.decode_entities(raw)
+    return T.decode_entities(raw) if decode else raw
 
 
 def _has_attr(tk: Column, name: str) -> Column:
@@ -157,7 +157,7 @@ def content_root(tokens: DataFrame, root: str = "auto") -> DataFrame:
             ("article", first(is_open & (tag == "article"))),
             ("main", first(is_open & (tag == "main"))),
             ("div", first(is_open & (tag == "div")
-                          & _attr(F.col("tk"), "class").rlike(ROOT_CLASS_RE))),
+                          & _attr(F.col("tk"), "class", decode=False).rlike(ROOT_CLASS_RE))),
             ("body", first(is_open & (tag == "body"))),
         ]
     elif root == "body":
@@ -190,11 +190,16 @@ def content_root(tokens: DataFrame, root: str = "auto") -> DataFrame:
 def block_segments(tokens: DataFrame) -> DataFrame:
     """H4-H7: annotate root tokens with their block segment and formatting.
 
-    Adds per token: ``seg_pos`` (pos of the block tag that opened the segment),
-    ``seg_tag``, ``part_pos`` (segment start or the direct ``<br>`` that split it),
-    ``keep_seg`` (segment is a block item: starts at a block open and is not a
-    container), ``in_block`` (before any wrapper close that ended the block),
-    ``bold``, ``italic``, ``list_depth`` (open ul/ol count).
+    A segment starts at every block open or close tag.  Adds per token: ``seg_pos``,
+    ``seg_tag``, ``seg_kind`` (of the tag that opened the segment), ``part_pos``
+    (segment start or the direct ``<br>`` that split it), ``in_block`` (no wrapper
+    close has ended the block yet), ``bold``, ``italic``, ``list_depth`` (open ul/ol
+    count at the segment start), and on the segment's last token (``seg_last``) the
+    facts that decide whether the block is a container: the next token's tag and
+    kind, and the wrapper depth at the end and its minimum over the segment.
+
+    Only running frames and ``lead`` are used: frames reaching forward to the end of
+    the page cost O(n^2) per page in Spark's window operator.
     """
     kind, tag = F.col("kind"), F.col("tag")
     is_open, is_close = kind == "open", kind == "close"
@@ -204,6 +209,7 @@ def block_segments(tokens: DataFrame) -> DataFrame:
 
     t = tokens.withColumn("_bound", F.coalesce(is_bound, F.lit(False)))
     w = _w_run()
+    wl = Window.partitionBy("page_id").orderBy("pos")
     t = t.select(
         "*",
         F.sum(F.col("_bound").cast("int")).over(w).alias("_nb"),
@@ -212,8 +218,9 @@ def block_segments(tokens: DataFrame) -> DataFrame:
         F.sum(_delta(is_open & tag.isin(*BOLD_TAGS), is_close & tag.isin(*BOLD_TAGS))).over(w).alias("_B"),
         F.sum(_delta(is_open & tag.isin(*ITALIC_TAGS), is_close & tag.isin(*ITALIC_TAGS))).over(w).alias("_It"),
         F.sum(_delta(is_open & tag.isin(*LIST_TAGS), is_close & tag.isin(*LIST_TAGS))).over(w).alias("_L"),
-        F.first(F.when(F.col("_bound"), tag), ignorenulls=True).over(_w_after()).alias("_nxt_tag"),
-        F.first(F.when(F.col("_bound"), kind), ignorenulls=True).over(_w_after()).alias("_nxt_kind"),
+        F.lead("_bound", 1).over(wl).alias("_nxt_bound"),
+        F.lead("tag", 1).over(wl).alias("_nxt_tag"),
+        F.lead("kind", 1).over(wl).alias("_nxt_kind"),
     )
 
     def at_start(c: str) -> Column:
@@ -223,49 +230,48 @@ def block_segments(tokens: DataFrame) -> DataFrame:
         "*",
         at_start("_W").alias("_W0"), at_start("_I").alias("_I0"),
         at_start("_B").alias("_B0"), at_start("_It").alias("_It0"),
-        at_start("tag").alias("seg_tag"), at_start("kind").alias("_seg_kind"),
-        at_start("pos").alias("seg_pos"),
-        at_start("_nxt_tag").alias("_seg_nxt_tag"), at_start("_nxt_kind").alias("_seg_nxt_kind"),
-        at_start("_L").alias("list_depth"),
+        at_start("tag").alias("seg_tag"), at_start("kind").alias("seg_kind"),
+        at_start("pos").alias("seg_pos"), at_start("_L").alias("list_depth"),
     )
     w_rel = F.col("_W") - F.col("_W0")
     br_split = (is_open & (tag == "br") & ((F.col("_I") - F.col("_I0")) == 0)
-                & (F.col("_seg_kind") == "open"))
+                & (F.col("seg_kind") == "open"))
     t = t.withColumn("_brs", F.coalesce(br_split, F.lit(False))).select(
         "*",
-        # running min of w_rel inside the segment: offsetting by segment number makes a
-        # page-level running min equal to the min since the segment start
+        # running min of w_rel inside the segment: offsetting by the segment number
+        # makes a page-level running min equal to the min since the segment start
         (F.min(w_rel - F.col("_nb") * F.lit(_BIG)).over(w) + F.col("_nb") * F.lit(_BIG)).alias("_wmin"),
         F.last(F.when(F.col("_bound") | F.col("_brs"), F.col("pos")), ignorenulls=True).over(w).alias("part_pos"),
-        (F.coalesce(F.lead("_nb", 1).over(Window.partitionBy("page_id").orderBy("pos")),
-                    F.lit(-1)) != F.col("_nb")).alias("_last"),
         w_rel.alias("_wrel"),
     )
-    t = t.select(
-        "*",
-        F.first(F.when(F.col("_last"), F.col("_wrel")), ignorenulls=True).over(_w_rest()).alias("_seg_wend"),
-        F.first(F.when(F.col("_last"), F.col("_wmin")), ignorenulls=True).over(_w_rest()).alias("_seg_wmin"),
-    )
-    st, nt = F.col("seg_tag"), F.col("_seg_nxt_tag")
-    headings = list(HEADING_STYLE)
-    auto_closed = (F.col("_seg_nxt_kind") == "open") & (
-        (st == "p")
-        | ((st == "li") & (nt == "li"))
-        | (st.isin("td", "th") & nt.isin("td", "th"))
-        | (st.isin(*headings) & nt.isin(*headings)))
-    container = ((F.col("_seg_nxt_kind") == "open") & ~auto_closed
-                 & (F.col("_seg_wend") == 0) & (F.col("_seg_wmin") >= 0))
-    keep_seg = (F.col("_seg_kind") == "open") & ~F.coalesce(container, F.lit(False))
+    last = F.coalesce(F.col("_nxt_bound"), F.lit(True))
     return t.select(
-        "page_id", "pos", "tk", "kind", "tag", "base_url", "seg_pos", "seg_tag", "part_pos",
-        F.coalesce(keep_seg, F.lit(False)).alias("keep_seg"),
-        (F.col("_wmin") >= 0).alias("in_block"),
+        "page_id", "pos", "tk", "kind", "tag", "base_url", "seg_pos", "seg_tag", "seg_kind",
+        "part_pos", (F.col("_wmin") >= 0).alias("in_block"),
         ((F.col("_B") - F.col("_B0")) > 0).alias("bold"),
         ((F.col("_It") - F.col("_It0")) > 0).alias("italic"),
         "list_depth", F.col("_L").alias("_L_here"),
+        last.alias("seg_last"),
+        F.when(last, F.col("_nxt_tag")).alias("_end_nxt_tag"),
+        F.when(last, F.col("_nxt_kind")).alias("_end_nxt_kind"),
+        F.when(last, F.col("_wrel")).alias("_end_w"),
+        F.when(last, F.col("_wmin")).alias("_end_wmin"),
     )
 
 
+def _is_container(seg_tag: Column, nxt_tag: Column, nxt_kind: Column, end_w: Column,
+                  end_wmin: Column) -> Column:
+    """H5: the block has a direct block child: the segment ends at a block open that
+    does not auto-close it, with no wrapper left open or closed in between.
+    Auto-close: any block closes p; li closes li; td/th close td/th; h* closes h*."""
+    headings = list(HEADING_STYLE)
+    auto_closed = (seg_tag == "p") | ((seg_tag == "li") & (nxt_tag == "li")) | (
+        seg_tag.isin("td", "th") & nxt_tag.isin("td", "th")) | (
+        seg_tag.isin(*headings) & nxt_tag.isin(*headings))
+    return F.coalesce((nxt_kind == "open") & nxt_tag.isin(*BLOCK_TAGS) & ~auto_closed
+                      & (end_w == 0) & (end_wmin >= 0), F.lit(False))
+
+
 def _style(seg_tag: Column, parent_is_ol: Column) -> Column:
     """Heading map, list item by parent list, else Normal."""
     style = F.lit("Normal")
@@ -282,65 +288,97 @@ RUN_TYPE = "array<struct<pos:int,text:string,bold:boolean,italic:boolean>>"
 
 def page_items(pages: DataFrame, include_images: bool = False, root: str = "auto",
                strip_tags: list[str] | None = None, prepartitioned: bool = False,
-               dedup: bool = True) -> DataFrame:
+               dedup: bool = True, tokens: DataFrame | None = None) -> DataFrame:
     """``items(page_id, idx, type, style, runs, full_text, img_url, alt)``.
 
     Text items: one per kept block part with at least one non-blank run; runs carry
     bold/italic from tags inside the block only; ``full_text`` is the runs joined with
     a space.  A text item is kept only at the first occurrence of its ``full_text`` in
     the page (H12).  Image items (H13) follow the text of their block (H14).
+    ``tokens`` shares one tokenisation with ``detect_chapters`` (D10).
     """
-    tok = content_root(strip_noise(html_tokens(pages, prepartitioned), strip_tags), root)
-    seg = block_segments(tok)
-
-    txt = seg.filter(F.col("keep_seg") & F.col("in_block") & (F.col("kind") == "text"))
-    txt = txt.withColumn("text", T.collapse_ws(T.decode_entities(F.col("tk")))).filter(
-        F.col("text") != "")
-    parts = txt.groupBy("page_id", "part_pos").agg(
+    tok = tokens if tokens is not None else html_tokens(pages, prepartitioned)
+    tok = content_root(strip_noise(tok, strip_tags), root)
+    seg_all = block_segments(tok)
+    seg = seg_all.filter(F.col("seg_kind") == "open")
+
+    # one row per block part: its runs, plus (on the segment's last part) the facts
+    # that decide whether the block is a container
+    is_run = (F.col("kind") == "text") & F.col("in_block")
+    rows = seg.filter(is_run | F.col("seg_last")).withColumn(
+        "text", F.when(is_run, T.collapse_ws(T.decode_entities(F.col("tk")))))
+    run = F.when(is_run & (F.col("text") != ""), F.struct(
+        F.col("pos").cast("int").alias("pos"), "text", "bold", "italic"))
+    parts = rows.groupBy("page_id", "part_pos").agg(
         F.first("seg_pos").alias("seg_pos"),
         F.first("seg_tag").alias("seg_tag"),
         F.first("list_depth").alias("list_depth"),
-        F.array_sort(F.collect_list(F.struct(
-            F.col("pos").cast("int").alias("pos"), "text", "bold", "italic"))).alias("runs"),
+        F.array_sort(F.collect_list(run)).alias("runs"),
+        F.max("_end_nxt_tag").alias("_end_nxt_tag"), F.max("_end_nxt_kind").alias("_end_nxt_kind"),
+        F.max("_end_w").alias("_end_w"), F.max("_end_wmin").alias("_end_wmin"),
     )
+    null_s, null_i = F.lit(None).cast("string"), F.lit(None).cast("int")
     parts = parts.select(
         "page_id", F.lit("text").alias("type"), "seg_pos", "seg_tag", "list_depth",
         "runs", F.array_join(F.transform("runs", lambda r: r["text"]), " ").alias("full_text"),
-        F.lit(None).cast("string").alias("img_url"), F.lit(None).cast("string").alias("alt"),
+        null_s.alias("img_url"), null_s.alias("alt"), F.lit(True).alias("_in_block"),
         F.col("part_pos").alias("k1"), F.lit(0).alias("k2"), F.col("part_pos").alias("k3"),
-        F.lit(None).cast("string").alias("_list_tag"),
+        null_s.alias("_list_tag"), "_end_nxt_tag", "_end_nxt_kind", "_end_w", "_end_wmin",
     )
     # li style needs the innermost open list at the li: list-open events ride along
     # the item rows (same partitioning) and a (page_id, depth) window picks the last.
-    events = seg.filter((F.col("kind") == "open") & F.col("tag").isin(*LIST_TAGS)).select(
+    events = seg_all.filter((F.col("kind") == "open") & F.col("tag").isin(*LIST_TAGS))
+    events = events.select(
         "page_id", F.lit("event").alias("type"), F.lit(None).cast("long").alias("seg_pos"),
-        F.lit(None).cast("string").alias("seg_tag"), F.col("_L_here").alias("list_depth"),
-        F.lit(None).cast(RUN_TYPE).alias("runs"), F.lit(None).cast("string").alias("full_text"),
-        F.lit(None).cast("string").alias("img_url"), F.lit(None).cast("string").alias("alt"),
+        null_s.alias("seg_tag"), F.col("_L_here").alias("list_depth"),
+        F.lit(None).cast(RUN_TYPE).alias("runs"), null_s.alias("full_text"),
+        null_s.alias("img_url"), null_s.alias("alt"), F.lit(False).alias("_in_block"),
         F.col("pos").alias("k1"), F.lit(0).alias("k2"), F.col("pos").alias("k3"),
-        F.col("tag").alias("_list_tag"),
+        F.col("tag").alias("_list_tag"), null_s.alias("_end_nxt_tag"), null_s.alias("_end_nxt_kind"),
+        null_i.alias("_end_w"), F.lit(None).cast("long").alias("_end_wmin"),
     )
     frames = [parts, events]
     if include_images:
-        img = seg.filter((F.col("kind") == "open") & (F.col("tag") == "img"))
-        src = F.trim(_attr(F.col("tk"), "src"))
-        alt = T.collapse_ws(_attr(F.col("tk"), "alt"))
-        img = img.filter((src != "") & ~src.startswith("data:"))
-        in_item = F.col("keep_seg") & F.col("in_block")
+        img = seg_all.filter((F.col("kind") == "open") & (F.col("tag") == "img")).select(
+            "page_id", "pos", "part_pos", "seg_pos", "seg_kind", "in_block", "base_url",
+            _attr(F.col("tk"), "src", decode=False).alias("_src"),
+            _attr(F.col("tk"), "alt", decode=False).alias("_alt"))
+        img = img.withColumn("_src", T.py_strip(T.decode_entities(F.col("_src")))) \
+                 .withColumn("_alt", T.py_strip(T.decode_entities(F.col("_alt"))))
+        img = img.filter(F.col("_src").rlike(r"(?s)^(?!data:)."))
+        img = U.with_resolved_url(img, "base_url", "_src", "_img_url")
+        in_open_seg = F.coalesce((F.col("seg_kind") == "open") & F.col("in_block"), F.lit(False))
         frames.append(img.select(
-            "page_id", F.lit("image").alias("type"), F.lit(None).cast("long").alias("seg_pos"),
-            F.lit(None).cast("string").alias("seg_tag"), F.lit(None).cast("int").alias("list_depth"),
+            "page_id", F.lit("image").alias("type"),
+            F.when(in_open_seg, F.col("seg_pos")).alias("seg_pos"),
+            null_s.alias("seg_tag"), null_i.alias("list_depth"),
             F.lit(None).cast(RUN_TYPE).alias("runs"), F.lit("").alias("full_text"),
-            U.url_resolve(F.col("base_url"), src).alias("img_url"),
-            F.when(_has_attr(F.col("tk"), "alt") & (alt != ""), alt).otherwise(F.lit("Image")).alias("alt"),
-            F.when(in_item, F.col("part_pos")).otherwise(F.col("pos")).alias("k1"),
-            F.when(in_item, F.lit(1)).otherwise(F.lit(0)).alias("k2"),
-            F.col("pos").alias("k3"),
-            F.lit(None).cast("string").alias("_list_tag"),
+            F.col("_img_url").alias("img_url"),
+            F.when(F.col("_alt") != "", F.col("_alt")).otherwise(F.lit("Image")).alias("alt"),
+            in_open_seg.alias("_in_block"),
+            F.when(in_open_seg, F.col("part_pos")).otherwise(F.col("pos")).alias("k1"),
+            F.lit(1).alias("k2"), F.col("pos").alias("k3"),
+            null_s.alias("_list_tag"), null_s.alias("_end_nxt_tag"), null_s.alias("_end_nxt_kind"),
+            null_i.alias("_end_w"), F.lit(None).cast("long").alias("_end_wmin"),
         ))
     allrows = frames[0]
     for f in frames[1:]:
         allrows = allrows.unionByName(f)
+    # segment facts reach every part (and image) of the segment
+    ws = Window.partitionBy("page_id", "seg_pos")
+    allrows = allrows.select(
+        "*",
+        F.max("_end_nxt_tag").over(ws).alias("_s_nxt_tag"), F.max("_end_nxt_kind").over(ws).alias("_s_nxt_kind"),
+        F.max("_end_w").over(ws).alias("_s_w"), F.max("_end_wmin").over(ws).alias("_s_wmin"),
+        F.max("seg_tag").over(ws).alias("_s_tag"))
+    container = _is_container(F.col("_s_tag"), F.col("_s_nxt_tag"), F.col("_s_nxt_kind"),
+                              F.col("_s_w"), F.col("_s_wmin"))
+    in_item = F.col("seg_pos").isNotNull() & ~container & F.col("_in_block")
+    allrows = allrows.filter(
+        ((F.col("type") == "text") & ~container & (F.size("runs") > 0))
+        | (F.col("type") == "event") | (F.col("type") == "image")
+    ).withColumn("k1", F.when((F.col("type") == "image") & ~in_item, F.col("k3")).otherwise(F.col("k1"))) \
+     .withColumn("k2", F.when((F.col("type") == "image") & ~in_item, F.lit(0)).otherwise(F.col("k2")))
     wl = (Window.partitionBy("page_id", "list_depth").orderBy("k1", "k2", "k3")
           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     allrows = allrows.withColumn(

@@ -18,9 +18,14 @@ def build_session(master: str | None = None, app: str = "quire",
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
+        if master.startswith("local"):
+            # local mode runs every task inside the driver JVM
+            builder = builder.config("spark.driver.memory",
+                                     os.environ.get("QUIRE_DRIVER_MEMORY", "16g"))
     parts = shuffle_partitions or int(os.environ.get("QUIRE_SHUFFLE_PARTITIONS", "8"))
     builder = (
         builder.config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(parts))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
