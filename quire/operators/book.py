@@ -188,7 +188,7 @@ def write_books(lines: DataFrame, path: str) -> None:
 
 
 # ------------------------------------------------------------------ report (A1-A4)
-def page_report(items: DataFrame, bounds: DataFrame) -> DataFrame:
+def page_report(bounds: DataFrame) -> DataFrame:
     """A1: per page: items parsed, items in the slice, whether start/stop were found."""
     return bounds.groupBy("page_id").agg(
         F.count(F.lit(1)).alias("items_parsed"),

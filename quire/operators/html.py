@@ -101,7 +101,11 @@ def html_tokens(pages: DataFrame, prepartitioned: bool = False) -> DataFrame:
         "page_id", "url",
         F.regexp_replace(F.coalesce(F.col("html"), F.lit("")), RAW_TEXT_RE, SEPARATOR).alias("html"))
     if not prepartitioned:
-        narrow = narrow.repartition("page_id")
+        # An explicit partition count: the html shuffle is small in bytes but every
+        # byte costs a lot of window work downstream, so byte-based coalescing (AQE)
+        # would starve the cluster of tasks.  Size it with spark.sql.shuffle.partitions.
+        n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        narrow = narrow.repartition(n, "page_id")
     toks = narrow.select(
         "page_id", "url",
         F.posexplode(F.regexp_extract_all("html", F.lit(TOKEN_RE), 0)).alias("pos", "tk"))

@@ -32,7 +32,8 @@ def lines_as_items(documents: DataFrame, key: str = "doc_id", text: str = "text"
     windows that follow (slicing, dedup) reuse the partitioning instead of shuffling
     exploded lines.
     """
-    d = documents.select(F.col(key).alias("page_id"), F.col(text).alias("_t")).repartition("page_id")
+    n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = documents.select(F.col(key).alias("page_id"), F.col(text).alias("_t")).repartition(n, "page_id")
     lines = F.filter(F.transform(F.split(F.coalesce(F.col("_t"), F.lit("")), "\n"),
                                  lambda s: TX.collapse_ws(s)), lambda s: s != "")
     return d.select("page_id", F.posexplode(lines).alias("idx", "full_text")).select(
