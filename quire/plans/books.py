@@ -16,9 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.operators.book import book_lines, section_numbers
-from quire.operators.html import html_tokens, page_items
+from quire.operators.html import page_items
 from quire.operators.links import DEFAULT_MAX_CHAPTERS, detect_chapters
-from quire.operators.site import book_roots, expand_site, page_keys
+from quire.functions.urls import url_slug
+from quire.operators.site import book_roots, follow_links, page_keys
 from quire.operators.slices import extract_content, str_array
 from quire.session import ensure_checkpoint_dir
 
@@ -44,18 +45,17 @@ class BookConfig:
 
 @dataclass
 class BookRun:
-    tokens: DataFrame
     items: DataFrame
     content: DataFrame
-    links: DataFrame
+    links: list[DataFrame]
     roots: DataFrame
     sections: DataFrame
     lines: DataFrame
 
 
-def scrape_pages(pages: DataFrame, cfg: BookConfig, tokens: DataFrame | None = None) -> DataFrame:
+def scrape_pages(pages: DataFrame, cfg: BookConfig) -> DataFrame:
     """M8: page items, sliced between markers, removals dropped, source line added."""
-    items = page_items(pages, include_images=cfg.include_images, tokens=tokens)
+    items = page_items(pages, include_images=cfg.include_images)
     return extract_content(items, pages.select("page_id", "url"), str_array(cfg.start_markers),
                            str_array(cfg.stop_markers), str_array(cfg.remove_text))
 
@@ -64,26 +64,45 @@ def build_books(pages: DataFrame, books: DataFrame, cfg: BookConfig,
                 checkpoint: bool = True) -> BookRun:
     """Sections and book lines for every book of the manifest.
 
-    ``links`` (read once per depth level), the page keys and ``sections`` (read by
-    several parts of the book) are checkpointed into the session's checkpoint folder,
-    which cuts their lineage: later stages re-read them instead of re-deriving them,
-    and a lost executor does not replay the whole page pipeline.
+    The expansion runs level by level from the book roots, like the reference's
+    crawl: links are detected only on the pages of the current frontier and items
+    are extracted only for pages some book reaches, so pages no book links to cost
+    nothing beyond one key scan.  Each level's sections are checkpointed into the
+    session's checkpoint folder, which cuts lineage between levels (a lost executor
+    replays one level, not the crawl) and keeps every plan small.
     """
+    spark = pages.sparkSession
     pages = pages.select("page_id", "url", "html")
-    tokens = html_tokens(pages)
-    items = page_items(pages, include_images=cfg.include_images, tokens=tokens)
-    content = extract_content(items, pages.select("page_id", "url"), str_array(cfg.start_markers),
-                              str_array(cfg.stop_markers), str_array(cfg.remove_text))
-    links = detect_chapters(pages, cfg.max_chapters, tokens=tokens)
-    keys = page_keys(pages)
-    if checkpoint:
-        ensure_checkpoint_dir(pages.sparkSession)
-        links = links.checkpoint()
-        keys = keys.checkpoint()
-    roots = book_roots(books, keys)
-    sections = section_numbers(expand_site(books, pages, links, cfg.max_depth, keys=keys))
     if checkpoint:
-        sections = sections.checkpoint()
-    lines = book_lines(books, sections, content,
-                       roots.filter(F.col("root_page_id").isNotNull()).select("book_id", "root_page_id"))
-    return BookRun(tokens, items, content, links, roots, sections, lines)
+        ensure_checkpoint_dir(spark)
+
+    def cut(df: DataFrame) -> DataFrame:
+        return df.checkpoint() if checkpoint else df
+
+    keys = cut(page_keys(pages))
+    roots = cut(book_roots(books, keys))
+    parents = roots.filter(F.col("root_page_id").isNotNull()).select(
+        "book_id", F.lit(0).alias("n1"), F.lit(0).alias("n2"), F.lit(0).alias("n3"),
+        F.col("root_page_id").alias("page_id"), url_slug(F.col("url")).alias("slug"))
+    levels, all_links = [], []
+    for level in range(1, cfg.max_depth + 1):
+        frontier = pages.join(parents.select("page_id").distinct(), "page_id", "left_semi")
+        links = detect_chapters(frontier, cfg.max_chapters)
+        all_links.append(links)
+        sec = cut(follow_links(parents, links, keys, level, child_only=level > 1))
+        levels.append(sec)
+        parents = sec.filter(F.col("page_id").isNotNull())
+    sections = levels[0]
+    for sec in levels[1:]:
+        sections = sections.unionByName(sec)
+    sections = cut(section_numbers(sections))
+
+    root_rows = roots.filter(F.col("root_page_id").isNotNull()).select("book_id", "root_page_id")
+    reach = root_rows.select(F.col("root_page_id").alias("page_id")).unionByName(
+        sections.filter(F.col("page_id").isNotNull()).select("page_id")).distinct()
+    reached = pages.join(reach, "page_id", "left_semi")
+    items = page_items(reached, include_images=cfg.include_images)
+    content = extract_content(items, reached.select("page_id", "url"), str_array(cfg.start_markers),
+                              str_array(cfg.stop_markers), str_array(cfg.remove_text))
+    lines = book_lines(books, sections, content, root_rows)
+    return BookRun(items, content, all_links, roots, sections, lines)

@@ -520,3 +520,143 @@ ORACLE = {
 
 def oracle_sql() -> dict[str, str]:
     return {k: f() for k, f in ORACLE.items()}
+
+
+# ------------------------------------------------------------------ derived site: J/B/S/A
+def bookmark(index: str, title: str) -> str:
+    safe = f"regexp_replace(regexp_replace(regexp_replace({title}, '[^a-zA-Z0-9]', '_', 'g'), '_+', '_', 'g'), '^_+|_+$', '', 'g')"
+    return f"'ch_' || CAST({index} AS VARCHAR) || '_' || substr({safe}, 1, 30)"
+
+
+def numbered(n1: str, n2: str, n3: str, title: str) -> str:
+    return (f"CASE WHEN {n2} = 0 THEN CAST({n1} AS VARCHAR) || '. ' || {title} "
+            f"WHEN {n3} = 0 THEN CAST({n1} AS VARCHAR) || '.' || CAST({n2} AS VARCHAR) || ' ' || {title} "
+            f"ELSE CAST({n1} AS VARCHAR) || '.' || CAST({n2} AS VARCHAR) || '.' || CAST({n3} AS VARCHAR) || ' ' || {title} END")
+
+
+SITE_ITEMS = f"{SITE_SQL}, {html_items_ctes('site', include_images=True)}"
+SITE_LINKS = f"{SITE_ITEMS}, {anchors_ctes('root')}, {links_ctes('anc', SITE_CONFIG['max_chapters'])}"
+
+
+def _level(n: int, parent: str) -> str:
+    num = {1: "n1", 2: "n2", 3: "n3"}[n]
+    part = {1: "p.book_id", 2: "p.book_id, p.n1", 3: "p.book_id, p.n1, p.n2"}[n]
+    keep = "" if n == 1 else "AND starts_with(l.slug, p.slug || '-')"
+    cols = {1: "CAST(row_number() OVER (PARTITION BY p.book_id ORDER BY l.link_no) AS INTEGER) AS n1, 0 AS n2, 0 AS n3",
+            2: "p.n1, CAST(row_number() OVER (PARTITION BY p.book_id, p.n1 ORDER BY l.link_no) AS INTEGER) AS n2, 0 AS n3",
+            3: "p.n1, p.n2, CAST(row_number() OVER (PARTITION BY p.book_id, p.n1, p.n2 ORDER BY l.link_no) AS INTEGER) AS n3"}[n]
+    del num, part
+    return f"""lv{n} AS (SELECT p.book_id, {cols}, {n} AS level, l.title, l.url, l.slug, k.page_id
+  FROM {parent} p JOIN lnk l ON l.page_id = p.page_id {keep}
+  LEFT JOIN keys k ON k.page_key = l.norm_url WHERE p.page_id IS NOT NULL)"""
+
+
+SECTIONS = f"""{SITE_LINKS},
+keys AS (SELECT {norm_key(defrag('url'))} AS page_key, min(page_id) AS page_id FROM site GROUP BY 1),
+roots AS (SELECT b.book_id, b.url, b.title, k.page_id AS root_page_id FROM site_books b
+  LEFT JOIN keys k ON k.page_key = {norm_key(defrag('b.url'))}),
+lv0 AS (SELECT book_id, 0 AS n1, 0 AS n2, 0 AS n3, root_page_id AS page_id, {slug('url')} AS slug FROM roots
+  WHERE root_page_id IS NOT NULL),
+{_level(1, 'lv0')},
+{_level(2, 'lv1')},
+{_level(3, 'lv2')},
+sec0 AS (SELECT * FROM lv1 UNION ALL SELECT * FROM lv2 UNION ALL SELECT * FROM lv3),
+per_ch AS (SELECT book_id, n1, coalesce(sum(count(*)) OVER (PARTITION BY book_id ORDER BY n1
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _before FROM sec0 GROUP BY book_id, n1),
+sections AS (SELECT s.*, CASE WHEN s.page_id IS NULL THEN 'missing' ELSE 'ok' END AS status,
+  {numbered('s.n1', 's.n2', 's.n3', 's.title')} AS number_title,
+  c._before + row_number() OVER (PARTITION BY s.book_id, s.n1 ORDER BY s.n2, s.n3) AS bookmark_id
+  FROM sec0 s JOIN per_ch c ON c.book_id = s.book_id AND c.n1 = s.n1)"""
+
+
+def sql_site_items() -> str:
+    return f"WITH {SITE_ITEMS} SELECT page_id, idx, type, style, full_text, img_url, alt, n_runs, bold_text FROM items"
+
+
+def sql_site_links() -> str:
+    return f"WITH {SITE_LINKS} SELECT * FROM lnk"
+
+
+def sql_expand_site() -> str:
+    return f"""WITH {SECTIONS}
+SELECT book_id, n1, n2, n3, level, title, url, page_id, status, number_title, bookmark_id,
+  {bookmark('CASE WHEN level = 1 THEN n1 ELSE bookmark_id END', 'title')} AS bookmark FROM sections"""
+
+
+def _lines_sql() -> str:
+    c = SITE_CONFIG
+    line = ("book_id, n1, n2, n3, rank, idx, kind, style, text, img_url, font_pt")
+    return f"""{SECTIONS},
+{extract_ctes('items', 'SELECT page_id, url FROM site', c['start_markers'], c['stop_markers'], c['remove_text'])},
+b AS (SELECT book_id, title AS _book_title FROM site_books),
+secpages AS (SELECT book_id, root_page_id AS page_id, 0 AS n1, 0 AS n2, 0 AS n3 FROM roots WHERE root_page_id IS NOT NULL
+  UNION ALL SELECT book_id, page_id, n1, n2, n3 FROM sections WHERE page_id IS NOT NULL),
+body AS (SELECT s.book_id, s.n1, s.n2, s.n3, 1 AS rank, e.idx, e.type AS kind, e.style,
+  CASE WHEN e.type = 'image' THEN NULL ELSE e.full_text END AS text, e.img_url,
+  CASE WHEN s.n1 >= {BIG_FONT_FROM_CHAPTER} THEN {BIG_FONT_PT} END AS font_pt
+  FROM secpages s JOIN ext e ON e.page_id = s.page_id),
+has_lines AS (SELECT DISTINCT s.book_id, s.n1, s.n2, s.n3 FROM secpages s WHERE s.page_id IN (SELECT page_id FROM ext)),
+child_of AS (SELECT DISTINCT book_id, n1, CASE WHEN level = 3 THEN n2 ELSE 0 END AS n2, 0 AS n3 FROM sections WHERE level >= 2),
+ph AS (SELECT s.book_id, s.n1, s.n2, s.n3, 2 AS rank, 0 AS idx, 'placeholder' AS kind, 'Normal' AS style,
+  CASE WHEN s.level = 1 THEN {lit(PLACEHOLDER[1])} WHEN s.level = 2 THEN {lit(PLACEHOLDER[2])} ELSE {lit(PLACEHOLDER[3])} END AS text,
+  NULL AS img_url, NULL AS font_pt FROM sections s
+  WHERE NOT EXISTS (SELECT 1 FROM has_lines h WHERE h.book_id = s.book_id AND h.n1 = s.n1 AND h.n2 = s.n2 AND h.n3 = s.n3)
+    AND NOT EXISTS (SELECT 1 FROM child_of c WHERE c.book_id = s.book_id AND c.n1 = s.n1 AND c.n2 = s.n2 AND c.n3 = s.n3)),
+allrows AS (
+  SELECT book_id, -1 AS n1, 0 AS n2, 0 AS n3, 0 AS rank, 0 AS idx, 'title' AS kind, 'Title' AS style, {lit(TOC_TITLE)} AS text, NULL AS img_url, NULL AS font_pt FROM b
+  UNION ALL SELECT book_id, -1, 0, 0, 1, 0, 'toc_field', NULL, {lit('TOC \\o "1-3" \\h \\z \\u')}, NULL, NULL FROM b
+  UNION ALL SELECT book_id, -1, {END}, {END}, 0, 0, 'break', NULL, '', NULL, NULL FROM b
+  UNION ALL SELECT book_id, 0, 0, 0, 0, 0, 'heading', 'Heading 1', {lit(INTRO_TITLE)}, NULL, NULL FROM b
+  UNION ALL SELECT book_id, 0, {END}, {END}, 0, 0, 'break', NULL, '', NULL, NULL FROM b
+  UNION ALL SELECT {line} FROM body
+  UNION ALL SELECT book_id, n1, n2, n3, 0, 0, 'heading', 'Heading ' || CAST(level AS VARCHAR),
+    {numbered('n1', 'n2', 'n3', 'title')}, NULL, NULL FROM sections
+  UNION ALL SELECT {line} FROM ph
+  UNION ALL SELECT book_id, n1, {END}, {END}, 0, 0, 'break', NULL, '', NULL, NULL FROM sections WHERE level = 1),
+lines AS (SELECT a.book_id, a.n1, a.n2, a.n3,
+  CAST(row_number() OVER (PARTITION BY a.book_id, a.n1, a.n2, a.n3 ORDER BY a.rank, a.idx) AS INTEGER) AS line_no,
+  a.kind, a.style, replace(replace(a.text, 'XXX1', b._book_title), 'HHH1', b._book_title) AS text,
+  a.img_url, CAST(a.font_pt AS INTEGER) AS font_pt
+  FROM allrows a JOIN b ON b.book_id = a.book_id)"""
+
+
+def sql_book_lines() -> str:
+    return f"WITH {_lines_sql()} SELECT * FROM lines"
+
+
+def _md(kind: str, style: str, text: str, img: str) -> str:
+    return (f"CASE WHEN {kind} = 'title' THEN '# ' || {text} WHEN {kind} = 'toc_field' THEN '[TOC]' "
+            f"WHEN {kind} = 'break' THEN '---' WHEN {kind} = 'image' THEN '![image](' || {img} || ')' "
+            f"WHEN starts_with({style}, 'Heading ') THEN repeat('#', CAST(substr({style}, 9, 2) AS INTEGER) + 1) || ' ' || {text} "
+            f"WHEN {style} = 'List Bullet' THEN '- ' || {text} WHEN {style} = 'List Number' THEN '1. ' || {text} "
+            f"ELSE {text} END")
+
+
+def sql_render_book() -> str:
+    return f"""WITH {_lines_sql()}
+SELECT book_id, n1, string_agg({_md('kind', 'style', 'text', 'img_url')}, chr(10) ORDER BY n2, n3, line_no) AS markdown
+FROM lines GROUP BY book_id, n1"""
+
+
+def sql_book_report() -> str:
+    return f"""WITH {SECTIONS}
+SELECT book_id, level, count(*) AS sections, count(*) FILTER (WHERE status = 'missing') AS missing
+FROM sections GROUP BY ROLLUP (book_id, level)"""
+
+
+def sql_toc_preview() -> str:
+    return f"""WITH {SECTIONS}
+SELECT book_id, n1, title, greatest(_total - 10, 0) AS more FROM (
+  SELECT book_id, n1, title, row_number() OVER (PARTITION BY book_id ORDER BY n1) AS _rn,
+         count(*) OVER (PARTITION BY book_id) AS _total FROM sections WHERE level = 1) WHERE _rn <= 10"""
+
+
+ORACLE.update({
+    "site_items": sql_site_items,
+    "site_links": sql_site_links,
+    "expand_site": sql_expand_site,
+    "book_lines": sql_book_lines,
+    "render_book": sql_render_book,
+    "book_report": sql_book_report,
+    "toc_preview": sql_toc_preview,
+})

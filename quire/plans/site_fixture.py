@@ -116,7 +116,7 @@ def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.col("l_linenumber").cast("string"), F.lit(": "),
                          F.col("l_quantity").cast("bigint").cast("string"), F.lit(" units</p>"))
     item_body = items.groupBy("s_suppkey", "p_partkey").agg(_ordered_concat(
-        F.struct("l_orderkey", "l_linenumber"), item_line).alias("lines"))
+        F.struct("l_orderkey", "l_linenumber", F.col("l_quantity").cast("bigint")), item_line).alias("lines"))
     part_cols = part.select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
     body3 = F.concat(F.lit("<p>"), _esc(F.coalesce(F.col("p_name"), F.lit(""))), F.lit("</p><p>Brand "),
                      _esc(F.coalesce(F.col("p_brand"), F.lit(""))), F.lit(", type "),
@@ -169,7 +169,7 @@ site_items AS (
   SELECT l_suppkey AS s_suppkey, l_partkey AS p_partkey,
          string_agg('<p>Order ' || l_orderkey || ' line ' || l_linenumber || ': ' ||
                     CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || ' units</p>', ''
-                    ORDER BY l_orderkey, l_linenumber) AS lines
+                    ORDER BY l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT)) AS lines
   FROM lineitem GROUP BY l_suppkey, l_partkey),
 site_raw AS (
   SELECT CAST(r.r_regionkey AS BIGINT) AS page_id, 0 AS lvl, '{BASE}/r' || r.r_regionkey || '/' AS url,
