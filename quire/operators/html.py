@@ -109,9 +109,13 @@ def html_tokens(pages: DataFrame, prepartitioned: bool = False) -> DataFrame:
     toks = narrow.select(
         "page_id", "url",
         F.posexplode(F.regexp_extract_all("html", F.lit(TOKEN_RE), 0)).alias("pos", "tk"))
-    kind = (F.when(F.col("tk").rlike(r"^<[A-Za-z]"), "open")
-            .when(F.col("tk").rlike(r"^</[A-Za-z]"), "close")
-            .when(F.col("tk").startswith("<!") | F.col("tk").startswith("<?"), "other")
+    # TOKEN_RE fixes the shapes: a token starting "</" is a close tag, "<!" / "<?" a
+    # declaration, any other "<"-token longer than one char a start tag; the rest
+    # (including a lone "<") is text.  Prefix tests instead of a regex per token.
+    tk = F.col("tk")
+    kind = (F.when(tk.startswith("</"), "close")
+            .when(tk.startswith("<!") | tk.startswith("<?"), "other")
+            .when(tk.startswith("<") & (F.length(tk) > 1), "open")
             .otherwise("text"))
     tag = F.lower(F.regexp_extract("tk", r"^</?([A-Za-z][A-Za-z0-9]*)", 1))
     toks = toks.select("page_id", "pos", "tk", kind.alias("kind"),
@@ -303,71 +307,70 @@ def page_items(pages: DataFrame, include_images: bool = False, root: str = "auto
     """
     tok = tokens if tokens is not None else html_tokens(pages, prepartitioned)
     tok = content_root(strip_noise(tok, strip_tags), root)
-    seg_all = block_segments(tok)
-    seg = seg_all.filter(F.col("seg_kind") == "open")
-
-    # one row per block part: its runs, plus (on the segment's last part) the facts
-    # that decide whether the block is a container
-    is_run = (F.col("kind") == "text") & F.col("in_block")
-    rows = seg.filter(is_run | F.col("seg_last")).withColumn(
-        "text", F.when(is_run, T.collapse_ws(T.decode_entities(F.col("tk")))))
-    run = F.when(is_run & (F.col("text") != ""), F.struct(
-        F.col("pos").cast("int").alias("pos"), "text", "bold", "italic"))
-    parts = rows.groupBy("page_id", "part_pos").agg(
+    seg = block_segments(tok)
+
+    # One pass over the token rows feeds three kinds of item-level rows: block parts
+    # (their runs, and on a segment's last token the container facts), list-open
+    # events (for li styles) and images.  A token can play two roles (an image that
+    # is the last token of its block), so roles are exploded, then grouped once.
+    kind, tag = F.col("kind"), F.col("tag")
+    in_open = F.coalesce(F.col("seg_kind") == "open", F.lit(False))
+    is_run = (kind == "text") & F.col("in_block") & in_open
+    is_last = F.col("seg_last") & in_open
+    is_event = (kind == "open") & tag.isin(*LIST_TAGS)
+    is_img = (kind == "open") & (tag == "img") if include_images else F.lit(False)
+    roles = F.array_compact(F.array(
+        F.when(is_run | is_last, F.lit("text")), F.when(is_event, F.lit("event")),
+        F.when(is_img, F.lit("image"))))
+    rows = seg.filter(is_run | is_last | is_event | is_img).select(
+        "*", F.explode(roles).alias("type"), is_run.alias("_is_run"))
+    rows = rows.withColumn("_gkey", F.when(F.col("type") == "text", F.col("part_pos")).otherwise(F.col("pos"))) \
+               .withColumn("_text", F.when(F.col("_is_run") & (F.col("type") == "text"),
+                                           T.collapse_ws(T.decode_entities(F.col("tk")))))
+    run = F.when(F.col("_text") != "", F.struct(
+        F.col("pos").cast("int").alias("pos"), F.col("_text").alias("text"), "bold", "italic"))
+    img_open = F.coalesce((F.col("seg_kind") == "open") & F.col("in_block"), F.lit(False))
+    grouped = rows.groupBy("page_id", "_gkey").agg(
+        F.first("type").alias("type"),
         F.first("seg_pos").alias("seg_pos"),
         F.first("seg_tag").alias("seg_tag"),
-        F.first("list_depth").alias("list_depth"),
+        F.first(F.when(F.col("type") == "event", F.col("_L_here")).otherwise(F.col("list_depth"))).alias("list_depth"),
+        F.first(F.when(F.col("type") == "event", tag)).alias("_list_tag"),
         F.array_sort(F.collect_list(run)).alias("runs"),
-        F.max("_end_nxt_tag").alias("_end_nxt_tag"), F.max("_end_nxt_kind").alias("_end_nxt_kind"),
-        F.max("_end_w").alias("_end_w"), F.max("_end_wmin").alias("_end_wmin"),
-    )
-    null_s, null_i = F.lit(None).cast("string"), F.lit(None).cast("int")
-    parts = parts.select(
-        "page_id", F.lit("text").alias("type"), "seg_pos", "seg_tag", "list_depth",
-        "runs", F.array_join(F.transform("runs", lambda r: r["text"]), " ").alias("full_text"),
-        null_s.alias("img_url"), null_s.alias("alt"), F.lit(True).alias("_in_block"),
-        F.col("part_pos").alias("k1"), F.lit(0).alias("k2"), F.col("part_pos").alias("k3"),
-        null_s.alias("_list_tag"), "_end_nxt_tag", "_end_nxt_kind", "_end_w", "_end_wmin",
+        F.first("part_pos").alias("part_pos"),
+        F.first(img_open).alias("_img_open"),
+        F.first(F.when(F.col("type") == "image", F.col("tk"))).alias("_img_tk"),
+        F.first(F.when(F.col("type") == "image", F.col("base_url"))).alias("base_url"),
+        F.max(F.when(F.col("type") == "text", F.col("_end_nxt_tag"))).alias("_end_nxt_tag"),
+        F.max(F.when(F.col("type") == "text", F.col("_end_nxt_kind"))).alias("_end_nxt_kind"),
+        F.max(F.when(F.col("type") == "text", F.col("_end_w"))).alias("_end_w"),
+        F.max(F.when(F.col("type") == "text", F.col("_end_wmin"))).alias("_end_wmin"),
     )
-    # li style needs the innermost open list at the li: list-open events ride along
-    # the item rows (same partitioning) and a (page_id, depth) window picks the last.
-    events = seg_all.filter((F.col("kind") == "open") & F.col("tag").isin(*LIST_TAGS))
-    events = events.select(
-        "page_id", F.lit("event").alias("type"), F.lit(None).cast("long").alias("seg_pos"),
-        null_s.alias("seg_tag"), F.col("_L_here").alias("list_depth"),
-        F.lit(None).cast(RUN_TYPE).alias("runs"), null_s.alias("full_text"),
-        null_s.alias("img_url"), null_s.alias("alt"), F.lit(False).alias("_in_block"),
-        F.col("pos").alias("k1"), F.lit(0).alias("k2"), F.col("pos").alias("k3"),
-        F.col("tag").alias("_list_tag"), null_s.alias("_end_nxt_tag"), null_s.alias("_end_nxt_kind"),
-        null_i.alias("_end_w"), F.lit(None).cast("long").alias("_end_wmin"),
+    is_image = F.col("type") == "image"
+    grouped = grouped.withColumn("_src", F.when(is_image, _attr(F.col("_img_tk"), "src", decode=False))) \
+                     .withColumn("_alt", F.when(is_image, _attr(F.col("_img_tk"), "alt", decode=False)))
+    grouped = grouped.withColumn("_src", T.py_strip(T.decode_entities(F.col("_src")))) \
+                     .withColumn("_alt", T.py_strip(T.decode_entities(F.col("_alt"))))
+    grouped = grouped.filter(~is_image | F.col("_src").rlike(r"(?s)^(?!data:)."))
+    grouped = U.with_resolved_url(grouped, "base_url", "_src", "img_url")
+    allrows = grouped.select(
+        "page_id", "type",
+        F.when(is_image & ~F.col("_img_open"), F.lit(None).cast("long")).when(
+            F.col("type") == "event", F.lit(None).cast("long")).otherwise(F.col("seg_pos")).alias("seg_pos"),
+        F.when(F.col("type") == "text", F.col("seg_tag")).alias("seg_tag"),
+        F.when(F.col("type") != "image", F.col("list_depth")).alias("list_depth"),
+        F.when(F.col("type") == "text", F.col("runs")).alias("runs"),
+        F.when(F.col("type") == "text", F.array_join(F.transform("runs", lambda r: r["text"]), " "))
+        .when(is_image, F.lit("")).alias("full_text"),
+        F.when(is_image, F.col("img_url")).alias("img_url"),
+        F.when(is_image, F.when(F.col("_alt") != "", F.col("_alt")).otherwise(F.lit("Image"))).alias("alt"),
+        F.when(F.col("type") == "text", F.lit(True)).when(is_image, F.col("_img_open"))
+        .otherwise(F.lit(False)).alias("_in_block"),
+        F.when(is_image & F.col("_img_open"), F.col("part_pos")).otherwise(F.col("_gkey")).alias("k1"),
+        F.when(is_image, F.lit(1)).otherwise(F.lit(0)).alias("k2"),
+        F.col("_gkey").alias("k3"),
+        "_list_tag", "_end_nxt_tag", "_end_nxt_kind", "_end_w", "_end_wmin",
     )
-    frames = [parts, events]
-    if include_images:
-        img = seg_all.filter((F.col("kind") == "open") & (F.col("tag") == "img")).select(
-            "page_id", "pos", "part_pos", "seg_pos", "seg_kind", "in_block", "base_url",
-            _attr(F.col("tk"), "src", decode=False).alias("_src"),
-            _attr(F.col("tk"), "alt", decode=False).alias("_alt"))
-        img = img.withColumn("_src", T.py_strip(T.decode_entities(F.col("_src")))) \
-                 .withColumn("_alt", T.py_strip(T.decode_entities(F.col("_alt"))))
-        img = img.filter(F.col("_src").rlike(r"(?s)^(?!data:)."))
-        img = U.with_resolved_url(img, "base_url", "_src", "_img_url")
-        in_open_seg = F.coalesce((F.col("seg_kind") == "open") & F.col("in_block"), F.lit(False))
-        frames.append(img.select(
-            "page_id", F.lit("image").alias("type"),
-            F.when(in_open_seg, F.col("seg_pos")).alias("seg_pos"),
-            null_s.alias("seg_tag"), null_i.alias("list_depth"),
-            F.lit(None).cast(RUN_TYPE).alias("runs"), F.lit("").alias("full_text"),
-            F.col("_img_url").alias("img_url"),
-            F.when(F.col("_alt") != "", F.col("_alt")).otherwise(F.lit("Image")).alias("alt"),
-            in_open_seg.alias("_in_block"),
-            F.when(in_open_seg, F.col("part_pos")).otherwise(F.col("pos")).alias("k1"),
-            F.lit(1).alias("k2"), F.col("pos").alias("k3"),
-            null_s.alias("_list_tag"), null_s.alias("_end_nxt_tag"), null_s.alias("_end_nxt_kind"),
-            null_i.alias("_end_w"), F.lit(None).cast("long").alias("_end_wmin"),
-        ))
-    allrows = frames[0]
-    for f in frames[1:]:
-        allrows = allrows.unionByName(f)
     # segment facts reach every part (and image) of the segment
     ws = Window.partitionBy("page_id", "seg_pos")
     allrows = allrows.select(
