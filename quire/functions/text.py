@@ -82,12 +82,19 @@ def decode_entities(col: Column) -> Column:
     return F.when(F.instr(col, "&") > 0, joined).otherwise(col)
 
 
-def matches_any(text: Column, markers: Column) -> Column:
+def matches_any(text: Column, markers) -> Column:
     """M1: any marker is a case-insensitive substring of ``text``.
 
     Empty list -> false; an empty-string marker matches every row (images too).
+    ``markers`` is a Python list (compiled to an OR of ``instr`` tests, fully
+    code-generated) or an array column (evaluated with ``exists``).
     """
     low = F.lower(F.coalesce(text, F.lit("")))
+    if isinstance(markers, (list, tuple)):
+        cond = F.lit(False)
+        for m in markers:
+            cond = cond | (F.instr(low, F.lit(m.lower())) > 0)
+        return cond
     return F.coalesce(
         F.exists(F.coalesce(markers, F.array().cast("array<string>")),
                  lambda m: F.instr(low, F.lower(m)) > 0),

@@ -92,44 +92,48 @@ def book_lines(books: DataFrame, sections: DataFrame, content: DataFrame,
                          kind=F.lit("break"), style=lit_null_s, text=F.lit(""),
                          img_url=lit_null_s, font_pt=lit_null_i)
 
+    # One left join attaches every section to its page's content: matched rows are the
+    # section's lines; an unmatched section (no page, or nothing extracted) becomes a
+    # placeholder unless it has children (B6; level 3 needs no lines only).  The content
+    # is read once; the child flag comes from the small sections table.
     c = content.select("page_id", "idx", F.col("type").alias("_type"), F.col("style").alias("_style"),
                        "full_text", "img_url")
+    child_of = sections.filter(F.col("level") >= 2).select(
+        "book_id", "n1",
+        F.when(F.col("level") == 3, F.col("n2")).otherwise(F.lit(0)).alias("n2"),
+        F.lit(0).alias("n3")).distinct().withColumn("_has_children", F.lit(True))
+    secs = sections.select("book_id", "n1", "n2", "n3", "page_id", "level").join(
+        child_of, ["book_id", "n1", "n2", "n3"], "left")
     intro_sec = roots.select("book_id", F.col("root_page_id").alias("page_id"),
-                             F.lit(0).alias("n1"), F.lit(0).alias("n2"), F.lit(0).alias("n3"))
-    secs = sections.select("book_id", "n1", "n2", "n3", "page_id")
-    with_page = intro_sec.unionByName(secs).filter(F.col("page_id").isNotNull())
-    body = with_page.join(c, "page_id").withColumn("_font", F.when(
-        F.col("n1") >= BIG_FONT_FROM_CHAPTER, F.lit(BIG_FONT_PT)).otherwise(lit_null_i))
-    body = _lines(body, rank=F.lit(1), idx=F.col("idx"),
-                  kind=F.col("_type"), style=F.col("_style"),
-                  text=F.when(F.col("_type") == "image", lit_null_s).otherwise(F.col("full_text")),
-                  img_url=F.col("img_url"), font_pt=F.col("_font"))
-
+                             F.lit(0).alias("n1"), F.lit(0).alias("n2"), F.lit(0).alias("n3"),
+                             F.lit(0).alias("level"), F.lit(True).alias("_has_children"))
+    attached = intro_sec.unionByName(secs).join(c, "page_id", "left")
     level = F.col("level")
+    is_line = F.col("idx").isNotNull()
+    is_ph = ~is_line & (level > 0) & ~F.coalesce(F.col("_has_children"), F.lit(False))
+    ph_text = (F.when(level == 1, F.lit(PLACEHOLDER[1])).when(level == 2, F.lit(PLACEHOLDER[2]))
+               .otherwise(F.lit(PLACEHOLDER[3])))
+    body = _lines(attached.filter(is_line | is_ph),
+                  rank=F.when(is_line, F.lit(1)).otherwise(F.lit(2)),
+                  idx=F.coalesce(F.col("idx"), F.lit(0)),
+                  kind=F.when(is_line, F.col("_type")).otherwise(F.lit("placeholder")),
+                  style=F.when(is_line, F.col("_style")).otherwise(F.lit("Normal")),
+                  text=F.when(is_line, F.when(F.col("_type") == "image", lit_null_s)
+                              .otherwise(F.col("full_text"))).otherwise(ph_text),
+                  img_url=F.col("img_url"),
+                  font_pt=F.when(is_line & (F.col("n1") >= BIG_FONT_FROM_CHAPTER),
+                                 F.lit(BIG_FONT_PT)).otherwise(lit_null_i))
+
     heads = _lines(sections, rank=F.lit(0), idx=F.lit(0), kind=F.lit("heading"),
                    style=F.concat(F.lit("Heading "), level.cast("string")),
                    text=numbered_title(F.col("n1"), F.col("n2"), F.col("n3"), F.col("title")),
                    img_url=lit_null_s, font_pt=lit_null_i)
-
-    # Placeholder when a section has no lines and (for L1/L2) no children
-    has_lines = with_page.join(c.select("page_id").distinct(), "page_id", "left_semi") \
-        .select("book_id", "n1", "n2", "n3").distinct()
-    child_of = sections.filter(F.col("level") >= 2).select(
-        "book_id", "n1",
-        F.when(F.col("level") == 3, F.col("n2")).otherwise(F.lit(0)).alias("n2"),
-        F.lit(0).alias("n3")).distinct()
-    empty = sections.join(has_lines, ["book_id", "n1", "n2", "n3"], "left_anti")
-    empty = empty.join(child_of, ["book_id", "n1", "n2", "n3"], "left_anti")
-    ph_text = (F.when(level == 1, F.lit(PLACEHOLDER[1])).when(level == 2, F.lit(PLACEHOLDER[2]))
-               .otherwise(F.lit(PLACEHOLDER[3])))
-    placeholders = _lines(empty, rank=F.lit(2), idx=F.lit(0), kind=F.lit("placeholder"),
-                          style=F.lit("Normal"), text=ph_text, img_url=lit_null_s, font_pt=lit_null_i)
     breaks = _lines(sections.filter(level == 1), n2=F.lit(END), n3=F.lit(END), rank=F.lit(0),
                     idx=F.lit(0), kind=F.lit("break"), style=lit_null_s, text=F.lit(""),
                     img_url=lit_null_s, font_pt=lit_null_i)
 
     allrows = (toc.unionByName(intro_head).unionByName(intro_break).unionByName(body)
-               .unionByName(heads).unionByName(placeholders).unionByName(breaks))
+               .unionByName(heads).unionByName(breaks))
     # Placeholders in every text line take the book title
     allrows = allrows.join(b, "book_id").withColumn(
         "text", fill_placeholders(F.col("text"), F.col("_book_title"))).drop("_book_title")

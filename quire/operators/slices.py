@@ -1,8 +1,9 @@
 """Marker slicing on ordered item tables (M1-M8).
 
 Items are rows ``(page_id, idx, type, style, full_text, ...)`` with ``idx`` dense from 0
-in document order.  Markers arrive as array columns on each item row (from a broadcast
-config join, or literals), so no row-wise theta join is ever planned.
+in document order.  Markers are a Python list (one config for the run: compiled into
+the predicate) or an array column on each item row (per-row configs from a broadcast
+config join), so no row-wise theta join is ever planned.
 
 All windows partition by ``page_id``: items that come out of ``page_items`` are
 already partitioned that way, so slicing adds no Exchange.
@@ -21,6 +22,7 @@ SOURCE_PREFIX = "Content Source - "
 
 
 def str_array(values: Iterable[str] | None) -> Column:
+    """Literal array column (for markers that vary per row, pass a column instead)."""
     vals = list(values or [])
     if not vals:
         return F.array().cast("array<string>")
@@ -32,7 +34,7 @@ def _page_window() -> Window:
             .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
 
 
-def slice_bounds(items: DataFrame, start_markers: Column, stop_markers: Column) -> DataFrame:
+def slice_bounds(items: DataFrame, start_markers, stop_markers) -> DataFrame:
     """M2/M3: add ``slice_start`` and ``slice_stop`` (both per page, NULL = none).
 
     start = one item before the first start-marker hit.  stop = first hit strictly
@@ -49,63 +51,69 @@ def slice_bounds(items: DataFrame, start_markers: Column, stop_markers: Column)
     return t.withColumn("slice_stop", F.min(F.when(stop_hit, F.col("idx"))).over(w)).drop("_f")
 
 
-def slice_items(items: DataFrame, start_markers: Column, stop_markers: Column) -> DataFrame:
+def _in_slice() -> Column:
+    return F.coalesce((F.col("idx") >= F.col("slice_start")) & (
+        F.col("slice_stop").isNull() | (F.col("idx") < F.col("slice_stop"))), F.lit(False))
+
+
+def slice_items(items: DataFrame, start_markers, stop_markers) -> DataFrame:
     """M2-M4: keep ``start <= idx < stop``; pages without a start marker keep nothing."""
-    t = slice_bounds(items, start_markers, stop_markers)
-    keep = (F.col("idx") >= F.col("slice_start")) & (
-        F.col("slice_stop").isNull() | (F.col("idx") < F.col("slice_stop")))
-    return t.filter(F.coalesce(keep, F.lit(False)))
+    return slice_bounds(items, start_markers, stop_markers).filter(_in_slice())
 
 
-def remove_text(items: DataFrame, remove: Column | DataFrame) -> DataFrame:
-    """M5: drop items whose whole ``full_text`` equals an entry, ignoring case.
+def removed_flag(items: DataFrame, remove) -> DataFrame:
+    """M5 as a flag ``_removed``: ``full_text`` equals an entry, ignoring case.
 
-    ``remove`` is either an array column (config list, evaluated per row) or a
-    DataFrame with a ``text`` column, applied as a left-anti join on ``lower(text)``;
-    the planner broadcasts it when it is small and shuffles otherwise.
+    ``remove`` is a Python list (an ``IN`` test), an array column (``exists``), or a
+    DataFrame with a ``text`` column (left join on ``lower(text)``: the planner
+    broadcasts the list when it is small and shuffles otherwise).
     """
-    if isinstance(remove, DataFrame):
-        keys = remove.select(F.lower(F.col("text")).alias("_rk")).distinct()
-        return (items.withColumn("_rk", F.lower(F.coalesce(F.col("full_text"), F.lit(""))))
-                .join(keys, "_rk", "left_anti").drop("_rk"))
     low = F.lower(F.coalesce(F.col("full_text"), F.lit("")))
-    hit = F.exists(F.coalesce(remove, F.array().cast("array<string>")),
-                   lambda r: F.lower(r) == low)
-    return items.filter(~F.coalesce(hit, F.lit(False)))
-
-
-def add_source_line(sliced: DataFrame, pages_with_start: DataFrame) -> DataFrame:
-    """M6: append ``Content Source - {url}`` (style Normal) to every page that had a
-    start marker and a non-empty URL; it sorts after every item of the page."""
-    src = pages_with_start.filter(F.col("url").isNotNull() & (F.col("url") != "")).select(
-        "page_id", F.lit(1 << 30).alias("idx"), F.lit("text").alias("type"),
-        F.lit("Normal").alias("style"),
-        F.concat(F.lit(SOURCE_PREFIX), F.col("url")).alias("full_text"))
-    cols = ["page_id", "idx", "type", "style", "full_text"]
-    extra = [c for c in sliced.columns if c not in cols]
-    for c in extra:
-        src = src.withColumn(c, F.lit(None).cast(sliced.schema[c].dataType))
-    return sliced.unionByName(src.select(*sliced.columns))
-
-
-def extract_content(items: DataFrame, urls: DataFrame | None, start_markers: Column,
-                    stop_markers: Column, remove: Column | DataFrame | None = None,
-                    renumber: bool = True) -> DataFrame:
-    """M7: slice, remove, append the source line, renumber ``idx`` from 0.
-
-    ``urls``: ``(page_id, url)`` of the pages (NULL -> no source line).
+    if remove is None:
+        return items.withColumn("_removed", F.lit(False))
+    if isinstance(remove, DataFrame):
+        keys = remove.select(F.lower(F.col("text")).alias("_rk")).distinct().withColumn("_hit", F.lit(True))
+        return (items.withColumn("_rk", low).join(keys, "_rk", "left")
+                .withColumn("_removed", F.coalesce(F.col("_hit"), F.lit(False))).drop("_rk", "_hit"))
+    if isinstance(remove, (list, tuple)):
+        return items.withColumn("_removed", low.isin(*[r.lower() for r in remove]) if remove else F.lit(False))
+    hit = F.exists(F.coalesce(remove, F.array().cast("array<string>")), lambda r: F.lower(r) == low)
+    return items.withColumn("_removed", F.coalesce(hit, F.lit(False)))
+
+
+def remove_text(items: DataFrame, remove) -> DataFrame:
+    """M5: drop items whose whole ``full_text`` equals an entry, ignoring case."""
+    return removed_flag(items, remove).filter(~F.col("_removed")).drop("_removed")
+
+
+def extract_content(items: DataFrame, urls: DataFrame | None, start_markers, stop_markers,
+                    remove=None, renumber: bool = True) -> DataFrame:
+    """M7: slice, remove, append ``Content Source - {url}``, renumber ``idx`` from 0.
+
+    One pass over the items: pages without a start marker drop out, the page URL is
+    joined onto the remaining rows (the items are already partitioned by ``page_id``,
+    so only the small URL side moves), and the first row of each slice emits the source
+    line next to itself, so a page whose slice is empty after removal still gets it.
+    ``urls``: ``(page_id, url)``; NULL or empty URL -> no source line.
     """
-    t = slice_bounds(items, start_markers, stop_markers)
-    keep = (F.col("idx") >= F.col("slice_start")) & (
-        F.col("slice_stop").isNull() | (F.col("idx") < F.col("slice_stop")))
-    started = t.filter(F.col("slice_start").isNotNull())
-    sliced = started.filter(keep).drop("slice_start", "slice_stop")
-    if remove is not None:
-        sliced = remove_text(sliced, remove)
+    t = slice_bounds(items, start_markers, stop_markers).filter(F.col("slice_start").isNotNull())
+    t = removed_flag(t, remove)
     if urls is not None:
-        pages_with_start = started.select("page_id").distinct().join(urls, "page_id")
-        sliced = add_source_line(sliced, pages_with_start)
+        t = t.join(urls.select("page_id", F.col("url").alias("_url")), "page_id", "left")
+    else:
+        t = t.withColumn("_url", F.lit(None).cast("string"))
+    cols = [c for c in items.columns]
+    keep = _in_slice() & ~F.col("_removed")
+    item = F.struct(*[F.col(c) for c in cols])
+    src_vals = {"page_id": F.col("page_id"), "idx": F.lit(1 << 30), "type": F.lit("text"),
+                "style": F.lit("Normal"),
+                "full_text": F.concat(F.lit(SOURCE_PREFIX), F.col("_url"))}
+    src = F.struct(*[(src_vals[c] if c in src_vals else F.lit(None).cast(items.schema[c].dataType)).alias(c)
+                     for c in cols])
+    has_src = (F.col("idx") == F.col("slice_start")) & F.col("_url").isNotNull() & (F.col("_url") != "")
+    out = t.select(F.explode(F.array_compact(F.array(
+        F.when(keep, item), F.when(has_src, src)))).alias("_r")).select("_r.*")
     if renumber:
         w = Window.partitionBy("page_id").orderBy("idx")
-        sliced = sliced.withColumn("idx", F.row_number().over(w) - 1)
-    return sliced
+        out = out.withColumn("idx", F.row_number().over(w) - 1)
+    return out

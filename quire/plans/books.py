@@ -20,7 +20,7 @@ from quire.operators.html import page_items
 from quire.operators.links import DEFAULT_MAX_CHAPTERS, detect_chapters
 from quire.functions.urls import url_slug
 from quire.operators.site import book_roots, follow_links, page_keys
-from quire.operators.slices import extract_content, str_array
+from quire.operators.slices import extract_content
 from quire.session import ensure_checkpoint_dir
 
 
@@ -56,8 +56,8 @@ class BookRun:
 def scrape_pages(pages: DataFrame, cfg: BookConfig) -> DataFrame:
     """M8: page items, sliced between markers, removals dropped, source line added."""
     items = page_items(pages, include_images=cfg.include_images)
-    return extract_content(items, pages.select("page_id", "url"), str_array(cfg.start_markers),
-                           str_array(cfg.stop_markers), str_array(cfg.remove_text))
+    return extract_content(items, pages.select("page_id", "url"), cfg.start_markers,
+                           cfg.stop_markers, cfg.remove_text)
 
 
 def build_books(pages: DataFrame, books: DataFrame, cfg: BookConfig,
@@ -102,7 +102,7 @@ def build_books(pages: DataFrame, books: DataFrame, cfg: BookConfig,
         sections.filter(F.col("page_id").isNotNull()).select("page_id")).distinct()
     reached = pages.join(reach, "page_id", "left_semi")
     items = page_items(reached, include_images=cfg.include_images)
-    content = extract_content(items, reached.select("page_id", "url"), str_array(cfg.start_markers),
-                              str_array(cfg.stop_markers), str_array(cfg.remove_text))
+    content = extract_content(items, reached.select("page_id", "url"), cfg.start_markers,
+                              cfg.stop_markers, cfg.remove_text)
     lines = book_lines(books, sections, content, root_rows)
     return BookRun(items, content, all_links, roots, sections, lines)

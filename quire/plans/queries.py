@@ -42,13 +42,13 @@ def _lines(spark, sf):
 def q_lines_slice(spark: SparkSession, sf: str) -> DataFrame:
     """M1-M4: document lines between the first ``with`` line (one before) and the
     first later ``that.`` line (excluded)."""
-    s = M.slice_items(_lines(spark, sf), M.str_array(LINE_START), M.str_array(LINE_STOP))
+    s = M.slice_items(_lines(spark, sf), LINE_START, LINE_STOP)
     return s.select(F.col("page_id").alias("doc_id"), "idx", "full_text")
 
 
 def q_lines_bounds(spark: SparkSession, sf: str) -> DataFrame:
     """M2/M3 + A1: per document, slice start/stop (NULL = none) and item counts."""
-    b = M.slice_bounds(_lines(spark, sf), M.str_array(LINE_START), M.str_array(LINE_STOP))
+    b = M.slice_bounds(_lines(spark, sf), LINE_START, LINE_STOP)
     r = B.page_report(b)
     return r.select(F.col("page_id").alias("doc_id"), "items_parsed", "items_sliced", "has_start", "has_stop")
 
@@ -63,7 +63,7 @@ def _frequent_lines(lines: DataFrame) -> DataFrame:
 def q_lines_remove_text(spark: SparkSession, sf: str) -> DataFrame:
     """M5: slice, then drop lines equal (ignoring case) to a boilerplate line."""
     lines = _lines(spark, sf)
-    s = M.slice_items(lines, M.str_array(LINE_START), M.str_array(LINE_STOP))
+    s = M.slice_items(lines, LINE_START, LINE_STOP)
     r = M.remove_text(s.drop("slice_start", "slice_stop"), _frequent_lines(lines))
     return r.select(F.col("page_id").alias("doc_id"), "idx", "full_text")
 
@@ -73,7 +73,7 @@ def q_lines_source(spark: SparkSession, sf: str) -> DataFrame:
     docs = _docs(spark, sf)
     lines = lines_as_items(docs)
     urls = docs.select(F.col("doc_id").alias("page_id"), F.col("source").alias("url"))
-    r = M.extract_content(lines, urls, M.str_array(LINE_START), M.str_array(LINE_STOP),
+    r = M.extract_content(lines, urls, LINE_START, LINE_STOP,
                           _frequent_lines(lines))
     return r.select(F.col("page_id").alias("doc_id"), "idx", "full_text")
 
@@ -89,7 +89,7 @@ def q_lines_dedup(spark: SparkSession, sf: str) -> DataFrame:
 def q_turns_slice(spark: SparkSession, sf: str) -> DataFrame:
     """M1-M4 on conversation turns."""
     t = turns_as_items(read_table(spark, sf, "conversations"))
-    s = M.slice_items(t, M.str_array(TURN_START), M.str_array(TURN_STOP))
+    s = M.slice_items(t, TURN_START, TURN_STOP)
     return s.select(F.col("page_id").alias("conv_id"), "idx", "role", "full_text")
 
 
@@ -212,8 +212,8 @@ def q_scrape_page(spark: SparkSession, sf: str) -> DataFrame:
     """M8: items, sliced by ``the`` / ``and``, source line appended, renumbered."""
     p = _pages(spark, sf)
     it = H.page_items(p)
-    r = M.extract_content(it, p.select("page_id", "url"), M.str_array(PAGE_START),
-                          M.str_array(PAGE_STOP), M.str_array([]))
+    r = M.extract_content(it, p.select("page_id", "url"), PAGE_START,
+                          PAGE_STOP, [])
     return r.select("page_id", "idx", "style", "full_text")
 
 

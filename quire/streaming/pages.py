@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from quire.operators.html import page_items
-from quire.operators.slices import extract_content, str_array
+from quire.operators.slices import extract_content
 
 PAGES_SCHEMA = "page_id bigint, url string, html string"
 
@@ -27,8 +27,8 @@ def stream_page_content(spark: SparkSession, source_dir: str, sink_dir: str, che
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         items = page_items(batch, include_images=include_images)
-        content = extract_content(items, batch.select("page_id", "url"), str_array(start_markers),
-                                  str_array(stop_markers), str_array(remove))
+        content = extract_content(items, batch.select("page_id", "url"), start_markers,
+                                  stop_markers, remove)
         (content.drop("runs").write.mode("overwrite")
          .parquet(f"{sink_dir.rstrip('/')}/batch_id={batch_id}"))
 
