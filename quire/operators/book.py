@@ -25,7 +25,8 @@ BIG_FONT_FROM_CHAPTER = 7  # chapters with 0-based index >= 6
 # after the last sub-section of a chapter
 END = 1 << 30
 
-LINE_COLS = ["book_id", "n1", "n2", "n3", "rank", "idx", "kind", "style", "text", "img_url", "font_pt"]
+LINE_COLS = ["book_id", "n1", "n2", "n3", "rank", "idx", "kind", "style", "text", "markup", "img_url",
+             "font_pt"]
 
 
 def numbered_title(n1: Column, n2: Column, n3: Column, title: Column) -> Column:
@@ -58,13 +59,20 @@ def section_numbers(sections: DataFrame) -> DataFrame:
 def _lines(df: DataFrame, **cols: Column) -> DataFrame:
     out = []
     for c in LINE_COLS:
-        out.append(cols[c].alias(c) if c in cols else F.col(c))
+        if c in cols:
+            out.append(cols[c].alias(c))
+        elif c == "markup":
+            out.append(F.lit(None).cast("string").alias(c))
+        else:
+            out.append(F.col(c))
     return df.select(*out)
 
 
 def book_lines(books: DataFrame, sections: DataFrame, content: DataFrame,
                roots: DataFrame) -> DataFrame:
-    """``(book_id, n1, n2, n3, line_no, kind, style, text, img_url, font_pt)``.
+    """``(book_id, n1, n2, n3, line_no, kind, style, text, markup, img_url, font_pt)``.
+
+    ``markup`` is the line's runs as Markdown (B8: bold/italic kept per run).
 
     ``content``: sliced page items ``(page_id, idx, type, style, full_text, img_url)``;
     ``roots``: ``(book_id, root_page_id)``; ``books``: ``(book_id, title)``.
@@ -97,7 +105,7 @@ def book_lines(books: DataFrame, sections: DataFrame, content: DataFrame,
     # placeholder unless it has children (B6; level 3 needs no lines only).  The content
     # is read once; the child flag comes from the small sections table.
     c = content.select("page_id", "idx", F.col("type").alias("_type"), F.col("style").alias("_style"),
-                       "full_text", "img_url")
+                       "full_text", F.col("markup").alias("_markup"), "img_url")
     child_of = sections.filter(F.col("level") >= 2).select(
         "book_id", "n1",
         F.when(F.col("level") == 3, F.col("n2")).otherwise(F.lit(0)).alias("n2"),
@@ -120,6 +128,7 @@ def book_lines(books: DataFrame, sections: DataFrame, content: DataFrame,
                   style=F.when(is_line, F.col("_style")).otherwise(F.lit("Normal")),
                   text=F.when(is_line, F.when(F.col("_type") == "image", lit_null_s)
                               .otherwise(F.col("full_text"))).otherwise(ph_text),
+                  markup=F.when(is_line, F.col("_markup")),
                   img_url=F.col("img_url"),
                   font_pt=F.when(is_line & (F.col("n1") >= BIG_FONT_FROM_CHAPTER),
                                  F.lit(BIG_FONT_PT)).otherwise(lit_null_i))
@@ -136,10 +145,11 @@ def book_lines(books: DataFrame, sections: DataFrame, content: DataFrame,
                .unionByName(heads).unionByName(breaks))
     # Placeholders in every text line take the book title
     allrows = allrows.join(b, "book_id").withColumn(
-        "text", fill_placeholders(F.col("text"), F.col("_book_title"))).drop("_book_title")
+        "text", fill_placeholders(F.col("text"), F.col("_book_title"))).withColumn(
+        "markup", fill_placeholders(F.col("markup"), F.col("_book_title"))).drop("_book_title")
     w = Window.partitionBy("book_id", "n1", "n2", "n3").orderBy("rank", "idx")
     return allrows.select("book_id", "n1", "n2", "n3", F.row_number().over(w).alias("line_no"),
-                          "kind", "style", "text", "img_url", "font_pt")
+                          "kind", "style", "text", "markup", "img_url", "font_pt")
 
 
 def toc_entries(sections: DataFrame, lines: DataFrame) -> DataFrame:
@@ -158,8 +168,11 @@ def header_footer(books: DataFrame, default_header: str, default_footer: str) ->
         F.coalesce(F.when(F.col("url") != "", F.col("url")), F.lit(default_footer)).alias("footer"))
 
 
-def line_markdown(kind: Column, style: Column, text: Column, img_url: Column) -> Column:
-    """One book line as Markdown (the text sink of S7)."""
+def line_markdown(kind: Column, style: Column, text: Column, img_url: Column,
+                  markup: Column | None = None) -> Column:
+    """One book line as Markdown (the text sink of S7); runs keep bold/italic."""
+    if markup is not None:
+        text = F.coalesce(markup, text)
     return (F.when(kind == "title", F.concat(F.lit("# "), text))
             .when(kind == "toc_field", F.lit("[TOC]"))
             .when(kind == "break", F.lit("---"))
@@ -172,12 +185,15 @@ def line_markdown(kind: Column, style: Column, text: Column, img_url: Column) ->
 
 
 def render_chapters(lines: DataFrame) -> DataFrame:
-    """S7 (checkable form): one Markdown text per ``(book_id, n1)`` chapter, lines in
-    order.  Never one string per whole book."""
+    """S7 (checkable form): one Markdown text per ``(book_id, n1, n2)`` — a chapter's
+    own page, or one sub-chapter with its sub-sub-chapters — lines in order.  Each
+    text holds at most one page plus ``cap`` child pages; never a whole book or a whole
+    chapter (which can reach cap x cap pages).  ``write_books`` is the scalable sink."""
     md = lines.select("book_id", "n1", "n2", "n3", "line_no",
-                      line_markdown(F.col("kind"), F.col("style"), F.col("text"), F.col("img_url")).alias("md"))
-    return md.groupBy("book_id", "n1").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("n2", "n3", "line_no", "md"))), lambda x: x["md"]), "\n")
+                      line_markdown(F.col("kind"), F.col("style"), F.col("text"), F.col("img_url"),
+                                    F.col("markup")).alias("md"))
+    return md.groupBy("book_id", "n1", "n2").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("n3", "line_no", "md"))), lambda x: x["md"]), "\n")
         .alias("markdown"))
 
 
@@ -185,7 +201,8 @@ def write_books(lines: DataFrame, path: str) -> None:
     """S6/S7 sink: Markdown lines partitioned by book; a rerun replaces only the books
     it contains (dynamic partition overwrite), never other books' output (D8)."""
     md = lines.select("book_id", "n1", "n2", "n3", "line_no",
-                      line_markdown(F.col("kind"), F.col("style"), F.col("text"), F.col("img_url")).alias("value"))
+                      line_markdown(F.col("kind"), F.col("style"), F.col("text"), F.col("img_url"),
+                                    F.col("markup")).alias("value"))
     (md.repartition("book_id", "n1").sortWithinPartitions("book_id", "n1", "n2", "n3", "line_no")
        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
        .partitionBy("book_id").parquet(path))

@@ -281,6 +281,14 @@ def _is_container(seg_tag: Column, nxt_tag: Column, nxt_kind: Column, end_w: Col
                       & (end_w == 0) & (end_wmin >= 0), F.lit(False))
 
 
+def _run_markup(r: Column) -> Column:
+    """One run as Markdown: ``***both***``, ``**bold**``, ``*italic*`` or plain."""
+    t, b, i = r["text"], r["bold"], r["italic"]
+    return (F.when(b & i, F.concat(F.lit("***"), t, F.lit("***")))
+            .when(b, F.concat(F.lit("**"), t, F.lit("**")))
+            .when(i, F.concat(F.lit("*"), t, F.lit("*"))).otherwise(t))
+
+
 def _style(seg_tag: Column, parent_is_ol: Column) -> Column:
     """Heading map, list item by parent list, else Normal."""
     style = F.lit("Normal")
@@ -298,7 +306,7 @@ RUN_TYPE = "array<struct<pos:int,text:string,bold:boolean,italic:boolean>>"
 def page_items(pages: DataFrame, include_images: bool = False, root: str = "auto",
                strip_tags: list[str] | None = None, prepartitioned: bool = False,
                dedup: bool = True, tokens: DataFrame | None = None) -> DataFrame:
-    """``items(page_id, idx, type, style, runs, full_text, img_url, alt)``.
+    """``items(page_id, idx, type, style, runs, full_text, markup, img_url, alt)``.
 
     Text items: one per kept block part with at least one non-blank run; runs carry
     bold/italic from tags inside the block only; ``full_text`` is the runs joined with
@@ -363,6 +371,7 @@ def page_items(pages: DataFrame, include_images: bool = False, root: str = "auto
         F.when(F.col("type") == "text", F.col("runs")).alias("runs"),
         F.when(F.col("type") == "text", F.array_join(F.transform("runs", lambda r: r["text"]), " "))
         .when(is_image, F.lit("")).alias("full_text"),
+        F.when(F.col("type") == "text", F.array_join(F.transform("runs", _run_markup), " ")).alias("markup"),
         F.when(is_image, F.col("img_url")).alias("img_url"),
         F.when(is_image, F.when(F.col("_alt") != "", F.col("_alt")).otherwise(F.lit("Image"))).alias("alt"),
         F.when(F.col("type") == "text", F.lit(True)).when(is_image, F.col("_img_open"))
@@ -393,7 +402,7 @@ def page_items(pages: DataFrame, include_images: bool = False, root: str = "auto
         "_parent_list", F.last("_list_tag", ignorenulls=True).over(wl)).filter(
         F.col("type") != "event")
     items = allrows.select(
-        "page_id", "type", "k1", "k2", "k3", "runs", "full_text", "img_url", "alt",
+        "page_id", "type", "k1", "k2", "k3", "runs", "full_text", "markup", "img_url", "alt",
         F.when(F.col("type") == "text",
                _style(F.col("seg_tag"), F.col("_parent_list") == "ol")).alias("style"),
     )
@@ -404,4 +413,4 @@ def page_items(pages: DataFrame, include_images: bool = False, root: str = "auto
     wi = Window.partitionBy("page_id").orderBy("k1", "k2", "k3")
     return items.select(
         "page_id", (F.row_number().over(wi) - 1).alias("idx"), "type", "style", "runs",
-        "full_text", "img_url", "alt")
+        "full_text", "markup", "img_url", "alt")

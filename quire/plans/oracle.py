@@ -340,6 +340,7 @@ def items_ctes(seg: str, include_images: bool, out: str = "items") -> str:
 {out}_im AS (SELECT page_id, 'image' AS type,
     CASE WHEN coalesce(seg_kind = 'open' AND in_block, false) THEN seg_pos END AS seg_pos,
     NULL::VARCHAR AS seg_tag, NULL::BIGINT AS list_depth, '' AS full_text, 0 AS n_runs, '' AS bold_text,
+    NULL::VARCHAR AS markup,
     _img_url AS img_url, CASE WHEN _alt <> '' THEN _alt ELSE 'Image' END AS alt,
     coalesce(seg_kind = 'open' AND in_block, false) AS _in_block,
     CASE WHEN coalesce(seg_kind = 'open' AND in_block, false) THEN part_pos ELSE pos END AS k1, 1 AS k2, pos AS k3,
@@ -353,15 +354,18 @@ def items_ctes(seg: str, include_images: bool, out: str = "items") -> str:
     coalesce(string_agg(text, ' ' ORDER BY pos) FILTER (WHERE _is_run AND text <> ''), '') AS full_text,
     count(*) FILTER (WHERE _is_run AND text <> '') AS n_runs,
     coalesce(string_agg(text, '|' ORDER BY pos) FILTER (WHERE _is_run AND text <> '' AND bold), '') AS bold_text,
+    string_agg(CASE WHEN bold AND italic THEN '***' || text || '***' WHEN bold THEN '**' || text || '**'
+                    WHEN italic THEN '*' || text || '*' ELSE text END, ' ' ORDER BY pos)
+      FILTER (WHERE _is_run AND text <> '') AS markup,
     max(_end_nxt_tag) AS _end_nxt_tag, max(_end_nxt_kind) AS _end_nxt_kind,
     max(_end_w) AS _end_w, max(_end_wmin) AS _end_wmin
   FROM {out}_r1 GROUP BY page_id, part_pos),
 {out}_ev AS (SELECT page_id, 'event' AS type, NULL::BIGINT AS seg_pos, NULL::VARCHAR AS seg_tag, _L_here AS list_depth,
-    NULL::VARCHAR AS full_text, 0 AS n_runs, '' AS bold_text, NULL::VARCHAR AS img_url, NULL::VARCHAR AS alt,
-    false AS _in_block, pos AS k1, 0 AS k2, pos AS k3, tag AS _list_tag, NULL::VARCHAR AS _end_nxt_tag,
+    NULL::VARCHAR AS full_text, 0 AS n_runs, '' AS bold_text, NULL::VARCHAR AS markup, NULL::VARCHAR AS img_url,
+    NULL::VARCHAR AS alt, false AS _in_block, pos AS k1, 0 AS k2, pos AS k3, tag AS _list_tag, NULL::VARCHAR AS _end_nxt_tag,
     NULL::VARCHAR AS _end_nxt_kind, NULL::BIGINT AS _end_w, NULL::BIGINT AS _end_wmin
   FROM {seg} WHERE kind = 'open' AND tag IN ('ul', 'ol')){img},
-{out}_u AS (SELECT page_id, 'text' AS type, seg_pos, seg_tag, list_depth, full_text, n_runs, bold_text,
+{out}_u AS (SELECT page_id, 'text' AS type, seg_pos, seg_tag, list_depth, full_text, n_runs, bold_text, markup,
     NULL::VARCHAR AS img_url, NULL::VARCHAR AS alt, true AS _in_block, part_pos AS k1, 0 AS k2, part_pos AS k3,
     NULL::VARCHAR AS _list_tag, _end_nxt_tag, _end_nxt_kind, _end_w, _end_wmin FROM {out}_p
   UNION ALL BY NAME SELECT * FROM {out}_ev{union_img}),
@@ -378,7 +382,7 @@ def items_ctes(seg: str, include_images: bool, out: str = "items") -> str:
   FROM {out}_c WHERE (type = 'text' AND NOT _container AND n_runs > 0) OR type IN ('event', 'image')),
 {out}_l AS (SELECT *, last_value(_list_tag IGNORE NULLS) OVER (PARTITION BY page_id, list_depth ORDER BY k1, k2, k3
     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _parent_list FROM {out}_f),
-{out}_st AS (SELECT page_id, type, k1, k2, k3, full_text, n_runs, bold_text, img_url, alt,
+{out}_st AS (SELECT page_id, type, k1, k2, k3, full_text, n_runs, bold_text, markup, img_url, alt,
     CASE WHEN type = 'text' THEN CASE WHEN seg_tag = 'li' THEN CASE WHEN coalesce(_parent_list = 'ol', false)
       THEN 'List Number' ELSE 'List Bullet' END WHEN seg_tag IN ('h1', 'h2', 'h3') THEN 'Heading 3'
       WHEN seg_tag IN ('h4', 'h5', 'h6') THEN 'Heading 4' ELSE 'Normal' END END AS style
@@ -386,7 +390,7 @@ def items_ctes(seg: str, include_images: bool, out: str = "items") -> str:
 {out}_d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_id, full_text ORDER BY k1, k2, k3) AS _r
   FROM {out}_st) WHERE type <> 'text' OR _r = 1),
 {out} AS (SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY k1, k2, k3) - 1 AS INTEGER) AS idx,
-    type, style, full_text, img_url, alt, n_runs, bold_text FROM {out}_d)"""
+    type, style, full_text, markup, img_url, alt, n_runs, bold_text FROM {out}_d)"""
 
 
 def html_items_ctes(src: str = "pages", include_images: bool = False, strip_tags=None, root: str = "auto") -> str:
@@ -425,13 +429,13 @@ JOIN runs r ON r.page_id = i.page_id AND r.part_pos = i.k1 WHERE i.type = 'text'
 def extract_ctes(items: str, urls_sql: str, start, stop, remove, out: str = "ext") -> str:
     rm = " AND lower(full_text) NOT IN " + lits([r.lower() for r in remove]) if remove else ""
     return f"""{bounds_cte(items, start, stop, out + '_b')},
-{out}_k AS (SELECT page_id, idx, type, style, full_text, img_url FROM {out}_b WHERE slice_start IS NOT NULL AND {KEEP}{rm}),
+{out}_k AS (SELECT page_id, idx, type, style, full_text, markup, img_url FROM {out}_b WHERE slice_start IS NOT NULL AND {KEEP}{rm}),
 {out}_s AS (SELECT DISTINCT b.page_id, {1 << 30} AS idx, 'text' AS type, 'Normal' AS style,
-    {lit(SOURCE_PREFIX)} || u.url AS full_text, NULL::VARCHAR AS img_url
+    {lit(SOURCE_PREFIX)} || u.url AS full_text, NULL::VARCHAR AS markup, NULL::VARCHAR AS img_url
   FROM {out}_b b JOIN ({urls_sql}) u ON u.page_id = b.page_id WHERE b.slice_start IS NOT NULL AND u.url IS NOT NULL AND u.url <> ''),
 {out}_u AS (SELECT * FROM {out}_k UNION ALL SELECT * FROM {out}_s),
 {out} AS (SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY idx) - 1 AS INTEGER) AS idx,
-    type, style, full_text, img_url FROM {out}_u)"""
+    type, style, full_text, markup, img_url FROM {out}_u)"""
 
 
 def sql_scrape_page() -> str:
@@ -585,37 +589,38 @@ SELECT book_id, n1, n2, n3, level, title, url, page_id, status, number_title, bo
 
 def _lines_sql() -> str:
     c = SITE_CONFIG
-    line = ("book_id, n1, n2, n3, rank, idx, kind, style, text, img_url, font_pt")
+    line = ("book_id, n1, n2, n3, rank, idx, kind, style, text, markup, img_url, font_pt")
     return f"""{SECTIONS},
 {extract_ctes('items', 'SELECT page_id, url FROM site', c['start_markers'], c['stop_markers'], c['remove_text'])},
 b AS (SELECT book_id, title AS _book_title FROM site_books),
 secpages AS (SELECT book_id, root_page_id AS page_id, 0 AS n1, 0 AS n2, 0 AS n3 FROM roots WHERE root_page_id IS NOT NULL
   UNION ALL SELECT book_id, page_id, n1, n2, n3 FROM sections WHERE page_id IS NOT NULL),
 body AS (SELECT s.book_id, s.n1, s.n2, s.n3, 1 AS rank, e.idx, e.type AS kind, e.style,
-  CASE WHEN e.type = 'image' THEN NULL ELSE e.full_text END AS text, e.img_url,
+  CASE WHEN e.type = 'image' THEN NULL ELSE e.full_text END AS text, e.markup, e.img_url,
   CASE WHEN s.n1 >= {BIG_FONT_FROM_CHAPTER} THEN {BIG_FONT_PT} END AS font_pt
   FROM secpages s JOIN ext e ON e.page_id = s.page_id),
 has_lines AS (SELECT DISTINCT s.book_id, s.n1, s.n2, s.n3 FROM secpages s WHERE s.page_id IN (SELECT page_id FROM ext)),
 child_of AS (SELECT DISTINCT book_id, n1, CASE WHEN level = 3 THEN n2 ELSE 0 END AS n2, 0 AS n3 FROM sections WHERE level >= 2),
 ph AS (SELECT s.book_id, s.n1, s.n2, s.n3, 2 AS rank, 0 AS idx, 'placeholder' AS kind, 'Normal' AS style,
   CASE WHEN s.level = 1 THEN {lit(PLACEHOLDER[1])} WHEN s.level = 2 THEN {lit(PLACEHOLDER[2])} ELSE {lit(PLACEHOLDER[3])} END AS text,
-  NULL AS img_url, NULL AS font_pt FROM sections s
+  NULL AS markup, NULL AS img_url, NULL AS font_pt FROM sections s
   WHERE NOT EXISTS (SELECT 1 FROM has_lines h WHERE h.book_id = s.book_id AND h.n1 = s.n1 AND h.n2 = s.n2 AND h.n3 = s.n3)
     AND NOT EXISTS (SELECT 1 FROM child_of c WHERE c.book_id = s.book_id AND c.n1 = s.n1 AND c.n2 = s.n2 AND c.n3 = s.n3)),
 allrows AS (
-  SELECT book_id, -1 AS n1, 0 AS n2, 0 AS n3, 0 AS rank, 0 AS idx, 'title' AS kind, 'Title' AS style, {lit(TOC_TITLE)} AS text, NULL AS img_url, NULL AS font_pt FROM b
-  UNION ALL SELECT book_id, -1, 0, 0, 1, 0, 'toc_field', NULL, {lit('TOC \\o "1-3" \\h \\z \\u')}, NULL, NULL FROM b
-  UNION ALL SELECT book_id, -1, {END}, {END}, 0, 0, 'break', NULL, '', NULL, NULL FROM b
-  UNION ALL SELECT book_id, 0, 0, 0, 0, 0, 'heading', 'Heading 1', {lit(INTRO_TITLE)}, NULL, NULL FROM b
-  UNION ALL SELECT book_id, 0, {END}, {END}, 0, 0, 'break', NULL, '', NULL, NULL FROM b
+  SELECT book_id, -1 AS n1, 0 AS n2, 0 AS n3, 0 AS rank, 0 AS idx, 'title' AS kind, 'Title' AS style, {lit(TOC_TITLE)} AS text, NULL AS markup, NULL AS img_url, NULL AS font_pt FROM b
+  UNION ALL SELECT book_id, -1, 0, 0, 1, 0, 'toc_field', NULL, {lit('TOC \\o "1-3" \\h \\z \\u')}, NULL, NULL, NULL FROM b
+  UNION ALL SELECT book_id, -1, {END}, {END}, 0, 0, 'break', NULL, '', NULL, NULL, NULL FROM b
+  UNION ALL SELECT book_id, 0, 0, 0, 0, 0, 'heading', 'Heading 1', {lit(INTRO_TITLE)}, NULL, NULL, NULL FROM b
+  UNION ALL SELECT book_id, 0, {END}, {END}, 0, 0, 'break', NULL, '', NULL, NULL, NULL FROM b
   UNION ALL SELECT {line} FROM body
   UNION ALL SELECT book_id, n1, n2, n3, 0, 0, 'heading', 'Heading ' || CAST(level AS VARCHAR),
-    {numbered('n1', 'n2', 'n3', 'title')}, NULL, NULL FROM sections
+    {numbered('n1', 'n2', 'n3', 'title')}, NULL, NULL, NULL FROM sections
   UNION ALL SELECT {line} FROM ph
-  UNION ALL SELECT book_id, n1, {END}, {END}, 0, 0, 'break', NULL, '', NULL, NULL FROM sections WHERE level = 1),
+  UNION ALL SELECT book_id, n1, {END}, {END}, 0, 0, 'break', NULL, '', NULL, NULL, NULL FROM sections WHERE level = 1),
 lines AS (SELECT a.book_id, a.n1, a.n2, a.n3,
   CAST(row_number() OVER (PARTITION BY a.book_id, a.n1, a.n2, a.n3 ORDER BY a.rank, a.idx) AS INTEGER) AS line_no,
   a.kind, a.style, replace(replace(a.text, 'XXX1', b._book_title), 'HHH1', b._book_title) AS text,
+  replace(replace(a.markup, 'XXX1', b._book_title), 'HHH1', b._book_title) AS markup,
   a.img_url, CAST(a.font_pt AS INTEGER) AS font_pt
   FROM allrows a JOIN b ON b.book_id = a.book_id)"""
 
@@ -634,8 +639,8 @@ def _md(kind: str, style: str, text: str, img: str) -> str:
 
 def sql_render_book() -> str:
     return f"""WITH {_lines_sql()}
-SELECT book_id, n1, string_agg({_md('kind', 'style', 'text', 'img_url')}, chr(10) ORDER BY n2, n3, line_no) AS markdown
-FROM lines GROUP BY book_id, n1"""
+SELECT book_id, n1, n2, string_agg({_md('kind', 'style', 'coalesce(markup, text)', 'img_url')}, chr(10) ORDER BY n3, line_no) AS markdown
+FROM lines GROUP BY book_id, n1, n2"""
 
 
 def sql_book_report() -> str:

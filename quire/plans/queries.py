@@ -269,7 +269,7 @@ def q_book_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_render_book(spark: SparkSession, sf: str) -> DataFrame:
-    """Markdown text per book chapter."""
+    """Markdown text per (book, chapter, sub-chapter)."""
     return B.render_chapters(_site_run(spark, sf).lines)
 
 

@@ -9,6 +9,7 @@ from quire.plans.books import BookConfig, build_books
 def _page(title, links):
     lis = "".join(f"<li><a href='{h}'>{t}</a></li>" for h, t in links)
     return (f"<html><body><article><h1>{title}</h1><p>Start nama: {title}</p><p>Text of {title} XXX1</p>"
+            f"<p><b>Strong {title}</b> and <i>it</i></p>"
             f"<ul>{lis}</ul><p>End dasan</p></article></body></html>")
 
 
@@ -55,6 +56,8 @@ def test_book_line_order_and_placeholders(run):
     assert ph == [(2, "[No content extracted for this chapter.]")]
     # placeholders XXX1 take the book title; source line closes each page's content
     assert any(x.text == "Text of Ch1 A My Book" for x in lines)
+    # Runs keep bold/italic in the line's Markdown
+    assert [x.markup for x in lines if x.text == "Strong Ch1 A and it"] == ["**Strong Ch1 A** and *it*"]
     assert any(x.text == "Content Source - https://s.example/2024/01/ch1/" for x in lines)
     # line numbers are dense within every section
     per = {}
@@ -65,8 +68,9 @@ def test_book_line_order_and_placeholders(run):
 
 def test_render_and_reports(run, spark):
     r = run["run"]
-    md = {x.n1: x.markdown for x in render_chapters(r.lines).collect()}
-    assert md[1].startswith("## 1. Ch1")
+    md = {(x.n1, x.n2): x.markdown for x in render_chapters(r.lines).collect()}
+    assert md[(1, 0)].startswith("## 1. Ch1")
+    assert md[(1, 1)].startswith("### 1.1 Ch1 A") and "#### 1.1.1 Ch1 A X" in md[(1, 1)]
     assert toc_preview(r.sections).count() == 2
     rep = {(x.book_id, x.level): (x.sections, x.missing) for x in book_report(r.sections).collect()}
     assert rep[(None, None)] == (4, 1)
