@@ -656,7 +656,24 @@ SELECT book_id, n1, title, greatest(_total - 10, 0) AS more FROM (
          count(*) OVER (PARTITION BY book_id) AS _total FROM sections WHERE level = 1) WHERE _rn <= 10"""
 
 
+def sql_toc() -> str:
+    return f"""WITH {_lines_sql()}
+SELECT book_id, n1, n2, n3, line_no,
+  CASE WHEN style = 'Heading 1' THEN 1 WHEN style = 'Heading 2' THEN 2 ELSE 3 END AS toc_level, text
+FROM lines WHERE kind = 'heading' OR style = 'Heading 3'"""
+
+
+def sql_header_footer() -> str:
+    title = collapse(decode(f"regexp_extract(html, {lit(Q.TITLE_RE)}, 1)"))
+    return f"""SELECT page_id AS book_id,
+  coalesce(CASE WHEN {title} <> '' THEN {title} END, {lit(Q.DEFAULT_HEADER)}) AS header,
+  coalesce(CASE WHEN url <> '' THEN url END, {lit(Q.DEFAULT_FOOTER)}) AS footer
+FROM pages"""
+
+
 ORACLE.update({
+    "toc": sql_toc,
+    "header_footer": sql_header_footer,
     "site_items": sql_site_items,
     "site_links": sql_site_links,
     "expand_site": sql_expand_site,

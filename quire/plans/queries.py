@@ -304,6 +304,26 @@ def q_manifest(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("book_id", "url", "language", "book_type", "out_name", "reject_reason")
 
 
+def q_toc(spark: SparkSession, sf: str) -> DataFrame:
+    """The headings the table of contents lists, levels 1-3 (chapter headings and
+    content h1-h3, which the book styles as Heading 3)."""
+    return B.toc_entries(None, _site_run(spark, sf).lines)
+
+
+# Fixed defaults for B10 (the reference hard-codes a site address; here a parameter).
+DEFAULT_HEADER, DEFAULT_FOOTER = "Untitled book", "https://books.example.org/"
+TITLE_RE = r"(?is)<title[^>]*>(.*?)</title"
+
+
+def q_header_footer(spark: SparkSession, sf: str) -> DataFrame:
+    """Header and footer text for one candidate book per captured page (title from
+    the page's <title>, blank when absent)."""
+    p = read_table(spark, sf, "pages")
+    books = p.select(F.col("page_id").alias("book_id"), "url",
+                     TX.collapse_ws(TX.decode_entities(F.regexp_extract("html", TITLE_RE, 1))).alias("title"))
+    return B.header_footer(books, DEFAULT_HEADER, DEFAULT_FOOTER)
+
+
 QUERIES = {
     "lines_slice": q_lines_slice,
     "lines_bounds": q_lines_bounds,
@@ -332,4 +352,6 @@ QUERIES = {
     "render_book": q_render_book,
     "book_report": q_book_report,
     "toc_preview": q_toc_preview,
+    "toc": q_toc,
+    "header_footer": q_header_footer,
 }
