@@ -152,7 +152,7 @@ def book_lines(books: DataFrame, sections: DataFrame, content: DataFrame,
                           "kind", "style", "text", "markup", "img_url", "font_pt")
 
 
-def toc_entries(sections: DataFrame, lines: DataFrame) -> DataFrame:
+def toc_entries(lines: DataFrame) -> DataFrame:
     """Headings the TOC field lists (levels 1-3): Introduction, chapter headings and
     content items styled ``Heading 3`` (content h1-h3 reach the TOC)."""
     h = lines.filter((F.col("kind") == "heading") | (F.col("style") == "Heading 3"))

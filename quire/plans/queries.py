@@ -307,7 +307,7 @@ def q_manifest(spark: SparkSession, sf: str) -> DataFrame:
 def q_toc(spark: SparkSession, sf: str) -> DataFrame:
     """The headings the table of contents lists, levels 1-3 (chapter headings and
     content h1-h3, which the book styles as Heading 3)."""
-    return B.toc_entries(None, _site_run(spark, sf).lines)
+    return B.toc_entries(_site_run(spark, sf).lines)
 
 
 # Fixed defaults for B10 (the reference hard-codes a site address; here a parameter).

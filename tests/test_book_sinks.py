@@ -34,7 +34,7 @@ def test_toc_entries_include_content_headings(spark):
         (1, 1, 0, 0, 2, "text", "Heading 3", "content h2", None, None, None),
         (1, 1, 0, 0, 3, "text", "Normal", "body", None, None, None),
         (1, 1, 1, 0, 1, "heading", "Heading 2", "1.1 B", None, None, None)], LINE_SCHEMA)
-    got = [(r.toc_level, r.text) for r in toc_entries(None, lines).orderBy("n1", "n2", "n3", "line_no").collect()]
+    got = [(r.toc_level, r.text) for r in toc_entries(lines).orderBy("n1", "n2", "n3", "line_no").collect()]
     assert got == [(1, "Introduction"), (1, "1. A"), (3, "content h2"), (2, "1.1 B")]
 
 
