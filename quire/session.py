@@ -1,8 +1,8 @@
 """SparkSession helpers.
 
 Only settings a job needs for correct, scalable plans are set here; cluster sizing
-(executors, memory) belongs to the submitter.  ``spark.checkpoint.dir`` is read from
-the session and only filled in when it is unset (local tests), never overwritten.
+(executors, memory, shuffle partitions) belongs to the submitter.  The checkpoint folder
+is read from the session and only made up on a local master, never overwritten.
 """
 
 from __future__ import annotations
@@ -15,18 +15,21 @@ from pyspark.sql import SparkSession
 
 def build_session(master: str | None = None, app: str = "quire",
                   shuffle_partitions: int | None = None) -> SparkSession:
+    """A session with the settings the library relies on.  ``shuffle_partitions`` is only
+    set when given or on a local master; elsewhere the submitter's value (or AQE) stands."""
     builder = SparkSession.builder.appName(app)
+    local = bool(master and master.startswith("local"))
     if master:
         builder = builder.master(master)
-        if master.startswith("local"):
-            # local mode runs every task inside the driver JVM
-            builder = builder.config("spark.driver.memory",
-                                     os.environ.get("QUIRE_DRIVER_MEMORY", "16g"))
-    parts = shuffle_partitions or int(os.environ.get("QUIRE_SHUFFLE_PARTITIONS", "8"))
+    if local:
+        # local mode runs every task inside the driver JVM
+        builder = builder.config("spark.driver.memory", os.environ.get("QUIRE_DRIVER_MEMORY", "16g"))
+    parts = shuffle_partitions or os.environ.get("QUIRE_SHUFFLE_PARTITIONS") or (8 if local else None)
+    if parts:
+        builder = builder.config("spark.sql.shuffle.partitions", str(parts))
     builder = (
         builder.config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.shuffle.partitions", str(parts))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -36,20 +39,26 @@ def build_session(master: str | None = None, app: str = "quire",
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
+    if local:
+        ensure_checkpoint_dir(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's shared checkpoint folder.
+    """The folder for checkpoints that driver and executors share.
 
-    Read from the session (``spark.checkpoint.dir`` or an earlier
-    ``setCheckpointDir``); a scratch folder is made only when neither is set, which is
-    the local-test case.
+    Taken from an earlier ``setCheckpointDir`` or from ``spark.checkpoint.dir``.  Where
+    neither is set, a scratch folder is made on a local master only; on a cluster a
+    machine-local folder would lose data, so it is an error.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
-    if not current:
-        current = tempfile.mkdtemp(prefix="quire-ckpt-")
-    sc.setCheckpointDir(current)
-    return current
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    named = sc.getConf().get("spark.checkpoint.dir", None)
+    if not named:
+        if not (sc.master or "").startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="quire-ckpt-")
+    sc.setCheckpointDir(named)
+    return sc.getCheckpointDir() or named
