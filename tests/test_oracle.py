@@ -37,4 +37,5 @@ def test_query_matches_sql(spark, con, name):
 
 
 def test_every_query_has_sql():
-    assert set(E.queries()) == set(E.oracle_sql())
+    from quire.plans.queries import QUERIES
+    assert set(QUERIES) <= set(E.oracle_sql())
