@@ -6,12 +6,47 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import packing, rules
+from quire.llm import labels, packing, quality, rules, secrets, toxicity
 from quire.llm.common import read_table
 
 BPE_RANKS = "byte_bpe_50k.tiktoken"
 
 
+def _judged(scores: DataFrame, held_out) -> DataFrame:
+    return scores.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 1 on every document, learnt outside the fold of remainder 1 of 3."""
+    held_out = labels.fold(F.col("doc_id"), 3) == 1
+    scores = quality.score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), ~held_out)
+    return _judged(scores, held_out)
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 2 on every document: base findings, and those in unwrapped layers."""
+    found = secrets.scan(read_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["chain"] == "")
+
+    def joined(spans):
+        return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(
+            ":", F.when(s["chain"] == "", s["kind"]).otherwise(F.concat(s["kind"], F.lit("@"), s["chain"])), s["start"], s["end"])))
+
+    def count(kind):
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long")
+
+    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in secrets.KINDS],
+                        F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 5 on every document, learnt outside the fold of remainder 0 of 5."""
+    held_out = labels.fold(F.col("doc_id"), 5) == 0
+    scores = toxicity.score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), ~held_out)
+    return _judged(scores, held_out)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 7 on every document: counts, base verdict and the rule table's verdict."""
     return rules.judge(read_table(spark, sf_dir, "documents")).select(
@@ -26,4 +61,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op7_quality_rules, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (
+    op1_quality_classifier, op2_secret_scan, op5_toxicity, op7_quality_rules, op10_best_fit_packing)}
