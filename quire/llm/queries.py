@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import labels, packing, quality, rules, secrets, toxicity
+from quire.llm import labels, neardup, packing, quality, rules, secrets, toxicity, url_filter
 from quire.llm.common import read_table
 
 BPE_RANKS = "byte_bpe_50k.tiktoken"
@@ -40,6 +40,18 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+#: The rules of operator 3.
+URL_RULES = [url_filter.Rule(*r) for r in (
+    ("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"), ("block", "com", "/de/"))]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 3 on every page: links from the pages' own heads and canonical forms."""
+    pages = read_table(spark, sf_dir, "pages")
+    return url_filter.judge_urls(pages, url_filter.declared_links(pages), URL_RULES)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 5 on every document, learnt outside the fold of remainder 0 of 5."""
     held_out = labels.fold(F.col("doc_id"), 5) == 0
@@ -47,11 +59,16 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(scores, held_out)
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 6 on every document: its class of near copies."""
+    return neardup.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 7 on every document: counts, base verdict and the rule table's verdict."""
     return rules.judge(read_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
-        "n_lines", "n_bullet_lines", "n_ellipsis_lines", "n_upper_words", "n_stop_words", "n_distinct_words",
+        "n_lines", "n_bullet_lines", "n_ellipsis_lines", "n_upper_chars", "n_stop_words", "n_distinct_words",
         F.concat_ws(",", "broken").alias("broken"))
 
 
@@ -62,4 +79,4 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_classifier, op2_secret_scan, op5_toxicity, op7_quality_rules, op10_best_fit_packing)}
+    op1_quality_classifier, op2_secret_scan, op3_url_filter, op5_toxicity, op6_near_duplicates, op7_quality_rules, op10_best_fit_packing)}
