@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 SPACES = "\\x20\\x09-\\x0D"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
+CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÄÇÈÉÊËÍÎÏÑÓÔÖÙÚÛÜ"
 WINDOW = 5
 
 # Frequent function words of the four languages of the corpus.
@@ -38,7 +39,7 @@ RULES: list[tuple[str, float | None, float | None]] = [
     ("dup_line_ratio", None, 0.50),
     ("bullet_line_ratio", None, 0.90),
     ("ellipsis_line_ratio", None, 0.30),
-    ("upper_word_ratio", None, 0.50),
+    ("upper_char_ratio", None, 0.50),
     ("distinct_word_ratio", 0.05, None),
     ("stop_words_missing", None, 0),
 ]
@@ -58,12 +59,12 @@ def words_of(text: Column) -> Column:
 def repeated_window_words(words: Column, width: int = WINDOW) -> Column:
     """Words that lie in a window of ``width`` words found twice or more in the text.
 
-    Windows are compared by 64-bit hashes with their places, sorted, so equal windows are
-    neighbours; overlapping windows count their words once."""
+    Windows are compared by 64-bit hashes.  Where no hash occurs twice there is none; else the
+    hashes are sorted with their places, so that equal windows are neighbours, and overlapping
+    windows count their words once."""
     def windows(w: Column) -> Column:
-        return F.array_sort(F.transform(
-            F.sequence(F.lit(1), F.size(w) - (width - 1)),
-            lambda i: F.struct(F.xxhash64(*[F.element_at(w, i + k) for k in range(width)]).alias("h"), i.alias("p"))))
+        return F.transform(F.sequence(F.lit(1), F.size(w) - (width - 1)),
+                           lambda i: F.xxhash64(*[F.element_at(w, i + k) for k in range(width)]))
 
     def places(s: Column) -> Column:
         n = F.size(s)
@@ -79,15 +80,17 @@ def repeated_window_words(words: Column, width: int = WINDOW) -> Column:
         return F.aggregate(p, start, lambda a, x: F.struct(
             (x + width).alias("end"), (a["n"] + width - F.greatest(F.lit(0), a["end"] - x)).cast("long").alias("n")))["n"]
 
-    return let(words, lambda w: F.when(F.size(w) <= width, F.lit(0).cast("long")).otherwise(
-        covered(let(windows(w), places))))
+    def count(h: Column) -> Column:
+        placed = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(covered(let(placed, places)))
+
+    return let(words, lambda w: F.when(F.size(w) <= width, F.lit(0).cast("long")).otherwise(let(windows(w), count)))
 
 
 def measures(text: Column) -> dict[str, Column]:
     """What the rules look at, from a text without nulls; each is a number per text."""
     words = words_of(text)
     lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, SPACE_CHARS, "") != "")
-    lower_words = F.transform(words, lambda w: F.lower(F.translate(w, ".,;:!?\"'()", "")))
     return {
         "n_words": F.size(words).cast("long"),
         "word_chars": F.char_length(F.translate(text, SPACE_CHARS, "")).cast("long"),
@@ -97,8 +100,8 @@ def measures(text: Column) -> dict[str, Column]:
         "n_repeat_words": repeated_window_words(words),
         "n_bullet_lines": F.size(F.filter(lines, lambda x: F.ltrim(x).rlike("^[-*•‣·]"))).cast("long"),
         "n_ellipsis_lines": F.size(F.filter(lines, lambda x: F.rtrim(x).rlike("(\\.\\.\\.|…)$"))).cast("long"),
-        "n_upper_words": F.size(F.filter(words, lambda w: (F.upper(w) == w) & (F.lower(w) != w) & (F.char_length(w) > 1))).cast("long"),
-        "n_stop_words": F.size(F.filter(lower_words, lambda w: w.isin(STOP_WORDS))).cast("long"),
+        "n_upper_chars": (F.char_length(text) - F.char_length(F.translate(text, CAPITALS, ""))).cast("long"),
+        "n_stop_words": F.size(F.filter(words, lambda w: w.isin(STOP_WORDS + [x.capitalize() for x in STOP_WORDS]))).cast("long"),
         "n_distinct_words": F.size(F.array_distinct(words)).cast("long"),
     }
 
@@ -115,7 +118,7 @@ def ratios() -> dict[str, Column]:
         "dup_line_ratio": over("n_dup_lines", "n_lines"),
         "bullet_line_ratio": over("n_bullet_lines", "n_lines"),
         "ellipsis_line_ratio": over("n_ellipsis_lines", "n_lines"),
-        "upper_word_ratio": over("n_upper_words", "n_words"),
+        "upper_char_ratio": over("n_upper_chars", "word_chars"),
         "distinct_word_ratio": over("n_distinct_words", "n_words"),
         "stop_words_missing": ((F.col("n_words") >= STOP_WORD_FROM) & (F.col("n_stop_words") == 0)).cast("double"),
     }
