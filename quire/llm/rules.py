@@ -87,19 +87,24 @@ def repeated_window_words(words: Column, width: int = WINDOW) -> Column:
     return let(words, lambda w: F.when(F.size(w) <= width, F.lit(0).cast("long")).otherwise(let(windows(w), count)))
 
 
-def measures(text: Column) -> dict[str, Column]:
-    """What the rules look at, from a text without nulls; each is a number per text."""
-    words = words_of(text)
-    lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, SPACE_CHARS, "") != "")
+def parts(text: Column) -> dict[str, Column]:
+    """A text's words and its lines that have a word, which the measures share."""
+    return {"_text": text, "_words": words_of(text),
+            "_lines": F.filter(F.split(text, "\n"), lambda x: F.translate(x, SPACE_CHARS, "") != "")}
+
+
+def measures() -> dict[str, Column]:
+    """What the rules look at, from a text's parts; each is a number per text."""
+    text, words, lines = F.col("_text"), F.col("_words"), F.col("_lines")
     return {
         "n_words": F.size(words).cast("long"),
         "word_chars": F.char_length(F.translate(text, SPACE_CHARS, "")).cast("long"),
         "n_symbols": (F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).cast("long"),
         "n_lines": F.size(lines).cast("long"),
-        "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
+        "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
         "n_repeat_words": repeated_window_words(words),
         "n_bullet_lines": F.size(F.filter(lines, lambda x: F.ltrim(x).rlike("^[-*•‣·]"))).cast("long"),
-        "n_ellipsis_lines": F.size(F.filter(lines, lambda x: F.rtrim(x).rlike("(\\.\\.\\.|…)$"))).cast("long"),
+        "n_ellipsis_lines": F.size(F.filter(lines, lambda x: F.rtrim(x).endswith("...") | F.rtrim(x).endswith("…"))).cast("long"),
         "n_upper_chars": (F.char_length(text) - F.char_length(F.translate(text, CAPITALS, ""))).cast("long"),
         "n_stop_words": F.size(F.filter(words, lambda w: w.isin(STOP_WORDS + [x.capitalize() for x in STOP_WORDS]))).cast("long"),
         "n_distinct_words": F.size(F.array_distinct(words)).cast("long"),
@@ -145,8 +150,9 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rules = RULES if rules is None else rules
     carried = [F.struct(*[docs[c] for c in extra]).alias("row")] if extra else []
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    counted = docs.select(docs[id_col].alias("doc_id"), *carried, text.alias("_text")).select(
-        "doc_id", *(["row"] if extra else []), *[c.alias(n) for n, c in measures(F.col("_text")).items()])
+    keys = ["doc_id", *(["row"] if extra else [])]
+    split = docs.select(docs[id_col].alias("doc_id"), *carried, *[c.alias(n) for n, c in parts(text).items()])
+    counted = split.select(*keys, *[c.alias(n) for n, c in measures().items()])
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return counted.withColumn("broken", compile_rules(rules)).withColumn("base_failed", base).withColumn(
         "kept", ~F.col("base_failed") & (F.size("broken") == 0))
