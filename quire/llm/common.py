@@ -75,7 +75,7 @@ _CLASS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80,
 _CLASS[[0x20, *range(0x09, 0x0E), 0x00]] = 0             # white space
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
-_POWERS = np.cumprod(np.full(4096, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
+POWERS = np.cumprod(np.full(4096, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -102,7 +102,7 @@ def token_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     starts = np.flatnonzero(edge)
     lengths = np.diff(starts, append=n)
     place = np.arange(n) - np.repeat(starts, lengths)
-    value = (_LOWER[data].astype(np.uint64) + np.uint64(1)) * _POWERS[place & 4095]
+    value = (_LOWER[data].astype(np.uint64) + np.uint64(1)) * POWERS[place & 4095]
     hashes = np.add.reduceat(value, starts)
     real = cls[starts] > 0
     starts, lengths, hashes = starts[real], lengths[real], hashes[real]

@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import materialize, mix, small_batches
+from quire.llm.common import POWERS, materialize, mix, small_batches
 from quire.llm.components import components
 
 WORDS, PICK, SKETCHES, SIMILARITY = 5, 2, 48, 0.8
@@ -53,7 +53,7 @@ def labelled_kmers(words: list[str], k: int = WORDS) -> np.ndarray:
     """A 64-bit hash per k-mer of a text, in text order, that tells its occurrences apart."""
     if not words:
         return np.zeros(0, np.uint64)
-    w = mix(np.array([hash_word(x) for x in words], np.uint64))
+    w = word_hashes(words)
     n = max(1, len(w) - k + 1)
     h = np.zeros(n, np.uint64)
     for i in range(min(k, len(w))):
@@ -66,8 +66,16 @@ def labelled_kmers(words: list[str], k: int = WORDS) -> np.ndarray:
     return mix(h + nth * np.uint64(0x9E3779B97F4A7C15))
 
 
-def hash_word(word: str) -> int:
-    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+def word_hashes(words: list[str]) -> np.ndarray:
+    """A 64-bit hash per word (none holds a space): its bytes times powers, summed and mixed."""
+    data = np.frombuffer(" ".join(words).encode("utf-8", "surrogatepass"), np.uint8)
+    gaps = np.flatnonzero(data == 0x20)
+    starts = np.concatenate([[0], gaps + 1])
+    spans = np.diff(starts, append=len(data) + 1)
+    place = np.arange(len(data)) - np.repeat(starts, spans)[:len(data)]
+    value = (data.astype(np.uint64) + np.uint64(1)) * POWERS[place & 4095]
+    value[gaps] = 0
+    return mix(np.add.reduceat(value, starts) + spans.astype(np.uint64))
 
 
 def order_minhash(kmers: np.ndarray, pick: int = PICK, sketches: int = SKETCHES) -> np.ndarray:
