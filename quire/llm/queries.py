@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import labels, neardup, packing, quality, rules, secrets, toxicity, url_filter
+from quire.llm import labels, neardup, packing, pii, quality, rules, secrets, toxicity, url_filter
 from quire.llm.common import read_table
 
 BPE_RANKS = "byte_bpe_50k.tiktoken"
@@ -72,6 +72,21 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat_ws(",", "broken").alias("broken"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 9 on every document: entities, and terms that the corpus shows to reveal them."""
+    found = pii.sanitise(read_table(spark, sf_dir, "documents"))
+
+    def joined(spans):
+        return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in pii.KINDS],
+                        F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
+                        count("term").alias("n_term"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 10 on every document: sequences of at most 2048 ids."""
     return packing.pack_documents(read_table(spark, sf_dir, "documents"),
@@ -79,4 +94,4 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_classifier, op2_secret_scan, op3_url_filter, op5_toxicity, op6_near_duplicates, op7_quality_rules, op10_best_fit_packing)}
+    op1_quality_classifier, op2_secret_scan, op3_url_filter, op5_toxicity, op6_near_duplicates, op7_quality_rules, op9_pii, op10_best_fit_packing)}
