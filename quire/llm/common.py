@@ -48,10 +48,12 @@ def unit_hash(key: Column, seed: str) -> Column:
 
 # ---------------------------------------------------------------- texts in arrow batches
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes of a string column and its n + 1 offsets; null counts as empty."""
+    """Bytes of a string (or binary) column and its n + 1 offsets; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    if not pa.types.is_large_binary(column.type):
+        column = column.cast(pa.large_string())
+    column = pc.fill_null(column, "" if pa.types.is_large_string(column.type) else b"")
     n = len(column)
     if n == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import labels, neardup, packing, pii, quality, rules, secrets, toxicity, url_filter
+from quire.llm import fingerprint, labels, mixing, neardup, packing, pii, quality, rules, secrets, toxicity, url_filter
 from quire.llm.common import read_table
 
 BPE_RANKS = "byte_bpe_50k.tiktoken"
@@ -52,6 +52,11 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(pages, url_filter.declared_links(pages), URL_RULES)
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 4 on every document, its edited text and its next document."""
+    return fingerprint.fingerprint_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 5 on every document, learnt outside the fold of remainder 0 of 5."""
     held_out = labels.fold(F.col("doc_id"), 5) == 0
@@ -72,6 +77,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat_ws(",", "broken").alias("broken"))
 
 
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 8 on every document: source, language and topic shares tempered, half the tokens."""
+    return mixing.mix_weights(read_table(spark, sf_dir, "documents"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 9 on every document: entities, and terms that the corpus shows to reveal them."""
     found = pii.sanitise(read_table(spark, sf_dir, "documents"))
@@ -94,4 +104,4 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_classifier, op2_secret_scan, op3_url_filter, op5_toxicity, op6_near_duplicates, op7_quality_rules, op9_pii, op10_best_fit_packing)}
+    op1_quality_classifier, op2_secret_scan, op3_url_filter, op4_fingerprints, op5_toxicity, op6_near_duplicates, op7_quality_rules, op8_source_mixing, op9_pii, op10_best_fit_packing)}
