@@ -13,7 +13,8 @@ also sent to the range before it.  The corpus-wide part that is broadcast is one
 level and one id per range.
 
 Defined cases: null text counts as empty; an empty text has no features, is like another empty
-text (1) and unlike all others (0); a text shorter than a window is one feature; a null id sorts
+text (1) and unlike all others (0), and so has a text whose every window is a run of few characters; a text
+shorter than a window is one feature; a null id sorts
 first; rows of one id are ordered by their text; a single document is its own neighbour; an empty
 table gives no rows; other columns are ignored.
 """
@@ -142,9 +143,10 @@ def features(data: np.ndarray, offsets: np.ndarray, ranks: np.ndarray) -> tuple[
         whole = data[offsets[i]:offsets[i + 1]].astype(np.uint64) + np.uint64(1)
         docs.append(np.array([i]))
         hashes.append(mix(np.array([(whole * _FACTORS[:len(whole)]).sum()], np.uint64)))
-    if not docs:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    doc, h = np.concatenate(docs), np.concatenate(hashes)
+    doc = np.concatenate([*docs, np.zeros(0, np.int64)])
+    h = np.concatenate([*hashes, np.zeros(0, np.uint64)])
+    if len(h) == 0:
+        return doc, h
     order = np.lexsort((np.arange(len(h)), h, doc))
     first = np.concatenate([[True], (doc[order][1:] != doc[order][:-1]) | (h[order][1:] != h[order][:-1])])
     keep = np.sort(order[first])

@@ -31,14 +31,15 @@ SUPPORT, GENERALISE, REMOVE = 5, 0.85, 0.95
 KINDS = ["email", "ip", "card", "phone"]
 TERM = "[\\p{L}\\p{N}]+"
 
-# The base patterns.  A match may begin at the last match's end or where the run of
+# The base patterns; the last repeats are possessive, which loops where others
+# recurse.  A match may begin at the last match's end or where the run of
 # characters it begins with does; elsewhere it could only repeat a failure, and long runs would
 # cost the square of their length.
 _LOCAL = "A-Za-z0-9._%+-"
 PATTERNS = {
-    "email": rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
-    "card": r"[0-9](?:[\x20-]?[0-9])+",
+    "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: What every text with a match that passes must hold; spares the others the full pattern.

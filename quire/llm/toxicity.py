@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from quire.llm.common import chunks, mix, small_batches, text_buffer, token_hashes
 from quire.llm.labels import sigmoid, temperature, training_ids
 
-SPACE, FACTORS, PREFIX_BYTES = 1 << 18, 4, 5
+SPACE, FACTORS, PREFIXES = 1 << 18, 4, (4, 5, 6)
 #: Labelled texts that the machine is fitted on, at most.
 SAMPLE = 20_000
 EPOCHS, BATCH, RATE = 10, 64, 0.2
@@ -38,15 +38,18 @@ LEAST_TEXTS, LEAST_Z = 5, 3.0
 def text_terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(text number, term) pairs without repeats, sorted by text."""
     hashes, doc, starts, lengths = token_hashes(data, offsets)
-    long = lengths > PREFIX_BYTES
-    cut = starts[long]
-    prefix = np.zeros(len(cut), np.uint64)
-    for k in range(PREFIX_BYTES):
-        byte = data[cut + k]
+    owners, terms = [doc], [hashes]
+    prefix = np.zeros(len(starts), np.uint64)
+    for k in range(max(PREFIXES)):
+        byte = data[np.minimum(starts + k, len(data) - 1)] if len(starts) else data[:0]
         lower = np.where((byte >= 0x41) & (byte < 0x5B), byte + 32, byte)
         prefix = prefix * np.uint64(257) + lower.astype(np.uint64) + np.uint64(1)
-    every = np.concatenate([hashes, mix(prefix ^ np.uint64(0xD6E8FEB86659FD93))]) % np.uint64(SPACE)
-    key = np.unique(np.concatenate([doc, doc[long]]).astype(np.int64) * SPACE + every.astype(np.int64))
+        if k + 1 in PREFIXES:
+            long = lengths > k + 1
+            owners.append(doc[long])
+            terms.append(mix(prefix[long] ^ np.uint64(0xD6E8FEB86659FD93 + k)))
+    every = np.concatenate(terms) % np.uint64(SPACE)
+    key = np.unique(np.concatenate(owners).astype(np.int64) * SPACE + every.astype(np.int64))
     return key // SPACE, key % SPACE
 
 

@@ -66,7 +66,7 @@ def fitting_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
 def canonical_form(url: Column) -> Column:
     """The address without its scheme's security, ``www.`` and ``m.``, a fragment, tracking
     parameters, a trailing ``/`` or ``.html``: what a site's own canonical link would name."""
-    host = F.regexp_replace(url_host(url), r"^(www\.|m\.)+", "")
+    host = F.regexp_replace(url_host(url), r"^(?:www\.|m\.)++", "")
     path = F.regexp_replace(url_path(url), r"(/(index)?\.html?|\.html?|/)$", "")
     query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
     kept = F.array_join(F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(f"^({TRACKING})="))), "&")
