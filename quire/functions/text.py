@@ -24,7 +24,8 @@ PY_WS_RUN = PY_WS_CLASS + "+"
 TITLE_LSTRIP = "–—-•·‣»›:[] "
 
 # Character references: decimal, hex, or a name.
-ENTITY_RE = r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+# The ";" is required: without it the text stays as written, as do unknown names.
+ENTITY_RE = r"&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);"
 
 # Named references come from the HTML 4 table of the Python standard library (plus
 # &apos;), built by rule at import time rather than written out.
@@ -63,9 +64,11 @@ def decode_entities(col: Column) -> Column:
         core = e.substr(F.lit(2), n - F.lit(2))  # without '&' and ';'
         is_hex = core.startswith("#x") | core.startswith("#X")
         is_dec = core.startswith("#") & ~is_hex
-        hex_digits = F.when(is_hex, core.substr(F.lit(3), n)).when(
-            is_dec, F.hex(core.substr(F.lit(2), n).cast("long")))
-        cp_ok = F.conv(hex_digits, 16, 10).cast("long")
+        # without leading zeros; a number too long for any character is none
+        digits = F.ltrim(F.when(is_hex, core.substr(F.lit(3), n)).otherwise(core.substr(F.lit(2), n)), F.lit("0"))
+        fits = F.length(digits) <= 7
+        hex_digits = F.when(is_hex, digits).when(is_dec & fits, F.hex(digits.try_cast("long")))
+        cp_ok = F.when(fits, F.conv(hex_digits, 16, 10).cast("long"))
         numeric = F.when(
             (cp_ok > 0) & (cp_ok <= 0x10FFFF) & ~((cp_ok >= 0xD800) & (cp_ok <= 0xDFFF)),
             F.decode(F.unhex(F.lpad(hex_digits, 8, "0")), "UTF-32"),
@@ -125,5 +128,6 @@ def bookmark_name(index: Column, title: Column) -> Column:
 
 
 def fill_placeholders(text: Column, title: Column) -> Column:
-    """``XXX1`` then ``HHH1`` replaced by the book title."""
+    """``XXX1`` then ``HHH1`` replaced by the book title (a missing one is empty)."""
+    title = F.coalesce(title, F.lit(""))
     return F.replace(F.replace(text, F.lit("XXX1"), title), F.lit("HHH1"), title)

@@ -128,7 +128,8 @@ def with_resolved_url(df: DataFrame, base: str, href: str, out: str) -> DataFram
     path = F.col("_u_path")
     path = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
     prefix = F.concat(F.col("_u_bs"), F.lit(":"), F.col("_u_ba"))
-    res = (F.when(F.col("_u_hs") != "", h)
+    scheme = F.col("_u_hs")
+    res = (F.when(scheme != "", F.concat(F.lower(scheme), h.substr(F.length(scheme) + 1, F.length(h))))
            .when(h.startswith("//"), F.concat(F.col("_u_bs"), F.lit(":"), h))
            .when(h == "", b)
            .when(h.startswith("#"), F.concat(prefix, bp, F.col("_u_bq"), h))

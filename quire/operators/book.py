@@ -203,7 +203,7 @@ def write_books(lines: DataFrame, path: str) -> None:
     md = lines.select("book_id", "n1", "n2", "n3", "line_no",
                       line_markdown(F.col("kind"), F.col("style"), F.col("text"), F.col("img_url"),
                                     F.col("markup")).alias("value"))
-    (md.repartition("book_id", "n1").sortWithinPartitions("book_id", "n1", "n2", "n3", "line_no")
+    (md.repartitionByRange("book_id", "n1", "n2", "n3").sortWithinPartitions("book_id", "n1", "n2", "n3", "line_no")
        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
        .partitionBy("book_id").parquet(path))
 

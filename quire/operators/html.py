@@ -7,9 +7,7 @@ regex, exploded into rows ``(page_id, pos, ...)``, and every structural question
 
 Physical shape: the narrow ``(page_id, html)`` rows are hash-partitioned by
 ``page_id`` once, *before* the explode, so every window below (all partitioned by
-``page_id``) reuses that partitioning and the same sort: one Exchange for the whole
-page pipeline.  Pass ``prepartitioned=True`` when the input is already clustered by
-``page_id`` (a bucketed pages table) to skip even that.
+``page_id`` first) reuses that partitioning: one Exchange for the whole page pipeline.
 
 Deliberate deviations from a full HTML parser are listed in README.md (D1-D6).
 """
@@ -28,6 +26,8 @@ HEADING_STYLE = {"h1": "Heading 3", "h2": "Heading 3", "h3": "Heading 3",
                  "h4": "Heading 4", "h5": "Heading 4", "h6": "Heading 4"}
 STRIP_TAGS = ["script", "style", "noscript", "nav", "footer", "header",
               "aside", "form", "button", "iframe"]
+# removed whole, with their text, before tokens are cut
+RAW_TEXT_TAGS = ["script", "style", "noscript"]
 BOLD_TAGS = ["b", "strong"]
 ITALIC_TAGS = ["i", "em"]
 ROOT_CLASS_RE = r"(?i)(content|entry|post|article|body)"
@@ -46,7 +46,9 @@ RAW_TEXT_RE = (r"(?s)<(?:(?i:script)(?:\s[^>]*)?>.*?(?:</(?i:script)\s*>|\z)"
                r"|(?i:style)(?:\s[^>]*)?>.*?(?:</(?i:style)\s*>|\z)"
                r"|(?i:noscript)(?:\s[^>]*)?>.*?(?:</(?i:noscript)\s*>|\z)"
                r"|!--.*?(?:-->|\z))")
-TOKEN_RE = r"(?s)<(?:/?[A-Za-z][^>]*>|[!?][^>]*>)?|[^<]+"
+# A ">" inside a quoted attribute value does not end the tag; a quote counts only after
+# "=".  The repeats are possessive: they loop where backtracking repeats would recurse.
+TOKEN_RE = (r"(?s)<(?:/?[A-Za-z](?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+>|[!?][^>]*>)?|[^<]+")
 # A raw-text element or comment is replaced by an empty comment: it still separates
 # the text on its two sides (as a parser's separate text nodes would), but its
 # content never reaches the shuffle.
@@ -72,16 +74,6 @@ def _w_run() -> Window:
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
 
 
-def _w_rest() -> Window:
-    return (Window.partitionBy("page_id").orderBy("pos")
-            .rowsBetween(Window.currentRow, Window.unboundedFollowing))
-
-
-def _w_after() -> Window:
-    return (Window.partitionBy("page_id").orderBy("pos")
-            .rowsBetween(1, Window.unboundedFollowing))
-
-
 def _w_page() -> Window:
     return (Window.partitionBy("page_id").orderBy("pos")
             .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
@@ -92,7 +84,7 @@ def _delta(open_cond: Column, close_cond: Column) -> Column:
 
 
 # ---------------------------------------------------------------- H1 tokens
-def html_tokens(pages: DataFrame, prepartitioned: bool = False) -> DataFrame:
+def html_tokens(pages: DataFrame) -> DataFrame:
     """H1: ``(page_id, pos, tk, kind, tag, base_url)``; kinds open/close/text.
 
     Raw-text elements and comments are dropped; ``base_url`` is the page URL on
@@ -101,12 +93,11 @@ def html_tokens(pages: DataFrame, prepartitioned: bool = False) -> DataFrame:
     narrow = pages.select(
         "page_id", "url",
         F.regexp_replace(F.coalesce(F.col("html"), F.lit("")), RAW_TEXT_RE, SEPARATOR).alias("html"))
-    if not prepartitioned:
-        # An explicit partition count: the html shuffle is small in bytes but every
-        # byte costs a lot of window work downstream, so byte-based coalescing (AQE)
-        # would starve the cluster of tasks.  Size it with spark.sql.shuffle.partitions.
-        n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        narrow = narrow.repartition(n, "page_id")
+    # An explicit partition count, the submitter's: the html shuffle is small in bytes but
+    # every byte costs a lot of window work downstream, so byte-based coalescing (AQE)
+    # would starve the cluster of tasks.
+    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    narrow = narrow.repartition(n, "page_id")
     toks = narrow.select(
         "page_id", "url",
         F.posexplode(F.regexp_extract_all("html", F.lit(TOKEN_RE), 0)).alias("pos", "tk"))
@@ -129,21 +120,38 @@ def html_tokens(pages: DataFrame, prepartitioned: bool = False) -> DataFrame:
 
 
 # ---------------------------------------------------------------- H2 strip
+def _since(value: Column, resets: Column) -> Column:
+    """Running minimum of ``value`` since the last reset; ``resets`` counts the resets so far.
+    Offsetting by the count makes a page-level running minimum start anew at each."""
+    return F.min(value - resets * F.lit(_BIG)).over(_w_run()) + resets * F.lit(_BIG)
+
+
 def strip_noise(tokens: DataFrame, strip_tags: list[str] | None = None) -> DataFrame:
     """H2: drop every token inside a stripped element (and the element's own tags).
 
-    Depth is a running sum clamped at zero (``s - least(0, running min s)``), so a
-    stray close tag cannot shift the rest of the page.
+    One depth per tag, never below zero, so a stray close tag neither opens nor ends
+    anything; a self-closed start tag opens nothing; the close of a wrapper that was open
+    around an open stripped element ends that element.
     """
     tags = STRIP_TAGS if strip_tags is None else strip_tags
     if not tags:
         return tokens
-    is_s = F.col("tag").isin(*tags)
-    t = tokens.withColumn("_s", F.sum(_delta((F.col("kind") == "open") & is_s,
-                                             (F.col("kind") == "close") & is_s)).over(_w_run()))
-    t = t.withColumn("_m", F.min("_s").over(_w_run()))
-    keep = ((F.col("_s") - F.least(F.lit(0), F.col("_m"))) == 0) & ~F.coalesce(is_s, F.lit(False))
-    return t.filter(keep).drop("_s", "_m")
+    kind, tag = F.col("kind"), F.col("tag")
+    is_open, is_close, wrapper = kind == "open", kind == "close", tag.isin(*WRAPPER_TAGS)
+    own = {x: i for i, x in enumerate(x for x in tags if x not in RAW_TEXT_TAGS)}
+    w = _w_run()
+    t = tokens.withColumn("_W", F.sum(_delta(is_open & wrapper, is_close & wrapper)).over(w))
+    opens = {x: is_open & (tag == x) & ~F.col("tk").endswith("/>") for x in own}
+    t = t.select("*", *[F.sum(_delta(opens[x], is_close & (tag == x))).over(w).alias(f"_s{i}") for x, i in own.items()],
+                 *[F.last(F.when(opens[x], F.col("_W")), ignorenulls=True).over(w).alias(f"_l{i}") for x, i in own.items()])
+    ends = {i: F.coalesce(is_close & wrapper & (F.col("_W") < F.col(f"_l{i}")), F.lit(False)) for i in own.values()}
+    t = t.select("*", *[F.sum(e.cast("int")).over(w).alias(f"_n{i}") for i, e in ends.items()],
+                 *[F.coalesce(F.last(F.when(e, F.col(f"_s{i}")), ignorenulls=True).over(w), F.lit(0)).alias(f"_b{i}") for i, e in ends.items()])
+    t = t.select("*", *[_since(F.col(f"_s{i}") - F.col(f"_b{i}"), F.col(f"_n{i}")).alias(f"_m{i}") for i in own.values()])
+    inside = F.lit(False)
+    for i in own.values():
+        inside = inside | (F.col(f"_s{i}") - F.col(f"_b{i}") - F.least(F.lit(0), F.col(f"_m{i}")) > 0)
+    return t.filter(~inside & ~F.coalesce(tag.isin(*tags), F.lit(False))).select(*tokens.columns)
 
 
 # ---------------------------------------------------------------- H3 root
@@ -203,9 +211,9 @@ def block_segments(tokens: DataFrame) -> DataFrame:
     ``seg_tag``, ``seg_kind`` (of the tag that opened the segment), ``part_pos``
     (segment start or the direct ``<br>`` that split it), ``in_block`` (no wrapper
     close has ended the block yet), ``bold``, ``italic``, ``list_depth`` (open ul/ol
-    count at the segment start), and on the segment's last token (``seg_last``) the
-    facts that decide whether the block is a container: the next token's tag and
-    kind, and the wrapper depth at the end and its minimum over the segment.
+    count at the segment start), and on the segment's first token (``seg_head``) whether
+    the block is a ``container``.  Depths inside a block count from its start and never go
+    below zero, so a stray close tag changes nothing after it.
 
     Only running frames and ``lead`` are used: frames reaching forward to the end of
     the page cost O(n^2) per page in Spark's window operator.
@@ -218,7 +226,6 @@ def block_segments(tokens: DataFrame) -> DataFrame:
 
     t = tokens.withColumn("_bound", F.coalesce(is_bound, F.lit(False)))
     w = _w_run()
-    wl = Window.partitionBy("page_id").orderBy("pos")
     t = t.select(
         "*",
         F.sum(F.col("_bound").cast("int")).over(w).alias("_nb"),
@@ -227,10 +234,14 @@ def block_segments(tokens: DataFrame) -> DataFrame:
         F.sum(_delta(is_open & tag.isin(*BOLD_TAGS), is_close & tag.isin(*BOLD_TAGS))).over(w).alias("_B"),
         F.sum(_delta(is_open & tag.isin(*ITALIC_TAGS), is_close & tag.isin(*ITALIC_TAGS))).over(w).alias("_It"),
         F.sum(_delta(is_open & tag.isin(*LIST_TAGS), is_close & tag.isin(*LIST_TAGS))).over(w).alias("_L"),
-        F.lead("_bound", 1).over(wl).alias("_nxt_bound"),
-        F.lead("tag", 1).over(wl).alias("_nxt_tag"),
-        F.lead("kind", 1).over(wl).alias("_nxt_kind"),
     )
+    # a wrapper's content is a scope: the blocks of one scope follow each other there,
+    # whatever lies inside the wrappers between them
+    same_level = Window.partitionBy("page_id", "_W").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    t = t.withColumn("_scope", F.coalesce(F.last(F.when(is_open & tag.isin(*WRAPPER_TAGS), F.col("pos")), ignorenulls=True)
+                                          .over(same_level), F.lit(-1)))
+    in_scope = Window.partitionBy("page_id", "_W", "_scope", "_bound").orderBy("pos")
+    t = t.select("*", F.lead("tag", 1).over(in_scope).alias("_nxt_tag"), F.lead("kind", 1).over(in_scope).alias("_nxt_kind"))
 
     def at_start(c: str) -> Column:
         return F.last(F.when(F.col("_bound"), F.col(c)), ignorenulls=True).over(w)
@@ -242,43 +253,36 @@ def block_segments(tokens: DataFrame) -> DataFrame:
         at_start("tag").alias("seg_tag"), at_start("kind").alias("seg_kind"),
         at_start("pos").alias("seg_pos"), at_start("_L").alias("list_depth"),
     )
-    w_rel = F.col("_W") - F.col("_W0")
-    br_split = (is_open & (tag == "br") & ((F.col("_I") - F.col("_I0")) == 0)
-                & (F.col("seg_kind") == "open"))
-    t = t.withColumn("_brs", F.coalesce(br_split, F.lit(False))).select(
-        "*",
-        # running min of w_rel inside the segment: offsetting by the segment number
-        # makes a page-level running min equal to the min since the segment start
-        (F.min(w_rel - F.col("_nb") * F.lit(_BIG)).over(w) + F.col("_nb") * F.lit(_BIG)).alias("_wmin"),
-        F.last(F.when(F.col("_bound") | F.col("_brs"), F.col("pos")), ignorenulls=True).over(w).alias("part_pos"),
-        w_rel.alias("_wrel"),
-    )
-    last = F.coalesce(F.col("_nxt_bound"), F.lit(True))
+    t = t.select(
+        "*", (F.col("_W") - F.col("_W0")).alias("_wrel"), (F.col("_I") - F.col("_I0")).alias("_irel"),
+        (F.col("_B") - F.col("_B0")).alias("_brel"), (F.col("_It") - F.col("_It0")).alias("_itrel"))
+    t = t.select("*", *[_since(F.col(f"_{c}rel"), F.col("_nb")).alias(f"_{c}min") for c in ("w", "i", "b", "it")])
+
+    def depth(c: str) -> Column:
+        return F.col(f"_{c}rel") - F.least(F.lit(0), F.col(f"_{c}min"))
+
+    br_split = is_open & (tag == "br") & (depth("i") == 0) & (F.col("seg_kind") == "open")
+    t = t.withColumn("_brs", F.coalesce(br_split, F.lit(False))).withColumn(
+        "part_pos", F.last(F.when(F.col("_bound") | F.col("_brs"), F.col("pos")), ignorenulls=True).over(w))
     return t.select(
         "page_id", "pos", "tk", "kind", "tag", "base_url", "seg_pos", "seg_tag", "seg_kind",
         "part_pos", (F.col("_wmin") >= 0).alias("in_block"),
-        ((F.col("_B") - F.col("_B0")) > 0).alias("bold"),
-        ((F.col("_It") - F.col("_It0")) > 0).alias("italic"),
+        (depth("b") > 0).alias("bold"), (depth("it") > 0).alias("italic"),
         "list_depth", F.col("_L").alias("_L_here"),
-        last.alias("seg_last"),
-        F.when(last, F.col("_nxt_tag")).alias("_end_nxt_tag"),
-        F.when(last, F.col("_nxt_kind")).alias("_end_nxt_kind"),
-        F.when(last, F.col("_wrel")).alias("_end_w"),
-        F.when(last, F.col("_wmin")).alias("_end_wmin"),
+        F.col("_bound").alias("seg_head"),
+        (F.col("_bound") & _is_container(tag, F.col("_nxt_tag"), F.col("_nxt_kind"))).alias("container"),
     )
 
 
-def _is_container(seg_tag: Column, nxt_tag: Column, nxt_kind: Column, end_w: Column,
-                  end_wmin: Column) -> Column:
-    """H5: the block has a direct block child: the segment ends at a block open that
-    does not auto-close it, with no wrapper left open or closed in between.
+def _is_container(seg_tag: Column, nxt_tag: Column, nxt_kind: Column) -> Column:
+    """H5: the block has a direct block child: the next block tag of its own scope opens a
+    block that does not auto-close it.  Lists and other wrappers in between don't matter.
     Auto-close: any block closes p; li closes li; td/th close td/th; h* closes h*."""
     headings = list(HEADING_STYLE)
     auto_closed = (seg_tag == "p") | ((seg_tag == "li") & (nxt_tag == "li")) | (
         seg_tag.isin("td", "th") & nxt_tag.isin("td", "th")) | (
         seg_tag.isin(*headings) & nxt_tag.isin(*headings))
-    return F.coalesce((nxt_kind == "open") & nxt_tag.isin(*BLOCK_TAGS) & ~auto_closed
-                      & (end_w == 0) & (end_wmin >= 0), F.lit(False))
+    return F.coalesce((nxt_kind == "open") & ~auto_closed, F.lit(False))
 
 
 def _run_markup(r: Column) -> Column:
@@ -304,8 +308,7 @@ RUN_TYPE = "array<struct<pos:int,text:string,bold:boolean,italic:boolean>>"
 
 
 def page_items(pages: DataFrame, include_images: bool = False, root: str = "auto",
-               strip_tags: list[str] | None = None, prepartitioned: bool = False,
-               dedup: bool = True, tokens: DataFrame | None = None) -> DataFrame:
+               strip_tags: list[str] | None = None, dedup: bool = True, tokens: DataFrame | None = None) -> DataFrame:
     """``items(page_id, idx, type, style, runs, full_text, markup, img_url, alt)``.
 
     Text items: one per kept block part with at least one non-blank run; runs carry
@@ -314,24 +317,24 @@ def page_items(pages: DataFrame, include_images: bool = False, root: str = "auto
     the page (H12).  Image items (H13) follow the text of their block (H14).
     ``tokens`` shares one tokenisation with ``detect_chapters`` (D10).
     """
-    tok = tokens if tokens is not None else html_tokens(pages, prepartitioned)
+    tok = tokens if tokens is not None else html_tokens(pages)
     tok = content_root(strip_noise(tok, strip_tags), root)
     seg = block_segments(tok)
 
     # One pass over the token rows feeds three kinds of item-level rows: block parts
-    # (their runs, and on a segment's last token the container facts), list-open
-    # events (for li styles) and images.  A token can play two roles (an image that
-    # is the last token of its block), so roles are exploded, then grouped once.
+    # (their runs, and on a segment's first token whether it is a container), list-open
+    # events (for li styles) and images.  A token can play two roles, so roles are
+    # exploded, then grouped once.
     kind, tag = F.col("kind"), F.col("tag")
     in_open = F.coalesce(F.col("seg_kind") == "open", F.lit(False))
     is_run = (kind == "text") & F.col("in_block") & in_open
-    is_last = F.col("seg_last") & in_open
+    is_head = F.col("seg_head") & in_open
     is_event = (kind == "open") & tag.isin(*LIST_TAGS)
     is_img = (kind == "open") & (tag == "img") if include_images else F.lit(False)
     roles = F.array_compact(F.array(
-        F.when(is_run | is_last, F.lit("text")), F.when(is_event, F.lit("event")),
+        F.when(is_run | is_head, F.lit("text")), F.when(is_event, F.lit("event")),
         F.when(is_img, F.lit("image"))))
-    rows = seg.filter(is_run | is_last | is_event | is_img).select(
+    rows = seg.filter(is_run | is_head | is_event | is_img).select(
         "*", F.explode(roles).alias("type"), is_run.alias("_is_run"))
     rows = rows.withColumn("_gkey", F.when(F.col("type") == "text", F.col("part_pos")).otherwise(F.col("pos"))) \
                .withColumn("_text", F.when(F.col("_is_run") & (F.col("type") == "text"),
@@ -350,10 +353,7 @@ def page_items(pages: DataFrame, include_images: bool = False, root: str = "auto
         F.first(img_open).alias("_img_open"),
         F.first(F.when(F.col("type") == "image", F.col("tk"))).alias("_img_tk"),
         F.first(F.when(F.col("type") == "image", F.col("base_url"))).alias("base_url"),
-        F.max(F.when(F.col("type") == "text", F.col("_end_nxt_tag"))).alias("_end_nxt_tag"),
-        F.max(F.when(F.col("type") == "text", F.col("_end_nxt_kind"))).alias("_end_nxt_kind"),
-        F.max(F.when(F.col("type") == "text", F.col("_end_w"))).alias("_end_w"),
-        F.max(F.when(F.col("type") == "text", F.col("_end_wmin"))).alias("_end_wmin"),
+        F.max(F.when(F.col("type") == "text", F.col("container"))).alias("container"),
     )
     is_image = F.col("type") == "image"
     grouped = grouped.withColumn("_src", F.when(is_image, _attr(F.col("_img_tk"), "src", decode=False))) \
@@ -379,17 +379,14 @@ def page_items(pages: DataFrame, include_images: bool = False, root: str = "auto
         F.when(is_image & F.col("_img_open"), F.col("part_pos")).otherwise(F.col("_gkey")).alias("k1"),
         F.when(is_image, F.lit(1)).otherwise(F.lit(0)).alias("k2"),
         F.col("_gkey").alias("k3"),
-        "_list_tag", "_end_nxt_tag", "_end_nxt_kind", "_end_w", "_end_wmin",
+        "_list_tag", "container",
     )
-    # segment facts reach every part (and image) of the segment
+    # the container fact reaches every part (and image) of the segment
     ws = Window.partitionBy("page_id", "seg_pos")
     allrows = allrows.select(
         "*",
-        F.max("_end_nxt_tag").over(ws).alias("_s_nxt_tag"), F.max("_end_nxt_kind").over(ws).alias("_s_nxt_kind"),
-        F.max("_end_w").over(ws).alias("_s_w"), F.max("_end_wmin").over(ws).alias("_s_wmin"),
-        F.max("seg_tag").over(ws).alias("_s_tag"))
-    container = _is_container(F.col("_s_tag"), F.col("_s_nxt_tag"), F.col("_s_nxt_kind"),
-                              F.col("_s_w"), F.col("_s_wmin"))
+        F.coalesce(F.max("container").over(ws), F.lit(False)).alias("_container"))
+    container = F.col("_container")
     in_item = F.col("seg_pos").isNotNull() & ~container & F.col("_in_block")
     allrows = allrows.filter(
         ((F.col("type") == "text") & ~container & (F.size("runs") > 0))

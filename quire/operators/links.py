@@ -39,8 +39,10 @@ def anchors(tokens: DataFrame, parent_tag: str = "li") -> DataFrame:
         "*",
         F.sum(F.when(is_open & nonvoid, 1).when(is_close & nonvoid, -1).otherwise(0)).over(w).alias("_D"),
         F.sum(F.when(is_open & (tag == "a"), 1).otherwise(0)).over(w).alias("_na"),
-        F.sum(F.when(is_open & (tag == "a"), 1).when(is_close & (tag == "a"), -1).otherwise(0)).over(w).alias("_ina"),
+        F.sum(F.when(is_open & (tag == "a"), 1).when(is_close & (tag == "a"), -1).otherwise(0)).over(w).alias("_open_a"),
     )
+    # never below zero: a stray </a> doesn't count against the anchors after it
+    t = t.withColumn("_ina", F.col("_open_a") - F.least(F.lit(0), F.min("_open_a").over(w)))
     # keep start tags (parent lookup) and text inside anchors (titles) only
     t = t.filter((is_open & nonvoid)
                  | ((kind == "text") & (F.col("_ina") > 0) & (F.col("_na") > 0)))

@@ -1,10 +1,9 @@
 """Following links: book roots and bounded-depth chapter expansion.
 
-The reference fetches pages one by one in nested loops.  Here the links of *every*
-page are computed once (``detect_chapters``) and each depth level is one equi-join of
-the previous level's sections with that link table, plus a left join to the captured
-pages to find the target page (NULL = the page was not captured: status ``missing``).
-Depth is known up front, so the plan is at most three join levels, no iteration.
+Instead of fetching pages one by one, each depth level is one equi-join of the previous
+level's sections with the links of their pages, plus a left join to the captured pages to
+find the target page (NULL = the page was not captured: status ``missing``).  Depth is at
+most three levels.
 
 Joins are left to the planner: AQE turns a side into a broadcast only when its
 runtime size is under ``spark.sql.autoBroadcastJoinThreshold`` and splits skewed
@@ -61,32 +60,6 @@ def follow_links(parents: DataFrame, links: DataFrame, keys: DataFrame, level: i
                     F.when(F.col("page_id").isNull(), F.lit("missing")).otherwise(F.lit("ok")).alias("status"))
 
 
-def expand_site(books: DataFrame, pages: DataFrame, links: DataFrame, max_depth: int = 1,
-                keys: DataFrame | None = None) -> DataFrame:
-    """``sections(book_id, n1, n2, n3, level, title, url, slug, page_id, status)``.
-
-    ``n2``/``n3`` are 0 for the levels above them.  No visited set: a page may appear
-    under several parents, as in the reference.
-    """
-    if max_depth < 1:
-        raise ValueError("max_depth must be >= 1")
-    keys = page_keys(pages) if keys is None else keys
-    roots = book_roots(books, keys).filter(F.col("root_page_id").isNotNull())
-    lvl0 = roots.select("book_id", F.lit(0).alias("n1"), F.lit(0).alias("n2"), F.lit(0).alias("n3"),
-                        F.col("root_page_id").alias("page_id"), U.url_slug(F.col("url")).alias("slug"))
-    l1 = follow_links(lvl0, links, keys, 1, child_only=False)
-    out = l1
-    prev = l1
-    for level in (2, 3):
-        if max_depth < level:
-            break
-        parents = prev.filter(F.col("page_id").isNotNull())
-        nxt = follow_links(parents, links, keys, level, child_only=True)
-        out = out.unionByName(nxt)
-        prev = nxt
-    return out
-
-
 def template_lookup(books: DataFrame, templates: DataFrame, folders: DataFrame) -> DataFrame:
     """Template file per book: (book_type, lower(language)); ``other`` uses the
     other set, any other type the main set; unknown language -> NULL (blank document).
@@ -99,8 +72,8 @@ def template_lookup(books: DataFrame, templates: DataFrame, folders: DataFrame)
                      .alias("_set"), F.lower(F.col("language")).alias("_lang"))
     t = templates.select("config_id", F.col("book_type").alias("_set"),
                          F.lower(F.col("language")).alias("_lang"), "file")
-    j = b.join(F.broadcast(t), ["config_id", "_set", "_lang"], "left").join(
-        F.broadcast(folders), "config_id", "left")
+    j = b.join(t, ["config_id", "_set", "_lang"], "left").join(
+        folders, "config_id", "left")
     path = F.when(F.col("file").isNull(), F.lit(None).cast("string")).when(
         F.coalesce(F.col("template_folder"), F.lit("")) == "", F.col("file")).otherwise(
         F.concat_ws("/", F.col("template_folder"), F.col("file")))

@@ -53,13 +53,6 @@ class BookRun:
     lines: DataFrame
 
 
-def scrape_pages(pages: DataFrame, cfg: BookConfig) -> DataFrame:
-    """M8: page items, sliced between markers, removals dropped, source line added."""
-    items = page_items(pages, include_images=cfg.include_images)
-    return extract_content(items, pages.select("page_id", "url"), cfg.start_markers,
-                           cfg.stop_markers, cfg.remove_text)
-
-
 def build_books(pages: DataFrame, books: DataFrame, cfg: BookConfig,
                 checkpoint: bool = True) -> BookRun:
     """Sections and book lines for every book of the manifest.
@@ -85,7 +78,7 @@ def build_books(pages: DataFrame, books: DataFrame, cfg: BookConfig,
         "book_id", F.lit(0).alias("n1"), F.lit(0).alias("n2"), F.lit(0).alias("n3"),
         F.col("root_page_id").alias("page_id"), url_slug(F.col("url")).alias("slug"))
     levels, all_links = [], []
-    for level in range(1, cfg.max_depth + 1):
+    for level in range(1, min(3, max(1, cfg.max_depth)) + 1):          # J5: 1 to 3 levels
         frontier = pages.join(parents.select("page_id").distinct(), "page_id", "left_semi")
         links = detect_chapters(frontier, cfg.max_chapters)
         all_links.append(links)

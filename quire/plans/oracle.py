@@ -20,6 +20,10 @@ from quire.plans import queries as Q
 from quire.plans.site_fixture import SITE_CONFIG, SITE_SQL
 
 
+#: RE2 never backtracks, so it needs no possessive marks (nor knows them).
+TOKEN_RE = H.TOKEN_RE.replace("*+", "*").replace("++", "+")
+
+
 def lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -107,7 +111,7 @@ def resolve_cte(name: str, src: str, base: str, href: str, out: str) -> str:
         []::VARCHAR[]), CASE WHEN string_split(_mp, '/')[-1] IN ('.', '..') THEN [''] ELSE []::VARCHAR[] END), '/')
     ELSE _mp END AS _path0 FROM {name}_b),
 {name} AS (SELECT * EXCLUDE (_hs, _hp, _ht, _bs, _ba, _bp, _bq, _mp, _path0),
-    CASE WHEN _hs <> '' THEN {href}
+    CASE WHEN _hs <> '' THEN lower(_hs) || substr({href}, length(_hs) + 1)
          WHEN starts_with({href}, '//') THEN _bs || ':' || {href}
          WHEN {href} = '' THEN {base}
          WHEN starts_with({href}, '#') THEN _bs || ':' || _ba || _bp || _bq || {href}
@@ -132,8 +136,7 @@ def bounds_cte(src: str, start, stop, name: str = "bounds") -> str:
 
 
 KEEP = "(idx >= slice_start AND (slice_stop IS NULL OR idx < slice_stop))"
-FREQ = f"""freq AS (SELECT full_text AS text FROM (SELECT DISTINCT page_id, full_text FROM lines)
-  GROUP BY full_text HAVING count(*) >= {Q.FREQUENT_LINE_DOCS})"""
+REMOVED = f"lower(full_text) IN {lits([x.lower() for x in Q.REMOVE_LINES])}"
 
 
 def sql_lines_slice() -> str:
@@ -149,15 +152,13 @@ FROM bounds GROUP BY page_id"""
 
 
 def sql_lines_remove_text() -> str:
-    return f"""WITH {lines_cte()}, {bounds_cte('lines', Q.LINE_START, Q.LINE_STOP)}, {FREQ}
-SELECT page_id AS doc_id, idx, full_text FROM bounds WHERE {KEEP}
-  AND lower(full_text) NOT IN (SELECT lower(text) FROM freq)"""
+    return f"""WITH {lines_cte()}, {bounds_cte('lines', Q.LINE_START, Q.LINE_STOP)}
+SELECT page_id AS doc_id, idx, full_text FROM bounds WHERE {KEEP} AND NOT {REMOVED}"""
 
 
 def sql_lines_source() -> str:
-    return f"""WITH {lines_cte()}, {bounds_cte('lines', Q.LINE_START, Q.LINE_STOP)}, {FREQ},
-kept AS (SELECT page_id, idx, full_text FROM bounds WHERE slice_start IS NOT NULL AND {KEEP}
-  AND lower(full_text) NOT IN (SELECT lower(text) FROM freq)),
+    return f"""WITH {lines_cte()}, {bounds_cte('lines', Q.LINE_START, Q.LINE_STOP)},
+kept AS (SELECT page_id, idx, full_text FROM bounds WHERE slice_start IS NOT NULL AND {KEEP} AND NOT {REMOVED}),
 src AS (SELECT DISTINCT b.page_id, {1 << 30} AS idx, {lit(SOURCE_PREFIX)} || d.source AS full_text
   FROM bounds b JOIN documents d ON d.doc_id = b.page_id
   WHERE b.slice_start IS NOT NULL AND d.source IS NOT NULL AND d.source <> ''),
@@ -248,7 +249,7 @@ FROM b"""
 def tokens_ctes(src: str = "pages") -> str:
     return f"""tok0 AS (SELECT page_id, url, regexp_replace(coalesce(html, ''), {lit(H.RAW_TEXT_RE)}, {lit(H.SEPARATOR)}, 'g') AS h FROM {src}),
 tok1 AS (SELECT page_id, url, unnest(l) AS tk, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS pos
-         FROM (SELECT page_id, url, regexp_extract_all(h, {lit(H.TOKEN_RE)}, 0) AS l FROM tok0)),
+         FROM (SELECT page_id, url, regexp_extract_all(h, {lit(TOKEN_RE)}, 0) AS l FROM tok0)),
 tok2 AS (SELECT *, CASE WHEN regexp_matches(tk, '^<[A-Za-z]') THEN 'open' WHEN regexp_matches(tk, '^</[A-Za-z]') THEN 'close'
          WHEN starts_with(tk, '<!') OR starts_with(tk, '<?') THEN 'other' ELSE 'text' END AS kind FROM tok1),
 tok AS (SELECT page_id, pos, tk, kind,
@@ -257,11 +258,28 @@ tok AS (SELECT page_id, pos, tk, kind,
          FROM tok2 WHERE kind <> 'other')"""
 
 
+def _since(value: str, resets: str) -> str:
+    """Running minimum since the last of the counted resets."""
+    return f"min({value} - {resets} * 2147483648) OVER {WRUN} + {resets} * 2147483648"
+
+
 def strip_ctes(src: str, tags, out: str = "strip") -> str:
-    t = lits(tags)
-    return f"""{out}_1 AS (SELECT *, sum(CASE WHEN kind = 'open' AND tag IN {t} THEN 1 WHEN kind = 'close' AND tag IN {t} THEN -1 ELSE 0 END) OVER {WRUN} AS _s FROM {src}),
-{out}_2 AS (SELECT *, min(_s) OVER {WRUN} AS _m FROM {out}_1),
-{out} AS (SELECT * EXCLUDE (_s, _m) FROM {out}_2 WHERE _s - least(0, _m) = 0 AND NOT coalesce(tag IN {t}, false))"""
+    wrap = lits(H.WRAPPER_TAGS)
+    own = [x for x in tags if x not in H.RAW_TEXT_TAGS]
+    opens = [f"kind = 'open' AND tag = {lit(x)} AND NOT ends_with(tk, '/>')" for x in own]
+    one = ", ".join(f"sum(CASE WHEN {o} THEN 1 WHEN kind = 'close' AND tag = {lit(x)} THEN -1 ELSE 0 END) OVER {WRUN} AS _s{i}, "
+                    f"last_value(CASE WHEN {o} THEN _W END IGNORE NULLS) OVER {WRUN} AS _l{i}" for i, (x, o) in enumerate(zip(own, opens)))
+    ends = [f"coalesce(kind = 'close' AND tag IN {wrap} AND _W < _l{i}, false)" for i in range(len(own))]
+    two = ", ".join(f"sum(CAST({e} AS INTEGER)) OVER {WRUN} AS _n{i}, "
+                    f"coalesce(last_value(CASE WHEN {e} THEN _s{i} END IGNORE NULLS) OVER {WRUN}, 0) AS _b{i}" for i, e in enumerate(ends))
+    three = ", ".join(f"{_since(f'(_s{i} - _b{i})', f'_n{i}')} AS _m{i}" for i in range(len(own)))
+    inside = " OR ".join(f"_s{i} - _b{i} - least(0, _m{i}) > 0" for i in range(len(own)))
+    return f"""{out}_0 AS (SELECT *, sum({_delta(f'tag IN {wrap}')}) OVER {WRUN} AS _W FROM {src}),
+{out}_1 AS (SELECT *, {one} FROM {out}_0),
+{out}_2 AS (SELECT *, {two} FROM {out}_1),
+{out}_3 AS (SELECT *, {three} FROM {out}_2),
+{out} AS (SELECT page_id, pos, tk, kind, tag, base_url FROM {out}_3
+  WHERE NOT ({inside}) AND NOT coalesce(tag IN {lits(tags)}, false))"""
 
 
 def root_ctes(src: str, mode: str = "auto", out: str = "root") -> str:
@@ -292,16 +310,22 @@ def _delta(open_tags, close_tags=None) -> str:
 
 def segment_ctes(src: str, out: str = "seg") -> str:
     blk, wrap, void = lits(H.BLOCK_TAGS), lits(H.WRAPPER_TAGS), lits(H.VOID_TAGS)
-    w = "(PARTITION BY page_id ORDER BY pos)"
+    w = "(PARTITION BY page_id, _W, _scope, _bound ORDER BY pos)"
+    heads = lits(list(H.HEADING_STYLE))
+
+    def depth(c):
+        return f"(_{c}rel - least(0, _{c}min))"
     return f"""{out}_1 AS (SELECT *, coalesce(kind IN ('open', 'close') AND tag IN {blk}, false) AS _bound FROM {src}),
 {out}_2 AS (SELECT *, sum(CAST(_bound AS INTEGER)) OVER {WRUN} AS _nb,
     sum({_delta(f'tag IN {wrap}')}) OVER {WRUN} AS _W,
     sum({_delta(f'tag NOT IN {blk} AND tag NOT IN {void}')}) OVER {WRUN} AS _I,
     sum({_delta("tag IN ('b', 'strong')")}) OVER {WRUN} AS _B,
     sum({_delta("tag IN ('i', 'em')")}) OVER {WRUN} AS _It,
-    sum({_delta("tag IN ('ul', 'ol')")}) OVER {WRUN} AS _L,
-    lead(_bound, 1) OVER {w} AS _nxt_bound, lead(tag, 1) OVER {w} AS _nxt_tag, lead(kind, 1) OVER {w} AS _nxt_kind
+    sum({_delta("tag IN ('ul', 'ol')")}) OVER {WRUN} AS _L
   FROM {out}_1),
+{out}_2a AS (SELECT *, coalesce(last_value(CASE WHEN kind = 'open' AND tag IN {wrap} THEN pos END IGNORE NULLS)
+    OVER (PARTITION BY page_id, _W ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), -1) AS _scope FROM {out}_2),
+{out}_2b AS (SELECT *, lead(tag, 1) OVER {w} AS _nxt_tag, lead(kind, 1) OVER {w} AS _nxt_kind FROM {out}_2a),
 {out}_3 AS (SELECT *,
     last_value(CASE WHEN _bound THEN _W END IGNORE NULLS) OVER {WRUN} AS _W0,
     last_value(CASE WHEN _bound THEN _I END IGNORE NULLS) OVER {WRUN} AS _I0,
@@ -311,24 +335,20 @@ def segment_ctes(src: str, out: str = "seg") -> str:
     last_value(CASE WHEN _bound THEN kind END IGNORE NULLS) OVER {WRUN} AS seg_kind,
     last_value(CASE WHEN _bound THEN pos END IGNORE NULLS) OVER {WRUN} AS seg_pos,
     last_value(CASE WHEN _bound THEN _L END IGNORE NULLS) OVER {WRUN} AS list_depth
-  FROM {out}_2),
-{out}_4 AS (SELECT *, coalesce(kind = 'open' AND tag = 'br' AND _I - _I0 = 0 AND seg_kind = 'open', false) AS _brs,
-    _W - _W0 AS _wrel FROM {out}_3),
-{out}_5 AS (SELECT *, min(_wrel - _nb * 2147483648) OVER {WRUN} + _nb * 2147483648 AS _wmin,
-    last_value(CASE WHEN _bound OR _brs THEN pos END IGNORE NULLS) OVER {WRUN} AS part_pos FROM {out}_4),
+  FROM {out}_2b),
+{out}_4 AS (SELECT *, _W - _W0 AS _wrel, _I - _I0 AS _irel, _B - _B0 AS _brel, _It - _It0 AS _itrel FROM {out}_3),
+{out}_5 AS (SELECT *, {_since('_wrel', '_nb')} AS _wmin, {_since('_irel', '_nb')} AS _imin,
+    {_since('_brel', '_nb')} AS _bmin, {_since('_itrel', '_nb')} AS _itmin FROM {out}_4),
+{out}_6 AS (SELECT *, coalesce(kind = 'open' AND tag = 'br' AND {depth('i')} = 0 AND seg_kind = 'open', false) AS _brs FROM {out}_5),
+{out}_7 AS (SELECT *, last_value(CASE WHEN _bound OR _brs THEN pos END IGNORE NULLS) OVER {WRUN} AS part_pos FROM {out}_6),
 {out} AS (SELECT page_id, pos, tk, kind, tag, base_url, seg_pos, seg_tag, seg_kind, part_pos,
-    _wmin >= 0 AS in_block, _B - _B0 > 0 AS bold, _It - _It0 > 0 AS italic, list_depth, _L AS _L_here,
-    coalesce(_nxt_bound, true) AS seg_last,
-    CASE WHEN coalesce(_nxt_bound, true) THEN _nxt_tag END AS _end_nxt_tag,
-    CASE WHEN coalesce(_nxt_bound, true) THEN _nxt_kind END AS _end_nxt_kind,
-    CASE WHEN coalesce(_nxt_bound, true) THEN _wrel END AS _end_w,
-    CASE WHEN coalesce(_nxt_bound, true) THEN _wmin END AS _end_wmin
-  FROM {out}_5)"""
+    _wmin >= 0 AS in_block, {depth('b')} > 0 AS bold, {depth('it')} > 0 AS italic, list_depth, _L AS _L_here, _bound AS seg_head,
+    _bound AND coalesce(_nxt_kind = 'open' AND NOT (tag = 'p' OR (tag = 'li' AND _nxt_tag = 'li')
+      OR (tag IN ('td', 'th') AND _nxt_tag IN ('td', 'th')) OR (tag IN {heads} AND _nxt_tag IN {heads})), false) AS container
+  FROM {out}_7)"""
 
 
 def items_ctes(seg: str, include_images: bool, out: str = "items") -> str:
-    blk = lits(H.BLOCK_TAGS)
-    heads = lits(list(H.HEADING_STYLE))
     img = ""
     if include_images:
         img = f""",
@@ -344,11 +364,10 @@ def items_ctes(seg: str, include_images: bool, out: str = "items") -> str:
     _img_url AS img_url, CASE WHEN _alt <> '' THEN _alt ELSE 'Image' END AS alt,
     coalesce(seg_kind = 'open' AND in_block, false) AS _in_block,
     CASE WHEN coalesce(seg_kind = 'open' AND in_block, false) THEN part_pos ELSE pos END AS k1, 1 AS k2, pos AS k3,
-    NULL::VARCHAR AS _list_tag, NULL::VARCHAR AS _end_nxt_tag, NULL::VARCHAR AS _end_nxt_kind,
-    NULL::BIGINT AS _end_w, NULL::BIGINT AS _end_wmin FROM {out}_im2)"""
+    NULL::VARCHAR AS _list_tag, NULL::BOOLEAN AS container FROM {out}_im2)"""
     union_img = f" UNION ALL BY NAME SELECT * FROM {out}_im" if include_images else ""
     return f"""{out}_r0 AS (SELECT *, kind = 'text' AND in_block AS _is_run FROM {seg} WHERE seg_kind = 'open'),
-{out}_r1 AS (SELECT *, CASE WHEN _is_run THEN {collapse(decode('tk'))} END AS text FROM {out}_r0 WHERE _is_run OR seg_last),
+{out}_r1 AS (SELECT *, CASE WHEN _is_run THEN {collapse(decode('tk'))} END AS text FROM {out}_r0 WHERE _is_run OR seg_head),
 {out}_p AS (SELECT page_id, part_pos, any_value(seg_pos) AS seg_pos, any_value(seg_tag) AS seg_tag,
     any_value(list_depth) AS list_depth,
     coalesce(string_agg(text, ' ' ORDER BY pos) FILTER (WHERE _is_run AND text <> ''), '') AS full_text,
@@ -357,25 +376,17 @@ def items_ctes(seg: str, include_images: bool, out: str = "items") -> str:
     string_agg(CASE WHEN bold AND italic THEN '***' || text || '***' WHEN bold THEN '**' || text || '**'
                     WHEN italic THEN '*' || text || '*' ELSE text END, ' ' ORDER BY pos)
       FILTER (WHERE _is_run AND text <> '') AS markup,
-    max(_end_nxt_tag) AS _end_nxt_tag, max(_end_nxt_kind) AS _end_nxt_kind,
-    max(_end_w) AS _end_w, max(_end_wmin) AS _end_wmin
+    max(container) AS container
   FROM {out}_r1 GROUP BY page_id, part_pos),
 {out}_ev AS (SELECT page_id, 'event' AS type, NULL::BIGINT AS seg_pos, NULL::VARCHAR AS seg_tag, _L_here AS list_depth,
     NULL::VARCHAR AS full_text, 0 AS n_runs, '' AS bold_text, NULL::VARCHAR AS markup, NULL::VARCHAR AS img_url,
-    NULL::VARCHAR AS alt, false AS _in_block, pos AS k1, 0 AS k2, pos AS k3, tag AS _list_tag, NULL::VARCHAR AS _end_nxt_tag,
-    NULL::VARCHAR AS _end_nxt_kind, NULL::BIGINT AS _end_w, NULL::BIGINT AS _end_wmin
+    NULL::VARCHAR AS alt, false AS _in_block, pos AS k1, 0 AS k2, pos AS k3, tag AS _list_tag, NULL::BOOLEAN AS container
   FROM {seg} WHERE kind = 'open' AND tag IN ('ul', 'ol')){img},
 {out}_u AS (SELECT page_id, 'text' AS type, seg_pos, seg_tag, list_depth, full_text, n_runs, bold_text, markup,
     NULL::VARCHAR AS img_url, NULL::VARCHAR AS alt, true AS _in_block, part_pos AS k1, 0 AS k2, part_pos AS k3,
-    NULL::VARCHAR AS _list_tag, _end_nxt_tag, _end_nxt_kind, _end_w, _end_wmin FROM {out}_p
+    NULL::VARCHAR AS _list_tag, container FROM {out}_p
   UNION ALL BY NAME SELECT * FROM {out}_ev{union_img}),
-{out}_s AS (SELECT *, max(_end_nxt_tag) OVER w AS _s_nxt_tag, max(_end_nxt_kind) OVER w AS _s_nxt_kind,
-    max(_end_w) OVER w AS _s_w, max(_end_wmin) OVER w AS _s_wmin, max(seg_tag) OVER w AS _s_tag
-  FROM {out}_u WINDOW w AS (PARTITION BY page_id, seg_pos)),
-{out}_c AS (SELECT *, coalesce(_s_nxt_kind = 'open' AND _s_nxt_tag IN {blk} AND NOT (
-      _s_tag = 'p' OR (_s_tag = 'li' AND _s_nxt_tag = 'li') OR (_s_tag IN ('td', 'th') AND _s_nxt_tag IN ('td', 'th'))
-      OR (_s_tag IN {heads} AND _s_nxt_tag IN {heads}))
-    AND _s_w = 0 AND _s_wmin >= 0, false) AS _container FROM {out}_s),
+{out}_c AS (SELECT *, coalesce(max(container) OVER (PARTITION BY page_id, seg_pos), false) AS _container FROM {out}_u),
 {out}_f AS (SELECT * EXCLUDE (k1, k2),
     CASE WHEN type = 'image' AND NOT (seg_pos IS NOT NULL AND NOT _container AND _in_block) THEN k3 ELSE k1 END AS k1,
     CASE WHEN type = 'image' AND NOT (seg_pos IS NOT NULL AND NOT _container AND _in_block) THEN 0 ELSE k2 END AS k2
@@ -447,13 +458,14 @@ def anchors_ctes(src: str, out: str = "anc") -> str:
     void = lits(H.VOID_TAGS)
     return f"""{out}_0 AS (SELECT *, sum(CASE WHEN kind = 'open' AND tag NOT IN {void} THEN 1 WHEN kind = 'close' AND tag NOT IN {void} THEN -1 ELSE 0 END) OVER {WRUN} AS _D,
     sum(CASE WHEN kind = 'open' AND tag = 'a' THEN 1 ELSE 0 END) OVER {WRUN} AS _na,
-    sum(CASE WHEN kind = 'open' AND tag = 'a' THEN 1 WHEN kind = 'close' AND tag = 'a' THEN -1 ELSE 0 END) OVER {WRUN} AS _ina
+    sum(CASE WHEN kind = 'open' AND tag = 'a' THEN 1 WHEN kind = 'close' AND tag = 'a' THEN -1 ELSE 0 END) OVER {WRUN} AS _oa
   FROM {src}),
+{out}_0a AS (SELECT *, _oa - least(0, min(_oa) OVER {WRUN}) AS _ina FROM {out}_0),
 {out}_1 AS (SELECT page_id, pos, kind, tag, base_url, _na,
     CASE WHEN kind = 'open' THEN CASE WHEN tag = 'a' THEN _D - 1 ELSE _D END END AS _key,
     CASE WHEN kind = 'text' THEN {py_strip(decode('tk'))} END AS _text,
     CASE WHEN kind = 'open' AND tag = 'a' AND {has_attr('tk', 'href')} THEN {py_strip(decode(attr('tk', 'href')))} END AS href
-  FROM {out}_0 WHERE (kind = 'open' AND tag NOT IN {void}) OR (kind = 'text' AND _ina > 0 AND _na > 0)),
+  FROM {out}_0a WHERE (kind = 'open' AND tag NOT IN {void}) OR (kind = 'text' AND _ina > 0 AND _na > 0)),
 {out}_2 AS (SELECT *, last_value(CASE WHEN tag <> 'a' THEN tag END IGNORE NULLS) OVER (PARTITION BY page_id, _key ORDER BY pos
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS _parent FROM {out}_1),
 {out}_t AS (SELECT page_id, _na, string_agg(_text, ' ' ORDER BY pos) AS title FROM {out}_1
@@ -488,6 +500,10 @@ def sql_toc_links() -> str:
 
 
 def sql_detect_chapters() -> str:
+    return f"WITH {NAV_KEPT_CTES}, {links_ctes('anc', Q.CHAPTER_CAP)} SELECT * FROM lnk"
+
+
+def sql_link_cap() -> str:
     return f"WITH {NAV_KEPT_CTES}, {links_ctes('anc', Q.PAGE_LINK_CAP)} SELECT * FROM lnk"
 
 
@@ -518,6 +534,7 @@ ORACLE = {
     "scrape_page": sql_scrape_page,
     "toc_links": sql_toc_links,
     "detect_chapters": sql_detect_chapters,
+    "link_cap": sql_link_cap,
     "link_report": sql_link_report,
 }
 

@@ -25,7 +25,8 @@ from quire.sources.tables import book_manifest, lines_as_items, read_table, turn
 LINE_START, LINE_STOP = ["with"], ["that."]
 TURN_START, TURN_STOP = ["la"], ["the"]
 PAGE_START, PAGE_STOP = ["the"], ["and"]
-FREQUENT_LINE_DOCS = 20          # a line in at least this many documents is boilerplate
+REMOVE_LINES = ["All rights reserved.", "The and attion to thanedble the, anea. Eriner thanea.", "Wh."]  # M5: a config's list
+CHAPTER_CAP = 150                # L5: the configured cap
 PAGE_LINK_CAP = 4                # small, so that the cap bites on the driver pages
 NAV_KEPT = [t for t in H.STRIP_TAGS if t != "nav"]
 
@@ -53,18 +54,11 @@ def q_lines_bounds(spark: SparkSession, sf: str) -> DataFrame:
     return r.select(F.col("page_id").alias("doc_id"), "items_parsed", "items_sliced", "has_start", "has_stop")
 
 
-def _frequent_lines(lines: DataFrame) -> DataFrame:
-    """Boilerplate lines: present in at least FREQUENT_LINE_DOCS documents."""
-    d = lines.select("page_id", "full_text").distinct()
-    return d.groupBy("full_text").agg(F.count(F.lit(1)).alias("_n")).filter(
-        F.col("_n") >= FREQUENT_LINE_DOCS).select(F.col("full_text").alias("text"))
-
-
 def q_lines_remove_text(spark: SparkSession, sf: str) -> DataFrame:
-    """M5: slice, then drop lines equal (ignoring case) to a boilerplate line."""
+    """M5: slice, then drop lines equal (ignoring case) to one of the removal list."""
     lines = _lines(spark, sf)
     s = M.slice_items(lines, LINE_START, LINE_STOP)
-    r = M.remove_text(s.drop("slice_start", "slice_stop"), _frequent_lines(lines))
+    r = M.remove_text(s.drop("slice_start", "slice_stop"), REMOVE_LINES)
     return r.select(F.col("page_id").alias("doc_id"), "idx", "full_text")
 
 
@@ -74,7 +68,7 @@ def q_lines_source(spark: SparkSession, sf: str) -> DataFrame:
     lines = lines_as_items(docs)
     urls = docs.select(F.col("doc_id").alias("page_id"), F.col("source").alias("url"))
     r = M.extract_content(lines, urls, LINE_START, LINE_STOP,
-                          _frequent_lines(lines))
+                          REMOVE_LINES)
     return r.select(F.col("page_id").alias("doc_id"), "idx", "full_text")
 
 
@@ -225,7 +219,13 @@ def q_toc_links(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_detect_chapters(spark: SparkSession, sf: str) -> DataFrame:
-    """Chapter links of each page body (nav kept), capped at PAGE_LINK_CAP."""
+    """Chapter links of each page body (nav kept) at the configured cap."""
+    links = L.detect_chapters(_pages(spark, sf), CHAPTER_CAP, strip_tags=NAV_KEPT, root="body")
+    return links.select("page_id", "link_no", "title", "url", "norm_url", "slug")
+
+
+def q_link_cap(spark: SparkSession, sf: str) -> DataFrame:
+    """The same at a cap of PAGE_LINK_CAP, which most pages reach."""
     links = L.detect_chapters(_pages(spark, sf), PAGE_LINK_CAP, strip_tags=NAV_KEPT, root="body")
     return links.select("page_id", "link_no", "title", "url", "norm_url", "slug")
 
@@ -344,6 +344,7 @@ QUERIES = {
     "scrape_page": q_scrape_page,
     "toc_links": q_toc_links,
     "detect_chapters": q_detect_chapters,
+    "link_cap": q_link_cap,
     "link_report": q_link_report,
     "site_items": q_site_items,
     "site_links": q_site_links,

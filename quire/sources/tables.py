@@ -18,12 +18,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def read_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Captured pages ``(page_id, url, html)``."""
-    return read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
-
-
-# ------------------------------------------------------------------ ordered text as items
 def lines_as_items(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each non-blank line of a document is an item, ``idx`` from 0 in line order.
 
