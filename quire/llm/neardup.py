@@ -6,12 +6,12 @@
    text order, their hash is a bucket.  Two texts share a bucket only if they share the picked
    k-mers in the same order, which follows edit similarity rather than set overlap.
 3. Candidates.  In buckets of at most ``SMALL`` texts all pairs are candidates.  In larger ones
-   every text is compared with the bucket's least id, the pivot.  Texts linked to the pivot are
-   done; the others can only be linked to those where the triangle inequality of edit distance
-   leaves room, and those pairs are candidates too.  What is left of a large bucket (texts that
-   share a common passage, say) is split by the texts' other buckets and goes round again; after
-   ``LEVELS`` rounds its pairs are all compared.  So a group of near copies costs one comparison
-   for a text and pivot, not all pairs, and nothing is dropped.
+   every text is compared with the bucket's least id, the pivot.  Texts that any links have brought
+   into the pivot's class are inside; one outside can only be linked to those inside where the
+   triangle inequality of edit distance leaves room, and those pairs are candidates too.  The texts
+   outside (ones that share a common passage, say) are split by their other buckets and go round
+   again; after ``LEVELS`` rounds their pairs are all compared.  So a group of near copies costs one
+   comparison for a text and pivot, not all pairs, and nothing is dropped.
 4. Verification.  A candidate is a link if 1 - (word edit distance / words of the longer text) is
    ``SIMILARITY`` or more: the exact distance from a banded bit-vector alignment.
 5. Classes are the connected components of the links; the class id is its least ``doc_id``.
@@ -22,8 +22,8 @@ buckets are aggregated before the shuffle or split by adaptive joins.
 Defined cases: null text counts as empty, and all empty texts are copies of each other; texts of
 fewer than ``WORDS`` words have one k-mer, the whole text; rows that repeat a ``doc_id`` are one
 document (of several texts under one id, each is sketched, one is compared); rows without
-``doc_id`` get the class of their text, null if no row of it has an id; an empty table gives no
-rows; other columns are ignored by ``near_duplicates`` and kept by ``drop_near_duplicates``.
+``doc_id`` get the class of their text, null if no row of it has an id, and are not dropped; an
+empty table gives no rows; other columns are ignored by ``near_duplicates`` and kept by ``drop_near_duplicates``.
 """
 
 from __future__ import annotations
@@ -253,31 +253,42 @@ def _links(texts: DataFrame, docs: DataFrame, id_col: str, text_col: str, simila
             large.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"))).distinct()
         compared = materialize(_compare(pairs, bodies, similarity))
         links.append(compared.filter("linked").select("a", "b"))
-        told = large.filter("id <> pivot").join(
-            compared.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "distance", F.col("words_b").alias("words"), "linked"),
+        if large.isEmpty():
+            return _union(links)
+        # a text that any bucket's pivot has brought into the pivot's class needs no more links to it
+        told = _placed(large.filter("id <> pivot"), components(_union(links))).join(
+            compared.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "distance", F.col("words_b").alias("words")),
             ["pivot", "id"])
-        told = materialize(told.select("bucket", "id", "distance", "words", "linked"))
-        rest = told.filter(~F.col("linked"))
-        if rest.isEmpty():
+        told = materialize(told.select("bucket", "id", "distance", "words", "inside"))
+        outside = told.filter(~F.col("inside"))
+        if outside.isEmpty():
             return _union(links)
-        # linked texts that an unlinked one may still be near: d(x, y) >= d(pivot, x) - d(pivot, y)
-        near = told.filter("linked").select("bucket", F.col("id").alias("y"), F.col("distance").alias("dy"), F.col("words").alias("wy"))
-        across = rest.join(near, "bucket").filter(
+        # texts inside that one outside may still be near: d(x, y) >= d(pivot, x) - d(pivot, y)
+        near = told.filter("inside").select("bucket", F.col("id").alias("y"), F.col("distance").alias("dy"), F.col("words").alias("wy"))
+        across = outside.join(near, "bucket").filter(
             F.col("dy") + F.lit(1 - similarity) * F.greatest("words", "wy") + 1e-9 >= F.col("distance")).select(
             F.least("id", "y").alias("a"), F.greatest("id", "y").alias("b"))
-        links.append(_compare(across.distinct(), bodies, similarity).filter("linked").select("a", "b"))
+        links.append(materialize(_compare(across.distinct(), bodies, similarity).filter("linked").select("a", "b")))
         if level + 1 < levels:
-            own = _buckets(texts.join(rest.select("id").distinct(), "id", "left_semi")).withColumnRenamed("bucket", "other")
-            split = rest.select("id", "bucket").join(own, "id").filter("bucket <> other").select(
+            own = _buckets(texts.join(outside.select("id").distinct(), "id", "left_semi")).withColumnRenamed("bucket", "other")
+            split = outside.select("id", "bucket").join(own, "id").filter("bucket <> other").select(
                 "id", F.xxhash64(F.least("bucket", "other"), F.greatest("bucket", "other")).alias("bucket")).distinct()
             live = materialize(_shared(split))
         else:
-            left = rest.select("bucket", F.col("id").alias("a"))
+            left = outside.select("bucket", F.col("id").alias("a"))
             pairs = left.join(left.withColumnRenamed("a", "b"), "bucket").filter("a < b").select("a", "b").distinct()
             links.append(_compare(pairs, bodies, similarity).filter("linked").select("a", "b"))
     return _union(links)
 
 
+def _placed(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Adds ``inside``: whether a row's id and its pivot are of one class so far."""
+    own = classes.select(F.col("node").alias("id"), F.col("component").alias("_own"))
+    pivots = classes.select(F.col("node").alias("pivot"), F.col("component").alias("_pivots"))
+    return rows.join(own, "id", "left").join(pivots, "pivot", "left").withColumn(
+        "inside", F.coalesce("_own", "id") == F.coalesce("_pivots", "pivot")).drop("_own", "_pivots")
+
+
 def _union(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:
@@ -302,10 +313,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                          similarity: float = SIMILARITY) -> DataFrame:
     """The rows of one document of each class, the one of least id, with all their columns; a
-    row repeated under that id stays once.  Rows without an id stay if their text's class has
-    no id."""
+    row repeated under that id stays once.  Rows without an id stay."""
     classes = near_duplicates(docs, id_col, text_col, similarity)
-    # ids that go: few beside the texts, so the texts are joined with these only
-    gone = classes.filter("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs[id_col].cast("long") == F.col("_gone"), "left_anti")
+    told = materialize(classes.groupBy(F.col("doc_id").alias("_doc_id")).agg(
+        F.max(F.col("doc_id") != F.col("class_id")).alias("_gone"), F.count(F.lit(1)).alias("_times")).filter(
+        "_doc_id is not null and (_gone or _times > 1)"))
+    # ids that go or repeat: few beside the texts, which are joined with these only
+    key = docs[id_col].cast("long") == F.col("_doc_id")
+    kept = docs.join(told, key, "left_anti")
+    twice = told.filter("not _gone")
+    if not twice.isEmpty():
+        kept = kept.unionAll(docs.join(twice, key, "left_semi").dropDuplicates([id_col]))
     return kept
