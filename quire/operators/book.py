@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import bookmark_name, fill_placeholders
+from quire.operators.slices import removed_flag
 
 # Fixed values --------------------------------------------------------------
 TOC_TITLE = "Table of Contents"
@@ -209,14 +210,19 @@ def write_books(lines: DataFrame, path: str) -> None:
 
 
 # ------------------------------------------------------------------ report (A1-A4)
-def page_report(bounds: DataFrame) -> DataFrame:
-    """A1: per page: items parsed, items in the slice, whether start/stop were found."""
-    return bounds.groupBy("page_id").agg(
-        F.count(F.lit(1)).alias("items_parsed"),
-        F.count_if((F.col("idx") >= F.col("slice_start")) & (F.col("slice_stop").isNull()
-                                                             | (F.col("idx") < F.col("slice_stop")))).alias("items_sliced"),
+def page_report(bounds: DataFrame, remove=None) -> DataFrame:
+    """A1: per page: items parsed, in the slice, removed from it by the removal list and
+    kept, and whether a start and a stop marker were found (``no_start``, ``no_stop``: not)."""
+    inside = F.coalesce((F.col("idx") >= F.col("slice_start")) & (
+        F.col("slice_stop").isNull() | (F.col("idx") < F.col("slice_stop"))), F.lit(False))
+    gone = inside & F.col("_removed")
+    return removed_flag(bounds, remove).groupBy("page_id").agg(
+        F.count(F.lit(1)).alias("items_parsed"), F.count_if(inside).alias("items_sliced"),
+        F.count_if(gone).alias("items_removed"), F.count_if(inside & ~F.col("_removed")).alias("items_kept"),
         F.max(F.col("slice_start").isNotNull().cast("int")).alias("has_start"),
-        F.max(F.col("slice_stop").isNotNull().cast("int")).alias("has_stop"))
+        F.max(F.col("slice_stop").isNotNull().cast("int")).alias("has_stop"),
+        F.max(F.col("slice_start").isNull().cast("int")).alias("no_start"),
+        F.max((F.col("slice_start").isNotNull() & F.col("slice_stop").isNull()).cast("int")).alias("no_stop"))
 
 
 def link_report(links_uncapped: DataFrame, max_chapters: int) -> DataFrame:

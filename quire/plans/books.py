@@ -47,7 +47,7 @@ class BookConfig:
 class BookRun:
     items: DataFrame
     content: DataFrame
-    links: list[DataFrame]
+    links: DataFrame
     roots: DataFrame
     sections: DataFrame
     lines: DataFrame
@@ -57,15 +57,17 @@ def build_books(pages: DataFrame, books: DataFrame, cfg: BookConfig,
                 checkpoint: bool = True) -> BookRun:
     """Sections and book lines for every book of the manifest.
 
-    The expansion runs level by level from the book roots, like the reference's
-    crawl: links are detected only on the pages of the current frontier and items
-    are extracted only for pages some book reaches, so pages no book links to cost
-    nothing beyond one key scan.  Each level's sections are checkpointed into the
-    session's checkpoint folder, which cuts lineage between levels (a lost executor
-    replays one level, not the crawl) and keeps every plan small.
+    The links of all pages are found in one pass over the html and written as a narrow
+    table; the level-by-level expansion from the book roots joins narrow tables only.
+    Items are taken from the pages some book reaches, in a second pass.  Each level's
+    sections are checkpointed into the session's checkpoint folder, which cuts lineage
+    between levels (a lost executor replays one level, not the crawl) and keeps every
+    plan small.  Rows of ``books`` with a ``reject_reason`` (S4) are not built.
     """
     spark = pages.sparkSession
     pages = pages.select("page_id", "url", "html")
+    if "reject_reason" in books.columns:
+        books = books.filter(F.col("reject_reason").isNull())
     if checkpoint:
         ensure_checkpoint_dir(spark)
 
@@ -77,11 +79,9 @@ def build_books(pages: DataFrame, books: DataFrame, cfg: BookConfig,
     parents = roots.filter(F.col("root_page_id").isNotNull()).select(
         "book_id", F.lit(0).alias("n1"), F.lit(0).alias("n2"), F.lit(0).alias("n3"),
         F.col("root_page_id").alias("page_id"), url_slug(F.col("url")).alias("slug"))
-    levels, all_links = [], []
+    links = cut(detect_chapters(pages, cfg.max_chapters))
+    levels = []
     for level in range(1, min(3, max(1, cfg.max_depth)) + 1):          # J5: 1 to 3 levels
-        frontier = pages.join(parents.select("page_id").distinct(), "page_id", "left_semi")
-        links = detect_chapters(frontier, cfg.max_chapters)
-        all_links.append(links)
         sec = cut(follow_links(parents, links, keys, level, child_only=level > 1))
         levels.append(sec)
         parents = sec.filter(F.col("page_id").isNotNull())
@@ -98,4 +98,4 @@ def build_books(pages: DataFrame, books: DataFrame, cfg: BookConfig,
     content = extract_content(items, reached.select("page_id", "url"), cfg.start_markers,
                               cfg.stop_markers, cfg.remove_text)
     lines = book_lines(books, sections, content, root_rows)
-    return BookRun(items, content, all_links, roots, sections, lines)
+    return BookRun(items, content, links, roots, sections, lines)

@@ -514,7 +514,46 @@ SELECT page_id, count(*) AS links_found, least(count(*), greatest(1, {cap})) AS
   count(*) > greatest(1, {cap}) AS cap_reached FROM lnk GROUP BY page_id"""
 
 
+def sql_page_report() -> str:
+    return f"""WITH {lines_cte()}, {bounds_cte('lines', Q.LINE_START, Q.LINE_STOP)},
+per AS (SELECT page_id AS doc_id, count(*) AS items_parsed, count(*) FILTER (WHERE {KEEP}) AS items_sliced,
+  count(*) FILTER (WHERE {KEEP} AND {REMOVED}) AS items_removed, count(*) FILTER (WHERE {KEEP} AND NOT {REMOVED}) AS items_kept,
+  CAST(bool_and(slice_start IS NULL) AS INTEGER) AS no_start, CAST(bool_and(slice_start IS NOT NULL AND slice_stop IS NULL) AS INTEGER) AS no_stop
+  FROM bounds GROUP BY page_id)
+SELECT doc_id, sum(items_parsed) AS items_parsed, sum(items_sliced) AS items_sliced, sum(items_removed) AS items_removed,
+  sum(items_kept) AS items_kept, sum(no_start) AS no_start, sum(no_stop) AS no_stop FROM per GROUP BY ROLLUP (doc_id)"""
+
+
+def config_books_ctes() -> str:
+    values = ", ".join(f"({lit(t)}, {lit(g)}, {lit(f)})" for t, g, f in Q.TEMPLATES)
+    folders = ", ".join(f"({lit(c)}, {lit(f)})" for c, f in Q.FOLDERS)
+    langs = "[" + ", ".join(lit(x) for x in Q.LANGUAGES) + "]"
+    return f"""books AS (SELECT page_id AS book_id, CASE WHEN length(url) % 2 = 0 THEN 'main' ELSE 'other' END AS book_type,
+  {langs}[length(url) % 3 + 1] AS language, CASE WHEN starts_with(url, 'https') THEN 'a' ELSE 'b' END AS config_id FROM pages),
+tpl(book_type, language, file) AS (VALUES {values}), folders(config_id, folder) AS (VALUES {folders}),
+paths AS (SELECT book_id, CASE WHEN file IS NULL THEN NULL WHEN folder = '' THEN file ELSE folder || '/' || file END AS template
+  FROM books b LEFT JOIN tpl t ON t.book_type = b.book_type AND t.language = lower(b.language) LEFT JOIN folders USING (config_id))"""
+
+
+def sql_template_lookup() -> str:
+    return f"WITH {config_books_ctes()} SELECT * FROM paths"
+
+
+def sql_style_fallback() -> str:
+    styles = ", ".join(f"({lit(t)}, [{', '.join(lit(x) for x in xs)}])" for t, xs in Q.STYLES)
+    return f"""WITH {html_items_ctes()}, {config_books_ctes()}, styles(template, has) AS (VALUES {styles}),
+j AS (SELECT page_id, idx, p.template, style, full_text, coalesce(has, []::VARCHAR[]) AS has FROM items
+  JOIN paths p ON p.book_id = page_id LEFT JOIN styles s ON s.template = p.template),
+u AS (SELECT *, CASE WHEN list_contains(has, style) THEN style WHEN list_contains(has, 'List Bullet') THEN 'List Bullet'
+  WHEN list_contains(has, 'List Paragraph') THEN 'List Paragraph' ELSE 'Normal' END AS used_style FROM j)
+SELECT page_id, idx, template, style, used_style, starts_with(style, 'List Bullet') AND NOT starts_with(used_style, 'List Bullet') AS bullet_indent,
+  CASE WHEN starts_with(style, 'List Bullet') AND NOT starts_with(used_style, 'List Bullet') THEN '• ' || full_text ELSE full_text END AS text FROM u"""
+
+
 ORACLE = {
+    "page_report": sql_page_report,
+    "template_lookup": sql_template_lookup,
+    "style_fallback": sql_style_fallback,
     "lines_slice": sql_lines_slice,
     "lines_bounds": sql_lines_bounds,
     "lines_remove_text": sql_lines_remove_text,
@@ -666,6 +705,11 @@ SELECT book_id, level, count(*) AS sections, count(*) FILTER (WHERE status = 'mi
 FROM sections GROUP BY ROLLUP (book_id, level)"""
 
 
+def sql_image_lookup() -> str:
+    return f"""WITH {SITE_ITEMS}
+SELECT page_id, idx, img_url, alt, octet_length(encode(img_url)) AS n_bytes FROM items WHERE type = 'image' AND length(img_url) % 2 = 0"""
+
+
 def sql_toc_preview() -> str:
     return f"""WITH {SECTIONS}
 SELECT book_id, n1, title, greatest(_total - 10, 0) AS more FROM (
@@ -692,6 +736,7 @@ ORACLE.update({
     "toc": sql_toc,
     "header_footer": sql_header_footer,
     "site_items": sql_site_items,
+    "image_lookup": sql_image_lookup,
     "site_links": sql_site_links,
     "expand_site": sql_expand_site,
     "book_lines": sql_book_lines,

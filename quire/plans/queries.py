@@ -18,7 +18,7 @@ from quire.operators import site as S
 from quire.operators import slices as M
 from quire.plans.books import BookConfig, build_books
 from quire.plans.site_fixture import SITE_CONFIG, site_books, site_pages
-from quire.sources.tables import book_manifest, lines_as_items, read_table, turns_as_items
+from quire.sources.tables import book_manifest, image_lookup, lines_as_items, read_table, turns_as_items
 
 # Fixed query parameters (chosen so that every branch of the operators is hit on the
 # driver tables; see FIXTURES.md).
@@ -54,6 +54,15 @@ def q_lines_bounds(spark: SparkSession, sf: str) -> DataFrame:
     return r.select(F.col("page_id").alias("doc_id"), "items_parsed", "items_sliced", "has_start", "has_stop")
 
 
+def q_page_report(spark: SparkSession, sf: str) -> DataFrame:
+    """A1: per document, items parsed, sliced, removed and kept, and markers not found,
+    with the totals of all documents (doc_id NULL)."""
+    b = M.slice_bounds(_lines(spark, sf), LINE_START, LINE_STOP)
+    r = B.page_report(b, REMOVE_LINES)
+    sums = ["items_parsed", "items_sliced", "items_removed", "items_kept", "no_start", "no_stop"]
+    return r.rollup(F.col("page_id").alias("doc_id")).agg(*[F.sum(c).alias(c) for c in sums])
+
+
 def q_lines_remove_text(spark: SparkSession, sf: str) -> DataFrame:
     """M5: slice, then drop lines equal (ignoring case) to one of the removal list."""
     lines = _lines(spark, sf)
@@ -324,7 +333,58 @@ def q_header_footer(spark: SparkSession, sf: str) -> DataFrame:
     return B.header_footer(books, DEFAULT_HEADER, DEFAULT_FOOTER)
 
 
+# ------------------------------------------------------------------ S3, S5, J6, J7
+# Template files by book type and language, and the styles of each template: fixed
+# values of this query; the books come from the captured pages.
+TEMPLATES = [("main", "english", "main_en.docx"), ("main", "hindi", "main_hi.docx"), ("other", "english", "other_en.docx")]
+STYLES = [("tpl/main_en.docx", ["Normal", "List Bullet", "Heading 3", "Heading 4"]), ("tpl/other_en.docx", ["Normal", "List Paragraph"]),
+          ("main_hi.docx", ["Heading 3"])]
+FOLDERS = [("a", "tpl"), ("b", "")]
+LANGUAGES = ["English", "hindi", "tamil"]
+
+
+def _config_books(spark, sf) -> DataFrame:
+    """One book per captured page, with a type, language and config by its path."""
+    p = read_table(spark, sf, "pages").select("page_id", "url")
+    n = F.length("url")
+    return p.select(F.col("page_id").alias("book_id"), F.when(n % 2 == 0, "main").otherwise("other").alias("book_type"),
+                    F.element_at(F.array(*[F.lit(x) for x in LANGUAGES]), (n % 3 + 1).cast("int")).alias("language"),
+                    F.when(F.col("url").startswith("https"), "a").otherwise("b").alias("config_id"))
+
+
+def _template_paths(spark, sf) -> DataFrame:
+    templates = spark.createDataFrame([(c, *t) for c, _ in FOLDERS for t in TEMPLATES],
+                                      "config_id string, book_type string, language string, file string")
+    folders = spark.createDataFrame(FOLDERS, "config_id string, template_folder string")
+    return S.template_lookup(_config_books(spark, sf), templates, folders)
+
+
+def q_template_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """The template of one book per captured page."""
+    return _template_paths(spark, sf)
+
+
+def q_style_fallback(spark: SparkSession, sf: str) -> DataFrame:
+    """The style every item of every page gets from its book's template."""
+    items = H.page_items(_pages(spark, sf)).select("page_id", "idx", F.lit("text").alias("kind"), "style", F.col("full_text").alias("text"))
+    lines = items.join(_template_paths(spark, sf).withColumnRenamed("book_id", "page_id"), "page_id")
+    styles = spark.createDataFrame(STYLES, "template string, styles array<string>")
+    return S.available_style(lines, styles).select("page_id", "idx", "template", "style", "used_style", "bullet_indent", "text")
+
+
+def q_image_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """The images of the derived site that were captured, with their content's length."""
+    items = H.page_items(site_pages(spark, sf), include_images=True)
+    urls = items.filter("type = 'image'").select(F.col("img_url").alias("url")).distinct()
+    images = urls.filter(F.length("url") % 2 == 0).select("url", F.encode("url", "UTF-8").alias("content"))
+    return image_lookup(items, images).select("page_id", "idx", "img_url", "alt", F.length("content").alias("n_bytes"))
+
+
 QUERIES = {
+    "page_report": q_page_report,
+    "template_lookup": q_template_lookup,
+    "style_fallback": q_style_fallback,
+    "image_lookup": q_image_lookup,
     "lines_slice": q_lines_slice,
     "lines_bounds": q_lines_bounds,
     "lines_remove_text": q_lines_remove_text,

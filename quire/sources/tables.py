@@ -143,7 +143,8 @@ def book_manifest(books: DataFrame) -> DataFrame:
     reason = F.coalesce(
         U.url_reject_reason(F.col("url")),
         output_name_reason(F.col("out_name")),
-        F.when(~F.col("book_type").isin(*BOOK_TYPES), F.lit("book_type")))
+        F.when(~F.col("book_type").isin(*BOOK_TYPES), F.lit("book_type")),
+        F.when(F.coalesce(F.trim("title"), F.lit("")) == "", F.lit("no_title")))
     return b.withColumn("reject_reason", reason)
 
 
