@@ -7,11 +7,12 @@
    k-mers in the same order, which follows edit similarity rather than set overlap.
 3. Candidates.  In buckets of at most ``SMALL`` texts all pairs are candidates.  In larger ones
    every text is compared with the bucket's least id, the pivot.  Texts that any links have brought
-   into the pivot's class are inside; one outside can only be linked to those inside where the
-   triangle inequality of edit distance leaves room, and those pairs are candidates too.  The texts
-   outside (ones that share a common passage, say) are split by their other buckets and go round
-   again; after ``LEVELS`` rounds their pairs are all compared.  So a group of near copies costs one
-   comparison for a text and pivot, not all pairs, and nothing is dropped.
+   into the pivot's class are inside.  One outside is also compared with the texts linked to the
+   pivot where the triangle inequality of edit distance leaves room, and the texts outside (ones that
+   share a common passage, say) are split by their other buckets and go round again, ``LEVELS`` times.
+   So a group of near copies costs one comparison for a text and pivot, not all pairs.  Like the
+   sketch itself this may miss a link whose every shared bucket is large; the README has the measured
+   recall against brute force.
 4. Verification.  A candidate is a link if 1 - (word edit distance / words of the longer text) is
    ``SIMILARITY`` or more: the exact distance from a banded bit-vector alignment.
 5. Classes are the connected components of the links; the class id is its least ``doc_id``.
@@ -42,7 +43,7 @@ from quire.llm.common import POWERS, materialize, mix, small_batches
 from quire.llm.components import components
 
 WORDS, PICK, SKETCHES, SIMILARITY = 5, 2, 48, 0.8
-#: Buckets of so many texts are compared pair by pair at once; rounds before all pairs are.
+#: Buckets of so many texts are compared pair by pair at once; rounds of splitting larger ones.
 SMALL, LEVELS = 6, 3
 
 _SEEDS = mix(np.arange(1, 513, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -257,14 +258,14 @@ def _links(texts: DataFrame, docs: DataFrame, id_col: str, text_col: str, simila
             return _union(links)
         # a text that any bucket's pivot has brought into the pivot's class needs no more links to it
         told = _placed(large.filter("id <> pivot"), components(_union(links))).join(
-            compared.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "distance", F.col("words_b").alias("words")),
+            compared.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "distance", F.col("words_b").alias("words"), "linked"),
             ["pivot", "id"])
-        told = materialize(told.select("bucket", "id", "distance", "words", "inside"))
+        told = materialize(told.select("bucket", "id", "distance", "words", "inside", "linked"))
         outside = told.filter(~F.col("inside"))
         if outside.isEmpty():
             return _union(links)
-        # texts inside that one outside may still be near: d(x, y) >= d(pivot, x) - d(pivot, y)
-        near = told.filter("inside").select("bucket", F.col("id").alias("y"), F.col("distance").alias("dy"), F.col("words").alias("wy"))
+        # texts linked to the pivot that one outside may still be near: d(x, y) >= d(pivot, x) - d(pivot, y)
+        near = told.filter("linked").select("bucket", F.col("id").alias("y"), F.col("distance").alias("dy"), F.col("words").alias("wy"))
         across = outside.join(near, "bucket").filter(
             F.col("dy") + F.lit(1 - similarity) * F.greatest("words", "wy") + 1e-9 >= F.col("distance")).select(
             F.least("id", "y").alias("a"), F.greatest("id", "y").alias("b"))
@@ -274,10 +275,6 @@ def _links(texts: DataFrame, docs: DataFrame, id_col: str, text_col: str, simila
             split = outside.select("id", "bucket").join(own, "id").filter("bucket <> other").select(
                 "id", F.xxhash64(F.least("bucket", "other"), F.greatest("bucket", "other")).alias("bucket")).distinct()
             live = materialize(_shared(split))
-        else:
-            left = outside.select("bucket", F.col("id").alias("a"))
-            pairs = left.join(left.withColumnRenamed("a", "b"), "bucket").filter("a < b").select("a", "b").distinct()
-            links.append(_compare(pairs, bodies, similarity).filter("linked").select("a", "b"))
     return _union(links)
 
 
