@@ -6,13 +6,16 @@
    text order, their hash is a bucket.  Two texts share a bucket only if they share the picked
    k-mers in the same order, which follows edit similarity rather than set overlap.
 3. Candidates.  In buckets of at most ``SMALL`` texts all pairs are candidates.  In larger ones
-   every text is compared with the bucket's least id, the pivot.  Texts that any links have brought
-   into the pivot's class are inside.  One outside is also compared with the texts linked to the
-   pivot where the triangle inequality of edit distance leaves room, and the texts outside (ones that
-   share a common passage, say) are split by their other buckets and go round again, ``LEVELS`` times.
-   So a group of near copies costs one comparison for a text and pivot, not all pairs.  Like the
-   sketch itself this may miss a link whose every shared bucket is large; the README has the measured
-   recall against brute force.
+   every text is compared with the bucket's least id, the pivot.  A large bucket whose texts are then
+   of one class is settled.  All texts of the others, inside a pivot's class or not, are compared
+   exactly: texts that may be linked share one of their rarest words, ``1 + words * (1 - SIMILARITY)``
+   of each in one order for all (the prefix filter of set similarity joins), so these words are
+   blocks, split by length.  Where they hold many pairs of two classes, ``LEVELS`` - 1 rounds first
+   compare a block's rows with a new pivot, the least id of its largest class, which brings groups of
+   near copies together at one comparison a text.  Then every pair of a block that is of two classes
+   still and that the lengths and a bound on common words do not rule out is a candidate, in salted
+   parts of a block.  So every link between texts that share a bucket is found, or its ends are of
+   one class anyway; no pair is dropped but by a bound.
 4. Verification.  A candidate is a link if 1 - (word edit distance / words of the longer text) is
    ``SIMILARITY`` or more: the exact distance from a banded bit-vector alignment.
 5. Classes are the connected components of the links; the class id is its least ``doc_id``.
@@ -36,15 +39,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import POWERS, materialize, mix, small_batches
 from quire.llm.components import components
 
 WORDS, PICK, SKETCHES, SIMILARITY = 5, 2, 48, 0.8
-#: Buckets of so many texts are compared pair by pair at once; rounds of splitting larger ones.
+#: Buckets of so many texts are compared pair by pair at once; rounds of pivots before all pairs are.
 SMALL, LEVELS = 6, 3
+#: Texts of one part of a block; slots of the word counts that order words; 64-bit words of a text's bit set.
+PART, SLOTS, BITS = 256, 1 << 16, 8
 
 _SEEDS = mix(np.arange(1, 513, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -243,47 +248,144 @@ def _compare(pairs: DataFrame, bodies: DataFrame, similarity: float) -> DataFram
     return both.mapInArrow(run, "a long, b long, distance long, words_a long, words_b long, linked boolean")
 
 
+def _labelled_words(body: bytes, unpack: zstandard.ZstdDecompressor) -> np.ndarray:
+    return labelled_kmers(_normal(unpack.decompress(body).decode("utf-8", "surrogatepass")), 1)
+
+
+def _slot(words: np.ndarray) -> np.ndarray:
+    return (words % np.uint64(SLOTS)).astype(np.int64)
+
+
+def _word_counts(bodies: DataFrame) -> np.ndarray:
+    """How often the words of each slot occur: a bounded table that tells common words from rare ones."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack, total = zstandard.ZstdDecompressor(), np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for body in batch.column(0).to_pylist():
+                total += np.bincount(_slot(_labelled_words(body, unpack)), minlength=SLOTS)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["slot", "n"])
+
+    out = np.zeros(SLOTS, np.int64)
+    for r in bodies.select("body").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
+        out[r["slot"]] = r["n"]
+    return out
+
+
+def _profiles(bodies: DataFrame, similarity: float) -> DataFrame:
+    """(id, words, bits, keys): length, parity bits of the words, and the rarest words of each text."""
+    counts = bodies.sparkSession.sparkContext.broadcast(_word_counts(bodies))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        for batch in batches:
+            n, bits, keys = [], [], []
+            for body in batch.column(1).to_pylist():
+                w = _labelled_words(body, unpack)
+                odd = np.bincount((w >> np.uint64(32)).astype(np.int64) % (64 * BITS), minlength=64 * BITS) & 1
+                n.append(len(w))
+                bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64).tolist())
+                order = np.lexsort((w, counts.value[_slot(w)]))[:int((1 - similarity) * len(w) + 1e-9) + 1]
+                keys.append(w[order].view(np.int64).tolist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(bits, pa.list_(pa.int64())),
+                                              pa.array(keys, pa.list_(pa.int64()))], ["id", "words", "bits", "keys"])
+
+    return bodies.select("id", "body").mapInArrow(run, "id long, words long, bits array<bigint>, keys array<bigint>")
+
+
+def _may_link(x: str, y: str, similarity: float) -> Column:
+    """Whether the lengths and the bits of sides ``x`` and ``y`` leave room for a link: common words
+    are (words of both - words of one only) / 2 and at least the longer text less its allowed edits."""
+    n, m = F.col(f"{x}.words"), F.col(f"{y}.words")
+    apart = sum((F.bit_count(F.col(f"{x}.bits")[i].bitwiseXOR(F.col(f"{y}.bits")[i])) for i in range(BITS)), F.lit(0))
+    least = F.greatest(n, m) * F.lit(similarity) - F.lit(1e-6)
+    return (F.least(n, m) >= least) & ((n + m - apart) / 2 >= least)
+
+
+def _classed(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Adds ``class``: the least id that links so far join with a row's id."""
+    own = classes.select(F.col("node").alias("id"), F.col("component").alias("_class"))
+    return rows.join(own, "id", "left").withColumn("class", F.coalesce("_class", "id")).drop("_class")
+
+
+def _mixed(rows: DataFrame, key: str) -> DataFrame:
+    """The rows of groups that have more than one class, with the group's size."""
+    groups = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("_low"), F.max("class").alias("_high"))
+    return rows.join(groups.filter("_low <> _high").drop("_low", "_high"), key)
+
+
+def _pairs_of_two_classes(rows: DataFrame) -> int:
+    """How many pairs of the same block are of two classes."""
+    of = rows.groupBy("key", "class").agg(F.count(F.lit(1)).cast("double").alias("n")).groupBy("key").agg(
+        F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+    return int(of.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()[0] or 0)
+
+
+def _pivoted(rows: DataFrame) -> DataFrame:
+    """(key, id, pivot): the rows that are not of their block's largest class, with its least id."""
+    sizes = rows.groupBy("key", "class").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("least"))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("m", "least", "class")).alias("top"))
+    return rows.join(largest, "key").filter("class <> top.class").select("key", "id", F.col("top.least").alias("pivot"))
+
+
+def _with_pivots(rows: DataFrame, profiles: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): rows and their pivots that may be linked."""
+    own = profiles.select("id", "words", "bits")
+    return rows.select("id", "pivot").distinct().join(own.alias("x"), "id").join(
+        own.alias("y"), F.col("pivot") == F.col("y.id")).filter(_may_link("x", "y", similarity)).select(
+        F.least("pivot", "x.id").alias("a"), F.greatest("pivot", "x.id").alias("b")).distinct()
+
+
+def _across_classes(rows: DataFrame, profiles: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): all pairs within a block that are of two classes and may be linked.  A block of many
+    rows is dealt into parts of about ``PART``, and each pair of parts is a group of its own."""
+    parts = F.ceil(F.col("n") / F.lit(PART)).cast("long")
+    dealt = rows.join(profiles.select("id", "words", "bits"), "id").select(
+        "key", "id", "class", "words", "bits", F.pmod(F.xxhash64("id"), parts).alias("own"),
+        F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("other"))
+    x, y = dealt.filter("own <= other").alias("x"), dealt.filter("own >= other").alias("y")
+    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.own") == F.col("y.other")) & (F.col("x.other") == F.col("y.own"))
+    once = (F.col("x.own") < F.col("x.other")) | (F.col("x.id") < F.col("y.id"))
+    return x.join(y, same & once & (F.col("x.class") != F.col("y.class")) & _may_link("x", "y", similarity)).select(
+        F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
 def _links(texts: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float, small: int, levels: int) -> DataFrame:
-    """(a, b): verified links between different texts."""
+    """(a, b): verified links between different texts that join all texts of a class."""
     live = materialize(_shared(_buckets(texts)))
     bodies = materialize(_bodies(docs, id_col, text_col, live.select("id").distinct()))
-    links = []
-    for level in range(levels):
-        large = live.filter(F.col("n") > small)
-        pairs = _all_pairs(live.filter(F.col("n") <= small)).unionAll(
-            large.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"))).distinct()
-        compared = materialize(_compare(pairs, bodies, similarity))
-        links.append(compared.filter("linked").select("a", "b"))
-        if large.isEmpty():
-            return _union(links)
-        # a text that any bucket's pivot has brought into the pivot's class needs no more links to it
-        told = _placed(large.filter("id <> pivot"), components(_union(links))).join(
-            compared.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "distance", F.col("words_b").alias("words"), "linked"),
-            ["pivot", "id"])
-        told = materialize(told.select("bucket", "id", "distance", "words", "inside", "linked"))
-        outside = told.filter(~F.col("inside"))
-        if outside.isEmpty():
-            return _union(links)
-        # texts linked to the pivot that one outside may still be near: d(x, y) >= d(pivot, x) - d(pivot, y)
-        near = told.filter("linked").select("bucket", F.col("id").alias("y"), F.col("distance").alias("dy"), F.col("words").alias("wy"))
-        across = outside.join(near, "bucket").filter(
-            F.col("dy") + F.lit(1 - similarity) * F.greatest("words", "wy") + 1e-9 >= F.col("distance")).select(
-            F.least("id", "y").alias("a"), F.greatest("id", "y").alias("b"))
-        links.append(materialize(_compare(across.distinct(), bodies, similarity).filter("linked").select("a", "b")))
-        if level + 1 < levels:
-            own = _buckets(texts.join(outside.select("id").distinct(), "id", "left_semi")).withColumnRenamed("bucket", "other")
-            split = outside.select("id", "bucket").join(own, "id").filter("bucket <> other").select(
-                "id", F.xxhash64(F.least("bucket", "other"), F.greatest("bucket", "other")).alias("bucket")).distinct()
-            live = materialize(_shared(split))
-    return _union(links)
 
-
-def _placed(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """Adds ``inside``: whether a row's id and its pivot are of one class so far."""
-    own = classes.select(F.col("node").alias("id"), F.col("component").alias("_own"))
-    pivots = classes.select(F.col("node").alias("pivot"), F.col("component").alias("_pivots"))
-    return rows.join(own, "id", "left").join(pivots, "pivot", "left").withColumn(
-        "inside", F.coalesce("_own", "id") == F.coalesce("_pivots", "pivot")).drop("_own", "_pivots")
+    def verified(pairs: DataFrame) -> DataFrame:
+        return materialize(_compare(pairs, bodies, similarity).filter("linked").select("a", "b"))
+
+    large = live.filter(F.col("n") > small)
+    links = [verified(_all_pairs(live.filter(F.col("n") <= small)).unionAll(
+        large.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"))).distinct())]
+    if large.isEmpty():
+        return links[0]
+    classes = components(links[0])
+    unsettled = materialize(_mixed(_classed(large.select("bucket", "id"), classes), "bucket").select("id").distinct())
+    if unsettled.isEmpty():
+        return links[0]
+    profiles = materialize(_profiles(bodies.join(unsettled, "id", "left_semi"), similarity))
+    # lengths of linked texts are at most one step of 1 / similarity apart, or two texts' steps meet one up
+    step = F.floor(F.log(F.col("words").cast("double")) / F.lit(-np.log(similarity)) + F.lit(1e-9)) if similarity < 1 else F.col("words")
+    keys = F.flatten(F.transform("keys", lambda w: F.array(F.xxhash64(w, step), F.xxhash64(w, step + 1))))
+    blocks = profiles.select("id", F.explode(keys).alias("key"))
+    blocks = materialize(blocks.join(blocks.groupBy("key").count().filter("count > 1"), "key", "left_semi"))
+    texts_open, rest = profiles.count(), blocks
+    for _ in range(levels - 1):
+        rows = materialize(_mixed(_classed(rest, classes), "key"))
+        if _pairs_of_two_classes(rows) <= small * small * texts_open:
+            break
+        rest = materialize(_pivoted(rows.filter(F.col("n") > small)))
+        found = verified(_with_pivots(rest, profiles, similarity))
+        if not found.isEmpty():
+            links.append(found)
+            classes = components(_union(links))
+        rest = rest.select("key", "id")                      # goes on to new pivots
+    links.append(verified(_across_classes(_mixed(_classed(blocks, classes), "key"), profiles, similarity)))
+    return _union(links)
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:

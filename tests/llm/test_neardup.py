@@ -96,13 +96,40 @@ def brute_classes(texts, similarity=N.SIMILARITY):
 def test_classes_equal_all_pairs(spark):
     texts = fixture()
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for small, levels in ((6, 3), (3, 2)):
+    for small, levels in ((6, 3), (3, 2), (2, 1)):
         got = {r["doc_id"]: r["class_id"] for r in N.near_duplicates(df, small=small, levels=levels).collect()}
         assert [got[i] for i in range(len(texts))] == brute_classes(texts)
     kept = sorted(r["doc_id"] for r in N.drop_near_duplicates(df).collect())
     assert kept == sorted(set(brute_classes(texts)))
 
 
+def linked_outside():
+    """Texts under one pivot in a large bucket: an unlike pivot, near copies apart from it, and a text
+    whose only neighbour is inside by a chain."""
+    r = random.Random(11)
+    text = lambda n: [f"v{r.randrange(10 ** 6)}" for _ in range(n)]
+    out, passage = [], text(40)
+    out += [passage + text(60) for _ in range(12)]
+    for _ in range(8):                                       # pairs of near copies, edited wherever only they agree
+        own = text(60)
+        out += [passage + own, passage + [w if i % 3 else f"x{r.randrange(10 ** 6)}" for i, w in enumerate(own)]]
+    chain = passage + text(60)
+    for i in range(6):
+        chain = chain[:40 + 9 * i] + text(15) + chain[55 + 9 * i:]
+        out.append(chain)
+    return [" ".join(x) for x in out]
+
+
+def test_links_of_texts_outside_the_pivots_class(spark):
+    texts = linked_outside()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute_classes(texts)
+    assert len(set(want)) < len(texts) - 8
+    for small, levels in ((6, 3), (2, 1), (1, 3)):
+        got = {r["doc_id"]: r["class_id"] for r in N.near_duplicates(df, small=small, levels=levels).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+
+
 def test_edge_rows(spark):
     out = N.near_duplicates(edge.docs(spark))
     assert edge.ids(out) == edge.all_ids()
