@@ -37,7 +37,7 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long")
 
     return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in secrets.KINDS],
-                        F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+                        F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), "complete")
 
 
 #: The rules of operator 3.

@@ -9,8 +9,11 @@ original text, so what is found in a layer is reported there: exactly for escape
 encoded run for base64 and compressed data.  In a layer only findings that hold a decoded
 character are reported, so base findings are never repeated.
 
-One map over the scan: no shuffle, memory bounded by a batch, one text's layers and
-``MAX_DECODED`` bytes of decompressed data for a text.
+One map over the scan: no shuffle, memory bounded by a batch, one text's layers and a window of
+each decompressed stream on the way: streams are read to their end, over all their members, and a
+long one is scanned in windows that end at white space and overlap.  ``complete`` is false for a
+text with a stream that breaks off or is damaged after its start, has more than ``DEPTH`` nested
+streams, or holds a run without white space longer than ``WINDOW`` (which is cut, with an overlap).
 
 Defined cases: null text counts as empty and has no spans; every row is scanned alone, so
 repeated rows get equal spans; an empty table gives no rows; other columns are ignored by
@@ -22,7 +25,9 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import codecs
 import hashlib
+import itertools
 import lzma
 import re
 import zlib
@@ -37,9 +42,9 @@ from pyspark.sql import DataFrame
 from quire.llm.common import small_batches
 
 KINDS = ("assign", "access", "hex")
-#: Bytes that the compressed layers of one text may decompress to in all: a stream built to
-#: swell without end must not take a worker's memory.
-MAX_DECODED = 64 << 20
+#: Decompressed data is made in chunks, scanned whole up to ``BLOCK`` bytes and beyond in windows:
+#: a stream built to swell without end must not take a worker's memory.
+CHUNK, BLOCK, WINDOW, OVERLAP, DEPTH = 1 << 16, 1 << 20, 8 << 20, 4096, 100
 MASK = "[SECRET]"
 
 # The base patterns; the letters of the names in either case (ASCII only).
@@ -79,6 +84,7 @@ class Layer:
     begin: list[int] | None = None
     end: list[int] | None = None
     decoded: list[bool] | None = None
+    part: bool = False
 
     def place(self, a: int, b: int) -> tuple[int, int]:
         return (a, b) if self.begin is None else (self.begin[a], max(self.end[a:b]))
@@ -88,62 +94,167 @@ class Layer:
             if self.decoded is None or any(self.decoded[a:b]):
                 yield (kind, *self.place(a, b), self.chain)
 
-    def whole(self, text: str, chain: str, a: int, b: int) -> Layer:
-        """A layer all of whose characters stand for characters [a, b) of this one."""
+    def whole(self, text: str, chain: str, a: int, b: int, part: bool = False) -> Layer:
+        """A layer all of whose characters stand for characters [a, b) of this one; ``part``: a
+        window of a long stream."""
         begin, end = self.place(a, b)
-        return Layer(text, f"{self.chain}.{chain}".lstrip("."), [begin] * len(text), [end] * len(text), [True] * len(text))
+        return Layer(text, f"{self.chain}.{chain}".lstrip("."), [begin] * len(text), [end] * len(text), [True] * len(text),
+                     part)
+
+
+class _Limit(Exception):
+    """A caller's limit of decompressed bytes is reached."""
 
 
 class _Budget:
-    """Bytes that decompression may still make for one text."""
+    """Bytes that decompression may still make for one text (``None``: any), and whether all of
+    the text's streams were read to their end."""
 
-    def __init__(self, left: int):
-        self.left = left
+    def __init__(self, left: int | None = None):
+        self.left, self.complete = left, True
 
-    def take(self, data: bytes | None) -> bytes | None:
-        if data is not None:
+    def take(self, data: bytes) -> bytes:
+        if self.left is not None:
             self.left -= len(data)
+            if self.left < 0:
+                raise _Limit
         return data
 
 
-def _decompress(data: bytes, budget: _Budget) -> tuple[str, bytes] | None:
-    """(format, content) of a compressed stream, or None; content is cut at the budget."""
-    limit = max(1, budget.left)
+def _format(data: bytes) -> str | None:
+    if data[:2] == b"\x1f\x8b":
+        return "gzip"
+    if len(data) > 2 and data[0] == 0x78 and (data[0] * 256 + data[1]) % 31 == 0:
+        return "zlib"
+    if data[:3] == b"BZh":
+        return "bzip2"
+    if data[:6] == b"\xfd7zXZ\0":
+        return "xz"
+    return "zstd" if data[:4] == b"\x28\xb5\x2f\xfd" else None
+
+
+_DECODERS = {"gzip": lambda: zlib.decompressobj(31), "zlib": zlib.decompressobj, "bzip2": bz2.BZ2Decompressor,
+             "xz": lzma.LZMADecompressor}
+
+
+class _Source:
+    """Chunks as a file that zstandard can read."""
+
+    def __init__(self, chunks: Iterator[bytes]):
+        self.chunks, self.data = chunks, b""
+
+    def read(self, size: int) -> bytes:
+        self.data = self.data or next(self.chunks, b"")
+        out, self.data = self.data[:size], self.data[size:]
+        return out
+
+
+def _members(name: str, chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """What all members of a compressed stream decompress to, in chunks; EOFError if it breaks off."""
+    if name == "zstd":
+        reader = zstandard.ZstdDecompressor().stream_reader(_Source(chunks), read_across_frames=True)
+        while out := reader.read(CHUNK):
+            yield out
+        return
+    decoder, data = _DECODERS[name](), next(chunks, b"")
+    while True:
+        out = decoder.decompress(data, CHUNK)
+        if out:
+            yield out
+        if decoder.eof:
+            data = decoder.unused_data
+            while len(data) < 6 and (more := next(chunks, b"")):
+                data += more
+            if name == "xz":
+                data = data.lstrip(b"\0")
+            if _format(data) != name:
+                return
+            decoder = _DECODERS[name]()
+            continue
+        data = getattr(decoder, "unconsumed_tail", b"")
+        if not data and not out and getattr(decoder, "needs_input", True):
+            data = next(chunks, b"")
+            if not data:
+                raise EOFError
+
+
+def _decompress(name: str, chunks: Iterator[bytes], budget: _Budget) -> Iterator[bytes]:
+    """The content of a stream as far as it can be read; a break after its start is reported."""
+    begun = False
     try:
-        if data[:2] == b"\x1f\x8b":
-            return "gzip", budget.take(zlib.decompressobj(31).decompress(data, limit))
-        if len(data) > 2 and data[0] == 0x78 and (data[0] * 256 + data[1]) % 31 == 0:
-            return "zlib", budget.take(zlib.decompressobj().decompress(data, limit))
-        if data[:3] == b"BZh":
-            return "bzip2", budget.take(bz2.BZ2Decompressor().decompress(data, limit))
-        if data[:6] == b"\xfd7zXZ\0":
-            return "xz", budget.take(lzma.LZMADecompressor().decompress(data, limit))
-        if data[:4] == b"\x28\xb5\x2f\xfd":
-            reader = zstandard.ZstdDecompressor().stream_reader(data)
-            return "zstd", budget.take(reader.read(limit))
+        for out in _members(name, chunks):
+            begun = True
+            yield budget.take(out)
     except (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError, ValueError):
-        pass
-    return None
+        budget.complete &= not begun
+
+
+def _readable(text: str) -> bool:
+    return bool(text) and sum(c.isprintable() or c in "\n\r\t" for c in text) >= 0.95 * len(text)
+
+
+def _windows(text: str, more: Iterator[str], budget: _Budget) -> Iterator[str]:
+    """A long text in windows that end at white space and overlap."""
+    while True:
+        end = max(text.rfind(" "), text.rfind("\n"))
+        if end <= OVERLAP and len(text) >= WINDOW:
+            end, budget.complete = len(text), False
+        if end > OVERLAP:
+            yield text[:end]
+            text = text[end - OVERLAP:]
+        size = len(text) + BLOCK
+        while len(text) < size:
+            piece = next(more, None)
+            if piece is None:
+                yield text
+                return
+            text += piece
+
+
+def _content(data: bytes | Iterator[bytes], budget: _Budget, chain: tuple = (), seen: frozenset = frozenset()
+             ) -> Iterator[tuple[str, str, bool]]:
+    """(chain, text, part) of decoded bytes: text as it is, or after all nested decompression; a
+    long stream's text comes in parts."""
+    chunks, first, ended = iter([data]) if isinstance(data, bytes) else data, [], False
+    size = 0
+    while size < BLOCK and not ended:
+        piece = next(chunks, None)
+        ended = piece is None
+        first.append(piece or b"")
+        size += len(first[-1])
+    head = b"".join(first)
+    whole = ended or isinstance(data, bytes)
+    decoder = codecs.getincrementaldecoder("utf-8")()
+    try:
+        text = decoder.decode(head, whole)
+    except UnicodeDecodeError:
+        text = ""
+    if _readable(text):
+        if whole:
+            yield ".".join(chain), text, False
+            return
+        decoder.errors = "replace"                          # a long text is scanned past a damaged place
+        rest = (decoder.decode(x) for x in chunks)
+        for part in _windows(text, rest, budget):
+            yield ".".join(chain), part, True
+        return
+    name, digest = _format(head), hashlib.sha256(head).digest()
+    if name is None or whole and digest in seen:
+        return
+    if len(chain) >= DEPTH:
+        budget.complete = False
+        return
+    yield from _content(_decompress(name, itertools.chain([head], chunks), budget), budget, (*chain, name), seen | {digest})
 
 
-def _content(data: bytes, budget: _Budget) -> tuple[str, str] | None:
-    """(chain, text) of decoded bytes: text as it is, or after all nested decompression."""
-    chain, seen = [], set()
-    while budget.left > 0:
-        try:
-            text = data.decode("utf-8")
-        except UnicodeDecodeError:
-            text = ""
-        if text and sum(c.isprintable() or c in "\n\r\t" for c in text) >= 0.95 * len(text):
-            return ".".join(chain), text
-        digest = hashlib.sha256(data).digest()
-        inner = None if digest in seen else _decompress(data, budget)
-        seen.add(digest)
-        if inner is None:
-            return None
-        chain.append(inner[0])
-        data = inner[1]
-    return None
+def _layers(layer: Layer, data: bytes, outer: str, a: int, b: int, budget: _Budget) -> Iterator[Layer]:
+    """Layers of the bytes that characters [a, b) decode to."""
+    try:
+        for chain, text, part in _content(data, budget):
+            yield layer.whole(text, f"{outer}.{chain}".rstrip("."), a, b, part)
+    except _Limit:
+        budget.complete = False
+        budget.left = 0
 
 
 def _char(code: int) -> str | None:
@@ -179,9 +290,7 @@ def _unescape(layer: Layer, budget: _Budget) -> Iterator[Layer]:
             try:
                 text = data.decode("utf-8")
             except UnicodeDecodeError:
-                inner = _content(data, budget)
-                if inner:
-                    yield layer.whole(inner[1], f"url.{inner[0]}", *m.span())
+                yield from _layers(layer, data, "url", *m.span(), budget)
                 copy(*m.span())
                 continue
             at = m.start()
@@ -230,29 +339,44 @@ def _unbase64(layer: Layer, budget: _Budget) -> Iterator[Layer]:
             data = base64.b64decode(raw + "=" * (-len(raw) % 4), validate=True)
         except (binascii.Error, ValueError):
             continue
-        inner = _content(data, budget)
-        if inner:
-            yield layer.whole(inner[1], f"base64.{inner[0]}".rstrip("."), *m.span())
+        yield from _layers(layer, data, "base64", *m.span(), budget)
 
 
-def find_spans(text: str | None, max_decoded: int = MAX_DECODED) -> list[tuple[str, int, int, str]]:
+def find_spans(text: str | None, max_decoded: int | None = None) -> list[tuple[str, int, int, str]]:
     """All (kind, start, end, chain) of a text, sorted by start and kind; chain is empty for
-    base findings and names the unwrapped layers, outermost first, for the others."""
-    root = Layer(text or "")
-    work, seen, budget = deque([root]), {(root.text, 0, len(root.text))}, _Budget(max_decoded)
+    base findings and names the unwrapped layers, outermost first, for the others.  With
+    ``max_decoded`` compressed layers are left where all would decompress to more bytes."""
+    return scan_text(text, max_decoded)[0]
+
+
+def scan_text(text: str | None, max_decoded: int | None = None) -> tuple[list[tuple[str, int, int, str]], bool]:
+    """The spans of a text, and whether all its streams were read to their end."""
+    root, budget = Layer(text or ""), _Budget(max_decoded)
+    seen: set[tuple[bytes, int, int]] = set()
     found: dict[tuple[str, int, int], str] = {}
-    while work:
-        layer = work.popleft()
-        for kind, a, b, chain in layer.spans():
-            found.setdefault((kind, a, b), chain)
-        for unwrap in (_unescape, _unbase64):
-            for new in unwrap(layer, budget):
-                key = (new.text, *new.place(0, len(new.text)))
-                if new.text and key not in seen:
-                    seen.add(key)
-                    work.append(new)
+
+    def walk(top: Layer) -> None:
+        work = deque([top])
+        while work:
+            layer = work.popleft()
+            for kind, a, b, chain in layer.spans():
+                found.setdefault((kind, a, b), chain)
+            for unwrap in (_unescape, _unbase64):
+                for new in unwrap(layer, budget):
+                    if not new.text:
+                        continue
+                    key = (hashlib.sha256(new.text.encode("utf-8", "surrogatepass")).digest(), *new.place(0, len(new.text)))
+                    if key not in seen:
+                        seen.add(key)
+                        if new.part:
+                            walk(new)                       # at once: only one window is held
+                        else:
+                            work.append(new)
+
+    seen.add((hashlib.sha256(root.text.encode("utf-8", "surrogatepass")).digest(), 0, len(root.text)))
+    walk(root)
     return sorted(((k, a, b, chain) for (k, a, b), chain in found.items()),
-                  key=lambda x: (x[1], KINDS.index(x[0]), x[3] != "", x[2], x[3]))
+                  key=lambda x: (x[1], KINDS.index(x[0]), x[3] != "", x[2], x[3])), budget.complete
 
 
 def redacted(text: str | None, mask: str = MASK) -> str | None:
@@ -273,17 +397,19 @@ _ARROW_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()),
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row: ``doc_id`` and ``spans``, all findings with their layers."""
+    """One row per row: ``doc_id``, ``spans``, all findings with their layers, and ``complete``."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("kind", "start", "end", "chain")
         for batch in batches:
-            spans = [[dict(zip(names, s, strict=True)) for s in find_spans(t)] for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, _ARROW_SPANS)], ["doc_id", "spans"])
+            told = [scan_text(t) for t in batch.column(1).to_pylist()]
+            spans = [[dict(zip(names, s, strict=True)) for s in found] for found, _ in told]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, _ARROW_SPANS), pa.array([c for _, c in told], pa.bool_())],
+                                             ["doc_id", "spans", "complete"])
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id long, spans {SPAN_TYPE}")
+    return rows.mapInArrow(run, f"doc_id long, spans {SPAN_TYPE}, complete boolean")
 
 
 def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:

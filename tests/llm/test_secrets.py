@@ -1,10 +1,13 @@
 import base64
 import bz2
 import gzip
+import lzma
+import os
 import urllib.parse
 import zlib
 
 import pytest
+import zstandard
 
 from quire.llm import secrets as S
 from tests.llm import edge
@@ -50,6 +53,24 @@ def test_fixpoint_on_deep_and_repeating_layers():
     assert S.find_spans(bomb, max_decoded=1 << 12) == []
 
 
+def test_streams_are_read_to_their_end():
+    words = b"long and dull words " * (1 << 18)                          # 5 MB, several windows
+    late = base64.b64encode(PLAIN.encode()).decode()
+    for pack in (gzip.compress, bz2.compress, lzma.compress, lambda b: zstandard.ZstdCompressor().compress(b)):
+        stream = base64.b64encode(pack(words) + pack(b" " + PLAIN.encode())).decode()
+        text = f"{stream} then {late}"
+        spans, complete = S.scan_text(text)
+        assert complete and {text[a:b] for _, a, b, _ in spans} >= {stream.rstrip("="), late.rstrip("=")} or {
+            text[a:b] for _, a, b, _ in spans} >= {stream, late}
+    # a limit that the first stream reaches leaves plain base64 alone, and is told
+    bomb = base64.b64encode(gzip.compress(words)).decode()
+    spans, complete = S.scan_text(f"{bomb} {late}", max_decoded=1 << 12)
+    assert not complete and any(c == "base64" for *_, c in spans)
+    cut = base64.b64encode(gzip.compress(PLAIN.encode() + os.urandom(99).hex().encode())[:-20]).decode()
+    spans, complete = S.scan_text(cut)
+    assert not complete and spans
+
+
 def test_redaction_masks_each_run_once():
     coded = base64.b64encode(PLAIN.encode()).decode()
     assert S.redacted(f"a {coded} b {PLAIN} c") == "a [SECRET] b [SECRET]\" c"
