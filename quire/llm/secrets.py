@@ -2,7 +2,8 @@
 
 Each text starts a worklist of layers.  A layer is scanned with the base patterns; then it is
 unwrapped: escapes (``%41``, ``\\u0041``, ``\\x41``, ``&#65;``) are decoded in place, and runs of
-base64 that decode to text or to a compressed stream become layers of their own.  New layers
+base64 (also wrapped over lines) that decode to text or to a compressed stream, and compressed
+streams whose bytes are written as ``%41`` or ``\\x41`` among plain characters, become layers of their own.  New layers
 join the worklist until no layer is new; a set of layer digests detects cycles (a stream that
 decompresses to itself ends at once).  Every layer maps its characters to places of the
 original text, so what is found in a layer is reported there: exactly for escapes, as the whole
@@ -58,7 +59,17 @@ _ESCAPES = re.compile(r"((?:%[0-9A-Fa-f]{2})+)"
                       r"|((?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2})+)"
                       r"|&#(?:[xX]0*([0-9A-Fa-f]{1,6})|0*([0-9]{1,7}));")
 _UNICODE = re.compile(r"\\u\{?([0-9A-Fa-f]{4,6}|[0-9A-Fa-f]{1,6}(?=\}))\}?|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+# The shortest base match, an assignment of 14 characters, takes 19 and one of padding.
+_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{19,}={0,2}")
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}+[ \t]*+\r?\n[ \t]*+)++[A-Za-z0-9+/_-]++={0,2}")
+_LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+# Bytes written as escapes beside characters that stay as they are.
+_HIGH_URL, _HIGH_X = re.compile(r"%[0189A-Fa-f][0-9A-Fa-f]"), re.compile(r"\\x[0189A-Fa-f][0-9A-Fa-f]")
+_URL_BYTES = re.compile(r"(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~!*'()+/-])++")
+_X_BYTES = re.compile(r"(?:\\x[0-9A-Fa-f]{2}|\\[nrtabfv0\\'\"]|[ -\[\]-~])++")
+_BYTE = re.compile(r"%([0-9A-Fa-f]{2})|\\x([0-9A-Fa-f]{2})|\\([nrtabfv0\\'\"])|(.)", re.DOTALL)
+_SHORT_ESCAPES = dict(zip("nrtabfv0\\'\"", b"\n\r\t\a\b\f\v\0\\'\"", strict=True))
+_MAGIC = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\0|\x28\xb5\x2f\xfd")
 _URLSAFE = str.maketrans("-_", "+/")
 
 
@@ -262,7 +273,7 @@ def _char(code: int) -> str | None:
 
 
 def _unescape(layer: Layer, budget: _Budget) -> Iterator[Layer]:
-    """The layer with its escapes decoded in place, and layers of escaped compressed data."""
+    """The layer with its escapes decoded in place."""
     t = layer.text
     if "%" not in t and "\\" not in t and "&#" not in t:
         return
@@ -287,17 +298,19 @@ def _unescape(layer: Layer, budget: _Budget) -> Iterator[Layer]:
         last = m.end()
         if m[1]:
             data = bytes.fromhex(m[1].replace("%", ""))
-            try:
-                text = data.decode("utf-8")
-            except UnicodeDecodeError:
-                yield from _layers(layer, data, "url", *m.span(), budget)
-                copy(*m.span())
-                continue
             at = m.start()
-            for c in text:
-                width = 3 * len(c.encode("utf-8"))
-                put(c, at, at + width, "url")
-                at += width
+            while data:                                     # bytes that are not UTF-8 stay escaped
+                try:
+                    text, bad = data.decode("utf-8"), 0
+                except UnicodeDecodeError as e:
+                    text, bad = data[:e.start].decode("utf-8"), e.end - e.start
+                for c in text:
+                    width = 3 * len(c.encode("utf-8"))
+                    put(c, at, at + width, "url")
+                    at += width
+                copy(at, at + 3 * bad)
+                at += 3 * bad
+                data = data[len(text.encode("utf-8")) + bad:]
         elif m[2]:
             pending = None                                  # a high surrogate waiting for its low one
             for u in _UNICODE.finditer(m[2]):
@@ -330,16 +343,87 @@ def _unescape(layer: Layer, budget: _Budget) -> Iterator[Layer]:
         yield Layer("".join(out), f"{layer.chain}.{chain}".lstrip("."), begin, end, made)
 
 
+def _consumed(data: bytes) -> int:
+    """How many bytes of ``data`` its first compressed stream takes; all if that cannot be told."""
+    name = _format(data)
+    if name not in _DECODERS:
+        return len(data)
+    decoder, rest = _DECODERS[name](), data
+    try:
+        while not decoder.eof:
+            out = decoder.decompress(rest, CHUNK)
+            rest = getattr(decoder, "unconsumed_tail", b"")
+            if not out and not rest and not decoder.eof:
+                return len(data)
+        return len(data) - len(decoder.unused_data)
+    except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
+        return len(data)
+
+
+def _escaped_bytes(layer: Layer, budget: _Budget) -> Iterator[Layer]:
+    """Layers of compressed data in runs of escaped bytes and characters left as they are."""
+    t = layer.text
+    for high, runs, outer in ((_HIGH_URL, _URL_BYTES, "url"), (_HIGH_X, _X_BYTES, "unicode")):
+        if not high.search(t):
+            continue
+        for m in runs.finditer(t):
+            if not high.search(m[0]):
+                continue
+            data, places = bytearray(), []
+            for u in _BYTE.finditer(m[0]):
+                data.append(int(u[1] or u[2], 16) if u[1] or u[2] else _SHORT_ESCAPES[u[3]] if u[3] else ord(u[4]))
+                places.append(m.start() + u.start())
+            places.append(m.end())
+            data, at = bytes(data), 0
+            while magic := _MAGIC.search(data, at):
+                at = magic.start()
+                whole = budget.complete                     # a chance magic that is no stream says nothing
+                begun = False
+                size = _consumed(data[at:]) if budget.left is None else len(data) - at
+                for new in _layers(layer, data[at:], outer, places[at], places[at + size], budget):
+                    begun = True
+                    yield new
+                if not begun and budget.left is None:
+                    budget.complete = whole
+                at += size if begun else 1
+
+
+def _decoded64(run: str) -> bytes | None:
+    raw = run.rstrip("=").translate(_URLSAFE)
+    if len(raw) % 4 == 1:
+        return None
+    try:
+        return base64.b64decode(raw + "=" * (-len(raw) % 4), validate=True)
+    except (binascii.Error, ValueError):
+        return None
+
+
+def _wrapped(lines: list[re.Match]) -> Iterator[list[re.Match]]:
+    """Groups of lines that may be one wrapped run: all, and lines of one width with and without a
+    shorter last one."""
+    yield lines
+    a = 0
+    while a < len(lines):
+        b = a + 1
+        while b < len(lines) and len(lines[b][0]) == len(lines[a][0]):
+            b += 1
+        if b < len(lines) and len(lines[b][0]) < len(lines[a][0]) and (a, b + 1) != (0, len(lines)):
+            yield lines[a:b + 1]
+        if b - a > 1 and (a, b) != (0, len(lines)):
+            yield lines[a:b]
+        a = b
+
+
 def _unbase64(layer: Layer, budget: _Budget) -> Iterator[Layer]:
+    for m in _WRAPPED.finditer(layer.text) if "\n" in layer.text else ():
+        for lines in _wrapped(list(_LINE.finditer(layer.text, *m.span()))):
+            data = _decoded64("".join(x[0] for x in lines))
+            if data:
+                yield from _layers(layer, data, "base64", lines[0].start(), lines[-1].end(), budget)
     for m in _BASE64.finditer(layer.text):
-        raw = m[0].rstrip("=").translate(_URLSAFE)
-        if len(raw) % 4 == 1:
-            continue
-        try:
-            data = base64.b64decode(raw + "=" * (-len(raw) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        yield from _layers(layer, data, "base64", *m.span(), budget)
+        data = _decoded64(m[0])
+        if data:
+            yield from _layers(layer, data, "base64", *m.span(), budget)
 
 
 def find_spans(text: str | None, max_decoded: int | None = None) -> list[tuple[str, int, int, str]]:
@@ -361,7 +445,7 @@ def scan_text(text: str | None, max_decoded: int | None = None) -> tuple[list[tu
             layer = work.popleft()
             for kind, a, b, chain in layer.spans():
                 found.setdefault((kind, a, b), chain)
-            for unwrap in (_unescape, _unbase64):
+            for unwrap in (_unescape, _escaped_bytes, _unbase64):
                 for new in unwrap(layer, budget):
                     if not new.text:
                         continue

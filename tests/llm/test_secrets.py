@@ -71,6 +71,26 @@ def test_streams_are_read_to_their_end():
     assert not complete and spans
 
 
+@pytest.mark.parametrize("coded", [
+    base64.encodebytes(b"some words before that fill a line of base64 " + PLAIN.encode()).decode().strip(),
+    base64.encodebytes(gzip.compress((PLAIN + "".join(map(str, range(99)))).encode())).decode().strip().replace("\n", "\r\n"),
+    "dG9rZW49MTIzNDU2Nzg=",
+    urllib.parse.quote(gzip.compress(PLAIN.encode())),
+    urllib.parse.quote(zlib.compress(PLAIN.encode())),
+    repr(zlib.compress(PLAIN.encode()))[2:-1],
+    repr(gzip.compress(PLAIN.encode()))[2:-1],
+])
+def test_wrapped_short_and_mixed_runs(coded):
+    text = f"see: {coded} here\nand there"
+    found = [(text[a:b], chain) for k, a, b, chain in S.find_spans(text) if k == "assign"]
+    assert any(run in (coded, coded.rstrip("=")) and chain for run, chain in found)
+
+
+def test_a_byte_that_is_not_utf8_leaves_the_rest_of_its_run():
+    text = "%FF" + "".join(f"%{b:02X}" for b in b"token=12345678")
+    assert ("assign", 3, len(text), "url") in S.find_spans(text)
+
+
 def test_redaction_masks_each_run_once():
     coded = base64.b64encode(PLAIN.encode()).decode()
     assert S.redacted(f"a {coded} b {PLAIN} c") == "a [SECRET] b [SECRET]\" c"
