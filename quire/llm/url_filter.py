@@ -21,6 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.urls import with_resolved_url
 from quire.llm.components import components
 
 
@@ -74,19 +75,21 @@ def canonical_form(url: Column) -> Column:
 
 
 def declared_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(src, dst): canonical links and refresh redirects that pages declare in their head;
-    addresses relative to the page's site are completed."""
+    """(src, dst): canonical links and refresh redirects that pages declare, from all such tags with
+    their attributes in any order; targets are resolved against the page's address (RFC 3986)."""
     def attribute(tag: Column, name: str) -> Column:
-        return F.regexp_extract(tag, rf"(?is)\b{name}\s*=\s*[\"']?([^\"'\s>]+)", 1)
-
-    html = F.col(html_col)
-    link = F.array_join(F.filter(F.regexp_extract_all(html, F.lit(r"(?is)<link\b[^>]*>"), F.lit(0)),
-                                 lambda t: t.rlike(r"(?is)\brel\s*=\s*[\"']?canonical\b")), "")
-    meta = F.regexp_extract(html, r"(?is)<meta\b[^>]*http-equiv\s*=\s*[\"']?refresh\b[^>]*url\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    found = pages.select(F.col(url_col).alias("src"), F.explode(F.array(attribute(link, "href"), meta)).alias("dst"))
-    site = F.regexp_extract("src", r"^[^/?#]*://[^/?#]*", 0)
-    return found.filter("dst <> '' and src is not null").select(
-        "src", F.when(F.col("dst").startswith("/") & ~F.col("dst").startswith("//"), F.concat(site, "dst")).otherwise(F.col("dst")).alias("dst"))
+        pattern = rf"(?is)[\s\"'/]{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+        return F.trim(F.concat(*(F.regexp_extract(tag, pattern, i) for i in (1, 2, 3))))
+
+    def tags(name: str) -> Column:
+        return F.regexp_extract_all(F.col(html_col), F.lit(rf"(?is)<{name}\b[^>]*>"), F.lit(0))
+
+    links = F.transform(F.filter(tags("link"), lambda t: attribute(t, "rel").rlike(r"(?i)(^|\s)canonical(\s|$)")),
+                        lambda t: attribute(t, "href"))
+    metas = F.transform(F.filter(tags("meta"), lambda t: F.lower(attribute(t, "http-equiv")) == "refresh"),
+                        lambda t: F.regexp_extract(attribute(t, "content"), r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1))
+    found = pages.select(F.col(url_col).alias("src"), F.explode(F.concat(links, metas)).alias("href"))
+    return with_resolved_url(found.filter("href <> '' and src is not null"), "src", "href", "dst").select("src", "dst")
 
 
 def judge_urls(urls: DataFrame, links: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url") -> DataFrame:

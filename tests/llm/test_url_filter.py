@@ -44,3 +44,13 @@ def test_hub_and_edge_rows(spark):
     links = spark.createDataFrame([], "src string, dst string")
     assert U.judge_urls(pages, links, queries.URL_RULES).count() == len(edge.rows())
     assert U.judge_urls(pages.limit(0), links, queries.URL_RULES).count() == 0
+
+
+def test_declared_links_of_any_shape(spark):
+    pages = spark.createDataFrame([
+        ("http://a.net/d/x", '<link href="y.html" rel="canonical"><link rel=canonical href="../z">'),
+        ("http://b.net/d/x?q", "<meta content='0; url=?id=1' http-equiv='Refresh'><META http-equiv=refresh content=0;url=//c.net/x>"),
+        ("http://d.net/x", '<meta name="refresh" content="url=/no"><link rel="alternate" href="/no">')], "url string, html string")
+    assert {tuple(r) for r in U.declared_links(pages).collect()} == {
+        ("http://a.net/d/x", "http://a.net/d/y.html"), ("http://a.net/d/x", "http://a.net/z"),
+        ("http://b.net/d/x?q", "http://b.net/d/x?id=1"), ("http://b.net/d/x?q", "http://c.net/x")}
