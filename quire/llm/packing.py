@@ -10,8 +10,8 @@ the scan, so a lost executor costs its own splits only.  Sequence numbers are th
 number and a counter, which a repeated task makes again.
 
 Defined cases: null text counts as empty (its one id is the end mark); repeated rows are
-packed once each; an empty table gives no rows; other columns are ignored.  Strings of special
-tokens in a text are ordinary text.
+packed once each; an empty table gives no rows; other columns are ignored.  Strings of the
+vocabulary's added tokens in a text (``ADDED``) are these tokens, as ``tokenizers`` has it by default.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ from quire.llm.common import small_batches
 MAX_TOKENS = 2048
 OPEN_BINS = 512
 END_ID = 0
+#: The added tokens of the public vocabulary, which its ranks don't list.
+ADDED = {"<|endoftext|>": 50256}
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
                     ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -42,7 +44,14 @@ def encoder(ranks_path: str, pattern: str) -> Callable[[str], list[int]]:
     import tiktoken
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    coding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=ADDED)
+
+    def encode(text: str) -> list[int]:
+        if any(token in text for token in ADDED):
+            return coding.encode(text, allowed_special="all")
+        return coding.encode_ordinary(text)
+
+    return encode
 
 
 class BestFit:

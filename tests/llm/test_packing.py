@@ -72,3 +72,11 @@ def test_round_trip(spark):
             at += length
         assert at <= 2048
     assert P.pack_documents(edge.empty(spark), RANKS, PATTERN).count() == 0
+
+
+def test_added_tokens_in_a_text_equal_tokenizers_by_default():
+    default = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encode = P.encoder(RANKS, PATTERN)
+    assert P.ADDED == {t.content: i for i, t in default.get_added_tokens_decoder().items()}
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n\ny  z", "<|endoftext|", " 's<|endoftext|>'s  "):
+        assert encode(text) == default.encode(text, add_special_tokens=False).ids
