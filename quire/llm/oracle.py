@@ -1,4 +1,4 @@
-"""DuckDB SQL for the corpus queries that SQL can express: 3, 7 and 9.
+"""DuckDB SQL for the corpus queries that SQL can express: 3, 7, 9, 12 and 13.
 
 The others decode, sketch, tokenise, learn or iterate; tests hold them against brute force,
 round trips and held-out labels.
@@ -163,5 +163,23 @@ SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coale
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_term, 0) AS n_term FROM d LEFT JOIN per USING (r)"""
 
 
+# ---------------------------------------------------------------- operator 13
+def sql_fill_in_middle() -> str:
+    def drawn(i: int) -> str:
+        return f"CAST('0x' || substr(name, {8 * i + 1}, 8) AS BIGINT)"
+
+    return f"""WITH cut AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS name,
+  regexp_extract_all(coalesce(text, ''), '{SPACE}*[^\x20\x09-\x0D]+|{SPACE}+') AS units FROM documents),
+placed AS (SELECT *, len(units) AS n, {drawn(0)} % (len(units) + 1) AS x, {drawn(1)} % (len(units) + 1) AS y,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR {drawn(2)} % 100 >= 50 THEN 'plain'
+       WHEN {drawn(3)} % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM cut),
+parts AS (SELECT *, array_to_string(units[1:least(x, y)], '') AS p, array_to_string(units[least(x, y) + 1:greatest(x, y)], '') AS m,
+  array_to_string(units[greatest(x, y) + 1:], '') AS s FROM placed)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(CASE form WHEN 'plain' THEN t ELSE p || m || s END) AS restored_sha256 FROM parts"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": sql_url_filter(), "op7_quality_rules": sql_quality_rules(), "op9_pii": sql_pii()}
+    return {"op3_url_filter": sql_url_filter(), "op7_quality_rules": sql_quality_rules(), "op9_pii": sql_pii(),
+            "op13_fill_in_middle": sql_fill_in_middle()}

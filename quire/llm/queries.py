@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import fingerprint, labels, mixing, neardup, packing, pii, quality, rules, secrets, toxicity, url_filter
+from quire.llm import fingerprint, infill, labels, mixing, neardup, packing, pii, quality, rules, secrets, toxicity, url_filter
 from quire.llm.common import read_table
 
 BPE_RANKS = "byte_bpe_50k.tiktoken"
@@ -103,5 +103,11 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN)
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 13 on every document: the output's digest and that of the text rebuilt from it."""
+    return infill.infill_digests(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_quality_classifier, op2_secret_scan, op3_url_filter, op4_fingerprints, op5_toxicity, op6_near_duplicates, op7_quality_rules, op8_source_mixing, op9_pii, op10_best_fit_packing)}
+    op1_quality_classifier, op2_secret_scan, op3_url_filter, op4_fingerprints, op5_toxicity, op6_near_duplicates, op7_quality_rules, op8_source_mixing, op9_pii, op10_best_fit_packing,
+    op13_fill_in_middle)}
