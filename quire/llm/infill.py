@@ -14,8 +14,8 @@ A row's key is a digest of its id and text, its input partition and its number a
 there, so copies under one id don't meet in one task, and a partition read again after a lost
 executor gives the same keys whatever order its rows come in.
 
-Shuffled: every text once, the rearranged ones twice, as compressed pieces; partitions are as
-many as the input's or the session's, so they grow with the input.
+Shuffled: every text once, the rearranged ones twice, as compressed pieces; the
+number of partitions follows the text's bytes, which are summed up first.
 
 Defined cases: null text counts as empty (plain, no units); a null id is drawn as an empty one;
 each of repeated rows gives its own row; an empty table gives no rows; other columns are ignored.
@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 
 #: A piece ends at the last unit border within so many bytes, or inside a longer unit.
 PIECE_BYTES = 1 << 17
+PARTITION_BYTES = 64 << 20                    # text of a shuffled partition, about
 HEADER = -1                                   # sorts before a row's pieces
 DIGESTS = ("doc_id long, n long, form string, prefix_chars long, middle_chars long, "
            "output_sha256 string, restored_sha256 string")
@@ -175,14 +176,17 @@ def _sorted(pairs: RDD, partitions: int) -> RDD:
     return pairs.repartitionAndSortWithinPartitions(partitions, lambda key: zlib.crc32(key[0]))
 
 
-def _partitions(docs: DataFrame, rdd: RDD) -> int:
-    return max(rdd.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def _partitions(docs: DataFrame, text: Column) -> int:
+    """Enough for the text's bytes, so that a task's pieces fit the sorter's memory."""
+    size = docs.agg(F.sum(F.octet_length(text)).alias("size")).first()["size"] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION_BYTES))
 
 
 def _assembled(docs: DataFrame, plan: Plan, id_col: str, text_col: str) -> tuple[RDD, int]:
     """Rows' headers and pieces, sorted by row and output place."""
-    rows = docs.select(docs[id_col].cast("long"), docs[text_col].cast("string").cast("binary")).rdd
-    n = _partitions(docs, rows)
+    text = docs[text_col].cast("string").cast("binary")
+    n = _partitions(docs, text)
+    rows = docs.select(docs[id_col].cast("long"), text).rdd
     return _sorted(rows.mapPartitionsWithIndex(_emit(plan, _Codec())), n), n
 
 

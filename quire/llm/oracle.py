@@ -163,6 +163,26 @@ SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coale
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_term, 0) AS n_term FROM d LEFT JOIN per USING (r)"""
 
 
+# ---------------------------------------------------------------- operator 12
+def sql_ranked_search() -> str:
+    def terms(table: str, key: str) -> str:
+        low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+        return (f"SELECT r, {key}, unnest(regexp_extract_all({low}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term "
+                f"FROM (SELECT *, row_number() OVER () AS r FROM {table})")
+
+    return f"""WITH tf AS (SELECT r, doc_id, term, count(*) AS tf FROM ({terms('documents', 'doc_id')}) GROUP BY r, doc_id, term),
+item AS (SELECT DISTINCT r AS i, item_id, term FROM ({terms('benchmark', 'item_id')})),
+doc AS (SELECT r, sum(tf)::BIGINT AS n FROM tf GROUP BY r),
+total AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_all FROM doc),
+weight AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, total
+  WHERE term IN (SELECT term FROM item) GROUP BY term, n_docs),
+impact AS (SELECT r, doc_id, term, (1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * n_docs) // n_all)) AS x
+  FROM tf JOIN weight USING (term) JOIN doc USING (r), total),
+scored AS (SELECT i, item_id, r, doc_id, sum(w * x)::BIGINT AS score FROM item JOIN weight USING (term) JOIN impact USING (term) GROUP BY i, item_id, r, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST, r) AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 50"""
+
+
 # ---------------------------------------------------------------- operator 13
 def sql_fill_in_middle() -> str:
     def drawn(i: int) -> str:
@@ -182,4 +202,4 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_c
 
 def oracle_sql() -> dict[str, str]:
     return {"op3_url_filter": sql_url_filter(), "op7_quality_rules": sql_quality_rules(), "op9_pii": sql_pii(),
-            "op13_fill_in_middle": sql_fill_in_middle()}
+            "op12_ranked_search": sql_ranked_search(), "op13_fill_in_middle": sql_fill_in_middle()}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import fingerprint, infill, labels, mixing, neardup, packing, pii, quality, rules, secrets, toxicity, url_filter
+from quire.llm import fingerprint, infill, labels, langid, lexical, mixing, neardup, packing, pii, quality, rules, secrets, toxicity, url_filter
 from quire.llm.common import read_table
 
 BPE_RANKS = "byte_bpe_50k.tiktoken"
@@ -103,6 +103,19 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN)
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 11 on every document, learnt outside the fold of remainder 2 of 4."""
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = labels.fold(F.col("doc_id"), 4) == 2
+    return langid.identify_languages(docs, ~held_out).select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 12: of all documents the 50 best for every benchmark item."""
+    return lexical.rank_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 13 on every document: the output's digest and that of the text rebuilt from it."""
     return infill.infill_digests(read_table(spark, sf_dir, "documents"))
@@ -110,4 +123,4 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_quality_classifier, op2_secret_scan, op3_url_filter, op4_fingerprints, op5_toxicity, op6_near_duplicates, op7_quality_rules, op8_source_mixing, op9_pii, op10_best_fit_packing,
-    op13_fill_in_middle)}
+    op11_language_id, op12_ranked_search, op13_fill_in_middle)}
