@@ -1,24 +1,28 @@
-"""HTML -> ordered content items (H1-H15), entirely with built-in Spark operators.
+"""HTML -> ordered content items.
 
-The page is never parsed into a tree.  It is cut into tokens (tags, text) with one
-regex, exploded into rows ``(page_id, pos, ...)``, and every structural question —
-"is this token inside a stripped element", "which block does this text belong to",
-"is this text bold" — is answered with running sums over the page in token order.
+A page is cut into tokens (tags, text) with one regex, all inside its row.  Which element a
+token lies in — stripped element, content root, block, ``<br>`` part, bold, anchor — is answered
+by one fold over the page's tag codes (``quire.operators.tree``, an Arrow function that sees
+tag names only); everything else is built-in Spark.  The fold returns the wanted tokens, so
+navigation, scripts and markup never leave the scan's task: what is exploded and shuffled is
+the text of blocks and the image tags.
 
-Physical shape: the narrow ``(page_id, html)`` rows are hash-partitioned by
-``page_id`` once, *before* the explode, so every window below (all partitioned by
-``page_id`` first) reuses that partitioning: one Exchange for the whole page pipeline.
+Physical shape: scan -> tokens -> places -> explode, no Exchange; then one Exchange of the kept
+text by ``page_id``, which all item windows and aggregates reuse.
 
 Deliberate deviations from a full HTML parser are listed in README.md (D1-D6).
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.functions import urls as U
+from quire.operators import tree
+from quire.session import bounded_batches
 
 # Fixed values --------------------------------------------------------------
 BLOCK_TAGS = ["p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "th", "blockquote", "pre"]
@@ -28,17 +32,7 @@ STRIP_TAGS = ["script", "style", "noscript", "nav", "footer", "header",
               "aside", "form", "button", "iframe"]
 # removed whole, with their text, before tokens are cut
 RAW_TEXT_TAGS = ["script", "style", "noscript"]
-BOLD_TAGS = ["b", "strong"]
-ITALIC_TAGS = ["i", "em"]
 ROOT_CLASS_RE = r"(?i)(content|entry|post|article|body)"
-# Our own model choices (not taken from the reference):
-# containers whose close tag ends an open block inside them
-WRAPPER_TAGS = ["div", "section", "article", "main", "ul", "ol", "dl", "table",
-                "thead", "tbody", "tfoot", "tr", "body"]
-VOID_TAGS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link",
-             "meta", "param", "source", "track", "wbr"]
-LIST_TAGS = ["ul", "ol"]
-
 # Tokenizer: raw-text elements whole (to end of input when unclosed), comments,
 # tags, declarations, text runs, and a lone '<' as text.  Same result in Java and RE2.
 # The leading '<' is factored out so the matcher fails fast everywhere else.
@@ -53,8 +47,7 @@ TOKEN_RE = (r"(?s)<(?:/?[A-Za-z](?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+>|
 # the text on its two sides (as a parser's separate text nodes would), but its
 # content never reaches the shuffle.
 SEPARATOR = "<!---->"
-
-_BIG = 1 << 31
+TAG_NAME_RE = r"^</?([A-Za-z][^ \t\n\r\f/>]*)"
 
 
 def _attr(tk: Column, name: str, decode: bool = True) -> Column:
@@ -69,220 +62,86 @@ def _has_attr(tk: Column, name: str) -> Column:
     return tk.rlike(r"(?i)\s" + name + r"(\s*=|[\s/>])")
 
 
-def _w_run() -> Window:
-    return (Window.partitionBy("page_id").orderBy("pos")
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+# ---------------------------------------------------------------- H1 tokens
+def _kind(tk: Column) -> Column:
+    """TOKEN_RE fixes the shapes: a token starting "</" is an end tag, "<!" / "<?" a
+    declaration, any other "<"-token longer than one char a start tag; the rest (including
+    a lone "<") is text.  Prefix tests instead of a regex per token."""
+    return (F.when(tk.startswith("</"), "close")
+            .when(tk.startswith("<!") | tk.startswith("<?"), "other")
+            .when(tk.startswith("<") & (F.length(tk) > 1), "open")
+            .otherwise("text"))
 
 
-def _w_page() -> Window:
-    return (Window.partitionBy("page_id").orderBy("pos")
-            .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+def _token_arrays(pages: DataFrame) -> DataFrame:
+    """``(page_id, url, tks)``: a page's tokens in one row; raw-text elements and comments are
+    cut out first."""
+    html = F.regexp_replace(F.coalesce(F.col("html"), F.lit("")), RAW_TEXT_RE, SEPARATOR)
+    return pages.select("page_id", "url", F.regexp_extract_all(html, F.lit(TOKEN_RE), 0).alias("tks"))
 
 
-def _delta(open_cond: Column, close_cond: Column) -> Column:
-    return F.when(open_cond, 1).when(close_cond, -1).otherwise(0)
+def _token_rows(rows: DataFrame) -> DataFrame:
+    """Adds ``kind``, ``tag`` and, on the tags that resolve links, ``base_url``; drops declarations."""
+    kind = _kind(F.col("tk"))
+    tag = F.lower(F.regexp_extract("tk", TAG_NAME_RE, 1))
+    rows = rows.select("page_id", "pos", "tk", kind.alias("kind"), F.when(kind != "text", tag).alias("tag"), "url")
+    return rows.filter(F.col("kind") != "other").select(
+        "page_id", "pos", "tk", "kind", "tag",
+        F.when((F.col("kind") == "open") & F.col("tag").isin("a", "img"), F.col("url")).alias("base_url"))
 
 
-# ---------------------------------------------------------------- H1 tokens
 def html_tokens(pages: DataFrame) -> DataFrame:
     """H1: ``(page_id, pos, tk, kind, tag, base_url)``; kinds open/close/text.
 
     Raw-text elements and comments are dropped; ``base_url`` is the page URL on
     ``a``/``img`` start tags only (the tokens that resolve links), NULL elsewhere.
     """
-    narrow = pages.select(
-        "page_id", "url",
-        F.regexp_replace(F.coalesce(F.col("html"), F.lit("")), RAW_TEXT_RE, SEPARATOR).alias("html"))
-    # An explicit partition count, the submitter's: the html shuffle is small in bytes but
-    # every byte costs a lot of window work downstream, so byte-based coalescing (AQE)
-    # would starve the cluster of tasks.
-    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    narrow = narrow.repartition(n, "page_id")
-    toks = narrow.select(
-        "page_id", "url",
-        F.posexplode(F.regexp_extract_all("html", F.lit(TOKEN_RE), 0)).alias("pos", "tk"))
-    # TOKEN_RE fixes the shapes: a token starting "</" is a close tag, "<!" / "<?" a
-    # declaration, any other "<"-token longer than one char a start tag; the rest
-    # (including a lone "<") is text.  Prefix tests instead of a regex per token.
-    tk = F.col("tk")
-    kind = (F.when(tk.startswith("</"), "close")
-            .when(tk.startswith("<!") | tk.startswith("<?"), "other")
-            .when(tk.startswith("<") & (F.length(tk) > 1), "open")
-            .otherwise("text"))
-    tag = F.lower(F.regexp_extract("tk", r"^</?([A-Za-z][A-Za-z0-9]*)", 1))
-    toks = toks.select("page_id", "pos", "tk", kind.alias("kind"),
-                       F.when(kind != "text", tag).alias("tag"), "url")
-    toks = toks.filter(F.col("kind") != "other")
-    return toks.select(
-        "page_id", "pos", "tk", "kind", "tag",
-        F.when((F.col("kind") == "open") & F.col("tag").isin("a", "img"), F.col("url"))
-        .alias("base_url"))
+    return _token_rows(_token_arrays(pages).select("page_id", "url", F.posexplode("tks").alias("pos", "tk")))
 
 
-# ---------------------------------------------------------------- H2 strip
-def _since(value: Column, resets: Column) -> Column:
-    """Running minimum of ``value`` since the last reset; ``resets`` counts the resets so far.
-    Offsetting by the count makes a page-level running minimum start anew at each."""
-    return F.min(value - resets * F.lit(_BIG)).over(_w_run()) + resets * F.lit(_BIG)
+# ---------------------------------------------------------------- H2-H7 places
+def _code(tk: Column) -> Column:
+    """A tag's name as the fold reads it (``tree.parse_code``); empty for texts and declarations."""
+    name = F.lower(F.regexp_extract(tk, TAG_NAME_RE, 1))
+    marked = (name == "div") & _attr(tk, "class", decode=False).rlike(ROOT_CLASS_RE)
+    return (F.when(_kind(tk) == "close", F.concat(F.lit("/"), name))
+            .when(_kind(tk) == "open", F.concat(name, F.when(tk.endswith("/>"), F.lit("/")).otherwise(F.lit("")),
+                                                F.when(marked, F.lit("*")).otherwise(F.lit(""))))
+            .otherwise(F.lit("")))
 
 
-def strip_noise(tokens: DataFrame, strip_tags: list[str] | None = None) -> DataFrame:
-    """H2: drop every token inside a stripped element (and the element's own tags).
+def placed_tokens(pages: DataFrame, want: str, strip_tags: list[str] | None = None, root: str = "auto",
+                  parent_tag: str = "li") -> DataFrame:
+    """H2-H7: the wanted tokens with their places, ``(page_id, url, pos, own, part, bold, italic,
+    tag, up, tk)``; ``tree.places`` says what ``want`` and the columns mean.  No Exchange."""
+    if root not in ("auto", "body"):
+        raise ValueError(f"unknown root mode {root!r}")
+    bounded_batches(pages.sparkSession)
+    strip = frozenset(STRIP_TAGS if strip_tags is None else strip_tags)
+
+    @F.arrow_udf(tree.PLACE)
+    def place(codes: pa.Array) -> pa.Array:
+        return tree.place_batch(codes, strip, root, want, parent_tag)
+
+    rows = _token_arrays(pages).select("page_id", "url", "tks", place(F.transform("tks", _code)).alias("places"))
+    wanted = F.transform("places", lambda p: F.struct(
+        *[p[c].alias(c) for c in ("pos", "own", "part", "bold", "italic", "tag", "up")], F.get("tks", p["pos"]).alias("tk")))
+    return rows.select("page_id", "url", F.inline(wanted))
 
-    One depth per tag, never below zero, so a stray close tag neither opens nor ends
-    anything; a self-closed start tag opens nothing; the close of a wrapper that was open
-    around an open stripped element ends that element.
-    """
-    tags = STRIP_TAGS if strip_tags is None else strip_tags
-    if not tags:
-        return tokens
-    kind, tag = F.col("kind"), F.col("tag")
-    is_open, is_close, wrapper = kind == "open", kind == "close", tag.isin(*WRAPPER_TAGS)
-    own = {x: i for i, x in enumerate(x for x in tags if x not in RAW_TEXT_TAGS)}
-    w = _w_run()
-    t = tokens.withColumn("_W", F.sum(_delta(is_open & wrapper, is_close & wrapper)).over(w))
-    opens = {x: is_open & (tag == x) & ~F.col("tk").endswith("/>") for x in own}
-    t = t.select("*", *[F.sum(_delta(opens[x], is_close & (tag == x))).over(w).alias(f"_s{i}") for x, i in own.items()],
-                 *[F.last(F.when(opens[x], F.col("_W")), ignorenulls=True).over(w).alias(f"_l{i}") for x, i in own.items()])
-    ends = {i: F.coalesce(is_close & wrapper & (F.col("_W") < F.col(f"_l{i}")), F.lit(False)) for i in own.values()}
-    t = t.select("*", *[F.sum(e.cast("int")).over(w).alias(f"_n{i}") for i, e in ends.items()],
-                 *[F.coalesce(F.last(F.when(e, F.col(f"_s{i}")), ignorenulls=True).over(w), F.lit(0)).alias(f"_b{i}") for i, e in ends.items()])
-    t = t.select("*", *[_since(F.col(f"_s{i}") - F.col(f"_b{i}"), F.col(f"_n{i}")).alias(f"_m{i}") for i in own.values()])
-    inside = F.lit(False)
-    for i in own.values():
-        inside = inside | (F.col(f"_s{i}") - F.col(f"_b{i}") - F.least(F.lit(0), F.col(f"_m{i}")) > 0)
-    return t.filter(~inside & ~F.coalesce(tag.isin(*tags), F.lit(False))).select(*tokens.columns)
-
-
-# ---------------------------------------------------------------- H3 root
-def content_root(tokens: DataFrame, root: str = "auto") -> DataFrame:
-    """H3: keep the tokens strictly inside the content root.
+
+def strip_noise(pages: DataFrame, strip_tags: list[str] | None = None) -> DataFrame:
+    """H2: the tokens outside stripped elements, with none of the elements' own tags."""
+    return _token_rows(placed_tokens(pages, "kept", strip_tags))
+
+
+def content_root(pages: DataFrame, root: str = "auto", strip_tags: list[str] | None = None) -> DataFrame:
+    """H3: of these the tokens inside the content root.
 
     ``auto``: first ``article``, else first ``main``, else first ``div`` whose class
     matches ``(content|entry|post|article|body)``, else ``body``, else the whole page
     (priority order, not document order).  ``body``: first ``body`` or the whole page.
-    The root ends at the close tag that brings its own tag's count back to zero.
-    """
-    is_open = F.col("kind") == "open"
-    tag = F.col("tag")
-
-    def first(cond: Column) -> Column:
-        return F.min(F.when(cond, F.col("pos"))).over(_w_page())
-
-    if root == "auto":
-        cands = [
-            ("article", first(is_open & (tag == "article"))),
-            ("main", first(is_open & (tag == "main"))),
-            ("div", first(is_open & (tag == "div")
-                          & _attr(F.col("tk"), "class", decode=False).rlike(ROOT_CLASS_RE))),
-            ("body", first(is_open & (tag == "body"))),
-        ]
-    elif root == "body":
-        cands = [("body", first(is_open & (tag == "body")))]
-    else:
-        raise ValueError(f"unknown root mode {root!r}")
-    t = tokens
-    for name, c in cands:
-        t = t.withColumn(f"_r_{name}", c)
-    root_pos = F.coalesce(*[F.col(f"_r_{n}") for n, _ in cands])
-    root_tag = F.lit(None).cast("string")
-    for n, _ in reversed(cands):
-        root_tag = F.when(F.col(f"_r_{n}").isNotNull(), F.lit(n)).otherwise(root_tag)
-    t = t.withColumn("_rp", root_pos).withColumn("_rt", root_tag).drop(
-        *[f"_r_{n}" for n, _ in cands])
-    inside = F.col("pos") >= F.col("_rp")
-    same = F.col("tag") == F.col("_rt")
-    t = t.withColumn("_c", F.sum(F.when(inside & same & is_open, 1)
-                                 .when(inside & same & (F.col("kind") == "close"), -1)
-                                 .otherwise(0)).over(_w_run()))
-    t = t.withColumn("_re", F.min(F.when((F.col("pos") > F.col("_rp")) & same
-                                         & (F.col("kind") == "close") & (F.col("_c") == 0),
-                                         F.col("pos"))).over(_w_page()))
-    keep = F.col("_rp").isNull() | (
-        (F.col("pos") > F.col("_rp")) & (F.col("_re").isNull() | (F.col("pos") < F.col("_re"))))
-    return t.filter(keep).drop("_rp", "_rt", "_c", "_re")
-
-
-# ---------------------------------------------------------------- H4-H7 segments
-def block_segments(tokens: DataFrame) -> DataFrame:
-    """H4-H7: annotate root tokens with their block segment and formatting.
-
-    A segment starts at every block open or close tag.  Adds per token: ``seg_pos``,
-    ``seg_tag``, ``seg_kind`` (of the tag that opened the segment), ``part_pos``
-    (segment start or the direct ``<br>`` that split it), ``in_block`` (no wrapper
-    close has ended the block yet), ``bold``, ``italic``, ``list_depth`` (open ul/ol
-    count at the segment start), and on the segment's first token (``seg_head``) whether
-    the block is a ``container``.  Depths inside a block count from its start and never go
-    below zero, so a stray close tag changes nothing after it.
-
-    Only running frames and ``lead`` are used: frames reaching forward to the end of
-    the page cost O(n^2) per page in Spark's window operator.
     """
-    kind, tag = F.col("kind"), F.col("tag")
-    is_open, is_close = kind == "open", kind == "close"
-    is_block = tag.isin(*BLOCK_TAGS)
-    is_bound = (is_open | is_close) & is_block
-    non_void_inline = ~is_block & ~tag.isin(*VOID_TAGS)
-
-    t = tokens.withColumn("_bound", F.coalesce(is_bound, F.lit(False)))
-    w = _w_run()
-    t = t.select(
-        "*",
-        F.sum(F.col("_bound").cast("int")).over(w).alias("_nb"),
-        F.sum(_delta(is_open & tag.isin(*WRAPPER_TAGS), is_close & tag.isin(*WRAPPER_TAGS))).over(w).alias("_W"),
-        F.sum(_delta(is_open & non_void_inline, is_close & non_void_inline)).over(w).alias("_I"),
-        F.sum(_delta(is_open & tag.isin(*BOLD_TAGS), is_close & tag.isin(*BOLD_TAGS))).over(w).alias("_B"),
-        F.sum(_delta(is_open & tag.isin(*ITALIC_TAGS), is_close & tag.isin(*ITALIC_TAGS))).over(w).alias("_It"),
-        F.sum(_delta(is_open & tag.isin(*LIST_TAGS), is_close & tag.isin(*LIST_TAGS))).over(w).alias("_L"),
-    )
-    # a wrapper's content is a scope: the blocks of one scope follow each other there,
-    # whatever lies inside the wrappers between them
-    same_level = Window.partitionBy("page_id", "_W").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    t = t.withColumn("_scope", F.coalesce(F.last(F.when(is_open & tag.isin(*WRAPPER_TAGS), F.col("pos")), ignorenulls=True)
-                                          .over(same_level), F.lit(-1)))
-    in_scope = Window.partitionBy("page_id", "_W", "_scope", "_bound").orderBy("pos")
-    t = t.select("*", F.lead("tag", 1).over(in_scope).alias("_nxt_tag"), F.lead("kind", 1).over(in_scope).alias("_nxt_kind"))
-
-    def at_start(c: str) -> Column:
-        return F.last(F.when(F.col("_bound"), F.col(c)), ignorenulls=True).over(w)
-
-    t = t.select(
-        "*",
-        at_start("_W").alias("_W0"), at_start("_I").alias("_I0"),
-        at_start("_B").alias("_B0"), at_start("_It").alias("_It0"),
-        at_start("tag").alias("seg_tag"), at_start("kind").alias("seg_kind"),
-        at_start("pos").alias("seg_pos"), at_start("_L").alias("list_depth"),
-    )
-    t = t.select(
-        "*", (F.col("_W") - F.col("_W0")).alias("_wrel"), (F.col("_I") - F.col("_I0")).alias("_irel"),
-        (F.col("_B") - F.col("_B0")).alias("_brel"), (F.col("_It") - F.col("_It0")).alias("_itrel"))
-    t = t.select("*", *[_since(F.col(f"_{c}rel"), F.col("_nb")).alias(f"_{c}min") for c in ("w", "i", "b", "it")])
-
-    def depth(c: str) -> Column:
-        return F.col(f"_{c}rel") - F.least(F.lit(0), F.col(f"_{c}min"))
-
-    br_split = is_open & (tag == "br") & (depth("i") == 0) & (F.col("seg_kind") == "open")
-    t = t.withColumn("_brs", F.coalesce(br_split, F.lit(False))).withColumn(
-        "part_pos", F.last(F.when(F.col("_bound") | F.col("_brs"), F.col("pos")), ignorenulls=True).over(w))
-    return t.select(
-        "page_id", "pos", "tk", "kind", "tag", "base_url", "seg_pos", "seg_tag", "seg_kind",
-        "part_pos", (F.col("_wmin") >= 0).alias("in_block"),
-        (depth("b") > 0).alias("bold"), (depth("it") > 0).alias("italic"),
-        "list_depth", F.col("_L").alias("_L_here"),
-        F.col("_bound").alias("seg_head"),
-        (F.col("_bound") & _is_container(tag, F.col("_nxt_tag"), F.col("_nxt_kind"))).alias("container"),
-    )
-
-
-def _is_container(seg_tag: Column, nxt_tag: Column, nxt_kind: Column) -> Column:
-    """H5: the block has a direct block child: the next block tag of its own scope opens a
-    block that does not auto-close it.  Lists and other wrappers in between don't matter.
-    Auto-close: any block closes p; li closes li; td/th close td/th; h* closes h*."""
-    headings = list(HEADING_STYLE)
-    auto_closed = (seg_tag == "p") | ((seg_tag == "li") & (nxt_tag == "li")) | (
-        seg_tag.isin("td", "th") & nxt_tag.isin("td", "th")) | (
-        seg_tag.isin(*headings) & nxt_tag.isin(*headings))
-    return F.coalesce((nxt_kind == "open") & ~auto_closed, F.lit(False))
+    return _token_rows(placed_tokens(pages, "root", strip_tags, root))
 
 
 def _run_markup(r: Column) -> Column:
@@ -293,14 +152,13 @@ def _run_markup(r: Column) -> Column:
             .when(i, F.concat(F.lit("*"), t, F.lit("*"))).otherwise(t))
 
 
-def _style(seg_tag: Column, parent_is_ol: Column) -> Column:
-    """Heading map, list item by parent list, else Normal."""
+def _style(tag: Column, up: Column) -> Column:
+    """Heading map, list item by its parent, else Normal."""
     style = F.lit("Normal")
-    for h, s in HEADING_STYLE.items():
-        style = F.when(seg_tag == h, F.lit(s)).otherwise(style)
-    return (F.when(seg_tag == "li", F.when(F.coalesce(parent_is_ol, F.lit(False)),
-                                          F.lit("List Number")).otherwise(F.lit("List Bullet")))
-            .otherwise(style))
+    for h, name in HEADING_STYLE.items():
+        style = F.when(tag == h, F.lit(name)).otherwise(style)
+    return F.when(tag == "li", F.when(F.coalesce(up == "ol", F.lit(False)), F.lit("List Number")).otherwise(
+        F.lit("List Bullet"))).otherwise(style)
 
 
 # ---------------------------------------------------------------- H15 items
@@ -308,106 +166,45 @@ RUN_TYPE = "array<struct<pos:int,text:string,bold:boolean,italic:boolean>>"
 
 
 def page_items(pages: DataFrame, include_images: bool = False, root: str = "auto",
-               strip_tags: list[str] | None = None, dedup: bool = True, tokens: DataFrame | None = None) -> DataFrame:
+               strip_tags: list[str] | None = None, dedup: bool = True) -> DataFrame:
     """``items(page_id, idx, type, style, runs, full_text, markup, img_url, alt)``.
 
-    Text items: one per kept block part with at least one non-blank run; runs carry
-    bold/italic from tags inside the block only; ``full_text`` is the runs joined with
+    Text items: one per block part with at least one non-blank run; a block with a block as a
+    child yields nothing itself (H5), a ``br`` right under a block starts a part (H6); runs
+    carry bold/italic from tags inside the block only; ``full_text`` is the runs joined with
     a space.  A text item is kept only at the first occurrence of its ``full_text`` in
-    the page (H12).  Image items (H13) follow the text of their block (H14).
-    ``tokens`` shares one tokenisation with ``detect_chapters`` (D10).
+    the page (H12).  Image items (H13) stand where their tag stands, behind the text of the
+    block or part they lie in (H14).
     """
-    tok = tokens if tokens is not None else html_tokens(pages)
-    tok = content_root(strip_noise(tok, strip_tags), root)
-    seg = block_segments(tok)
-
-    # One pass over the token rows feeds three kinds of item-level rows: block parts
-    # (their runs, and on a segment's first token whether it is a container), list-open
-    # events (for li styles) and images.  A token can play two roles, so roles are
-    # exploded, then grouped once.
-    kind, tag = F.col("kind"), F.col("tag")
-    in_open = F.coalesce(F.col("seg_kind") == "open", F.lit(False))
-    is_run = (kind == "text") & F.col("in_block") & in_open
-    is_head = F.col("seg_head") & in_open
-    is_event = (kind == "open") & tag.isin(*LIST_TAGS)
-    is_img = (kind == "open") & (tag == "img") if include_images else F.lit(False)
-    roles = F.array_compact(F.array(
-        F.when(is_run | is_head, F.lit("text")), F.when(is_event, F.lit("event")),
-        F.when(is_img, F.lit("image"))))
-    rows = seg.filter(is_run | is_head | is_event | is_img).select(
-        "*", F.explode(roles).alias("type"), is_run.alias("_is_run"))
-    rows = rows.withColumn("_gkey", F.when(F.col("type") == "text", F.col("part_pos")).otherwise(F.col("pos"))) \
-               .withColumn("_text", F.when(F.col("_is_run") & (F.col("type") == "text"),
-                                           T.collapse_ws(T.decode_entities(F.col("tk")))))
-    run = F.when(F.col("_text") != "", F.struct(
-        F.col("pos").cast("int").alias("pos"), F.col("_text").alias("text"), "bold", "italic"))
-    img_open = F.coalesce((F.col("seg_kind") == "open") & F.col("in_block"), F.lit(False))
-    grouped = rows.groupBy("page_id", "_gkey").agg(
-        F.first("type").alias("type"),
-        F.first("seg_pos").alias("seg_pos"),
-        F.first("seg_tag").alias("seg_tag"),
-        F.first(F.when(F.col("type") == "event", F.col("_L_here")).otherwise(F.col("list_depth"))).alias("list_depth"),
-        F.first(F.when(F.col("type") == "event", tag)).alias("_list_tag"),
-        F.array_sort(F.collect_list(run)).alias("runs"),
-        F.first("part_pos").alias("part_pos"),
-        F.first(img_open).alias("_img_open"),
-        F.first(F.when(F.col("type") == "image", F.col("tk"))).alias("_img_tk"),
-        F.first(F.when(F.col("type") == "image", F.col("base_url"))).alias("base_url"),
-        F.max(F.when(F.col("type") == "text", F.col("container"))).alias("container"),
-    )
-    is_image = F.col("type") == "image"
-    grouped = grouped.withColumn("_src", F.when(is_image, _attr(F.col("_img_tk"), "src", decode=False))) \
-                     .withColumn("_alt", F.when(is_image, _attr(F.col("_img_tk"), "alt", decode=False)))
-    grouped = grouped.withColumn("_src", T.py_strip(T.decode_entities(F.col("_src")))) \
-                     .withColumn("_alt", T.py_strip(T.decode_entities(F.col("_alt"))))
-    grouped = grouped.filter(~is_image | F.col("_src").rlike(r"(?s)^(?!data:)."))
-    grouped = U.with_resolved_url(grouped, "base_url", "_src", "img_url")
-    allrows = grouped.select(
-        "page_id", "type",
-        F.when(is_image & ~F.col("_img_open"), F.lit(None).cast("long")).when(
-            F.col("type") == "event", F.lit(None).cast("long")).otherwise(F.col("seg_pos")).alias("seg_pos"),
-        F.when(F.col("type") == "text", F.col("seg_tag")).alias("seg_tag"),
-        F.when(F.col("type") != "image", F.col("list_depth")).alias("list_depth"),
-        F.when(F.col("type") == "text", F.col("runs")).alias("runs"),
-        F.when(F.col("type") == "text", F.array_join(F.transform("runs", lambda r: r["text"]), " "))
-        .when(is_image, F.lit("")).alias("full_text"),
-        F.when(F.col("type") == "text", F.array_join(F.transform("runs", _run_markup), " ")).alias("markup"),
-        F.when(is_image, F.col("img_url")).alias("img_url"),
-        F.when(is_image, F.when(F.col("_alt") != "", F.col("_alt")).otherwise(F.lit("Image"))).alias("alt"),
-        F.when(F.col("type") == "text", F.lit(True)).when(is_image, F.col("_img_open"))
-        .otherwise(F.lit(False)).alias("_in_block"),
-        F.when(is_image & F.col("_img_open"), F.col("part_pos")).otherwise(F.col("_gkey")).alias("k1"),
-        F.when(is_image, F.lit(1)).otherwise(F.lit(0)).alias("k2"),
-        F.col("_gkey").alias("k3"),
-        "_list_tag", "container",
-    )
-    # the container fact reaches every part (and image) of the segment
-    ws = Window.partitionBy("page_id", "seg_pos")
-    allrows = allrows.select(
-        "*",
-        F.coalesce(F.max("container").over(ws), F.lit(False)).alias("_container"))
-    container = F.col("_container")
-    in_item = F.col("seg_pos").isNotNull() & ~container & F.col("_in_block")
-    allrows = allrows.filter(
-        ((F.col("type") == "text") & ~container & (F.size("runs") > 0))
-        | (F.col("type") == "event") | (F.col("type") == "image")
-    ).withColumn("k1", F.when((F.col("type") == "image") & ~in_item, F.col("k3")).otherwise(F.col("k1"))) \
-     .withColumn("k2", F.when((F.col("type") == "image") & ~in_item, F.lit(0)).otherwise(F.col("k2")))
-    wl = (Window.partitionBy("page_id", "list_depth").orderBy("k1", "k2", "k3")
-          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    allrows = allrows.withColumn(
-        "_parent_list", F.last("_list_tag", ignorenulls=True).over(wl)).filter(
-        F.col("type") != "event")
-    items = allrows.select(
-        "page_id", "type", "k1", "k2", "k3", "runs", "full_text", "markup", "img_url", "alt",
-        F.when(F.col("type") == "text",
-               _style(F.col("seg_tag"), F.col("_parent_list") == "ol")).alias("style"),
-    )
+    rows = placed_tokens(pages, "items", strip_tags, root)
+    is_img = F.col("tag") == "img"
+    rows = rows.filter((is_img & F.lit(include_images)) | (~is_img & (_kind(F.col("tk")) == "text")))
+    rows = rows.select("page_id", "pos", "part", "bold", "italic", "tag", "up", "tk",
+                       F.when(is_img, F.col("url")).alias("base_url")).repartition("page_id")
+    rows = rows.withColumn("_text", F.when(~is_img, T.collapse_ws(T.decode_entities(F.col("tk")))))
+    run = F.when(F.col("_text") != "", F.struct("pos", F.col("_text").alias("text"), "bold", "italic"))
+    items = rows.groupBy("page_id", "part").agg(
+        F.array_sort(F.collect_list(run)).alias("runs"), F.first("tag").alias("tag"), F.first("up").alias("up"),
+        F.first(F.when(is_img, F.col("tk")), ignorenulls=True).alias("_tk"),
+        F.first("base_url", ignorenulls=True).alias("base_url"))
+    items = items.select(
+        "*", T.py_strip(T.decode_entities(_attr(F.col("_tk"), "src", decode=False))).alias("_src"),
+        T.py_strip(T.decode_entities(_attr(F.col("_tk"), "alt", decode=False))).alias("_alt"))
+    items = items.filter(F.when(is_img, F.col("_src").rlike(r"(?s)^(?!data:).")).otherwise(F.size("runs") > 0))
+    items = U.with_resolved_url(items, "base_url", "_src", "img_url")
+    items = items.select(
+        "page_id", "part", F.when(is_img, F.lit("image")).otherwise(F.lit("text")).alias("type"),
+        F.when(~is_img, _style(F.col("tag"), F.col("up"))).alias("style"),
+        F.when(~is_img, F.col("runs")).alias("runs"),
+        F.when(is_img, F.lit("")).otherwise(F.array_join(F.transform("runs", lambda r: r["text"]), " ")).alias("full_text"),
+        F.when(~is_img, F.array_join(F.transform("runs", _run_markup), " ")).alias("markup"),
+        F.when(is_img, F.col("img_url")).alias("img_url"),
+        F.when(is_img, F.when(F.col("_alt") != "", F.col("_alt")).otherwise(F.lit("Image"))).alias("alt"))
     if dedup:
-        wd = Window.partitionBy("page_id", "full_text").orderBy("k1", "k2", "k3")
+        wd = Window.partitionBy("page_id", "type", "full_text").orderBy("part")
         items = items.withColumn("_first", F.row_number().over(wd)).filter(
             (F.col("type") != "text") | (F.col("_first") == 1)).drop("_first")
-    wi = Window.partitionBy("page_id").orderBy("k1", "k2", "k3")
+    wi = Window.partitionBy("page_id").orderBy("part")
     return items.select(
         "page_id", (F.row_number().over(wi) - 1).alias("idx"), "type", "style", "runs",
         "full_text", "markup", "img_url", "alt")

@@ -1,4 +1,4 @@
-"""Table-of-contents link detection (L1-L6) over the shared token stream.
+"""Table-of-contents link detection.
 
 Order of operations is part of the semantics and is kept exactly:
 href filter (U8) -> resolve + defrag (U2, U3) -> same site (U5) -> first occurrence per
@@ -14,77 +14,42 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.functions import urls as U
-from quire.operators.html import (STRIP_TAGS, VOID_TAGS, _attr, _has_attr, content_root,
-                                  html_tokens, strip_noise)
+from quire.operators.html import _attr, _has_attr, _kind, placed_tokens
 
 # Fixed values --------------------------------------------------------------
 RESERVED_TITLES = ["table of contents", "introduction"]
 DEFAULT_MAX_CHAPTERS = 100
 
 
-def anchors(tokens: DataFrame, parent_tag: str = "li") -> DataFrame:
+def anchors(pages: DataFrame, parent_tag: str = "li", strip_tags: list[str] | None = None,
+            root: str = "auto") -> DataFrame:
     """L1: anchors with an ``href`` attribute whose parent element is ``parent_tag``.
 
-    ``(page_id, pos, href, base_url, text)``.  The parent is the last start tag opened
-    at the anchor's own depth minus one (depth = open minus close of non-void tags),
-    which tolerates unclosed ``li``/``p``.  ``text`` is the anchor's text nodes,
-    each stripped, blank ones dropped, joined by one space (``get_text(" ", strip)``).
+    ``(page_id, pos, href, base_url, text)``; parents come from the page's stack of open
+    elements.  ``text`` is the anchor's text nodes, each stripped, blank ones dropped, joined by
+    one space (``get_text(" ", strip)``).  One Exchange, of the anchors and their texts.
     """
-    kind, tag = F.col("kind"), F.col("tag")
-    is_open, is_close = kind == "open", kind == "close"
-    nonvoid = ~tag.isin(*VOID_TAGS)
-    w = (Window.partitionBy("page_id").orderBy("pos")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    t = tokens.select(
-        "*",
-        F.sum(F.when(is_open & nonvoid, 1).when(is_close & nonvoid, -1).otherwise(0)).over(w).alias("_D"),
-        F.sum(F.when(is_open & (tag == "a"), 1).otherwise(0)).over(w).alias("_na"),
-        F.sum(F.when(is_open & (tag == "a"), 1).when(is_close & (tag == "a"), -1).otherwise(0)).over(w).alias("_open_a"),
-    )
-    # never below zero: a stray </a> doesn't count against the anchors after it
-    t = t.withColumn("_ina", F.col("_open_a") - F.least(F.lit(0), F.min("_open_a").over(w)))
-    # keep start tags (parent lookup) and text inside anchors (titles) only
-    t = t.filter((is_open & nonvoid)
-                 | ((kind == "text") & (F.col("_ina") > 0) & (F.col("_na") > 0)))
-    is_a = is_open & (tag == "a")
-    t = t.select(
-        "page_id", "pos", "kind", "tag", "base_url", "_na",
-        F.when(is_open, F.when(tag == "a", F.col("_D") - 1).otherwise(F.col("_D"))).alias("_key"),
-        F.when(kind == "text", F.col("tk")).alias("_text_raw"),
-        F.when(is_a & _has_attr(F.col("tk"), "href"), _attr(F.col("tk"), "href", decode=False)).alias("_href_raw"))
-    # decoded text is computed here, under the windows below, so later filters on it
-    # cannot be pushed down and expanded into every predicate
-    t = t.withColumn("_text", T.py_strip(T.decode_entities(F.col("_text_raw")))) \
-         .withColumn("href", T.py_strip(T.decode_entities(F.col("_href_raw"))))
-    # parent of each anchor: last start tag whose depth-after-open equals the
-    # anchor's depth before it opens
-    wk = (Window.partitionBy("page_id", "_key").orderBy("pos")
-          .rowsBetween(Window.unboundedPreceding, -1))
-    t = t.withColumn("_parent", F.last(F.when(F.col("tag") != "a", F.col("tag")),
-                                       ignorenulls=True).over(wk))
-    # title: the anchor's text rows share its running anchor number
-    wa = Window.partitionBy("page_id", "_na")
-    parts = F.collect_list(F.when((F.col("kind") == "text") & (F.col("_text") != ""),
-                                  F.struct("pos", "_text"))).over(wa)
-    t = t.withColumn("_title", F.array_join(
-        F.transform(F.array_sort(parts), lambda s: s["_text"]), " "))
-    a = t.filter((F.col("kind") == "open") & (F.col("tag") == "a") & F.col("href").isNotNull()
-                 & (F.col("_parent") == parent_tag))
-    return a.select("page_id", "pos", "href", "base_url",
-                    F.coalesce(F.col("_title"), F.lit("")).alias("text"))
+    rows = placed_tokens(pages, "links", strip_tags, root, parent_tag)
+    is_a = F.col("tag") == "a"
+    rows = rows.select("page_id", "pos", "own", "tk", F.coalesce(is_a, F.lit(False)).alias("_is_a"),
+                       F.when(is_a, F.col("url")).alias("base_url")).filter(F.col("_is_a") | (_kind(F.col("tk")) == "text"))
+    rows = rows.repartition("page_id").select(
+        "page_id", "pos", "own", "base_url", F.when(F.col("_is_a"), F.col("tk")).alias("_tk"),
+        F.when(~F.col("_is_a"), T.py_strip(T.decode_entities(F.col("tk")))).alias("_text"))
+    part = F.when(F.col("_text") != "", F.struct("pos", "_text"))
+    a = rows.groupBy("page_id", "own").agg(
+        F.first("_tk", ignorenulls=True).alias("_tk"), F.first("base_url", ignorenulls=True).alias("base_url"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda s: s["_text"]), " ").alias("text"))
+    a = a.filter(_has_attr(F.col("_tk"), "href"))
+    return a.select("page_id", F.col("own").alias("pos"),
+                    T.py_strip(T.decode_entities(_attr(F.col("_tk"), "href", decode=False))).alias("href"), "base_url", "text")
 
 
 def detect_chapters(pages: DataFrame, max_chapters: int | None = DEFAULT_MAX_CHAPTERS,
                     strip_tags: list[str] | None = None, root: str = "auto",
-                    parent_tag: str = "li", tokens: DataFrame | None = None,
-                    cap: bool = True, dedup: bool = True, skip_reserved: bool = True) -> DataFrame:
-    """``links(page_id, link_no, title, url, norm_url, slug)``, ``link_no`` from 1.
-
-    ``tokens`` may be passed to share one tokenisation with ``page_items`` (D10).
-    """
-    tok = tokens if tokens is not None else html_tokens(pages)
-    tok = content_root(strip_noise(tok, STRIP_TAGS if strip_tags is None else strip_tags), root)
-    a = anchors(tok, parent_tag)
+                    parent_tag: str = "li", cap: bool = True, dedup: bool = True, skip_reserved: bool = True) -> DataFrame:
+    """``links(page_id, link_no, title, url, norm_url, slug)``, ``link_no`` from 1."""
+    a = anchors(pages, parent_tag, strip_tags, root)
     a = a.filter(U.href_usable(F.col("href")))
     a = U.with_resolved_url(a, "base_url", "href", "url")
     a = a.withColumn("url", U.url_defrag(F.col("url")))

@@ -20,6 +20,12 @@ from quire.plans import queries as Q
 from quire.plans.site_fixture import SITE_CONFIG, SITE_SQL
 
 
+# The SQL nests elements by running counts, not by a stack: these are its own sets.
+WRAPPER_TAGS = ["div", "section", "article", "main", "ul", "ol", "dl", "table",
+                "thead", "tbody", "tfoot", "tr", "body"]
+VOID_TAGS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link",
+             "meta", "param", "source", "track", "wbr"]
+
 #: RE2 never backtracks, so it needs no possessive marks (nor knows them).
 TOKEN_RE = H.TOKEN_RE.replace("*+", "*").replace("++", "+")
 
@@ -253,8 +259,8 @@ tok1 AS (SELECT page_id, url, unnest(l) AS tk, CAST(generate_subscripts(l, 1) -
 tok2 AS (SELECT *, CASE WHEN regexp_matches(tk, '^<[A-Za-z]') THEN 'open' WHEN regexp_matches(tk, '^</[A-Za-z]') THEN 'close'
          WHEN starts_with(tk, '<!') OR starts_with(tk, '<?') THEN 'other' ELSE 'text' END AS kind FROM tok1),
 tok AS (SELECT page_id, pos, tk, kind,
-         CASE WHEN kind <> 'text' THEN lower(regexp_extract(tk, '^</?([A-Za-z][A-Za-z0-9]*)', 1)) END AS tag,
-         CASE WHEN kind = 'open' AND lower(regexp_extract(tk, '^</?([A-Za-z][A-Za-z0-9]*)', 1)) IN ('a', 'img') THEN url END AS base_url
+         CASE WHEN kind <> 'text' THEN lower(regexp_extract(tk, {lit(H.TAG_NAME_RE)}, 1)) END AS tag,
+         CASE WHEN kind = 'open' AND lower(regexp_extract(tk, {lit(H.TAG_NAME_RE)}, 1)) IN ('a', 'img') THEN url END AS base_url
          FROM tok2 WHERE kind <> 'other')"""
 
 
@@ -264,7 +270,7 @@ def _since(value: str, resets: str) -> str:
 
 
 def strip_ctes(src: str, tags, out: str = "strip") -> str:
-    wrap = lits(H.WRAPPER_TAGS)
+    wrap = lits(WRAPPER_TAGS)
     own = [x for x in tags if x not in H.RAW_TEXT_TAGS]
     opens = [f"kind = 'open' AND tag = {lit(x)} AND NOT ends_with(tk, '/>')" for x in own]
     one = ", ".join(f"sum(CASE WHEN {o} THEN 1 WHEN kind = 'close' AND tag = {lit(x)} THEN -1 ELSE 0 END) OVER {WRUN} AS _s{i}, "
@@ -309,7 +315,7 @@ def _delta(open_tags, close_tags=None) -> str:
 
 
 def segment_ctes(src: str, out: str = "seg") -> str:
-    blk, wrap, void = lits(H.BLOCK_TAGS), lits(H.WRAPPER_TAGS), lits(H.VOID_TAGS)
+    blk, wrap, void = lits(H.BLOCK_TAGS), lits(WRAPPER_TAGS), lits(VOID_TAGS)
     w = "(PARTITION BY page_id, _W, _scope, _bound ORDER BY pos)"
     heads = lits(list(H.HEADING_STYLE))
 
@@ -455,7 +461,7 @@ SELECT page_id, idx, style, full_text FROM ext"""
 
 
 def anchors_ctes(src: str, out: str = "anc") -> str:
-    void = lits(H.VOID_TAGS)
+    void = lits(VOID_TAGS)
     return f"""{out}_0 AS (SELECT *, sum(CASE WHEN kind = 'open' AND tag NOT IN {void} THEN 1 WHEN kind = 'close' AND tag NOT IN {void} THEN -1 ELSE 0 END) OVER {WRUN} AS _D,
     sum(CASE WHEN kind = 'open' AND tag = 'a' THEN 1 ELSE 0 END) OVER {WRUN} AS _na,
     sum(CASE WHEN kind = 'open' AND tag = 'a' THEN 1 WHEN kind = 'close' AND tag = 'a' THEN -1 ELSE 0 END) OVER {WRUN} AS _oa

@@ -181,14 +181,12 @@ def q_html_tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_html_strip(spark: SparkSession, sf: str) -> DataFrame:
     """H2: tokens left after removing noise elements."""
-    t = H.strip_noise(H.html_tokens(_pages(spark, sf)))
-    return t.select("page_id", "pos", "kind", "tag")
+    return H.strip_noise(_pages(spark, sf)).select("page_id", "pos", "kind", "tag")
 
 
 def q_html_root(spark: SparkSession, sf: str) -> DataFrame:
     """H3: tokens inside the content root."""
-    t = H.content_root(H.strip_noise(H.html_tokens(_pages(spark, sf))))
-    return t.select("page_id", "pos", "kind", "tag")
+    return H.content_root(_pages(spark, sf)).select("page_id", "pos", "kind", "tag")
 
 
 def _flat_items(items: DataFrame) -> DataFrame:
@@ -222,8 +220,7 @@ def q_scrape_page(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_toc_links(spark: SparkSession, sf: str) -> DataFrame:
     """L1/L2: every ``li > a[href]`` of each page body (nav kept), with raw href."""
-    t = H.content_root(H.strip_noise(H.html_tokens(_pages(spark, sf)), NAV_KEPT), "body")
-    a = L.anchors(t)
+    a = L.anchors(_pages(spark, sf), strip_tags=NAV_KEPT, root="body")
     return a.select("page_id", "pos", "href", "text")
 
 

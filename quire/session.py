@@ -44,6 +44,18 @@ def build_session(master: str | None = None, app: str = "quire",
     return spark
 
 
+#: Pages of an Arrow batch: a page can hold very many tags, so a worker must not get the 10,000
+#: rows that Spark sends by default.
+BATCH_PAGES = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small enough for a worker's memory (only ever lowers the setting)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_PAGES:
+        spark.conf.set(key, str(BATCH_PAGES))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder for checkpoints that driver and executors share.
 

@@ -85,7 +85,7 @@ def test_tokens_strip_root_counts(spark):
     df = pages_df(spark, [(1, "u", "<html><body><nav><a href='/x'>x</a></nav><article><p>a</p></article></body></html>")])
     t = html_tokens(df)
     assert [r.kind for r in t.orderBy("pos").collect()][:3] == ["open", "open", "open"]
-    s = strip_noise(t)
+    s = strip_noise(df)
     assert "nav" not in {r.tag for r in s.collect()}
-    r = content_root(s)
+    r = content_root(df)
     assert [(x.kind, x.tag) for x in r.orderBy("pos").collect()] == [("open", "p"), ("text", None), ("close", "p")]

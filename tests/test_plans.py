@@ -1,7 +1,7 @@
 """Plan-shape checks: the page pipeline shuffles once, caps use WindowGroupLimit,
 scans are pruned, and no nested-loop or cartesian joins appear."""
 from conftest import pages_df
-from quire.operators.html import block_segments, content_root, html_tokens, strip_noise, page_items
+from quire.operators.html import content_root, html_tokens, placed_tokens, strip_noise, page_items
 from quire.operators.links import detect_chapters
 
 
@@ -9,15 +9,19 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_page_pipeline_has_one_exchange(spark):
+def test_tokens_and_places_need_no_exchange(spark):
     df = pages_df(spark, [(1, "u", "<article><p>a</p></article>")])
-    seg = block_segments(content_root(strip_noise(html_tokens(df))))
-    assert _plan(seg).count("Exchange") == 1
+    for tokens in (html_tokens(df), strip_noise(df), content_root(df), placed_tokens(df, "items"), placed_tokens(df, "links")):
+        assert "Exchange" not in _plan(tokens)
 
 
-def test_items_add_no_exchange(spark):
+def test_items_and_links_have_one_exchange_without_html(spark):
     df = pages_df(spark, [(1, "u", "<article><p>a</p></article>")])
-    assert _plan(page_items(df)).count("Exchange") == 1
+    for rows in (page_items(df, include_images=True), detect_chapters(df, 3)):
+        plan = _plan(rows)
+        assert plan.count("Exchange") == 1
+        below = plan[plan.index("Exchange"):].split("\n")[1]
+        assert "html" not in below and "tks" not in below
 
 
 def test_link_cap_uses_window_group_limit(spark):
