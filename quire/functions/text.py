@@ -7,6 +7,7 @@ B9 placeholders.
 from __future__ import annotations
 
 from html.entities import name2codepoint
+from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -85,14 +86,29 @@ def decode_entities(col: Column) -> Column:
     return F.when(F.instr(col, "&") > 0, joined).otherwise(col)
 
 
+class Compiled(NamedTuple):
+    """Markers of many configs, compiled per row: a pattern column (``marker_pattern``)."""
+    pattern: Column
+
+
+def marker_pattern(markers: Column) -> Column:
+    """An array of markers as one alternation of quoted lower-case literals; NULL for none."""
+    quoted = F.transform(markers, lambda m: F.concat(
+        F.lit("\\Q"), F.replace(F.lower(m), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))
+    return F.when(F.size(markers) > 0, F.array_join(quoted, "|"))
+
+
 def matches_any(text: Column, markers) -> Column:
     """M1: any marker is a case-insensitive substring of ``text``.
 
     Empty list -> false; an empty-string marker matches every row (images too).
     ``markers`` is a Python list (compiled to an OR of ``instr`` tests, fully
-    code-generated) or an array column (evaluated with ``exists``).
+    code-generated), an array column (evaluated with ``exists``) or ``Compiled`` (one regex
+    test; the rows of a page follow each other, so a pattern is compiled once for all of them).
     """
     low = F.lower(F.coalesce(text, F.lit("")))
+    if isinstance(markers, Compiled):
+        return F.coalesce(F.rlike(low, markers.pattern), F.lit(False))
     if isinstance(markers, (list, tuple)):
         cond = F.lit(False)
         for m in markers:

@@ -66,7 +66,7 @@ def _lines(df: DataFrame, **cols: Column) -> DataFrame:
             out.append(F.lit(None).cast("string").alias(c))
         else:
             out.append(F.col(c))
-    return df.select(*out)
+    return df.select(*out, "_book_title")
 
 
 def book_lines(books: DataFrame, sections: DataFrame, content: DataFrame,
@@ -75,8 +75,8 @@ def book_lines(books: DataFrame, sections: DataFrame, content: DataFrame,
 
     ``markup`` is the line's runs as Markdown (B8: bold/italic kept per run).
 
-    ``content``: sliced page items ``(page_id, idx, type, style, full_text, img_url)``;
-    ``roots``: ``(book_id, root_page_id)``; ``books``: ``(book_id, title)``.
+    ``content``: sliced page items ``(page_id, config_id, idx, type, style, full_text, img_url)``;
+    ``roots``: ``(book_id, config_id, root_page_id)``; ``books``: ``(book_id, title)``.
     Kinds: title, toc_field, heading, text, image, placeholder, break.  ``line_no``
     counts from 1 inside each section; page breaks follow the TOC, the introduction
     and each chapter (with all its sub-chapters).
@@ -105,18 +105,18 @@ def book_lines(books: DataFrame, sections: DataFrame, content: DataFrame,
     # section's lines; an unmatched section (no page, or nothing extracted) becomes a
     # placeholder unless it has children (B6; level 3 needs no lines only).  The content
     # is read once; the child flag comes from the small sections table.
-    c = content.select("page_id", "idx", F.col("type").alias("_type"), F.col("style").alias("_style"),
+    c = content.select("page_id", "config_id", "idx", F.col("type").alias("_type"), F.col("style").alias("_style"),
                        "full_text", F.col("markup").alias("_markup"), "img_url")
     child_of = sections.filter(F.col("level") >= 2).select(
         "book_id", "n1",
         F.when(F.col("level") == 3, F.col("n2")).otherwise(F.lit(0)).alias("n2"),
         F.lit(0).alias("n3")).distinct().withColumn("_has_children", F.lit(True))
-    secs = sections.select("book_id", "n1", "n2", "n3", "page_id", "level").join(
+    secs = sections.select("book_id", "config_id", "n1", "n2", "n3", "page_id", "level").join(
         child_of, ["book_id", "n1", "n2", "n3"], "left")
-    intro_sec = roots.select("book_id", F.col("root_page_id").alias("page_id"),
+    intro_sec = roots.select("book_id", "config_id", F.col("root_page_id").alias("page_id"),
                              F.lit(0).alias("n1"), F.lit(0).alias("n2"), F.lit(0).alias("n3"),
                              F.lit(0).alias("level"), F.lit(True).alias("_has_children"))
-    attached = intro_sec.unionByName(secs).join(c, "page_id", "left")
+    attached = intro_sec.unionByName(secs).join(b, "book_id").join(c, ["page_id", "config_id"], "left")
     level = F.col("level")
     is_line = F.col("idx").isNotNull()
     is_ph = ~is_line & (level > 0) & ~F.coalesce(F.col("_has_children"), F.lit(False))
@@ -134,18 +134,19 @@ def book_lines(books: DataFrame, sections: DataFrame, content: DataFrame,
                   font_pt=F.when(is_line & (F.col("n1") >= BIG_FONT_FROM_CHAPTER),
                                  F.lit(BIG_FONT_PT)).otherwise(lit_null_i))
 
-    heads = _lines(sections, rank=F.lit(0), idx=F.lit(0), kind=F.lit("heading"),
+    titled = sections.join(b, "book_id")
+    heads = _lines(titled, rank=F.lit(0), idx=F.lit(0), kind=F.lit("heading"),
                    style=F.concat(F.lit("Heading "), level.cast("string")),
                    text=numbered_title(F.col("n1"), F.col("n2"), F.col("n3"), F.col("title")),
                    img_url=lit_null_s, font_pt=lit_null_i)
-    breaks = _lines(sections.filter(level == 1), n2=F.lit(END), n3=F.lit(END), rank=F.lit(0),
+    breaks = _lines(titled.filter(level == 1), n2=F.lit(END), n3=F.lit(END), rank=F.lit(0),
                     idx=F.lit(0), kind=F.lit("break"), style=lit_null_s, text=F.lit(""),
                     img_url=lit_null_s, font_pt=lit_null_i)
 
     allrows = (toc.unionByName(intro_head).unionByName(intro_break).unionByName(body)
                .unionByName(heads).unionByName(breaks))
-    # Placeholders in every text line take the book title
-    allrows = allrows.join(b, "book_id").withColumn(
+    # Placeholders in every text line take the book title, which came with the section
+    allrows = allrows.withColumn(
         "text", fill_placeholders(F.col("text"), F.col("_book_title"))).withColumn(
         "markup", fill_placeholders(F.col("markup"), F.col("_book_title"))).drop("_book_title")
     w = Window.partitionBy("book_id", "n1", "n2", "n3").orderBy("rank", "idx")

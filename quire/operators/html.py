@@ -111,17 +111,17 @@ def _code(tk: Column) -> Column:
 
 
 def placed_tokens(pages: DataFrame, want: str, strip_tags: list[str] | None = None, root: str = "auto",
-                  parent_tag: str = "li") -> DataFrame:
+                  parents: list[str] | None = None) -> DataFrame:
     """H2-H7: the wanted tokens with their places, ``(page_id, url, pos, own, part, bold, italic,
     tag, up, tk)``; ``tree.places`` says what ``want`` and the columns mean.  No Exchange."""
     if root not in ("auto", "body"):
         raise ValueError(f"unknown root mode {root!r}")
     bounded_batches(pages.sparkSession)
-    strip = frozenset(STRIP_TAGS if strip_tags is None else strip_tags)
+    strip, around = frozenset(STRIP_TAGS if strip_tags is None else strip_tags), frozenset(parents or ())
 
     @F.arrow_udf(tree.PLACE)
     def place(codes: pa.Array) -> pa.Array:
-        return tree.place_batch(codes, strip, root, want, parent_tag)
+        return tree.place_batch(codes, strip, root, want, around)
 
     rows = _token_arrays(pages).select("page_id", "url", "tks", place(F.transform("tks", _code)).alias("places"))
     wanted = F.transform("places", lambda p: F.struct(

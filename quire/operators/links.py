@@ -9,7 +9,7 @@ counts only links that survived the filters.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
@@ -21,50 +21,73 @@ RESERVED_TITLES = ["table of contents", "introduction"]
 DEFAULT_MAX_CHAPTERS = 100
 
 
-def anchors(pages: DataFrame, parent_tag: str = "li", strip_tags: list[str] | None = None,
+#: The selectors a config may name: an anchor right under an element, or any anchor.
+SELECTOR_RE = r"^\s*(?:([A-Za-z][A-Za-z0-9-]*)\s*>\s*)?a(?:\[href\])?\s*$"
+DEFAULT_SELECTOR = "li > a[href]"
+
+
+def selector_parent(selector: Column) -> Column:
+    """The parent tag of a selector, empty for any, NULL for a selector of another shape."""
+    return F.when(selector.rlike(SELECTOR_RE), F.lower(F.regexp_extract(selector, SELECTOR_RE, 1)))
+
+
+def anchors(pages: DataFrame, parents: list[str] | None = None, strip_tags: list[str] | None = None,
             root: str = "auto") -> DataFrame:
-    """L1: anchors with an ``href`` attribute whose parent element is ``parent_tag``.
+    """L1: anchors with an ``href`` attribute right under one of ``parents`` (default ``li``; an
+    empty name among them: under any element).
 
-    ``(page_id, pos, href, base_url, text)``; parents come from the page's stack of open
-    elements.  ``text`` is the anchor's text nodes, each stripped, blank ones dropped, joined by
+    ``(page_id, pos, href, base_url, text, up)`` with ``up`` the parent's tag, which comes from the
+    page's stack of open elements.  ``text`` is the anchor's text nodes, each stripped, blank ones dropped, joined by
     one space (``get_text(" ", strip)``).  One Exchange, of the anchors and their texts.
     """
-    rows = placed_tokens(pages, "links", strip_tags, root, parent_tag)
+    rows = placed_tokens(pages, "links", strip_tags, root, parents or ["li"])
     is_a = F.col("tag") == "a"
-    rows = rows.select("page_id", "pos", "own", "tk", F.coalesce(is_a, F.lit(False)).alias("_is_a"),
+    rows = rows.select("page_id", "pos", "own", "up", "tk", F.coalesce(is_a, F.lit(False)).alias("_is_a"),
                        F.when(is_a, F.col("url")).alias("base_url")).filter(F.col("_is_a") | (_kind(F.col("tk")) == "text"))
     rows = rows.repartition("page_id").select(
-        "page_id", "pos", "own", "base_url", F.when(F.col("_is_a"), F.col("tk")).alias("_tk"),
+        "page_id", "pos", "own", "up", "base_url",
+        F.when(F.col("_is_a") & _has_attr(F.col("tk"), "href"),
+               T.py_strip(T.decode_entities(_attr(F.col("tk"), "href", decode=False)))).alias("href"),
         F.when(~F.col("_is_a"), T.py_strip(T.decode_entities(F.col("tk")))).alias("_text"))
     part = F.when(F.col("_text") != "", F.struct("pos", "_text"))
     a = rows.groupBy("page_id", "own").agg(
-        F.first("_tk", ignorenulls=True).alias("_tk"), F.first("base_url", ignorenulls=True).alias("base_url"),
+        F.first("up").alias("up"), F.first("href", ignorenulls=True).alias("href"), F.first("base_url", ignorenulls=True).alias("base_url"),
         F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda s: s["_text"]), " ").alias("text"))
-    a = a.filter(_has_attr(F.col("_tk"), "href"))
-    return a.select("page_id", F.col("own").alias("pos"),
-                    T.py_strip(T.decode_entities(_attr(F.col("_tk"), "href", decode=False))).alias("href"), "base_url", "text")
+    return a.filter(F.col("href").isNotNull()).select("page_id", F.col("own").alias("pos"), "href", "base_url", "text", "up")
 
 
-def detect_chapters(pages: DataFrame, max_chapters: int | None = DEFAULT_MAX_CHAPTERS,
-                    strip_tags: list[str] | None = None, root: str = "auto",
-                    parent_tag: str = "li", cap: bool = True, dedup: bool = True, skip_reserved: bool = True) -> DataFrame:
-    """``links(page_id, link_no, title, url, norm_url, slug)``, ``link_no`` from 1."""
-    a = anchors(pages, parent_tag, strip_tags, root)
+def chapter_links(pages: DataFrame, parents: list[str] | None = None, strip_tags: list[str] | None = None,
+                  root: str = "auto", dedup: bool = True, skip_reserved: bool = True) -> DataFrame:
+    """L1-L4 for several selectors at once: ``links(page_id, selector, link_no, title, url, norm_url,
+    slug)``, where ``selector`` is the parent tag (empty: any) and ``link_no`` counts from 1, uncapped."""
+    parents = parents or ["li"]
+    a = anchors(pages, parents, strip_tags, root)
     a = a.filter(U.href_usable(F.col("href")))
     a = U.with_resolved_url(a, "base_url", "href", "url")
     a = a.withColumn("url", U.url_defrag(F.col("url")))
     a = a.filter(U.same_site(F.col("url"), F.col("base_url")))
     a = a.withColumn("norm_url", U.url_norm_key(F.col("url")))
+    if len(parents) == 1:
+        a = a.withColumn("selector", F.lit(parents[0]))
+    else:
+        a = a.withColumn("selector", F.explode(F.filter(F.array(*map(F.lit, parents)), lambda x: (x == "") | (x == F.col("up")))))
     if dedup:
-        wd = Window.partitionBy("page_id", "norm_url").orderBy("pos")
+        wd = Window.partitionBy("page_id", "selector", "norm_url").orderBy("pos")
         a = a.withColumn("_first", F.row_number().over(wd)).filter(F.col("_first") == 1).drop("_first")
     a = a.withColumn("title", T.clean_link_title(F.col("text"), F.col("url")))
     if skip_reserved:
         a = a.filter(~F.lower(F.col("title")).isin(*RESERVED_TITLES)
                      & (F.col("norm_url") != U.url_norm_key(F.col("base_url"))))
-    wn = Window.partitionBy("page_id").orderBy("pos")
-    a = a.withColumn("link_no", F.row_number().over(wn))
+    wn = Window.partitionBy("page_id", "selector").orderBy("pos")
+    return a.select("page_id", "selector", F.row_number().over(wn).alias("link_no"), "title", "url", "norm_url",
+                    U.url_slug(F.col("url")).alias("slug"))
+
+
+def detect_chapters(pages: DataFrame, max_chapters: int | None = DEFAULT_MAX_CHAPTERS,
+                    strip_tags: list[str] | None = None, root: str = "auto",
+                    parent_tag: str = "li", cap: bool = True, dedup: bool = True, skip_reserved: bool = True) -> DataFrame:
+    """``links(page_id, link_no, title, url, norm_url, slug)``, ``link_no`` from 1."""
+    a = chapter_links(pages, [parent_tag], strip_tags, root, dedup, skip_reserved).drop("selector")
     if cap and max_chapters is not None:
         a = a.filter(F.col("link_no") <= F.greatest(F.lit(1), F.lit(int(max_chapters))))
-    return a.select("page_id", "link_no", "title", "url", "norm_url",
-                    U.url_slug(F.col("url")).alias("slug"))
+    return a

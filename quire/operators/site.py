@@ -30,24 +30,29 @@ def book_roots(books: DataFrame, keys: DataFrame) -> DataFrame:
     root URL was not captured."""
     b = books.withColumn("page_key", U.url_norm_key(U.url_defrag(F.col("url"))))
     r = b.join(keys, "page_key", "left").drop("page_key")
-    return r.select("book_id", "url", "title", F.col("page_id").alias("root_page_id"),
+    return r.select("book_id", "config_id", "url", "title", F.col("page_id").alias("root_page_id"),
                     F.when(F.col("page_id").isNull(), F.lit("missing")).otherwise(F.lit("ok"))
                     .alias("status"))
 
 
+#: What a section carries of its book's config.
+CONFIG_COLS = ("config_id", "selector", "max_chapters", "max_depth")
+
+
 def follow_links(parents: DataFrame, links: DataFrame, keys: DataFrame, level: int,
                  child_only: bool) -> DataFrame:
     """One expansion level.
 
-    ``parents``: ``(book_id, n1, n2, n3, page_id, slug)`` of sections whose page exists.
-    Every link of a parent page becomes a child section (for levels 2 and 3 only links
+    ``parents``: ``(book_id, config_id, n1, n2, n3, page_id, slug)`` of sections whose page exists,
+    with their config's ``selector``, ``max_chapters`` and ``max_depth``, which go on to the children;
+    ``links`` of all selectors, uncapped.  Every link within the cap of a parent page becomes a child section (for levels 2 and 3 only links
     whose slug starts with ``parent_slug-``, U7, *after* the page's cap).  Child
     numbering follows link order among the kept links.  The target page is a left join.
     """
-    p = parents.select("book_id", "n1", "n2", "n3", F.col("page_id").alias("_ppid"),
+    p = parents.select("book_id", *CONFIG_COLS, "n1", "n2", "n3", F.col("page_id").alias("_ppid"),
                        F.col("slug").alias("_pslug"))
-    lk = links.select(F.col("page_id").alias("_ppid"), "link_no", "title", "url", "norm_url", "slug")
-    c = p.join(lk, "_ppid")
+    lk = links.select(F.col("page_id").alias("_ppid"), "selector", "link_no", "title", "url", "norm_url", "slug")
+    c = p.join(lk, ["_ppid", "selector"]).filter(F.col("link_no") <= F.col("max_chapters"))
     if child_only:
         c = c.filter(U.is_child_slug(F.col("slug"), F.col("_pslug")))
     num_col = {1: "n1", 2: "n2", 3: "n3"}[level]
@@ -55,7 +60,7 @@ def follow_links(parents: DataFrame, links: DataFrame, keys: DataFrame, level: i
     w = Window.partitionBy(*part).orderBy("link_no")
     c = c.withColumn(num_col, F.row_number().over(w))
     c = c.join(keys.withColumnRenamed("page_key", "norm_url"), "norm_url", "left")
-    return c.select("book_id", "n1", "n2", "n3", F.lit(level).alias("level"), "title", "url", "slug",
+    return c.select("book_id", *CONFIG_COLS, "n1", "n2", "n3", F.lit(level).alias("level"), "title", "url", "slug",
                     "page_id",
                     F.when(F.col("page_id").isNull(), F.lit("missing")).otherwise(F.lit("ok")).alias("status"))
 

@@ -29,20 +29,21 @@ def str_array(values: Iterable[str] | None) -> Column:
     return F.array(*[F.lit(v) for v in vals])
 
 
-def _page_window() -> Window:
-    return (Window.partitionBy("page_id").orderBy("idx")
+def _page_window(by=("page_id",)) -> Window:
+    return (Window.partitionBy(*by).orderBy("idx")
             .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
 
 
-def slice_bounds(items: DataFrame, start_markers, stop_markers) -> DataFrame:
+def slice_bounds(items: DataFrame, start_markers, stop_markers, by=("page_id",)) -> DataFrame:
     """M2/M3: add ``slice_start`` and ``slice_stop`` (both per page, NULL = none).
 
     start = one item before the first start-marker hit.  stop = first hit strictly
     after ``start`` (so the item right after ``start`` — usually the start line — is
     tested too).  The NULL guard matters: ``greatest(0, NULL)`` is 0, which would
-    slice a page with no start marker from its first item.
+    slice a page with no start marker from its first item.  ``by`` names what is sliced:
+    a page, or a page under one of several configs.
     """
-    w = _page_window()
+    w = _page_window(by)
     txt = F.coalesce(F.col("full_text"), F.lit(""))
     first_hit = F.min(F.when(matches_any(txt, start_markers), F.col("idx"))).over(w)
     t = items.withColumn("_f", first_hit).withColumn(
@@ -87,25 +88,28 @@ def remove_text(items: DataFrame, remove) -> DataFrame:
 
 
 def extract_content(items: DataFrame, urls: DataFrame | None, start_markers, stop_markers,
-                    remove=None, renumber: bool = True) -> DataFrame:
+                    remove=None, renumber: bool = True, by=("page_id",)) -> DataFrame:
     """M7: slice, remove, append ``Content Source - {url}``, renumber ``idx`` from 0.
 
     One pass over the items: pages without a start marker drop out, the page URL is
     joined onto the remaining rows (the items are already partitioned by ``page_id``,
     so only the small URL side moves), and the first row of each slice emits the source
     line next to itself, so a page whose slice is empty after removal still gets it.
-    ``urls``: ``(page_id, url)``; NULL or empty URL -> no source line.
+    ``urls``: ``(page_id, url)``, or the name of a column that holds it; NULL or empty URL -> no
+    source line.  Columns of ``by`` are kept on the source line.
     """
-    t = slice_bounds(items, start_markers, stop_markers).filter(F.col("slice_start").isNotNull())
+    t = slice_bounds(items, start_markers, stop_markers, by).filter(F.col("slice_start").isNotNull())
     t = removed_flag(t, remove)
-    if urls is not None:
+    if isinstance(urls, str):
+        t = t.withColumn("_url", F.col(urls))
+    elif urls is not None:
         t = t.join(urls.select("page_id", F.col("url").alias("_url")), "page_id", "left")
     else:
         t = t.withColumn("_url", F.lit(None).cast("string"))
     cols = [c for c in items.columns]
     keep = _in_slice() & ~F.col("_removed")
     item = F.struct(*[F.col(c) for c in cols])
-    src_vals = {"page_id": F.col("page_id"), "idx": F.lit(1 << 30), "type": F.lit("text"),
+    src_vals = {**{c: F.col(c) for c in by}, "idx": F.lit(1 << 30), "type": F.lit("text"),
                 "style": F.lit("Normal"),
                 "full_text": F.concat(F.lit(SOURCE_PREFIX), F.col("_url"))}
     src = F.struct(*[(src_vals[c] if c in src_vals else F.lit(None).cast(items.schema[c].dataType)).alias(c)
@@ -114,6 +118,6 @@ def extract_content(items: DataFrame, urls: DataFrame | None, start_markers, sto
     out = t.select(F.explode(F.array_compact(F.array(
         F.when(keep, item), F.when(has_src, src)))).alias("_r")).select("_r.*")
     if renumber:
-        w = Window.partitionBy("page_id").orderBy("idx")
+        w = Window.partitionBy(*by).orderBy("idx")
         out = out.withColumn("idx", F.row_number().over(w) - 1)
     return out

@@ -126,7 +126,8 @@ BLOCK_TAGS = frozenset(("p", "li", *HEADINGS, "td", "th", "blockquote", "pre"))
 BOLD_TAGS, ITALIC_TAGS = frozenset(("b", "strong")), frozenset(("i", "em"))
 
 
-def places(tags: list[Tag | None], strip: frozenset[str], root: str, want: str, parent_tag: str = "li") -> Iterator[tuple]:
+def places(tags: list[Tag | None], strip: frozenset[str], root: str, want: str,
+           parents: frozenset[str] = frozenset(("li",))) -> Iterator[tuple]:
     """The wanted tokens of a page, as rows of ``PLACE``.
 
     ``strip``: elements dropped with all inside them.  ``root``: ``auto`` (first ``article``, else
@@ -136,7 +137,8 @@ def places(tags: list[Tag | None], strip: frozenset[str], root: str, want: str,
     * ``items``: texts inside blocks without a block as a child, with ``own`` the block, ``part``
       the block or the ``br`` right under it that comes last before the text, formats from inside
       the block, ``tag`` the block's and ``up`` its parent's; and images (``tag`` only);
-    * ``links``: anchors right under a ``parent_tag`` and the texts inside them (``own`` the anchor).
+    * ``links``: anchors right under one of ``parents`` (with an empty name among them: all) and the
+      texts inside them (``own`` the anchor, ``up`` its parent's tag).
     """
     n = len(tags)
     parent, end, ended = enclosing(tags)
@@ -185,7 +187,7 @@ def places(tags: list[Tag | None], strip: frozenset[str], root: str, want: str,
                 if name == "br" and block[p] == p and p >= 0:
                     part[p] = i
             if name == "a":
-                anchor[i] = i if p >= top and p >= 0 and tags[p].name == parent_tag else -1
+                anchor[i] = i if "" in parents or p >= 0 and tags[p].name in parents else -1
             else:
                 anchor[i] = anchor[p]
     for i in range(a, b):
@@ -202,13 +204,14 @@ def places(tags: list[Tag | None], strip: frozenset[str], root: str, want: str,
             elif tag.start and tag.name == "img":
                 yield (i, None, i, None, None, "img", None)
         elif tag is None:
-            if anchor[p] >= 0:
-                yield (i, anchor[p], None, None, None, None, None)
+            own = anchor[p]
+            if own >= 0:
+                yield (i, own, None, None, None, None, tags[parent[own]].name if parent[own] >= 0 else None)
         elif tag.start and anchor[i] == i:
-            yield (i, i, None, None, None, "a", parent_tag)
+            yield (i, i, None, None, None, "a", tags[p].name if p >= 0 else None)
 
 
-def place_batch(codes: pa.Array, strip: frozenset[str], root: str, want: str, parent_tag: str = "li") -> pa.Array:
+def place_batch(codes: pa.Array, strip: frozenset[str], root: str, want: str, parents: frozenset[str]) -> pa.Array:
     """``places`` of the pages of a batch, given as lists of tag codes (texts: empty)."""
     if isinstance(codes, pa.ChunkedArray):
         codes = codes.combine_chunks()
@@ -221,7 +224,7 @@ def place_batch(codes: pa.Array, strip: frozenset[str], root: str, want: str, pa
     offsets = [0]
     add = [c.append for c in columns]
     for x, y in zip(starts[:-1], starts[1:], strict=True):
-        for row in places([known[k] for k in numbers[x - first:y - first]], strip, root, want, parent_tag):
+        for row in places([known[k] for k in numbers[x - first:y - first]], strip, root, want, parents):
             for put, value in zip(add, row, strict=True):
                 put(value)
         offsets.append(len(columns[0]))

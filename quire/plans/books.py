@@ -1,27 +1,33 @@
 """Whole-job plans: captured pages + book manifest -> sections, book lines, report.
 
 ``build_books`` wires the operators the way one run of the reference does for one
-book, but for every book in the manifest at once:
+book, but for every book in the manifest at once, each under its own config:
 
-    pages --tokens--> items --slice/remove/source--> content ---------+
-          \\--tokens--> links (all pages, once) --+                    |
-    books --J1 roots--> L1 --J3--> L2 --J4--> L3  +--> sections --> book_lines
+    books --J1 roots--> L1 --J3--> L2 --J4--> L3 --> sections ----------> book_lines
+                links of the pages that a level reaches                    |
+    pages of any section --items--> slices per (page, config) --> content -+
+
+Page html is read where it lies: a level joins the ids it needs to the pages, which are broadcast
+or, above the session's broadcast limit, dealt out by id; pages in a page store
+(``quire.sources.store``) are bucketed by id, so html crosses the network in neither case.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quire.functions.text import Compiled
+from quire.functions.urls import url_slug
 from quire.operators.book import book_lines, section_numbers
 from quire.operators.html import page_items
-from quire.operators.links import DEFAULT_MAX_CHAPTERS, detect_chapters
-from quire.functions.urls import url_slug
-from quire.operators.site import book_roots, follow_links, page_keys
+from quire.operators.links import DEFAULT_MAX_CHAPTERS, DEFAULT_SELECTOR, chapter_links
+from quire.operators.site import CONFIG_COLS, book_roots, follow_links, page_keys
 from quire.operators.slices import extract_content
-from quire.session import ensure_checkpoint_dir
+from quire.session import ensure_checkpoint_dir, written
+from quire.sources.tables import compiled_configs
 
 
 @dataclass
@@ -32,6 +38,7 @@ class BookConfig:
     max_chapters: int = DEFAULT_MAX_CHAPTERS
     max_depth: int = 1
     include_images: bool = False
+    toc_selector: str = DEFAULT_SELECTOR
 
     @classmethod
     def from_dict(cls, d: dict) -> "BookConfig":
@@ -40,7 +47,8 @@ class BookConfig:
                    remove_text=list(d.get("remove_text", [])),
                    max_chapters=int(d.get("max_chapters", DEFAULT_MAX_CHAPTERS)),
                    max_depth=int(d.get("max_depth", 1)),
-                   include_images=bool(d.get("include_images", False)))
+                   include_images=bool(d.get("include_images", False)),
+                   toc_selector=str(d.get("toc_selector", DEFAULT_SELECTOR)))
 
 
 @dataclass
@@ -51,51 +59,103 @@ class BookRun:
     roots: DataFrame
     sections: DataFrame
     lines: DataFrame
+    rejects: DataFrame
+
+
+CONFIG_ROW = ("config_id string, start_markers array<string>, stop_markers array<string>, remove_text array<string>, "
+              "max_chapters int, max_depth int, include_images boolean, toc_selector string")
+ONE_CONFIG = "run"
+
+
+def config_table(spark: SparkSession, configs: dict[str, BookConfig]) -> DataFrame:
+    """Configs given in Python as the rows that ``read_config`` gives for files."""
+    names = [f.strip().split()[0] for f in CONFIG_ROW.split(",")][1:]
+    return spark.createDataFrame([(k, *(asdict(c)[n] for n in names)) for k, c in configs.items()], CONFIG_ROW)
+
+
+def reached_pages(pages: DataFrame, ids: DataFrame) -> DataFrame:
+    """The pages with these ids.  ``ids`` is a written table: its size is known when the join is
+    planned, so it is broadcast below the session's limit; above it the ids are hashed per
+    partition, and the pages' html is not sorted."""
+    limit = ids.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    if ids.count() * 16 > limit:
+        ids = ids.hint("shuffle_hash")
+    return pages.join(ids, "page_id", "left_semi")
+
+
+def gate(books: DataFrame, configs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Books that can be built, with their config's limits, and ``(book_id, reason)`` of the
+    others: the manifest's own reason (S4), an unknown config, or a selector of another shape."""
+    found = configs.select(*CONFIG_COLS, F.lit(True).alias("_known"))
+    b = books.join(found, "config_id", "left")
+    own = F.col("reject_reason") if "reject_reason" in books.columns else F.lit(None).cast("string")
+    reason = F.coalesce(own, F.when(F.col("_known").isNull(), "config").when(F.col("selector").isNull(), "toc_selector"))
+    b = b.withColumn("_reason", reason).drop("_known")
+    return (b.filter(F.col("_reason").isNull()).drop("_reason"),
+            b.filter(F.col("_reason").isNotNull()).select("book_id", F.col("_reason").alias("reason")))
 
 
-def build_books(pages: DataFrame, books: DataFrame, cfg: BookConfig,
+def build_books(pages: DataFrame, books: DataFrame, configs: BookConfig | DataFrame,
                 checkpoint: bool = True) -> BookRun:
     """Sections and book lines for every book of the manifest.
 
-    The links of all pages are found in one pass over the html and written as a narrow
-    table; the level-by-level expansion from the book roots joins narrow tables only.
-    Items are taken from the pages some book reaches, in a second pass.  Each level's
-    sections are checkpointed into the session's checkpoint folder, which cuts lineage
-    between levels (a lost executor replays one level, not the crawl) and keeps every
-    plan small.  Rows of ``books`` with a ``reject_reason`` (S4) are not built.
+    ``configs``: one config for all books, or a table of configs (``read_config``,
+    ``parse_configs``, ``config_table``) that books name by ``config_id``.  Level by level, the
+    links of the pages that the level reaches are found and joined as narrow tables; items are
+    taken from the pages some book reaches, once per page, and sliced once per page and config.
+    Each level is written as a table in the session's checkpoint folder, which cuts lineage
+    (a lost executor replays one level, not the crawl) and keeps every plan small.  Books that
+    can't be built are in ``rejects`` with the reason; the others are built all the same.
     """
     spark = pages.sparkSession
     pages = pages.select("page_id", "url", "html")
-    if "reject_reason" in books.columns:
-        books = books.filter(F.col("reject_reason").isNull())
+    if isinstance(configs, BookConfig):
+        configs = config_table(spark, {ONE_CONFIG: configs})
+        books = books.withColumn("config_id", F.lit(ONE_CONFIG))
     if checkpoint:
         ensure_checkpoint_dir(spark)
 
     def cut(df: DataFrame) -> DataFrame:
-        return df.checkpoint() if checkpoint else df
+        return written(df) if checkpoint else df
 
+    cfg = cut(compiled_configs(configs))
+    known = cfg.agg(F.max("max_depth").alias("depth"), F.max("include_images").alias("images"),
+                    F.collect_set("selector").alias("selectors")).first()
+    good, rejects = gate(books, cfg)
+    good, rejects = cut(good), cut(rejects)
     keys = cut(page_keys(pages))
-    roots = cut(book_roots(books, keys))
-    parents = roots.filter(F.col("root_page_id").isNotNull()).select(
-        "book_id", F.lit(0).alias("n1"), F.lit(0).alias("n2"), F.lit(0).alias("n3"),
+    roots = cut(book_roots(good, keys))
+    limits = good.select("book_id", *CONFIG_COLS[1:])
+    parents = roots.filter(F.col("root_page_id").isNotNull()).join(limits, "book_id").select(
+        "book_id", *CONFIG_COLS, F.lit(0).alias("n1"), F.lit(0).alias("n2"), F.lit(0).alias("n3"),
         F.col("root_page_id").alias("page_id"), url_slug(F.col("url")).alias("slug"))
-    links = cut(detect_chapters(pages, cfg.max_chapters))
-    levels = []
-    for level in range(1, min(3, max(1, cfg.max_depth)) + 1):          # J5: 1 to 3 levels
+    levels, found = [], []
+    for level in range(1, (known["depth"] or 1) + 1):                  # J5: 1 to 3 levels
+        parents = parents.filter(F.col("max_depth") >= level)
+        need = cut(parents.select("page_id").distinct())
+        links = cut(chapter_links(reached_pages(pages, need), sorted(known["selectors"]) or None))
         sec = cut(follow_links(parents, links, keys, level, child_only=level > 1))
+        found.append(links)
         levels.append(sec)
         parents = sec.filter(F.col("page_id").isNotNull())
-    sections = levels[0]
-    for sec in levels[1:]:
-        sections = sections.unionByName(sec)
+    sections, links = levels[0], found[0]
+    for sec, more in zip(levels[1:], found[1:], strict=True):
+        sections, links = sections.unionByName(sec), links.unionByName(more)
     sections = cut(section_numbers(sections))
 
-    root_rows = roots.filter(F.col("root_page_id").isNotNull()).select("book_id", "root_page_id")
-    reach = root_rows.select(F.col("root_page_id").alias("page_id")).unionByName(
-        sections.filter(F.col("page_id").isNotNull()).select("page_id")).distinct()
-    reached = pages.join(reach, "page_id", "left_semi")
-    items = page_items(reached, include_images=cfg.include_images)
-    content = extract_content(items, reached.select("page_id", "url"), cfg.start_markers,
-                              cfg.stop_markers, cfg.remove_text)
-    lines = book_lines(books, sections, content, root_rows)
-    return BookRun(items, content, links, roots, sections, lines)
+    root_rows = roots.filter(F.col("root_page_id").isNotNull()).select("book_id", "config_id", "root_page_id")
+    reach = root_rows.select(F.col("root_page_id").alias("page_id"), "config_id").unionByName(
+        sections.filter(F.col("page_id").isNotNull()).select("page_id", "config_id")).distinct()
+    reach = cut(reach.join(pages.select("page_id", F.col("url").alias("_page_url")), "page_id").join(
+        cfg.select("config_id", "start_re", "stop_re", "removed", "include_images"), "config_id"))
+    ids = cut(reach.select("page_id").distinct())
+    items = page_items(reached_pages(pages, ids), include_images=bool(known["images"]))
+    # a page's items under each of its configs: without images the others close up
+    own = items.join(reach, "page_id").filter((F.col("type") != "image") | F.col("include_images"))
+    by = ("page_id", "config_id")
+    own = own.withColumn("idx", F.row_number().over(Window.partitionBy(*by).orderBy("idx")) - 1)
+    own = own.select(*items.columns, "config_id", "_page_url", "start_re", "stop_re", "removed")
+    content = extract_content(own, "_page_url", Compiled(F.col("start_re")), Compiled(F.col("stop_re")),
+                              F.col("removed"), by=by).select(*items.columns, "config_id")
+    lines = book_lines(good, sections, content, root_rows)
+    return BookRun(items, content, links.dropDuplicates(["page_id", "selector", "link_no"]), roots, sections, lines, rejects)

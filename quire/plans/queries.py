@@ -18,6 +18,7 @@ from quire.operators import site as S
 from quire.operators import slices as M
 from quire.plans.books import BookConfig, build_books
 from quire.plans.site_fixture import SITE_CONFIG, site_books, site_pages
+from quire.session import written
 from quire.sources.tables import book_manifest, image_lookup, lines_as_items, read_table, turns_as_items
 
 # Fixed query parameters (chosen so that every branch of the operators is hit on the
@@ -248,7 +249,12 @@ _SITE_CFG = BookConfig.from_dict(SITE_CONFIG)
 
 def _site_run(spark, sf):
     cfg = BookConfig.from_dict({**SITE_CONFIG, "include_images": True})
-    return build_books(site_pages(spark, sf), site_books(spark, sf), cfg)
+    return build_books(_captured(spark, sf), site_books(spark, sf), cfg)
+
+
+def _captured(spark, sf):
+    """The derived site as a written table: a job reads its pages several times."""
+    return written(site_pages(spark, sf).select("page_id", "url", "html"))
 
 
 def q_site_items(spark: SparkSession, sf: str) -> DataFrame:

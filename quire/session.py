@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, app: str = "quire",
@@ -74,3 +75,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         named = tempfile.mkdtemp(prefix="quire-ckpt-")
     sc.setCheckpointDir(named)
     return sc.getCheckpointDir() or named
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table under the shared checkpoint folder: lineage is cut, lost executors lose
+    nothing of it, and its size is known to the planner."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from quire.functions import text as TX
 from quire.functions import urls as U
+from quire.operators.links import selector_parent
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -75,13 +76,27 @@ def read_config(spark: SparkSession, path: str) -> DataFrame:
     Keys outside the schema (``_comment``, ``*_commented``) are dropped by the reader.
     """
     raw = spark.read.schema(CONFIG_SCHEMA).option("multiLine", True).json(path)
+    return _with_defaults(raw, F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1))
+
+
+def parse_configs(configs: DataFrame, id_col: str = "config_id", json_col: str = "json") -> DataFrame:
+    """S2 on a table of configs: one row per JSON string, defaults filled.  A string that is no
+    JSON object gives no row; null entries of the lists are dropped."""
+    raw = configs.select(configs[id_col].cast("string").alias("_id"),
+                         F.from_json(configs[json_col], CONFIG_SCHEMA, {"mode": "PERMISSIVE"}).alias("c"),
+                         F.coalesce(configs[json_col].rlike(r"^\s*\{"), F.lit(False)).alias("_object"))
+    raw = raw.filter(F.col("_object") & F.col("c").isNotNull()).select("_id", "c.*")
+    return _with_defaults(raw, F.col("_id"))
+
+
+def _with_defaults(raw: DataFrame, config_id: F.Column) -> DataFrame:
     empty = F.array().cast("array<string>")
     d = CONFIG_DEFAULTS
     return raw.select(
-        F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("config_id"),
-        F.coalesce("start_markers", empty).alias("start_markers"),
-        F.coalesce("stop_markers", empty).alias("stop_markers"),
-        F.coalesce("remove_text", empty).alias("remove_text"),
+        config_id.alias("config_id"),
+        F.array_compact(F.coalesce("start_markers", empty)).alias("start_markers"),
+        F.array_compact(F.coalesce("stop_markers", empty)).alias("stop_markers"),
+        F.array_compact(F.coalesce("remove_text", empty)).alias("remove_text"),
         F.coalesce("toc_selector", F.lit(d["toc_selector"])).alias("toc_selector"),
         F.coalesce("max_chapters", F.lit(d["max_chapters"])).alias("max_chapters"),
         F.coalesce("max_depth", F.lit(d["max_depth"])).alias("max_depth"),
@@ -108,6 +123,20 @@ def marker_table(config: DataFrame) -> DataFrame:
     return out
 
 
+def compiled_configs(config: DataFrame) -> DataFrame:
+    """What a job needs of each config: ``(config_id, start_re, stop_re, removed, selector,
+    max_chapters, max_depth, include_images)`` — markers as one pattern each, the removal list in
+    lower case, the link selector as its parent tag (NULL: a selector of another shape) and the
+    depth within 1 to 3."""
+    return config.select(
+        "config_id", TX.marker_pattern(F.col("start_markers")).alias("start_re"),
+        TX.marker_pattern(F.col("stop_markers")).alias("stop_re"),
+        F.transform("remove_text", lambda x: F.lower(x)).alias("removed"),
+        selector_parent(F.col("toc_selector")).alias("selector"),
+        F.greatest(F.lit(1), F.col("max_chapters")).alias("max_chapters"),
+        F.least(F.lit(3), F.greatest(F.lit(1), F.col("max_depth"))).alias("max_depth"), "include_images")
+
+
 def template_table(config: DataFrame) -> DataFrame:
     """J6 input: ``(config_id, book_type, language, file)`` from the two template maps."""
     main = config.select("config_id", F.lit("main").alias("book_type"),
