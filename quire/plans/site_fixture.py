@@ -6,14 +6,19 @@ and book operators get their input from this derived site instead.  The fixture
 the library exactly as it would for real pages.
 
     level 0  region            https://books.example.org/r{r}/                  (book root)
-    level 1  nation            .../2024/01/n{n}/
+             its first seven links lead to pages that were never captured
+    level 1  nation            .../2024/01/n{n}/            every fifth captured twice; links on to the next nation,
+                                                           whose slug is no child's
     level 2  supplier          .../2024/02/n{n}-s{s}/      no page when s_acctbal < 0
+             document          .../2024/02/n{n}-d{d}/       every document, under nation doc_id % 25
     level 3  (supplier, part)  .../2024/03/n{n}-s{s}-p{p}/ every distinct pair in lineitem
 
 Parents link to all their children (also to missing ones) in key order; the date path
 differs per level so that only the slug decides parenthood.  Level 0-2 bodies are the
 lines of a document (doc_id = region/nation/supplier key); level 3 bodies are the part
-row and its line items.  The same SQL shape is given for DuckDB in ``SITE_SQL``.
+row and its line items.  Some pages of levels 2 and 3 lack the start or the stop marker.  Every
+page has a content heading, a numbered list with italic runs and a line break, an unclosed
+table cell and the book's placeholders.  The same SQL shape is given for DuckDB in ``SITE_SQL``.
 """
 
 from __future__ import annotations
@@ -24,10 +29,14 @@ from pyspark.sql import functions as F
 from quire.sources.tables import read_table
 
 BASE = "https://books.example.org"
-START_MARKER, STOP_MARKER, REMOVE_LINE = "nama:", "dasan", "Full Series"
+START_MARKER, STOP_MARKER, REMOVE_LINE = "begin-here:", "finish-here", "All volumes"
 SITE_CONFIG = {"start_markers": [START_MARKER], "stop_markers": [STOP_MARKER],
                "remove_text": [REMOVE_LINE], "max_chapters": 150, "max_depth": 3}
-L1_ID, L2_ID, L3_ID = 10**15, 2 * 10**15, 3 * 10**15
+L1_ID, L2_ID, L3_ID, DOC_ID, OLD_ID = 10**15, 2 * 10**15, 3 * 10**15, 4 * 10**15, 9 * 10**15
+PLANNED = "".join(f'<li><a href="/2024/01/x{i}/">Planned {i}</a></li>' for i in range(1, 8))
+EXTRA = ('</h2><ol><li>First <i>step</i> of <b><i>two</i></b></li><li>Second<br>half</li></ol><h4>Small</h4>'
+         '<p>XXX1 and HHH1</p><table><tr><td>cell a<td>cell b</tr></table>')
+OLD_CAPTURE = "<p>An older capture of this address</p>"
 
 
 def _esc(c):
@@ -50,7 +59,7 @@ def _ordered_concat(key, value):
                                     lambda s: s["v"]), "")
 
 
-def _page(url_path, title, body, children):
+def _page(url_path, title, body, children, start=None, stop=None):
     noise = F.concat(
         F.lit('<li><a href="#top">Top</a></li><li><a href="mailto:books@example.org">Mail</a></li>'),
         F.lit('<li><a href="https://elsewhere.example.com'), url_path, F.lit('">Elsewhere</a></li>'),
@@ -59,11 +68,13 @@ def _page(url_path, title, body, children):
         F.lit('<!DOCTYPE html><html><head><title>'), _esc(title),
         F.lit('</title><script>var t="</p>";</script></head><body>'
               '<nav><ul><li><a href="/">Home</a></li></ul></nav><article><h1>'), _esc(title),
-        F.lit(f"</h1><p>Before</p><p>Start {START_MARKER} "), _esc(title), F.lit("</p>"),
-        body, F.lit('<p>Figure<img src="/img/'), _esc(title), F.lit('.png" alt=" Plate ">'
+        F.lit("</h1><p>Before</p><p>"), F.lit(f"Start {START_MARKER} ") if start is None
+        else F.when(start, F.lit(f"Start {START_MARKER} ")).otherwise(F.lit("Unmarked ")), _esc(title), F.lit("</p>"),
+        body, F.lit("<h2>Notes on "), _esc(title), F.lit(EXTRA + '<p>Figure<img src="/img/'), _esc(title), F.lit('.png" alt=" Plate ">'
                     '<img src="data:image/png;base64,AAAA"><img src=""><img src="../shared/logo.png"></p>'),
         F.lit(f"<p>{REMOVE_LINE}</p><ul>"), noise, F.coalesce(children, F.lit("")),
-        F.lit(f"</ul><p>End {STOP_MARKER}</p><p>After</p></article>"
+        F.lit("</ul>"), F.lit(f"<p>End {STOP_MARKER}</p>") if stop is None
+        else F.when(stop, F.lit(f"<p>End {STOP_MARKER}</p>")).otherwise(F.lit("")), F.lit("<p>After</p></article>"
               "<footer>&copy; books &middot; example</footer></body></html>"))
 
 
@@ -97,19 +108,35 @@ def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select(F.col("r_regionkey").cast("long").alias("page_id"), F.lit(0).alias("lvl"),
                     F.concat(F.lit(BASE + "/"), r_slug, F.lit("/")).alias("url"),
                     _page(F.concat(F.lit("/"), r_slug, F.lit("/")), F.col("r_name"),
-                          _doc_body(F.col("text")), F.col("children")).alias("html")))
-    lvl1 = (nation.join(l2_links, "n_nationkey", "left")
+                          _doc_body(F.col("text")), F.concat(F.lit(PLANNED), F.coalesce("children", F.lit("")))).alias("html")))
+    d_slug = F.concat(F.lit("n"), F.col("d_nationkey").cast("string"), F.lit("-d"), F.col("doc_id").cast("string"))
+    d_title = F.concat(F.lit("Document "), F.col("doc_id").cast("string"))
+    shelf = docs.select("*", (F.col("doc_id") % 25).cast("int").alias("d_nationkey"))
+    doc_links = shelf.groupBy("d_nationkey").agg(_ordered_concat(
+        F.col("doc_id"), _li(F.concat(F.lit("/2024/02/"), d_slug, F.lit("/")), d_title)).alias("doc_children"))
+    lvl2d = shelf.select(
+        (F.lit(DOC_ID) + F.col("doc_id")).alias("page_id"), F.lit(2).alias("lvl"),
+        F.concat(F.lit(BASE + "/2024/02/"), d_slug, F.lit("/")).alias("url"),
+        _page(F.concat(F.lit("/2024/02/"), d_slug, F.lit("/")), d_title, _doc_body(F.col("text")), F.lit(""),
+              F.col("doc_id") % 7 != 0, F.col("doc_id") % 5 != 0).alias("html"))
+    next_link = _li(F.concat(F.lit("/2024/01/n"), ((F.col("n_nationkey") + 1) % 25).cast("string"), F.lit("/")), F.lit("Next nation"))
+    l1_children = F.concat(F.coalesce("children", F.lit("")), F.coalesce("doc_children", F.lit("")), next_link)
+    old = nation.filter(F.col("n_nationkey") % 5 == 0).select(
+        (F.lit(OLD_ID) + F.col("n_nationkey")).alias("page_id"), F.lit(1).alias("lvl"),
+        F.concat(F.lit(BASE + "/2024/01/"), n_slug).alias("url"), F.lit(OLD_CAPTURE).alias("html"))
+    lvl1 = (nation.join(l2_links, "n_nationkey", "left").join(doc_links, F.col("d_nationkey") == F.col("n_nationkey"), "left")
             .join(docs, docs.doc_id == nation.n_nationkey, "left")
             .select((F.lit(L1_ID) + F.col("n_nationkey")).alias("page_id"), F.lit(1).alias("lvl"),
                     F.concat(F.lit(BASE + "/2024/01/"), n_slug, F.lit("/")).alias("url"),
                     _page(F.concat(F.lit("/2024/01/"), n_slug, F.lit("/")), F.col("n_name"),
-                          _doc_body(F.col("text")), F.col("children")).alias("html")))
+                          _doc_body(F.col("text")), l1_children).alias("html")))
     lvl2 = (ns.filter(F.col("s_acctbal") >= 0).join(l3_links, "s_suppkey", "left")
             .join(docs, docs.doc_id == F.col("s_suppkey"), "left")
             .select((F.lit(L2_ID) + F.col("s_suppkey")).alias("page_id"), F.lit(2).alias("lvl"),
                     F.concat(F.lit(BASE + "/2024/02/"), s_slug, F.lit("/")).alias("url"),
                     _page(F.concat(F.lit("/2024/02/"), s_slug, F.lit("/")), F.col("s_name"),
-                          _doc_body(F.col("text")), F.col("children")).alias("html")))
+                          _doc_body(F.col("text")), F.col("children"), F.col("s_suppkey") % 7 != 0,
+                          F.col("s_suppkey") % 5 != 0).alias("html")))
     items = lineitem.select(F.col("l_suppkey").alias("s_suppkey"), F.col("l_partkey").alias("p_partkey"),
                             "l_orderkey", "l_linenumber", "l_quantity")
     item_line = F.concat(F.lit("<p>Order "), F.col("l_orderkey").cast("string"), F.lit(" line "),
@@ -128,8 +155,8 @@ def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.lit(3).alias("lvl"),
                     F.concat(F.lit(BASE + "/2024/03/"), p_slug, F.lit("/")).alias("url"),
                     _page(F.concat(F.lit("/2024/03/"), p_slug, F.lit("/")), p_title, body3,
-                          F.lit("")).alias("html")))
-    return lvl0.unionByName(lvl1).unionByName(lvl2).unionByName(lvl3)
+                          F.lit(""), None, F.col("p_partkey") % 9 != 0).alias("html")))
+    return lvl0.unionByName(lvl1).unionByName(lvl2).unionByName(lvl2d).unionByName(lvl3).unionByName(old)
 
 
 def site_books(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,29 +198,37 @@ site_items AS (
                     CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || ' units</p>', ''
                     ORDER BY l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT)) AS lines
   FROM lineitem GROUP BY l_suppkey, l_partkey),
+site_doc_links AS (
+  SELECT doc_id % 25 AS d_nationkey, string_agg('<li><a href="/2024/02/n' || (doc_id % 25) || '-d' || doc_id || '/">Document ' || doc_id || '</a></li>', ''
+         ORDER BY doc_id) AS children FROM documents GROUP BY 1),
 site_raw AS (
   SELECT CAST(r.r_regionkey AS BIGINT) AS page_id, 0 AS lvl, '{BASE}/r' || r.r_regionkey || '/' AS url,
          '/r' || r.r_regionkey || '/' AS path, r.r_name AS title,
          CASE WHEN coalesce(d.text, '') = '' THEN '' ELSE '<p>' || replace(replace(replace(d.text, '&', '&amp;'), '<', '&lt;'), chr(10), '</p><p>') || '</p>' END AS body,
-         coalesce(c.children, '') AS children
+         '{PLANNED}' || coalesce(c.children, '') AS children, true AS starts, true AS stops
   FROM region r LEFT JOIN site_l1_links c ON c.n_regionkey = r.r_regionkey
        LEFT JOIN documents d ON d.doc_id = r.r_regionkey
   UNION ALL
   SELECT {L1_ID} + n.n_nationkey, 1, '{BASE}/2024/01/n' || n.n_nationkey || '/', '/2024/01/n' || n.n_nationkey || '/',
          n.n_name,
          CASE WHEN coalesce(d.text, '') = '' THEN '' ELSE '<p>' || replace(replace(replace(d.text, '&', '&amp;'), '<', '&lt;'), chr(10), '</p><p>') || '</p>' END,
-         coalesce(c.children, '')
-  FROM nation n LEFT JOIN site_l2_links c ON c.n_nationkey = n.n_nationkey
+         coalesce(c.children, '') || coalesce(dl.children, '') || '<li><a href="/2024/01/n' || ((n.n_nationkey + 1) % 25) || '/">Next nation</a></li>', true, true
+  FROM nation n LEFT JOIN site_l2_links c ON c.n_nationkey = n.n_nationkey LEFT JOIN site_doc_links dl ON dl.d_nationkey = n.n_nationkey
        LEFT JOIN documents d ON d.doc_id = n.n_nationkey
   UNION ALL
   SELECT {L2_ID} + ns.s_suppkey, 2, '{BASE}/2024/02/n' || ns.n_nationkey || '-s' || ns.s_suppkey || '/',
          '/2024/02/n' || ns.n_nationkey || '-s' || ns.s_suppkey || '/', ns.s_name,
          CASE WHEN coalesce(d.text, '') = '' THEN '' ELSE '<p>' || replace(replace(replace(d.text, '&', '&amp;'), '<', '&lt;'), chr(10), '</p><p>') || '</p>' END,
-         coalesce(c.children, '')
+         coalesce(c.children, ''), ns.s_suppkey % 7 <> 0, ns.s_suppkey % 5 <> 0
   FROM site_ns ns LEFT JOIN site_l3_links c ON c.s_suppkey = ns.s_suppkey
        LEFT JOIN documents d ON d.doc_id = ns.s_suppkey
   WHERE ns.s_acctbal >= 0
   UNION ALL
+  SELECT {DOC_ID} + d.doc_id, 2, '{BASE}/2024/02/n' || (d.doc_id % 25) || '-d' || d.doc_id || '/',
+         '/2024/02/n' || (d.doc_id % 25) || '-d' || d.doc_id || '/', 'Document ' || d.doc_id,
+         CASE WHEN coalesce(d.text, '') = '' THEN '' ELSE '<p>' || replace(replace(replace(d.text, '&', '&amp;'), '<', '&lt;'), chr(10), '</p><p>') || '</p>' END,
+         '', d.doc_id % 7 <> 0, d.doc_id % 5 <> 0 FROM documents d
+  UNION ALL
   SELECT {L3_ID} + sp.s_suppkey * 1000000000 + sp.p_partkey, 3,
          '{BASE}/2024/03/n' || sp.n_nationkey || '-s' || sp.s_suppkey || '-p' || sp.p_partkey || '/',
          '/2024/03/n' || sp.n_nationkey || '-s' || sp.s_suppkey || '-p' || sp.p_partkey || '/',
@@ -202,23 +237,24 @@ site_raw AS (
          replace(replace(coalesce(p.p_brand, ''), '&', '&amp;'), '<', '&lt;') || ', type ' ||
          replace(replace(coalesce(p.p_type, ''), '&', '&amp;'), '<', '&lt;') || ', size ' ||
          coalesce(CAST(p.p_size AS VARCHAR), '') || '</p>' || coalesce(i.lines, ''),
-         ''
+         '', true, sp.p_partkey % 9 <> 0
   FROM site_pairs sp LEFT JOIN part p ON p.p_partkey = sp.p_partkey
        LEFT JOIN site_items i ON i.s_suppkey = sp.s_suppkey AND i.p_partkey = sp.p_partkey),
 site AS (
   SELECT page_id, lvl, url,
     '<!DOCTYPE html><html><head><title>' || replace(replace(title, '&', '&amp;'), '<', '&lt;') ||
     '</title><script>var t="</p>";</script></head><body><nav><ul><li><a href="/">Home</a></li></ul></nav><article><h1>' ||
-    replace(replace(title, '&', '&amp;'), '<', '&lt;') || '</h1><p>Before</p><p>Start {START_MARKER} ' ||
+    replace(replace(title, '&', '&amp;'), '<', '&lt;') || '</h1><p>Before</p><p>' || CASE WHEN starts THEN 'Start {START_MARKER} ' ELSE 'Unmarked ' END ||
     replace(replace(title, '&', '&amp;'), '<', '&lt;') || '</p>' || body ||
-    '<p>Figure<img src="/img/' || replace(replace(title, '&', '&amp;'), '<', '&lt;') || '.png" alt=" Plate ">' ||
+    '<h2>Notes on ' || replace(replace(title, '&', '&amp;'), '<', '&lt;') || '{EXTRA}<p>Figure<img src="/img/' || replace(replace(title, '&', '&amp;'), '<', '&lt;') || '.png" alt=" Plate ">' ||
     '<img src="data:image/png;base64,AAAA"><img src=""><img src="../shared/logo.png"></p>' ||
     '<p>{REMOVE_LINE}</p><ul>' ||
     '<li><a href="#top">Top</a></li><li><a href="mailto:books@example.org">Mail</a></li>' ||
     '<li><a href="https://elsewhere.example.com' || path || '">Elsewhere</a></li>' ||
     '<li><a href="' || path || '">Table of Contents</a></li>' || children ||
-    '</ul><p>End {STOP_MARKER}</p><p>After</p></article><footer>&copy; books &middot; example</footer></body></html>' AS html
-  FROM site_raw),
+    '</ul>' || CASE WHEN stops THEN '<p>End {STOP_MARKER}</p>' ELSE '' END || '<p>After</p></article><footer>&copy; books &middot; example</footer></body></html>' AS html
+  FROM site_raw
+  UNION ALL SELECT {OLD_ID} + n_nationkey, 1, '{BASE}/2024/01/n' || n_nationkey, '{OLD_CAPTURE}' FROM nation WHERE n_nationkey % 5 = 0),
 site_books AS (
   SELECT CAST(r_regionkey AS BIGINT) AS book_id, '{BASE}/r' || r_regionkey || '/' AS url, r_name AS title,
          'english' AS language, 'main' AS book_type, 'site' AS config_id, 'r' || r_regionkey || '.docx' AS out_name

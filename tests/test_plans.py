@@ -42,11 +42,11 @@ def test_scan_prunes_html(spark, tmp_path):
 
 def test_no_nested_loop_joins_in_book_build(spark):
     from quire.plans.books import BookConfig, build_books
-    pages = pages_df(spark, [(1, "https://s/b/", "<article><p>nama:</p><ul><li><a href='/c/'>C</a></li></ul></article>"),
-                             (2, "https://s/c/", "<article><p>nama: c</p></article>")])
+    pages = pages_df(spark, [(1, "https://s/b/", "<article><p>begin-here:</p><ul><li><a href='/c/'>C</a></li></ul></article>"),
+                             (2, "https://s/c/", "<article><p>begin-here: c</p></article>")])
     books = spark.createDataFrame([(1, "https://s/b/", "B", "english", "main", "c", "b.docx")],
                                   "book_id long, url string, title string, language string, book_type string, "
                                   "config_id string, out_name string")
-    run = build_books(pages, books, BookConfig(["nama:"], [], [], max_depth=2))
+    run = build_books(pages, books, BookConfig(["begin-here:"], [], [], max_depth=2))
     plan = _plan(run.lines)
     assert "NestedLoopJoin" not in plan and "Cartesian" not in plan

@@ -8,9 +8,9 @@ from quire.plans.books import BookConfig, build_books
 
 def _page(title, links):
     lis = "".join(f"<li><a href='{h}'>{t}</a></li>" for h, t in links)
-    return (f"<html><body><article><h1>{title}</h1><p>Start nama: {title}</p><p>Text of {title} XXX1</p>"
+    return (f"<html><body><article><h1>{title}</h1><p>Start begin-here: {title}</p><p>Text of {title} XXX1</p>"
             f"<p><b>Strong {title}</b> and <i>it</i></p>"
-            f"<ul>{lis}</ul><p>End dasan</p></article></body></html>")
+            f"<ul>{lis}</ul><p>End finish-here</p></article></body></html>")
 
 
 @pytest.fixture(scope="module")
@@ -27,7 +27,7 @@ def run(spark):
     books = spark.createDataFrame([(10, f"{base}/book", "My Book", "english", "main", "c", "b.docx")],
                                   "book_id long, url string, title string, language string, book_type string, "
                                   "config_id string, out_name string")
-    cfg = BookConfig(["nama:"], ["dasan"], [], max_chapters=150, max_depth=3)
+    cfg = BookConfig(["begin-here:"], ["finish-here"], [], max_chapters=150, max_depth=3)
     r = build_books(pages_df(spark, pages), books, cfg)
     return {"sections": r.sections.orderBy("n1", "n2", "n3").collect(),
             "lines": r.lines.orderBy("n1", "n2", "n3", "line_no").collect(),
