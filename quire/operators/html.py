@@ -16,6 +16,7 @@ Deliberate deviations from a full HTML parser are listed in README.md (D1-D6).
 from __future__ import annotations
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +25,9 @@ from quire.functions import urls as U
 from quire.operators import tree
 from quire.session import bounded_batches
 
+# The fold goes to the workers with the plan: they need not have this package.
+cloudpickle.register_pickle_by_value(tree)
+
 # Fixed values --------------------------------------------------------------
 BLOCK_TAGS = ["p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "th", "blockquote", "pre"]
 HEADING_STYLE = {"h1": "Heading 3", "h2": "Heading 3", "h3": "Heading 3",
@@ -119,9 +123,11 @@ def placed_tokens(pages: DataFrame, want: str, strip_tags: list[str] | None = No
     bounded_batches(pages.sparkSession)
     strip, around = frozenset(STRIP_TAGS if strip_tags is None else strip_tags), frozenset(parents or ())
 
+    fold = tree.place_batch
+
     @F.arrow_udf(tree.PLACE)
     def place(codes: pa.Array) -> pa.Array:
-        return tree.place_batch(codes, strip, root, want, around)
+        return fold(codes, strip, root, want, around)
 
     rows = _token_arrays(pages).select("page_id", "url", "tks", place(F.transform("tks", _code)).alias("places"))
     wanted = F.transform("places", lambda p: F.struct(

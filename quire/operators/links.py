@@ -65,15 +65,18 @@ def chapter_links(pages: DataFrame, parents: list[str] | None = None, strip_tags
     a = a.filter(U.href_usable(F.col("href")))
     a = U.with_resolved_url(a, "base_url", "href", "url")
     a = a.withColumn("url", U.url_defrag(F.col("url")))
-    a = a.filter(U.same_site(F.col("url"), F.col("base_url")))
-    a = a.withColumn("norm_url", U.url_norm_key(F.col("url")))
+    # equal keys are on one site, so U5 may wait until the window has made the resolved URL a
+    # plain column (a filter below it would repeat the whole resolution)
+    a = a.withColumn("norm_url", U.url_norm_key(F.col("url"))).withColumn("_same", U.same_site(F.col("url"), F.col("base_url")))
     if len(parents) == 1:
         a = a.withColumn("selector", F.lit(parents[0]))
     else:
         a = a.withColumn("selector", F.explode(F.filter(F.array(*map(F.lit, parents)), lambda x: (x == "") | (x == F.col("up")))))
     if dedup:
         wd = Window.partitionBy("page_id", "selector", "norm_url").orderBy("pos")
-        a = a.withColumn("_first", F.row_number().over(wd)).filter(F.col("_first") == 1).drop("_first")
+        a = a.withColumn("_first", F.row_number().over(wd)).filter((F.col("_first") == 1) & F.col("_same")).drop("_first")
+    else:
+        a = a.filter("_same")
     a = a.withColumn("title", T.clean_link_title(F.col("text"), F.col("url")))
     if skip_reserved:
         a = a.filter(~F.lower(F.col("title")).isin(*RESERVED_TITLES)
