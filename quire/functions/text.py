@@ -24,6 +24,12 @@ PY_WS_RUN = PY_WS_CLASS + "+"
 # Characters stripped from the left of a link title before the final trim.
 TITLE_LSTRIP = "–—-•·‣»›:[] "
 
+# Markdown: characters escaped anywhere; at a line's start; list numbers; in link targets.
+MD_CHARS_RE = r"([\\`*_\[\]<>|~])"
+MD_START_RE = r"^([#+=-])"
+MD_NUMBER_RE = r"^([0-9]+)([.)])"
+MD_TARGET = [(" ", "%20"), ("(", "%28"), (")", "%29"), ("<", "%3C"), (">", "%3E")]
+
 # Character references: decimal, hex, or a name.
 # The ";" is required: without it the text stays as written, as do unknown names.
 ENTITY_RE = r"&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);"
@@ -121,6 +127,23 @@ def matches_any(text: Column, markers) -> Column:
     )
 
 
+def md_escape(text: Column) -> Column:
+    """Characters that mean something in Markdown, wherever they stand, as themselves."""
+    return F.regexp_replace(text, MD_CHARS_RE, r"\\$1")
+
+
+def md_line_start(text: Column) -> Column:
+    """A line that would open a heading, list, rule or quote is kept a plain line."""
+    return F.regexp_replace(F.regexp_replace(text, MD_START_RE, r"\\$1"), MD_NUMBER_RE, r"$1\\$2")
+
+
+def md_target(url: Column) -> Column:
+    """A link target that ends where it should: spaces, parentheses and angle brackets escaped."""
+    for char, code in MD_TARGET:
+        url = F.replace(url, F.lit(char), F.lit(code))
+    return url
+
+
 def py_strip(col: Column) -> Column:
     """Python ``str.strip()``: trim the full Unicode whitespace set at both ends."""
     return F.regexp_replace(col, r"^" + PY_WS_RUN + r"|" + PY_WS_RUN + r"$", "")

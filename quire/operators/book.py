@@ -12,7 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.text import bookmark_name, fill_placeholders
+from quire.functions.text import bookmark_name, fill_placeholders, md_escape, md_line_start, md_target
+from quire.functions.urls import url_spans
+from quire.operators.html import RUN_TYPE
+from quire.operators.site import BULLET
 from quire.operators.slices import removed_flag
 
 # Fixed values --------------------------------------------------------------
@@ -27,7 +30,9 @@ BIG_FONT_FROM_CHAPTER = 7  # chapters with 0-based index >= 6
 END = 1 << 30
 
 LINE_COLS = ["book_id", "n1", "n2", "n3", "rank", "idx", "kind", "style", "text", "markup", "img_url",
-             "font_pt"]
+             "font_pt", "alt", "runs"]
+# columns that only lines of a page have
+PAGE_COLS = {"markup": "string", "alt": "string", "runs": RUN_TYPE}
 
 
 def numbered_title(n1: Column, n2: Column, n3: Column, title: Column) -> Column:
@@ -62,8 +67,8 @@ def _lines(df: DataFrame, **cols: Column) -> DataFrame:
     for c in LINE_COLS:
         if c in cols:
             out.append(cols[c].alias(c))
-        elif c == "markup":
-            out.append(F.lit(None).cast("string").alias(c))
+        elif c in PAGE_COLS:
+            out.append(F.lit(None).cast(PAGE_COLS[c]).alias(c))
         else:
             out.append(F.col(c))
     return df.select(*out, "_book_title")
@@ -106,7 +111,8 @@ def book_lines(books: DataFrame, sections: DataFrame, content: DataFrame,
     # placeholder unless it has children (B6; level 3 needs no lines only).  The content
     # is read once; the child flag comes from the small sections table.
     c = content.select("page_id", "config_id", "idx", F.col("type").alias("_type"), F.col("style").alias("_style"),
-                       "full_text", F.col("markup").alias("_markup"), "img_url")
+                       "full_text", F.col("markup").alias("_markup"), "img_url", F.col("alt").alias("_alt"),
+                       F.col("runs").alias("_runs"))
     child_of = sections.filter(F.col("level") >= 2).select(
         "book_id", "n1",
         F.when(F.col("level") == 3, F.col("n2")).otherwise(F.lit(0)).alias("n2"),
@@ -129,7 +135,7 @@ def book_lines(books: DataFrame, sections: DataFrame, content: DataFrame,
                   style=F.when(is_line, F.col("_style")).otherwise(F.lit("Normal")),
                   text=F.when(is_line, F.when(F.col("_type") == "image", lit_null_s)
                               .otherwise(F.col("full_text"))).otherwise(ph_text),
-                  markup=F.when(is_line, F.col("_markup")),
+                  markup=F.when(is_line, F.col("_markup")), alt=F.col("_alt"), runs=F.col("_runs"),
                   img_url=F.col("img_url"),
                   font_pt=F.when(is_line & (F.col("n1") >= BIG_FONT_FROM_CHAPTER),
                                  F.lit(BIG_FONT_PT)).otherwise(lit_null_i))
@@ -147,11 +153,41 @@ def book_lines(books: DataFrame, sections: DataFrame, content: DataFrame,
                .unionByName(heads).unionByName(breaks))
     # Placeholders in every text line take the book title, which came with the section
     allrows = allrows.withColumn(
+        "runs", F.transform("runs", lambda r: r.withField("text", fill_placeholders(r["text"], F.col("_book_title"))))).withColumn(
         "text", fill_placeholders(F.col("text"), F.col("_book_title"))).withColumn(
         "markup", fill_placeholders(F.col("markup"), F.col("_book_title"))).drop("_book_title")
     w = Window.partitionBy("book_id", "n1", "n2", "n3").orderBy("rank", "idx")
     return allrows.select("book_id", "n1", "n2", "n3", F.row_number().over(w).alias("line_no"),
-                          "kind", "style", "text", "markup", "img_url", "font_pt")
+                          "kind", "style", "text", "markup", "img_url", "font_pt", "alt", "runs")
+
+
+def line_pieces(lines: DataFrame) -> DataFrame:
+    """Text lines as the pieces a writer sets one by one, ``(book_id, n1, n2, n3, line_no,
+    piece_no, text, bold, italic, is_url)``.
+
+    A run follows the one before it after a plain space; inside a run every URL is a piece of its
+    own with the run's formats.  A bullet that fell back to another style (J7, column
+    ``bullet_indent``) starts with its sign, set as the first run is.  Lines without runs (the
+    source line) are one plain run.
+    """
+    plain = F.array(F.struct(F.lit(0).alias("pos"), F.col("text").alias("text"), F.lit(False).alias("bold"), F.lit(False).alias("italic")))
+    sign = F.lit("")
+    if "bullet_indent" in lines.columns:
+        sign = F.when(F.col("bullet_indent") & F.col("_runs"), F.lit(BULLET)).otherwise(F.lit(""))
+
+    def piece(text: Column, bold: Column, italic: Column, is_url: Column) -> Column:
+        return F.struct(text.alias("text"), bold.alias("bold"), italic.alias("italic"), is_url.alias("is_url"))
+
+    def pieces(r: Column, i: Column) -> Column:
+        text = F.when(i == 0, F.concat(sign, r["text"])).otherwise(r["text"])
+        own = F.transform(url_spans(text), lambda s: piece(s["text"], r["bold"], r["italic"], s["is_url"]))
+        space = F.array(piece(F.lit(" "), F.lit(False), F.lit(False), F.lit(False)))
+        return F.when(i > 0, F.concat(space, own)).otherwise(own)
+
+    text = lines.filter(F.col("kind") == "text").withColumn("_runs", F.col("runs").isNotNull()).withColumn(
+        "runs", F.coalesce("runs", plain))
+    return text.select("book_id", "n1", "n2", "n3", "line_no", F.posexplode(F.flatten(F.transform("runs", pieces)))
+                       .alias("piece_no", "p")).select("book_id", "n1", "n2", "n3", "line_no", "piece_no", "p.*")
 
 
 def toc_entries(lines: DataFrame) -> DataFrame:
@@ -171,19 +207,23 @@ def header_footer(books: DataFrame, default_header: str, default_footer: str) ->
 
 
 def line_markdown(kind: Column, style: Column, text: Column, img_url: Column,
-                  markup: Column | None = None) -> Column:
-    """One book line as Markdown (the text sink of S7); runs keep bold/italic."""
+                  markup: Column | None = None, alt: Column | None = None) -> Column:
+    """One book line as Markdown (the text sink of S7); runs keep bold/italic (B8), text is
+    escaped, an image keeps its alt text."""
+    text = md_escape(text)
     if markup is not None:
         text = F.coalesce(markup, text)
+    line = md_line_start(text)
+    label = md_escape(F.coalesce(alt, F.lit("image"))) if alt is not None else F.lit("image")
     return (F.when(kind == "title", F.concat(F.lit("# "), text))
             .when(kind == "toc_field", F.lit("[TOC]"))
             .when(kind == "break", F.lit("---"))
-            .when(kind == "image", F.concat(F.lit("![image]("), img_url, F.lit(")")))
+            .when(kind == "image", F.concat(F.lit("!["), label, F.lit("]("), md_target(img_url), F.lit(")")))
             .when(style.startswith("Heading "),
                   F.concat(F.repeat(F.lit("#"), F.substring(style, 9, 2).cast("int") + 1), F.lit(" "), text))
-            .when(style == "List Bullet", F.concat(F.lit("- "), text))
-            .when(style == "List Number", F.concat(F.lit("1. "), text))
-            .otherwise(text))
+            .when(style == "List Bullet", F.concat(F.lit("- "), line))
+            .when(style == "List Number", F.concat(F.lit("1. "), line))
+            .otherwise(line))
 
 
 def render_chapters(lines: DataFrame) -> DataFrame:
@@ -193,7 +233,7 @@ def render_chapters(lines: DataFrame) -> DataFrame:
     chapter (which can reach cap x cap pages).  ``write_books`` is the scalable sink."""
     md = lines.select("book_id", "n1", "n2", "n3", "line_no",
                       line_markdown(F.col("kind"), F.col("style"), F.col("text"), F.col("img_url"),
-                                    F.col("markup")).alias("md"))
+                                    F.col("markup"), F.col("alt")).alias("md"))
     return md.groupBy("book_id", "n1", "n2").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("n3", "line_no", "md"))), lambda x: x["md"]), "\n")
         .alias("markdown"))
@@ -204,20 +244,21 @@ def write_books(lines: DataFrame, path: str) -> None:
     it contains (dynamic partition overwrite), never other books' output (D8)."""
     md = lines.select("book_id", "n1", "n2", "n3", "line_no",
                       line_markdown(F.col("kind"), F.col("style"), F.col("text"), F.col("img_url"),
-                                    F.col("markup")).alias("value"))
+                                    F.col("markup"), F.col("alt")).alias("value"))
     (md.repartitionByRange("book_id", "n1", "n2", "n3").sortWithinPartitions("book_id", "n1", "n2", "n3", "line_no")
        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
        .partitionBy("book_id").parquet(path))
 
 
 # ------------------------------------------------------------------ report (A1-A4)
-def page_report(bounds: DataFrame, remove=None) -> DataFrame:
+def page_report(bounds: DataFrame, remove=None, by=("page_id",)) -> DataFrame:
     """A1: per page: items parsed, in the slice, removed from it by the removal list and
     kept, and whether a start and a stop marker were found (``no_start``, ``no_stop``: not)."""
     inside = F.coalesce((F.col("idx") >= F.col("slice_start")) & (
         F.col("slice_stop").isNull() | (F.col("idx") < F.col("slice_stop"))), F.lit(False))
     gone = inside & F.col("_removed")
-    return removed_flag(bounds, remove).groupBy("page_id").agg(
+    marked = bounds if "_removed" in bounds.columns else removed_flag(bounds, remove)
+    return marked.groupBy(*by).agg(
         F.count(F.lit(1)).alias("items_parsed"), F.count_if(inside).alias("items_sliced"),
         F.count_if(gone).alias("items_removed"), F.count_if(inside & ~F.col("_removed")).alias("items_kept"),
         F.max(F.col("slice_start").isNotNull().cast("int")).alias("has_start"),
@@ -242,6 +283,29 @@ def book_report(sections: DataFrame) -> DataFrame:
         F.count_if(F.col("status") == "missing").alias("missing"))
 
 
+def run_report(sections: DataFrame, marked: DataFrame, links: DataFrame, lines: DataFrame, images: DataFrame) -> DataFrame:
+    """A3 in full, per book and level with totals of books and of all (``rollup``): sections, pages
+    that were not captured, pages without a start or a stop marker, items kept and removed, links
+    that the cap cut off, images without bytes.
+
+    Taken from what the job wrote (``marked`` items, ``links``), not from the html again.
+    ``links``: uncapped; ``lines``: book lines; ``images``: ``(url)`` of images with bytes."""
+    pages = page_report(marked, by=("page_id", "config_id")).select("page_id", "config_id", "no_start", "no_stop", "items_kept", "items_removed")
+    found = links.groupBy("page_id", "selector").agg(F.max("link_no").alias("_links"))
+    s = (sections.select("book_id", "level", "n1", "n2", "n3", "page_id", "config_id", "selector", "max_chapters", "max_depth", "status")
+         .join(pages, ["page_id", "config_id"], "left").join(found, ["page_id", "selector"], "left"))
+    cut = F.when(F.col("level") < F.col("max_depth"), F.greatest(F.lit(0), F.coalesce("_links", F.lit(0)) - F.col("max_chapters")))
+    counts = s.select("book_id", "level", F.lit(1).alias("sections"), (F.col("status") == "missing").cast("int").alias("missing"),
+                      "no_start", "no_stop", F.col("items_kept").alias("kept"), F.col("items_removed").alias("removed"),
+                      cut.alias("links_cut"), F.lit(0).alias("images_failed"))
+    level = F.when(F.col("n2") == 0, 1).when(F.col("n3") == 0, 2).otherwise(3)
+    failed = (lines.filter((F.col("kind") == "image") & (F.col("n1") > 0)).select("book_id", level.alias("level"), F.col("img_url").alias("url"))
+              .join(images.select("url").distinct(), "url", "left_anti")
+              .select("book_id", "level", *[F.lit(0).alias(c) for c in counts.columns[2:-1]], F.lit(1).alias("images_failed")))
+    return counts.unionByName(failed).rollup("book_id", "level").agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in counts.columns[2:]])
+
+
 def toc_preview(sections: DataFrame, n: int = 10) -> DataFrame:
     """A4: first ``n`` chapters per book plus how many more there are."""
     l1 = sections.filter(F.col("level") == 1)

@@ -151,8 +151,8 @@ def content_root(pages: DataFrame, root: str = "auto", strip_tags: list[str] | N
 
 
 def _run_markup(r: Column) -> Column:
-    """One run as Markdown: ``***both***``, ``**bold**``, ``*italic*`` or plain."""
-    t, b, i = r["text"], r["bold"], r["italic"]
+    """One run as Markdown, its own characters escaped: ``***both***``, ``**bold**``, ``*italic*`` or plain."""
+    t, b, i = T.md_escape(r["text"]), r["bold"], r["italic"]
     return (F.when(b & i, F.concat(F.lit("***"), t, F.lit("***")))
             .when(b, F.concat(F.lit("**"), t, F.lit("**")))
             .when(i, F.concat(F.lit("*"), t, F.lit("*"))).otherwise(t))

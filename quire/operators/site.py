@@ -86,6 +86,7 @@ def template_lookup(books: DataFrame, templates: DataFrame, folders: DataFrame)
 
 
 # Fallback order of the book writer when a style is missing.
+BULLET = "• "
 STYLE_FALLBACK = ["List Bullet", "List Paragraph", "Normal"]
 
 
@@ -109,5 +110,5 @@ def available_style(lines: DataFrame, styles: DataFrame) -> DataFrame:
     return j.select(*[c for c in lines.columns], chosen.alias("used_style"),
                     fell_back.alias("bullet_indent")).withColumn(
         "text", F.when(F.col("bullet_indent") & (F.col("kind") == "text"),
-                       F.concat(F.lit("• "), F.col("text"))).otherwise(F.col("text")))
+                       F.concat(F.lit(BULLET), F.col("text"))).otherwise(F.col("text")))
 

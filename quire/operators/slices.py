@@ -87,6 +87,12 @@ def remove_text(items: DataFrame, remove) -> DataFrame:
     return removed_flag(items, remove).filter(~F.col("_removed")).drop("_removed")
 
 
+def marked_items(items: DataFrame, start_markers, stop_markers, remove=None, by=("page_id",)) -> DataFrame:
+    """Every item with ``slice_start``, ``slice_stop`` and ``_removed``: what M4-M7 and the reports
+    are taken from."""
+    return removed_flag(slice_bounds(items, start_markers, stop_markers, by), remove)
+
+
 def extract_content(items: DataFrame, urls: DataFrame | None, start_markers, stop_markers,
                     remove=None, renumber: bool = True, by=("page_id",)) -> DataFrame:
     """M7: slice, remove, append ``Content Source - {url}``, renumber ``idx`` from 0.
@@ -98,8 +104,13 @@ def extract_content(items: DataFrame, urls: DataFrame | None, start_markers, sto
     ``urls``: ``(page_id, url)``, or the name of a column that holds it; NULL or empty URL -> no
     source line.  Columns of ``by`` are kept on the source line.
     """
-    t = slice_bounds(items, start_markers, stop_markers, by).filter(F.col("slice_start").isNotNull())
-    t = removed_flag(t, remove)
+    return content_of(marked_items(items, start_markers, stop_markers, remove, by), urls, renumber, by)
+
+
+def content_of(marked: DataFrame, urls: DataFrame | str | None, renumber: bool = True, by=("page_id",)) -> DataFrame:
+    """M4-M7 on marked items (``extract_content``)."""
+    t = marked.filter(F.col("slice_start").isNotNull())
+    items = marked.drop("slice_start", "slice_stop", "_removed")
     if isinstance(urls, str):
         t = t.withColumn("_url", F.col(urls))
     elif urls is not None:

@@ -15,17 +15,19 @@ or, above the session's broadcast limit, dealt out by id; pages in a page store
 from __future__ import annotations
 
 from dataclasses import asdict, dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import Compiled
 from quire.functions.urls import url_slug
-from quire.operators.book import book_lines, section_numbers
+from quire.operators.book import book_lines, header_footer, section_numbers
 from quire.operators.html import page_items
 from quire.operators.links import DEFAULT_MAX_CHAPTERS, DEFAULT_SELECTOR, chapter_links
-from quire.operators.site import CONFIG_COLS, book_roots, follow_links, page_keys
-from quire.operators.slices import extract_content
+from quire.operators.site import (CONFIG_COLS, available_style, book_roots, follow_links, page_keys,
+                                  template_lookup)
+from quire.operators.slices import content_of, marked_items
 from quire.session import ensure_checkpoint_dir, written
 from quire.sources.tables import compiled_configs
 
@@ -53,13 +55,77 @@ class BookConfig:
 
 @dataclass
 class BookRun:
-    items: DataFrame
-    content: DataFrame
+    """What a run has written, and what follows from it; items are taken when first asked for."""
+    pages: DataFrame
+    books: DataFrame
+    configs: DataFrame
     links: DataFrame
     roots: DataFrame
     sections: DataFrame
-    lines: DataFrame
     rejects: DataFrame
+    checkpoint: bool = True
+
+    @cached_property
+    def marked(self) -> DataFrame:
+        """Items of every page some book reaches, under each of its configs, with their slices."""
+        root_rows = self._root_rows()
+        reach = root_rows.select(F.col("root_page_id").alias("page_id"), "config_id").unionByName(
+            self.sections.filter(F.col("page_id").isNotNull()).select("page_id", "config_id")).distinct()
+        reach = _cut(reach.join(self.pages.select("page_id", F.col("url").alias("_page_url")), "page_id").join(
+            self.configs.select("config_id", "start_re", "stop_re", "removed", "include_images"), "config_id"), self.checkpoint)
+        ids = _cut(reach.select("page_id").distinct(), self.checkpoint)
+        images = bool(self.configs.agg(F.max("include_images")).first()[0])
+        items = page_items(reached_pages(self.pages, ids), include_images=images)
+        # a page's items under each of its configs: without images the others close up
+        own = items.join(reach, "page_id").filter((F.col("type") != "image") | F.col("include_images"))
+        own = own.withColumn("idx", F.row_number().over(Window.partitionBy(*PER_PAGE).orderBy("idx")) - 1)
+        marked = marked_items(own, Compiled(F.col("start_re")), Compiled(F.col("stop_re")), F.col("removed"), PER_PAGE)
+        return _cut(marked.select(*items.columns, "config_id", "_page_url", "slice_start", "slice_stop", "_removed"), self.checkpoint)
+
+    @cached_property
+    def content(self) -> DataFrame:
+        return content_of(self.marked, "_page_url", by=PER_PAGE).drop("_page_url")
+
+    @cached_property
+    def lines(self) -> DataFrame:
+        return book_lines(self.books, self.sections, self.content, self._root_rows())
+
+    def _root_rows(self) -> DataFrame:
+        return self.roots.filter(F.col("root_page_id").isNotNull()).select("book_id", "config_id", "root_page_id")
+
+
+PER_PAGE = ("page_id", "config_id")
+
+
+def _cut(df: DataFrame, checkpoint: bool) -> DataFrame:
+    return written(df) if checkpoint else df
+
+
+def paragraphs(run: BookRun, templates: DataFrame, folders: DataFrame, styles: DataFrame, images: DataFrame,
+               default_header: str, default_footer: str) -> DataFrame:
+    """B12 to the end: book lines as a document writer takes them.
+
+    Text lines get the style that their book's template has (J6, J7: ``used_style``,
+    ``bullet_indent``), images their bytes' length (S5; an image without bytes is left out), and
+    every book a header and a footer row (B10, ``n1`` -2).  ``images``: ``(url, content)``; the other
+    tables as ``template_lookup`` and ``available_style`` take them.  Runs stay in ``runs`` for
+    ``line_pieces``."""
+    b = template_lookup(run.books, templates, folders)
+    lines = run.lines.join(b, "book_id")
+    text = F.col("kind") == "text"
+    styled = available_style(lines.filter(text), styles)
+    # the sign is put before the first run by line_pieces; the text has it already
+    other = lines.filter(~text).withColumn("used_style", F.col("style")).withColumn("bullet_indent", F.lit(False))
+    rows = styled.unionByName(other)
+    sizes = images.select(F.col("url").alias("img_url"), F.octet_length("content").alias("image_bytes")).dropDuplicates(["img_url"])
+    rows = rows.join(sizes, "img_url", "left").filter((F.col("kind") != "image") | F.col("image_bytes").isNotNull())
+    ends = header_footer(run.books, default_header, default_footer).join(b, "book_id")
+    none = {f.name: F.lit(None).cast(f.dataType) for f in rows.schema}
+    for number, kind in enumerate(("header", "footer"), 1):
+        fixed = {"book_id": F.col("book_id"), "template": F.col("template"), "n1": F.lit(-2), "n2": F.lit(0), "n3": F.lit(0),
+                 "line_no": F.lit(number), "kind": F.lit(kind), "text": F.col(kind), "bullet_indent": F.lit(False)}
+        rows = rows.unionByName(ends.select(*[(fixed[c] if c in fixed else none[c]).alias(c) for c in rows.columns]))
+    return rows
 
 
 CONFIG_ROW = ("config_id string, start_markers array<string>, stop_markers array<string>, remove_text array<string>, "
@@ -116,7 +182,7 @@ def build_books(pages: DataFrame, books: DataFrame, configs: BookConfig | DataFr
         ensure_checkpoint_dir(spark)
 
     def cut(df: DataFrame) -> DataFrame:
-        return written(df) if checkpoint else df
+        return _cut(df, checkpoint)
 
     cfg = cut(compiled_configs(configs))
     known = cfg.agg(F.max("max_depth").alias("depth"), F.max("include_images").alias("images"),
@@ -143,19 +209,4 @@ def build_books(pages: DataFrame, books: DataFrame, configs: BookConfig | DataFr
         sections, links = sections.unionByName(sec), links.unionByName(more)
     sections = cut(section_numbers(sections))
 
-    root_rows = roots.filter(F.col("root_page_id").isNotNull()).select("book_id", "config_id", "root_page_id")
-    reach = root_rows.select(F.col("root_page_id").alias("page_id"), "config_id").unionByName(
-        sections.filter(F.col("page_id").isNotNull()).select("page_id", "config_id")).distinct()
-    reach = cut(reach.join(pages.select("page_id", F.col("url").alias("_page_url")), "page_id").join(
-        cfg.select("config_id", "start_re", "stop_re", "removed", "include_images"), "config_id"))
-    ids = cut(reach.select("page_id").distinct())
-    items = page_items(reached_pages(pages, ids), include_images=bool(known["images"]))
-    # a page's items under each of its configs: without images the others close up
-    own = items.join(reach, "page_id").filter((F.col("type") != "image") | F.col("include_images"))
-    by = ("page_id", "config_id")
-    own = own.withColumn("idx", F.row_number().over(Window.partitionBy(*by).orderBy("idx")) - 1)
-    own = own.select(*items.columns, "config_id", "_page_url", "start_re", "stop_re", "removed")
-    content = extract_content(own, "_page_url", Compiled(F.col("start_re")), Compiled(F.col("stop_re")),
-                              F.col("removed"), by=by).select(*items.columns, "config_id")
-    lines = book_lines(good, sections, content, root_rows)
-    return BookRun(items, content, links.dropDuplicates(["page_id", "selector", "link_no"]), roots, sections, lines, rejects)
+    return BookRun(pages, good, cfg, links.dropDuplicates(["page_id", "selector", "link_no"]), roots, sections, rejects, checkpoint)

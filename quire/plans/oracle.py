@@ -10,7 +10,7 @@ the library decodes every HTML 4 name and numeric reference.
 
 from __future__ import annotations
 
-from quire.functions.text import ENTITY_RE, PY_WS_RUN, TITLE_LSTRIP  # noqa: F401
+from quire.functions.text import ENTITY_RE, MD_CHARS_RE, MD_NUMBER_RE, MD_START_RE, MD_TARGET, PY_WS_RUN, TITLE_LSTRIP  # noqa: F401
 from quire.functions.urls import LOCAL_HOSTS, NETLOC_RE, SCHEME_RE, URI_RE, URL_SPAN_RE
 from quire.operators import html as H
 from quire.operators.book import BIG_FONT_FROM_CHAPTER, BIG_FONT_PT, END, INTRO_TITLE, PLACEHOLDER, TOC_TITLE
@@ -58,6 +58,15 @@ def decode(x: str) -> str:
     return out
 
 
+def md_escape(x: str) -> str:
+    return f"regexp_replace({x}, {lit(MD_CHARS_RE)}, {lit(chr(92) * 3 + '1')}, 'g')"
+
+
+def md_line_start(x: str) -> str:
+    once = f"regexp_replace({x}, {lit(MD_START_RE)}, {lit(chr(92) * 3 + '1')})"
+    return f"regexp_replace({once}, {lit(MD_NUMBER_RE)}, {lit(chr(92) + '1' + chr(92) * 3 + '2')})"
+
+
 def matches_any(x: str, markers) -> str:
     if not markers:
         return "false"
@@ -366,7 +375,7 @@ def items_ctes(seg: str, include_images: bool, out: str = "items") -> str:
 {out}_im AS (SELECT page_id, 'image' AS type,
     CASE WHEN coalesce(seg_kind = 'open' AND in_block, false) THEN seg_pos END AS seg_pos,
     NULL::VARCHAR AS seg_tag, NULL::BIGINT AS list_depth, '' AS full_text, 0 AS n_runs, '' AS bold_text,
-    NULL::VARCHAR AS markup,
+    NULL::VARCHAR AS markup, NULL AS runs,
     _img_url AS img_url, CASE WHEN _alt <> '' THEN _alt ELSE 'Image' END AS alt,
     coalesce(seg_kind = 'open' AND in_block, false) AS _in_block,
     CASE WHEN coalesce(seg_kind = 'open' AND in_block, false) THEN part_pos ELSE pos END AS k1, 1 AS k2, pos AS k3,
@@ -379,16 +388,17 @@ def items_ctes(seg: str, include_images: bool, out: str = "items") -> str:
     coalesce(string_agg(text, ' ' ORDER BY pos) FILTER (WHERE _is_run AND text <> ''), '') AS full_text,
     count(*) FILTER (WHERE _is_run AND text <> '') AS n_runs,
     coalesce(string_agg(text, '|' ORDER BY pos) FILTER (WHERE _is_run AND text <> '' AND bold), '') AS bold_text,
-    string_agg(CASE WHEN bold AND italic THEN '***' || text || '***' WHEN bold THEN '**' || text || '**'
-                    WHEN italic THEN '*' || text || '*' ELSE text END, ' ' ORDER BY pos)
+    string_agg(CASE WHEN bold AND italic THEN '***' || {md_escape('text')} || '***' WHEN bold THEN '**' || {md_escape('text')} || '**'
+                    WHEN italic THEN '*' || {md_escape('text')} || '*' ELSE {md_escape('text')} END, ' ' ORDER BY pos)
       FILTER (WHERE _is_run AND text <> '') AS markup,
+    list({{'text': text, 'bold': bold, 'italic': italic}} ORDER BY pos) FILTER (WHERE _is_run AND text <> '') AS runs,
     max(container) AS container
   FROM {out}_r1 GROUP BY page_id, part_pos),
 {out}_ev AS (SELECT page_id, 'event' AS type, NULL::BIGINT AS seg_pos, NULL::VARCHAR AS seg_tag, _L_here AS list_depth,
-    NULL::VARCHAR AS full_text, 0 AS n_runs, '' AS bold_text, NULL::VARCHAR AS markup, NULL::VARCHAR AS img_url,
+    NULL::VARCHAR AS full_text, 0 AS n_runs, '' AS bold_text, NULL::VARCHAR AS markup, NULL AS runs, NULL::VARCHAR AS img_url,
     NULL::VARCHAR AS alt, false AS _in_block, pos AS k1, 0 AS k2, pos AS k3, tag AS _list_tag, NULL::BOOLEAN AS container
   FROM {seg} WHERE kind = 'open' AND tag IN ('ul', 'ol')){img},
-{out}_u AS (SELECT page_id, 'text' AS type, seg_pos, seg_tag, list_depth, full_text, n_runs, bold_text, markup,
+{out}_u AS (SELECT page_id, 'text' AS type, seg_pos, seg_tag, list_depth, full_text, n_runs, bold_text, markup, runs,
     NULL::VARCHAR AS img_url, NULL::VARCHAR AS alt, true AS _in_block, part_pos AS k1, 0 AS k2, part_pos AS k3,
     NULL::VARCHAR AS _list_tag, container FROM {out}_p
   UNION ALL BY NAME SELECT * FROM {out}_ev{union_img}),
@@ -399,7 +409,7 @@ def items_ctes(seg: str, include_images: bool, out: str = "items") -> str:
   FROM {out}_c WHERE (type = 'text' AND NOT _container AND n_runs > 0) OR type IN ('event', 'image')),
 {out}_l AS (SELECT *, last_value(_list_tag IGNORE NULLS) OVER (PARTITION BY page_id, list_depth ORDER BY k1, k2, k3
     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _parent_list FROM {out}_f),
-{out}_st AS (SELECT page_id, type, k1, k2, k3, full_text, n_runs, bold_text, markup, img_url, alt,
+{out}_st AS (SELECT page_id, type, k1, k2, k3, full_text, n_runs, bold_text, markup, runs, img_url, alt,
     CASE WHEN type = 'text' THEN CASE WHEN seg_tag = 'li' THEN CASE WHEN coalesce(_parent_list = 'ol', false)
       THEN 'List Number' ELSE 'List Bullet' END WHEN seg_tag IN ('h1', 'h2', 'h3') THEN 'Heading 3'
       WHEN seg_tag IN ('h4', 'h5', 'h6') THEN 'Heading 4' ELSE 'Normal' END END AS style
@@ -407,7 +417,7 @@ def items_ctes(seg: str, include_images: bool, out: str = "items") -> str:
 {out}_d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_id, full_text ORDER BY k1, k2, k3) AS _r
   FROM {out}_st) WHERE type <> 'text' OR _r = 1),
 {out} AS (SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY k1, k2, k3) - 1 AS INTEGER) AS idx,
-    type, style, full_text, markup, img_url, alt, n_runs, bold_text FROM {out}_d)"""
+    type, style, full_text, markup, runs, img_url, alt, n_runs, bold_text FROM {out}_d)"""
 
 
 def html_items_ctes(src: str = "pages", include_images: bool = False, strip_tags=None, root: str = "auto") -> str:
@@ -446,13 +456,13 @@ JOIN runs r ON r.page_id = i.page_id AND r.part_pos = i.k1 WHERE i.type = 'text'
 def extract_ctes(items: str, urls_sql: str, start, stop, remove, out: str = "ext") -> str:
     rm = " AND lower(full_text) NOT IN " + lits([r.lower() for r in remove]) if remove else ""
     return f"""{bounds_cte(items, start, stop, out + '_b')},
-{out}_k AS (SELECT page_id, idx, type, style, full_text, markup, img_url FROM {out}_b WHERE slice_start IS NOT NULL AND {KEEP}{rm}),
+{out}_k AS (SELECT page_id, idx, type, style, full_text, markup, img_url, alt, runs FROM {out}_b WHERE slice_start IS NOT NULL AND {KEEP}{rm}),
 {out}_s AS (SELECT DISTINCT b.page_id, {1 << 30} AS idx, 'text' AS type, 'Normal' AS style,
-    {lit(SOURCE_PREFIX)} || u.url AS full_text, NULL::VARCHAR AS markup, NULL::VARCHAR AS img_url
+    {lit(SOURCE_PREFIX)} || u.url AS full_text, NULL::VARCHAR AS markup, NULL::VARCHAR AS img_url, NULL::VARCHAR AS alt, NULL AS runs
   FROM {out}_b b JOIN ({urls_sql}) u ON u.page_id = b.page_id WHERE b.slice_start IS NOT NULL AND u.url IS NOT NULL AND u.url <> ''),
 {out}_u AS (SELECT * FROM {out}_k UNION ALL SELECT * FROM {out}_s),
 {out} AS (SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY idx) - 1 AS INTEGER) AS idx,
-    type, style, full_text, markup, img_url FROM {out}_u)"""
+    type, style, full_text, markup, img_url, alt, runs FROM {out}_u)"""
 
 
 def sql_scrape_page() -> str:
@@ -602,6 +612,7 @@ def numbered(n1: str, n2: str, n3: str, title: str) -> str:
 
 SITE_ITEMS = f"{SITE_SQL}, {html_items_ctes('site', include_images=True)}"
 SITE_LINKS = f"{SITE_ITEMS}, {anchors_ctes('root')}, {links_ctes('anc', SITE_CONFIG['max_chapters'])}"
+ALL_SITE_LINKS = f"{SITE_ITEMS}, {anchors_ctes('root')}, {links_ctes('anc', None)}"
 
 
 def _level(n: int, parent: str) -> str:
@@ -612,17 +623,18 @@ def _level(n: int, parent: str) -> str:
             2: "p.n1, CAST(row_number() OVER (PARTITION BY p.book_id, p.n1 ORDER BY l.link_no) AS INTEGER) AS n2, 0 AS n3",
             3: "p.n1, p.n2, CAST(row_number() OVER (PARTITION BY p.book_id, p.n1, p.n2 ORDER BY l.link_no) AS INTEGER) AS n3"}[n]
     del num, part
-    return f"""lv{n} AS (SELECT p.book_id, {cols}, {n} AS level, l.title, l.url, l.slug, k.page_id
-  FROM {parent} p JOIN lnk l ON l.page_id = p.page_id {keep}
+    return f"""lv{n} AS (SELECT p.book_id, p.config_id, p.cap, p.depth, {cols}, {n} AS level, l.title, l.url, l.slug, k.page_id
+  FROM {parent} p JOIN lnk l ON l.page_id = p.page_id AND l.link_no <= p.cap AND p.depth >= {n} {keep}
   LEFT JOIN keys k ON k.page_key = l.norm_url WHERE p.page_id IS NOT NULL)"""
 
 
-SECTIONS = f"""{SITE_LINKS},
-keys AS (SELECT {norm_key(defrag('url'))} AS page_key, min(page_id) AS page_id FROM site GROUP BY 1),
-roots AS (SELECT b.book_id, b.url, b.title, k.page_id AS root_page_id FROM site_books b
+ONE_SITE_CONFIG = f"""site_cfg(config_id, cap, depth) AS (VALUES ('site', {SITE_CONFIG['max_chapters']}, {SITE_CONFIG['max_depth']})),
+cfg_books AS (SELECT *, config_id AS own FROM site_books)"""
+_SECTIONS = f"""keys AS (SELECT {norm_key(defrag('url'))} AS page_key, min(page_id) AS page_id FROM site GROUP BY 1),
+roots AS (SELECT b.book_id, b.own AS config_id, b.url, b.title, k.page_id AS root_page_id FROM cfg_books b
   LEFT JOIN keys k ON k.page_key = {norm_key(defrag('b.url'))}),
-lv0 AS (SELECT book_id, 0 AS n1, 0 AS n2, 0 AS n3, root_page_id AS page_id, {slug('url')} AS slug FROM roots
-  WHERE root_page_id IS NOT NULL),
+lv0 AS (SELECT book_id, config_id, cap, depth, 0 AS n1, 0 AS n2, 0 AS n3, root_page_id AS page_id, {slug('url')} AS slug
+  FROM roots JOIN site_cfg USING (config_id) WHERE root_page_id IS NOT NULL),
 {_level(1, 'lv0')},
 {_level(2, 'lv1')},
 {_level(3, 'lv2')},
@@ -633,6 +645,7 @@ sections AS (SELECT s.*, CASE WHEN s.page_id IS NULL THEN 'missing' ELSE 'ok' EN
   {numbered('s.n1', 's.n2', 's.n3', 's.title')} AS number_title,
   c._before + row_number() OVER (PARTITION BY s.book_id, s.n1 ORDER BY s.n2, s.n3) AS bookmark_id
   FROM sec0 s JOIN per_ch c ON c.book_id = s.book_id AND c.n1 = s.n1)"""
+SECTIONS = f"{ALL_SITE_LINKS}, {ONE_SITE_CONFIG}, {_SECTIONS}"
 
 
 def sql_site_items() -> str:
@@ -651,57 +664,67 @@ SELECT book_id, n1, n2, n3, level, title, url, page_id, status, number_title, bo
 
 def _lines_sql() -> str:
     c = SITE_CONFIG
-    line = ("book_id, n1, n2, n3, rank, idx, kind, style, text, markup, img_url, font_pt")
     return f"""{SECTIONS},
-{extract_ctes('items', 'SELECT page_id, url FROM site', c['start_markers'], c['stop_markers'], c['remove_text'])},
-b AS (SELECT book_id, title AS _book_title FROM site_books),
-secpages AS (SELECT book_id, root_page_id AS page_id, 0 AS n1, 0 AS n2, 0 AS n3 FROM roots WHERE root_page_id IS NOT NULL
-  UNION ALL SELECT book_id, page_id, n1, n2, n3 FROM sections WHERE page_id IS NOT NULL),
+{extract_ctes('items', 'SELECT page_id, url FROM site', c['start_markers'], c['stop_markers'], c['remove_text'], 'ext1')},
+ext AS (SELECT *, 'site' AS config_id FROM ext1), {_assembled_sql()}"""
+
+
+def _assembled_sql() -> str:
+    """Lines of the books in ``cfg_books`` from ``sections``, ``roots`` and ``ext`` (content by page and config)."""
+    line = ("book_id, n1, n2, n3, rank, idx, kind, style, text, markup, img_url, font_pt, alt, runs")
+    return f"""b AS (SELECT book_id, title AS _book_title FROM cfg_books JOIN site_cfg ON site_cfg.config_id = own),
+secpages AS (SELECT book_id, config_id, root_page_id AS page_id, 0 AS n1, 0 AS n2, 0 AS n3 FROM roots JOIN site_cfg USING (config_id) WHERE root_page_id IS NOT NULL
+  UNION ALL SELECT book_id, config_id, page_id, n1, n2, n3 FROM sections WHERE page_id IS NOT NULL),
 body AS (SELECT s.book_id, s.n1, s.n2, s.n3, 1 AS rank, e.idx, e.type AS kind, e.style,
   CASE WHEN e.type = 'image' THEN NULL ELSE e.full_text END AS text, e.markup, e.img_url,
-  CASE WHEN s.n1 >= {BIG_FONT_FROM_CHAPTER} THEN {BIG_FONT_PT} END AS font_pt
-  FROM secpages s JOIN ext e ON e.page_id = s.page_id),
-has_lines AS (SELECT DISTINCT s.book_id, s.n1, s.n2, s.n3 FROM secpages s WHERE s.page_id IN (SELECT page_id FROM ext)),
+  CASE WHEN s.n1 >= {BIG_FONT_FROM_CHAPTER} THEN {BIG_FONT_PT} END AS font_pt, e.alt, e.runs
+  FROM secpages s JOIN ext e ON e.page_id = s.page_id AND e.config_id = s.config_id),
+has_lines AS (SELECT DISTINCT s.book_id, s.n1, s.n2, s.n3 FROM secpages s WHERE (s.page_id, s.config_id) IN (SELECT (page_id, config_id) FROM ext)),
 child_of AS (SELECT DISTINCT book_id, n1, CASE WHEN level = 3 THEN n2 ELSE 0 END AS n2, 0 AS n3 FROM sections WHERE level >= 2),
 ph AS (SELECT s.book_id, s.n1, s.n2, s.n3, 2 AS rank, 0 AS idx, 'placeholder' AS kind, 'Normal' AS style,
   CASE WHEN s.level = 1 THEN {lit(PLACEHOLDER[1])} WHEN s.level = 2 THEN {lit(PLACEHOLDER[2])} ELSE {lit(PLACEHOLDER[3])} END AS text,
-  NULL AS markup, NULL AS img_url, NULL AS font_pt FROM sections s
+  NULL AS markup, NULL AS img_url, NULL AS font_pt, NULL AS alt, NULL AS runs FROM sections s
   WHERE NOT EXISTS (SELECT 1 FROM has_lines h WHERE h.book_id = s.book_id AND h.n1 = s.n1 AND h.n2 = s.n2 AND h.n3 = s.n3)
     AND NOT EXISTS (SELECT 1 FROM child_of c WHERE c.book_id = s.book_id AND c.n1 = s.n1 AND c.n2 = s.n2 AND c.n3 = s.n3)),
 allrows AS (
-  SELECT book_id, -1 AS n1, 0 AS n2, 0 AS n3, 0 AS rank, 0 AS idx, 'title' AS kind, 'Title' AS style, {lit(TOC_TITLE)} AS text, NULL AS markup, NULL AS img_url, NULL AS font_pt FROM b
-  UNION ALL SELECT book_id, -1, 0, 0, 1, 0, 'toc_field', NULL, {lit('TOC \\o "1-3" \\h \\z \\u')}, NULL, NULL, NULL FROM b
-  UNION ALL SELECT book_id, -1, {END}, {END}, 0, 0, 'break', NULL, '', NULL, NULL, NULL FROM b
-  UNION ALL SELECT book_id, 0, 0, 0, 0, 0, 'heading', 'Heading 1', {lit(INTRO_TITLE)}, NULL, NULL, NULL FROM b
-  UNION ALL SELECT book_id, 0, {END}, {END}, 0, 0, 'break', NULL, '', NULL, NULL, NULL FROM b
+  SELECT book_id, -1 AS n1, 0 AS n2, 0 AS n3, 0 AS rank, 0 AS idx, 'title' AS kind, 'Title' AS style, {lit(TOC_TITLE)} AS text, NULL AS markup, NULL AS img_url, NULL AS font_pt, NULL AS alt, NULL AS runs FROM b
+  UNION ALL SELECT book_id, -1, 0, 0, 1, 0, 'toc_field', NULL, {lit('TOC \\o "1-3" \\h \\z \\u')}, NULL, NULL, NULL, NULL, NULL FROM b
+  UNION ALL SELECT book_id, -1, {END}, {END}, 0, 0, 'break', NULL, '', NULL, NULL, NULL, NULL, NULL FROM b
+  UNION ALL SELECT book_id, 0, 0, 0, 0, 0, 'heading', 'Heading 1', {lit(INTRO_TITLE)}, NULL, NULL, NULL, NULL, NULL FROM b
+  UNION ALL SELECT book_id, 0, {END}, {END}, 0, 0, 'break', NULL, '', NULL, NULL, NULL, NULL, NULL FROM b
   UNION ALL SELECT {line} FROM body
   UNION ALL SELECT book_id, n1, n2, n3, 0, 0, 'heading', 'Heading ' || CAST(level AS VARCHAR),
-    {numbered('n1', 'n2', 'n3', 'title')}, NULL, NULL, NULL FROM sections
+    {numbered('n1', 'n2', 'n3', 'title')}, NULL, NULL, NULL, NULL, NULL FROM sections
   UNION ALL SELECT {line} FROM ph
-  UNION ALL SELECT book_id, n1, {END}, {END}, 0, 0, 'break', NULL, '', NULL, NULL, NULL FROM sections WHERE level = 1),
+  UNION ALL SELECT book_id, n1, {END}, {END}, 0, 0, 'break', NULL, '', NULL, NULL, NULL, NULL, NULL FROM sections WHERE level = 1),
 lines AS (SELECT a.book_id, a.n1, a.n2, a.n3,
   CAST(row_number() OVER (PARTITION BY a.book_id, a.n1, a.n2, a.n3 ORDER BY a.rank, a.idx) AS INTEGER) AS line_no,
   a.kind, a.style, replace(replace(a.text, 'XXX1', b._book_title), 'HHH1', b._book_title) AS text,
   replace(replace(a.markup, 'XXX1', b._book_title), 'HHH1', b._book_title) AS markup,
-  a.img_url, CAST(a.font_pt AS INTEGER) AS font_pt
+  a.img_url, CAST(a.font_pt AS INTEGER) AS font_pt, a.alt,
+  list_transform(a.runs, lambda r: {{'text': replace(replace(r.text, 'XXX1', b._book_title), 'HHH1', b._book_title), 'bold': r.bold, 'italic': r.italic}}) AS runs
   FROM allrows a JOIN b ON b.book_id = a.book_id)"""
 
 
 def sql_book_lines() -> str:
-    return f"WITH {_lines_sql()} SELECT * FROM lines"
+    return f"WITH {_lines_sql()} SELECT * EXCLUDE (runs) FROM lines"
 
 
 def _md(kind: str, style: str, text: str, img: str) -> str:
+    line = md_line_start(text)
+    for char, code in MD_TARGET:
+        img = f"replace({img}, {lit(char)}, {lit(code)})"
+    label = md_escape("coalesce(alt, 'image')")
     return (f"CASE WHEN {kind} = 'title' THEN '# ' || {text} WHEN {kind} = 'toc_field' THEN '[TOC]' "
-            f"WHEN {kind} = 'break' THEN '---' WHEN {kind} = 'image' THEN '![image](' || {img} || ')' "
+            f"WHEN {kind} = 'break' THEN '---' WHEN {kind} = 'image' THEN '![' || {label} || '](' || {img} || ')' "
             f"WHEN starts_with({style}, 'Heading ') THEN repeat('#', CAST(substr({style}, 9, 2) AS INTEGER) + 1) || ' ' || {text} "
-            f"WHEN {style} = 'List Bullet' THEN '- ' || {text} WHEN {style} = 'List Number' THEN '1. ' || {text} "
-            f"ELSE {text} END")
+            f"WHEN {style} = 'List Bullet' THEN '- ' || {line} WHEN {style} = 'List Number' THEN '1. ' || {line} "
+            f"ELSE {line} END")
 
 
 def sql_render_book() -> str:
     return f"""WITH {_lines_sql()}
-SELECT book_id, n1, n2, string_agg({_md('kind', 'style', 'coalesce(markup, text)', 'img_url')}, chr(10) ORDER BY n3, line_no) AS markdown
+SELECT book_id, n1, n2, string_agg({_md('kind', 'style', f"coalesce(markup, {md_escape('text')})", 'img_url')}, chr(10) ORDER BY n3, line_no) AS markdown
 FROM lines GROUP BY book_id, n1, n2"""
 
 
@@ -716,6 +739,96 @@ def sql_image_lookup() -> str:
 SELECT page_id, idx, img_url, alt, octet_length(encode(img_url)) AS n_bytes FROM items WHERE type = 'image' AND length(img_url) % 2 = 0"""
 
 
+def _paragraph_ctes() -> str:
+    tpl = ", ".join(f"({lit(t)}, {lit(g)}, {lit(f)})" for t, g, f in Q.SITE_TEMPLATES)
+    styles = ", ".join(f"({lit(t)}, [{', '.join(lit(x) for x in xs)}])" for t, xs in Q.SITE_STYLES)
+    return f"""{_lines_sql()}, tpl(book_type, language, file) AS (VALUES {tpl}), styles(template, has) AS (VALUES {styles}),
+paths AS (SELECT book_id, b.title, b.url, {lit(Q.SITE_FOLDER + '/')} || file AS template FROM site_books b
+  LEFT JOIN tpl t ON t.book_type = b.book_type AND t.language = lower(b.language)),
+j AS (SELECT l.*, p.template, coalesce(has, []::VARCHAR[]) AS has FROM lines l JOIN paths p USING (book_id) LEFT JOIN styles s ON s.template = p.template),
+u AS (SELECT *, CASE WHEN kind <> 'text' OR list_contains(has, style) THEN style WHEN list_contains(has, 'List Bullet') THEN 'List Bullet'
+  WHEN list_contains(has, 'List Paragraph') THEN 'List Paragraph' ELSE 'Normal' END AS used_style FROM j),
+v AS (SELECT *, kind = 'text' AND starts_with(style, 'List Bullet') AND NOT starts_with(used_style, 'List Bullet') AS bullet_indent FROM u),
+par AS (SELECT book_id, n1, n2, n3, line_no, kind, template, style, used_style, bullet_indent,
+    CASE WHEN bullet_indent THEN '• ' || text ELSE text END AS text, img_url, alt,
+    CASE WHEN kind = 'image' THEN octet_length(encode(img_url)) END AS image_bytes, font_pt, runs
+  FROM v WHERE kind <> 'image' OR length(img_url) % 2 = 0
+  UNION ALL SELECT book_id, -2, 0, 0, 1, 'header', template, NULL, NULL, false, coalesce(CASE WHEN title <> '' THEN title END, {lit(Q.DEFAULT_HEADER)}), NULL, NULL, NULL, NULL, NULL FROM paths
+  UNION ALL SELECT book_id, -2, 0, 0, 2, 'footer', template, NULL, NULL, false, coalesce(CASE WHEN url <> '' THEN url END, {lit(Q.DEFAULT_FOOTER)}), NULL, NULL, NULL, NULL, NULL FROM paths)"""
+
+
+def sql_book_paragraphs() -> str:
+    return f"WITH {_paragraph_ctes()} SELECT * EXCLUDE (runs) FROM par"
+
+
+def sql_book_runs() -> str:
+    re = lit(URL_SPAN_RE)
+    return f"""WITH {_paragraph_ctes()},
+t AS (SELECT *, runs IS NOT NULL AS own, coalesce(runs, [{{'text': text, 'bold': false, 'italic': false}}]) AS rr FROM par WHERE kind = 'text'),
+r AS (SELECT book_id, n1, n2, n3, line_no, bullet_indent, own, unnest(rr) AS x, generate_subscripts(rr, 1) AS i FROM t),
+w AS (SELECT *, CASE WHEN i = 1 AND own AND bullet_indent THEN '• ' ELSE '' END || x.text AS body FROM r),
+q AS (SELECT *, regexp_split_to_array(body, {re}) AS parts, regexp_extract_all(body, {re}, 0) AS urls FROM w),
+z AS (SELECT book_id, n1, n2, n3, line_no, i, 0 AS k, ' ' AS text, false AS bold, false AS italic, false AS is_url FROM q WHERE i > 1
+  UNION ALL SELECT book_id, n1, n2, n3, line_no, i, 2 * generate_subscripts(parts, 1), unnest(parts), x.bold, x.italic, false FROM q
+  UNION ALL SELECT book_id, n1, n2, n3, line_no, i, 2 * generate_subscripts(urls, 1) + 1, unnest(urls), x.bold, x.italic, true FROM q)
+SELECT book_id, n1, n2, n3, line_no, CAST(row_number() OVER (PARTITION BY book_id, n1, n2, n3, line_no ORDER BY i, k) - 1 AS INTEGER) AS piece_no,
+  text, bold, italic, is_url FROM z WHERE text <> ''"""
+
+
+def sql_run_report() -> str:
+    return f"""WITH {_lines_sql()},
+per AS (SELECT page_id, max(CAST(slice_start IS NULL AS INTEGER)) AS no_start, max(CAST(slice_start IS NOT NULL AND slice_stop IS NULL AS INTEGER)) AS no_stop,
+  count(*) FILTER (WHERE {KEEP} AND lower(full_text) NOT IN {lits([x.lower() for x in SITE_CONFIG['remove_text']])}) AS kept,
+  count(*) FILTER (WHERE {KEEP} AND lower(full_text) IN {lits([x.lower() for x in SITE_CONFIG['remove_text']])}) AS removed FROM ext1_b GROUP BY page_id),
+found AS (SELECT page_id, max(link_no) AS n FROM lnk GROUP BY page_id),
+counts AS (SELECT book_id, level, 1 AS sections, CAST(status = 'missing' AS INTEGER) AS missing, no_start, no_stop, kept, removed,
+    CASE WHEN level < depth THEN greatest(0, coalesce(n, 0) - cap) END AS links_cut, 0 AS images_failed
+  FROM sections LEFT JOIN per USING (page_id) LEFT JOIN found USING (page_id)
+  UNION ALL SELECT book_id, CASE WHEN n2 = 0 THEN 1 WHEN n3 = 0 THEN 2 ELSE 3 END, 0, 0, 0, 0, 0, 0, 0, 1 FROM lines
+  WHERE kind = 'image' AND n1 > 0 AND length(img_url) % 2 = 1)
+SELECT book_id, level, {', '.join(f'CAST(coalesce(sum({c}), 0) AS BIGINT) AS {c}' for c in
+  ('sections', 'missing', 'no_start', 'no_stop', 'kept', 'removed', 'links_cut', 'images_failed'))}
+FROM counts GROUP BY ROLLUP (book_id, level)"""
+
+
+def sql_config_book_lines() -> str:
+    known = {k: c for k, c in Q.CONFIGS.items() if k != "odd"}
+    cfg = ", ".join(f"({lit(k)}, {c.max_chapters}, {c.max_depth})" for k, c in known.items())
+    plain = "plain AS (SELECT * EXCLUDE (idx), CAST(row_number() OVER (PARTITION BY page_id ORDER BY idx) - 1 AS INTEGER) AS idx FROM items WHERE type = 'text')"
+    exts = ", ".join(extract_ctes("items" if c.include_images else "plain", "SELECT page_id, url FROM site", c.start_markers, c.stop_markers,
+                                  c.remove_text, f"ext_{k}") for k, c in known.items())
+    every = " UNION ALL BY NAME ".join(f"SELECT *, {lit(k)} AS config_id FROM ext_{k}" for k in known)
+    return f"""WITH {ALL_SITE_LINKS}, site_cfg(config_id, cap, depth) AS (VALUES {cfg}),
+cfg_books AS (SELECT *, {Q.BOOK_CONFIGS}[book_id + 1] AS own FROM site_books), {_SECTIONS}, {plain}, {exts}, ext AS ({every}), {_assembled_sql()}
+SELECT * EXCLUDE (runs) FROM lines"""
+
+
+def _config_ctes() -> str:
+    return """c AS (SELECT item_id, CAST(item_id AS VARCHAR) AS config_id, string_split(text, ' ') AS w, string_split(text, chr(10))[1] AS line
+  FROM benchmark WHERE item_id % 10 <> 9)"""
+
+
+def sql_config_markers() -> str:
+    return f"""WITH {_config_ctes()},
+l AS (SELECT config_id, 'start_markers' AS kind, list_filter([w[1]], lambda x: x IS NOT NULL) AS m FROM c
+  UNION ALL SELECT config_id, 'stop_markers', list_filter([w[2], w[3]], lambda x: x IS NOT NULL) FROM c UNION ALL SELECT config_id, 'remove_text', [line] FROM c)
+SELECT config_id, kind, CAST(generate_subscripts(m, 1) - 1 AS INTEGER) AS pos, unnest(m) AS marker FROM l"""
+
+
+def sql_config_limits() -> str:
+    return f"""WITH {_config_ctes()}
+SELECT config_id, CASE WHEN item_id % 8 = 0 THEN NULL WHEN item_id % 2 = 0 THEN 'ol' ELSE 'li' END AS selector,
+  CAST(CASE WHEN item_id % 3 = 0 THEN greatest(1, item_id % 50) ELSE 100 END AS INTEGER) AS max_chapters,
+  CAST(CASE WHEN item_id % 4 = 0 THEN least(3, greatest(1, item_id % 6)) ELSE 1 END AS INTEGER) AS max_depth, false AS include_images, 1 AS n_removed FROM c"""
+
+
+def sql_manifest_books() -> str:
+    return f"""WITH {SECTIONS}
+SELECT book_id, NULL AS reason, count(*) AS sections FROM sections GROUP BY book_id
+UNION ALL SELECT book_id + 100, CASE WHEN book_id % 2 = 0 THEN 'parent_dir' ELSE 'scheme' END, NULL FROM site_books
+UNION ALL SELECT NULL, 'corrupt', NULL FROM site_books"""
+
+
 def sql_toc_preview() -> str:
     return f"""WITH {SECTIONS}
 SELECT book_id, n1, title, greatest(_total - 10, 0) AS more FROM (
@@ -741,6 +854,13 @@ FROM pages"""
 ORACLE.update({
     "toc": sql_toc,
     "header_footer": sql_header_footer,
+    "config_markers": sql_config_markers,
+    "config_limits": sql_config_limits,
+    "config_book_lines": sql_config_book_lines,
+    "manifest_books": sql_manifest_books,
+    "book_paragraphs": sql_book_paragraphs,
+    "book_runs": sql_book_runs,
+    "run_report": sql_run_report,
     "site_items": sql_site_items,
     "image_lookup": sql_image_lookup,
     "site_links": sql_site_links,

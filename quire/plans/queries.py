@@ -6,6 +6,8 @@ Every query reads the driver tables (or rows Spark derives from them) in full.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,10 +18,11 @@ from quire.operators import html as H
 from quire.operators import links as L
 from quire.operators import site as S
 from quire.operators import slices as M
-from quire.plans.books import BookConfig, build_books
+from quire.plans.books import ONE_CONFIG, BookConfig, build_books, config_table, paragraphs
 from quire.plans.site_fixture import SITE_CONFIG, site_books, site_pages
-from quire.session import written
-from quire.sources.tables import book_manifest, image_lookup, lines_as_items, read_table, turns_as_items
+from quire.session import ensure_checkpoint_dir, written
+from quire.sources.tables import (book_manifest, compiled_configs, image_lookup, lines_as_items, marker_table,
+                                  parse_configs, read_manifest, read_table, turns_as_items)
 
 # Fixed query parameters (chosen so that every branch of the operators is hit on the
 # driver tables; see FIXTURES.md).
@@ -277,7 +280,105 @@ def q_expand_site(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_book_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Every line of every book, numbered per section."""
-    return _site_run(spark, sf).lines
+    return _site_run(spark, sf).lines.drop("runs")
+
+
+# Templates, styles and images of the derived site's books: fixed values of these queries.
+SITE_TEMPLATES = [("main", "english", "main_en.docx"), ("main", "tamil", "main_ta.docx"), ("other", "hindi", "other_hi.docx")]
+SITE_FOLDER = "tpl"
+SITE_STYLES = [("tpl/main_en.docx", ["Normal", "List Bullet", "Heading 3", "Heading 4"]), ("tpl/main_ta.docx", ["Normal", "List Paragraph"]),
+               ("tpl/other_hi.docx", ["Normal"])]
+DEFAULT_HEADER, DEFAULT_FOOTER = "Untitled book", "https://books.example.org/"
+
+
+def _captured_images(lines: DataFrame) -> DataFrame:
+    """The bytes of every second image, by its URL's length."""
+    urls = lines.filter("kind = 'image'").select(F.col("img_url").alias("url")).distinct()
+    return urls.filter(F.length("url") % 2 == 0).select("url", F.encode("url", "UTF-8").alias("content"))
+
+
+def _paragraphs(spark, sf):
+    run = _site_run(spark, sf)
+    templates = spark.createDataFrame([(ONE_CONFIG, *t) for t in SITE_TEMPLATES], "config_id string, book_type string, language string, file string")
+    folders = spark.createDataFrame([(ONE_CONFIG, SITE_FOLDER)], "config_id string, template_folder string")
+    styles = spark.createDataFrame(SITE_STYLES, "template string, styles array<string>")
+    return paragraphs(run, templates, folders, styles, _captured_images(run.lines), DEFAULT_HEADER, DEFAULT_FOOTER)
+
+
+def q_book_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
+    """B12 with J6, J7, S5 and B10: lines with the style their template has, images with bytes,
+    headers and footers."""
+    return _paragraphs(spark, sf).select("book_id", "n1", "n2", "n3", "line_no", "kind", "template", "style", "used_style",
+                                         "bullet_indent", "text", "img_url", "alt", "image_bytes", "font_pt")
+
+
+def q_book_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """The pieces of every text line: runs, spaces between them, URLs on their own."""
+    return B.line_pieces(_paragraphs(spark, sf))
+
+
+def q_run_report(spark: SparkSession, sf: str) -> DataFrame:
+    """A3 in full: missing pages, markers not found, items kept and removed, links cut, images failed."""
+    run = _site_run(spark, sf)
+    return B.run_report(run.sections, run.marked, run.links, run.lines, _captured_images(run.lines))
+
+
+# Two configs under one manifest; one with a selector of another shape, one that is unknown.
+CONFIGS = {"long": BookConfig.from_dict({**SITE_CONFIG, "include_images": True}),
+           "short": BookConfig(["NOTES on", "never"], ["figure", "no (such"], ["small"], max_chapters=9, max_depth=2),
+           "odd": BookConfig([""], [], [], toc_selector="div.toc a")}
+BOOK_CONFIGS = ["long", "short", "long", "odd", "unknown"]
+
+
+def _config_run(spark, sf):
+    books = site_books(spark, sf).withColumn("config_id", F.element_at(F.array(*map(F.lit, BOOK_CONFIGS)), F.col("book_id").cast("int") + 1))
+    return build_books(_captured(spark, sf), books, config_table(spark, CONFIGS))
+
+
+def q_config_book_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Books under two configs in one run (markers, removal list, cap, depth, images)."""
+    return _config_run(spark, sf).lines.drop("runs")
+
+
+def _benchmark_configs(spark, sf):
+    """One JSON config per benchmark item, every tenth cut off in the middle."""
+    b = read_table(spark, sf, "benchmark")
+    words, n = F.split("text", " "), F.col("item_id")
+    config = F.to_json(F.struct(
+        F.lit("not read").alias("_comment"), F.array(F.get(words, F.lit(0))).alias("start_markers"),
+        F.array(F.get(words, F.lit(1)), F.get(words, F.lit(2))).alias("stop_markers"),
+        F.array(F.get(F.split("text", "\n"), F.lit(0))).alias("remove_text"),
+        F.when(n % 3 == 0, n % 50).alias("max_chapters"), F.when(n % 4 == 0, n % 6).alias("max_depth"),
+        F.when(n % 2 == 0, F.when(n % 8 == 0, "nav a.x").otherwise("OL > a[href]")).alias("toc_selector")))
+    b = b.select(n.alias("config_id"), F.when(n % 10 == 9, F.substring(config, 1, 40)).otherwise(config).alias("json"))
+    return parse_configs(b)
+
+
+def q_config_markers(spark: SparkSession, sf: str) -> DataFrame:
+    """The marker lists of many JSON configs as rows."""
+    return marker_table(_benchmark_configs(spark, sf))
+
+
+def q_config_limits(spark: SparkSession, sf: str) -> DataFrame:
+    """Defaults, link selector and depth of many JSON configs."""
+    c = compiled_configs(_benchmark_configs(spark, sf))
+    return c.select("config_id", "selector", "max_chapters", "max_depth", "include_images", F.size("removed").alias("n_removed"))
+
+
+def q_manifest_books(spark: SparkSession, sf: str) -> DataFrame:
+    """A manifest file with bad and broken rows builds the good books and lists the rest."""
+    good = site_books(spark, sf)
+    bad = good.select((F.col("book_id") + 100).alias("book_id"), F.when(F.col("book_id") % 2 == 0, F.col("url")).otherwise(
+        F.lit("ftp://books.example.org/")).alias("url"), "title", "language", "book_type", "config_id", F.lit("../up.docx").alias("out_name"))
+    rows = good.unionByName(bad).select(F.to_json(F.struct(*good.columns)).alias("value"))
+    rows = rows.unionByName(good.select(F.concat(F.lit('{"book_id": '), F.col("book_id").cast("string"), F.lit(', "url')).alias("value")))
+    path = f"{ensure_checkpoint_dir(spark)}/manifest-{uuid.uuid4().hex}"
+    rows.write.text(path)
+    manifest = written(read_manifest(spark, path))
+    run = build_books(_captured(spark, sf), manifest, config_table(spark, {"site": CONFIGS["long"]}))
+    built = run.sections.groupBy("book_id").agg(F.count(F.lit(1)).alias("sections")).select(
+        "book_id", F.lit(None).cast("string").alias("reason"), "sections")
+    return built.unionByName(run.rejects.select("book_id", "reason", F.lit(None).cast("long").alias("sections")))
 
 
 def q_render_book(spark: SparkSession, sf: str) -> DataFrame:
@@ -322,8 +423,7 @@ def q_toc(spark: SparkSession, sf: str) -> DataFrame:
     return B.toc_entries(_site_run(spark, sf).lines)
 
 
-# Fixed defaults for B10 (the reference hard-codes a site address; here a parameter).
-DEFAULT_HEADER, DEFAULT_FOOTER = "Untitled book", "https://books.example.org/"
+# B10's defaults are parameters.
 TITLE_RE = r"(?is)<title[^>]*>(.*?)</title"
 
 
@@ -418,4 +518,11 @@ QUERIES = {
     "toc_preview": q_toc_preview,
     "toc": q_toc,
     "header_footer": q_header_footer,
+    "config_markers": q_config_markers,
+    "config_limits": q_config_limits,
+    "config_book_lines": q_config_book_lines,
+    "manifest_books": q_manifest_books,
+    "book_paragraphs": q_book_paragraphs,
+    "book_runs": q_book_runs,
+    "run_report": q_run_report,
 }

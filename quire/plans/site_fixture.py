@@ -33,6 +33,7 @@ START_MARKER, STOP_MARKER, REMOVE_LINE = "begin-here:", "finish-here", "All volu
 SITE_CONFIG = {"start_markers": [START_MARKER], "stop_markers": [STOP_MARKER],
                "remove_text": [REMOVE_LINE], "max_chapters": 150, "max_depth": 3}
 L1_ID, L2_ID, L3_ID, DOC_ID, OLD_ID = 10**15, 2 * 10**15, 3 * 10**15, 4 * 10**15, 9 * 10**15
+LANGUAGES = ("English", "hindi", "tamil")
 PLANNED = "".join(f'<li><a href="/2024/01/x{i}/">Planned {i}</a></li>' for i in range(1, 8))
 EXTRA = ('</h2><ol><li>First <i>step</i> of <b><i>two</i></b></li><li>Second<br>half</li></ol><h4>Small</h4>'
          '<p>XXX1 and HHH1</p><table><tr><td>cell a<td>cell b</tr></table>')
@@ -166,8 +167,9 @@ def site_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     return region.select(
         F.col("r_regionkey").cast("long").alias("book_id"),
         F.concat(F.lit(BASE + "/"), r_slug, F.lit("/")).alias("url"),
-        F.col("r_name").alias("title"), F.lit("english").alias("language"),
-        F.lit("main").alias("book_type"), F.lit("site").alias("config_id"),
+        F.col("r_name").alias("title"),
+        F.element_at(F.array(*map(F.lit, LANGUAGES)), F.col("r_regionkey").cast("int") % 3 + 1).alias("language"),
+        F.when(F.col("r_regionkey") % 2 == 0, "main").otherwise("other").alias("book_type"), F.lit("site").alias("config_id"),
         F.concat(r_slug, F.lit(".docx")).alias("out_name"))
 
 
@@ -257,6 +259,6 @@ site AS (
   UNION ALL SELECT {OLD_ID} + n_nationkey, 1, '{BASE}/2024/01/n' || n_nationkey, '{OLD_CAPTURE}' FROM nation WHERE n_nationkey % 5 = 0),
 site_books AS (
   SELECT CAST(r_regionkey AS BIGINT) AS book_id, '{BASE}/r' || r_regionkey || '/' AS url, r_name AS title,
-         'english' AS language, 'main' AS book_type, 'site' AS config_id, 'r' || r_regionkey || '.docx' AS out_name
+         {list(LANGUAGES)}[r_regionkey % 3 + 1] AS language, CASE WHEN r_regionkey % 2 = 0 THEN 'main' ELSE 'other' END AS book_type, 'site' AS config_id, 'r' || r_regionkey || '.docx' AS out_name
   FROM region)
 """

@@ -82,10 +82,10 @@ def read_config(spark: SparkSession, path: str) -> DataFrame:
 def parse_configs(configs: DataFrame, id_col: str = "config_id", json_col: str = "json") -> DataFrame:
     """S2 on a table of configs: one row per JSON string, defaults filled.  A string that is no
     JSON object gives no row; null entries of the lists are dropped."""
-    raw = configs.select(configs[id_col].cast("string").alias("_id"),
-                         F.from_json(configs[json_col], CONFIG_SCHEMA, {"mode": "PERMISSIVE"}).alias("c"),
+    schema = T.StructType([*CONFIG_SCHEMA.fields, T.StructField("_corrupt_record", T.StringType())])
+    raw = configs.select(configs[id_col].cast("string").alias("_id"), F.from_json(configs[json_col], schema).alias("c"),
                          F.coalesce(configs[json_col].rlike(r"^\s*\{"), F.lit(False)).alias("_object"))
-    raw = raw.filter(F.col("_object") & F.col("c").isNotNull()).select("_id", "c.*")
+    raw = raw.filter(F.col("_object") & F.col("c._corrupt_record").isNull()).select("_id", "c.*")
     return _with_defaults(raw, F.col("_id"))
 
 
@@ -158,6 +158,21 @@ def output_name_reason(out_name) -> F.Column:
             .when(~F.lower(out_name).rlike(r"\.docx$"), F.lit("not_docx")))
 
 
+MANIFEST_SCHEMA = "book_id long, url string, title string, language string, book_type string, config_id string, out_name string"
+
+
+def read_manifest(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
+    """Book jobs from JSON lines or CSV (with a header), judged in the same pass.
+
+    Every row of the files is kept: good ones with ``reject_reason`` NULL, the others with the
+    reason; a row that can't be read has reason ``corrupt`` and its text in ``raw``."""
+    if fmt not in ("json", "csv"):
+        raise ValueError(f"unknown manifest format {fmt!r}")
+    reader = spark.read.schema(MANIFEST_SCHEMA + ", raw string").option("columnNameOfCorruptRecord", "raw")
+    rows = reader.json(path) if fmt == "json" else reader.option("header", True).option("enforceSchema", True).csv(path)
+    return book_manifest(rows)
+
+
 def book_manifest(books: DataFrame) -> DataFrame:
     """Defaults filled, every row kept with ``reject_reason`` (NULL = valid).
 
@@ -168,9 +183,10 @@ def book_manifest(books: DataFrame) -> DataFrame:
         "book_id", "url", "title",
         F.lower(F.coalesce(F.col("language"), F.lit("english"))).alias("language"),
         F.coalesce(F.col("book_type"), F.lit("main")).alias("book_type"),
-        "config_id", "out_name")
+        "config_id", "out_name", *[c for c in ("raw",) if c in books.columns])
+    corrupt = F.when(F.col("raw").isNotNull(), F.lit("corrupt")) if "raw" in books.columns else F.lit(None).cast("string")
     reason = F.coalesce(
-        U.url_reject_reason(F.col("url")),
+        corrupt, U.url_reject_reason(F.col("url")),
         output_name_reason(F.col("out_name")),
         F.when(~F.col("book_type").isin(*BOOK_TYPES), F.lit("book_type")),
         F.when(F.coalesce(F.trim("title"), F.lit("")) == "", F.lit("no_title")))
