@@ -226,6 +226,10 @@ def line_markdown(kind: Column, style: Column, text: Column, img_url: Column,
             .otherwise(line))
 
 
+def _alt(lines: DataFrame) -> Column | None:
+    return F.col("alt") if "alt" in lines.columns else None
+
+
 def render_chapters(lines: DataFrame) -> DataFrame:
     """S7 (checkable form): one Markdown text per ``(book_id, n1, n2)`` — a chapter's
     own page, or one sub-chapter with its sub-sub-chapters — lines in order.  Each
@@ -233,7 +237,7 @@ def render_chapters(lines: DataFrame) -> DataFrame:
     chapter (which can reach cap x cap pages).  ``write_books`` is the scalable sink."""
     md = lines.select("book_id", "n1", "n2", "n3", "line_no",
                       line_markdown(F.col("kind"), F.col("style"), F.col("text"), F.col("img_url"),
-                                    F.col("markup"), F.col("alt")).alias("md"))
+                                    F.col("markup"), _alt(lines)).alias("md"))
     return md.groupBy("book_id", "n1", "n2").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("n3", "line_no", "md"))), lambda x: x["md"]), "\n")
         .alias("markdown"))
@@ -244,7 +248,7 @@ def write_books(lines: DataFrame, path: str) -> None:
     it contains (dynamic partition overwrite), never other books' output (D8)."""
     md = lines.select("book_id", "n1", "n2", "n3", "line_no",
                       line_markdown(F.col("kind"), F.col("style"), F.col("text"), F.col("img_url"),
-                                    F.col("markup"), F.col("alt")).alias("value"))
+                                    F.col("markup"), _alt(lines)).alias("value"))
     (md.repartitionByRange("book_id", "n1", "n2", "n3").sortWithinPartitions("book_id", "n1", "n2", "n3", "line_no")
        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
        .partitionBy("book_id").parquet(path))
