@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import matches_any
+from quire.session import written
 
 SOURCE_PREFIX = "Content Source - "
 
@@ -66,15 +67,17 @@ def removed_flag(items: DataFrame, remove) -> DataFrame:
     """M5 as a flag ``_removed``: ``full_text`` equals an entry, ignoring case.
 
     ``remove`` is a Python list (an ``IN`` test), an array column (``exists``), or a
-    DataFrame with a ``text`` column (left join on ``lower(text)``: the planner
-    broadcasts the list when it is small and shuffles otherwise).
+    DataFrame with a ``text`` column, of any size: the distinct lines of the items (a line that
+    stands on very many pages is one row by then) are reduced to those on the list and written;
+    the items are joined with these few, whose size the planner knows.
     """
     low = F.lower(F.coalesce(F.col("full_text"), F.lit("")))
     if remove is None:
         return items.withColumn("_removed", F.lit(False))
     if isinstance(remove, DataFrame):
-        keys = remove.select(F.lower(F.col("text")).alias("_rk")).distinct().withColumn("_hit", F.lit(True))
-        return (items.withColumn("_rk", low).join(keys, "_rk", "left")
+        keys = remove.select(F.lower(F.col("text")).alias("_rk")).distinct()
+        hits = written(items.select(low.alias("_rk")).distinct().join(keys, "_rk", "left_semi"))
+        return (items.withColumn("_rk", low).join(hits.withColumn("_hit", F.lit(True)), "_rk", "left")
                 .withColumn("_removed", F.coalesce(F.col("_hit"), F.lit(False))).drop("_rk", "_hit"))
     if isinstance(remove, (list, tuple)):
         return items.withColumn("_removed", low.isin(*[r.lower() for r in remove]) if remove else F.lit(False))

@@ -171,6 +171,12 @@ def sql_lines_remove_text() -> str:
 SELECT page_id AS doc_id, idx, full_text FROM bounds WHERE {KEEP} AND NOT {REMOVED}"""
 
 
+def sql_lines_remove_table() -> str:
+    return f"""WITH {lines_cte()}, common AS (SELECT lower(full_text) AS t FROM lines GROUP BY 1 HAVING count(DISTINCT page_id) >= {Q.COMMON_FROM}),
+{bounds_cte('lines', Q.LINE_START, Q.LINE_STOP)}
+SELECT page_id AS doc_id, idx, full_text FROM bounds WHERE {KEEP} AND lower(full_text) NOT IN (SELECT t FROM common)"""
+
+
 def sql_lines_source() -> str:
     return f"""WITH {lines_cte()}, {bounds_cte('lines', Q.LINE_START, Q.LINE_STOP)},
 kept AS (SELECT page_id, idx, full_text FROM bounds WHERE slice_start IS NOT NULL AND {KEEP} AND NOT {REMOVED}),
@@ -573,6 +579,7 @@ ORACLE = {
     "lines_slice": sql_lines_slice,
     "lines_bounds": sql_lines_bounds,
     "lines_remove_text": sql_lines_remove_text,
+    "lines_remove_table": sql_lines_remove_table,
     "lines_source": sql_lines_source,
     "lines_dedup": sql_lines_dedup,
     "turns_slice": sql_turns_slice,

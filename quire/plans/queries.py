@@ -75,6 +75,17 @@ def q_lines_remove_text(spark: SparkSession, sf: str) -> DataFrame:
     return r.select(F.col("page_id").alias("doc_id"), "idx", "full_text")
 
 
+COMMON_FROM = 20                 # documents that share a line for it to be boilerplate
+
+
+def q_lines_remove_table(spark: SparkSession, sf: str) -> DataFrame:
+    """M5 with a list of any size: slices without the lines that many documents share."""
+    lines = _lines(spark, sf)
+    common = lines.groupBy(F.lower("full_text").alias("text")).agg(F.countDistinct("page_id").alias("n")).filter(F.col("n") >= COMMON_FROM)
+    s = M.slice_items(lines, LINE_START, LINE_STOP).drop("slice_start", "slice_stop")
+    return M.remove_text(s, common).select(F.col("page_id").alias("doc_id"), "idx", "full_text")
+
+
 def q_lines_source(spark: SparkSession, sf: str) -> DataFrame:
     """M7: extract_content with a source line (the document's ``source``), renumbered."""
     docs = _docs(spark, sf)
@@ -491,6 +502,7 @@ QUERIES = {
     "lines_slice": q_lines_slice,
     "lines_bounds": q_lines_bounds,
     "lines_remove_text": q_lines_remove_text,
+    "lines_remove_table": q_lines_remove_table,
     "lines_source": q_lines_source,
     "lines_dedup": q_lines_dedup,
     "turns_slice": q_turns_slice,

@@ -53,3 +53,24 @@ def test_page_with_only_start_keeps_source_line(spark):
     urls = spark.createDataFrame([(1, "u")], "page_id long, url string")
     out = extract_content(df, urls, str_array(["start"]), str_array(["x"]), str_array(["start"]))
     assert [r.full_text for r in out.orderBy("idx").collect()] == ["Content Source - u"]
+
+
+def test_removal_table_equals_the_list(spark):
+    from quire.operators.slices import remove_text
+    rows = {i: ["Keep %d" % i, "BOILER plate", "x", "tail"] for i in range(60)}
+    df = _items(spark, rows)
+    gone = ["boiler PLATE", "X", "never there"]
+    table = spark.createDataFrame([(t,) for t in gone * 3] + [(None,)], "text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    want = sorted((r.page_id, r.idx, r.full_text) for r in remove_text(df, gone).collect())
+    assert len(want) == 120
+    try:
+        for limit in ("-1", before):                                  # joined by line, or broadcast
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+            got = remove_text(df, table)
+            assert ("BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()) == (limit != "-1")
+            assert sorted((r.page_id, r.idx, r.full_text) for r in got.collect()) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted((r.page_id, r.idx, r.full_text) for r in remove_text(df, table.limit(0)).collect()) == sorted(
+        (r.page_id, r.idx, r.full_text) for r in df.collect())
