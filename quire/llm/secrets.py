@@ -61,7 +61,9 @@ _ESCAPES = re.compile(r"((?:%[0-9A-Fa-f]{2})+)"
 _UNICODE = re.compile(r"\\u\{?([0-9A-Fa-f]{4,6}|[0-9A-Fa-f]{1,6}(?=\}))\}?|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})")
 # The shortest base match, an assignment of 14 characters, takes 19 and one of padding.
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{19,}={0,2}")
-_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}+[ \t]*+\r?\n[ \t]*+)++[A-Za-z0-9+/_-]++={0,2}")
+# Lines of a wrapped run.  The last one is optional: a run that fills its lines may end in a newline, and
+# a pattern that matches there at once is not tried again from each of the run's lines.
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}+[ \t]*+\r?\n[ \t]*+)++(?:[A-Za-z0-9+/_-]++={0,2})?")
 _LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 # Bytes written as escapes beside characters that stay as they are.
 _HIGH_URL, _HIGH_X = re.compile(r"%[0189A-Fa-f][0-9A-Fa-f]"), re.compile(r"\\x[0189A-Fa-f][0-9A-Fa-f]")
@@ -416,7 +418,8 @@ def _wrapped(lines: list[re.Match]) -> Iterator[list[re.Match]]:
 
 def _unbase64(layer: Layer, budget: _Budget) -> Iterator[Layer]:
     for m in _WRAPPED.finditer(layer.text) if "\n" in layer.text else ():
-        for lines in _wrapped(list(_LINE.finditer(layer.text, *m.span()))):
+        run = list(_LINE.finditer(layer.text, *m.span()))
+        for lines in _wrapped(run) if len(run) > 1 else ():  # one line is found below
             data = _decoded64("".join(x[0] for x in lines))
             if data:
                 yield from _layers(layer, data, "base64", lines[0].start(), lines[-1].end(), budget)

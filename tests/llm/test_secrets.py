@@ -86,6 +86,32 @@ def test_wrapped_short_and_mixed_runs(coded):
     assert any(run in (coded, coded.rstrip("=")) and chain for run, chain in found)
 
 
+@pytest.mark.parametrize("tail", ["", "\n", "\r\n", "\n\n", "\nplain words follow", "\n  indented"])
+@pytest.mark.parametrize("pad", [0, 1, 2])
+def test_wrapped_runs_end_in_any_way(pad, tail):
+    """Also a run without padding whose last line is full and ends in a newline."""
+    body = ("filler " * 30).encode()
+    body = body[:57 * 3 - len(PLAIN) - 20] + PLAIN.encode()
+    body += b"." * (-len(body) % 57 + 57 - (pad and 3 - pad))          # whole lines, or 1 or 2 characters of padding
+    coded = base64.encodebytes(body).decode().rstrip("\n")
+    text = f"see\n{coded}{tail}"
+    assert ("assign", coded.rstrip("=")) in {(k, text[a:b].rstrip("=")) for k, a, b, c in S.find_spans(text) if c == "base64"}
+
+
+def test_time_on_wrapped_runs_is_linear():
+    import random
+    import time
+
+    def seconds(n):
+        text = base64.encodebytes(random.Random(n).randbytes(57 * n)).decode()
+        t = time.process_time()
+        S.find_spans(text)
+        return time.process_time() - t
+
+    seconds(100)
+    assert seconds(16_000) < 8 * max(seconds(4_000), 0.05)
+
+
 def test_a_byte_that_is_not_utf8_leaves_the_rest_of_its_run():
     text = "%FF" + "".join(f"%{b:02X}" for b in b"token=12345678")
     assert ("assign", 3, len(text), "url") in S.find_spans(text)
