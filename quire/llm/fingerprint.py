@@ -13,8 +13,8 @@ also sent to the range before it.  The corpus-wide part that is broadcast is one
 level and one id per range.
 
 Defined cases: null text counts as empty; an empty text has no features, is like another empty
-text (1) and unlike all others (0), and so has a text whose every window is a run of few characters; a text
-shorter than a window is one feature; a null id sorts
+text (1) and unlike all others (0); windows of few different characters are features only of texts that
+have no others; a text shorter than a window is one feature; a null id sorts
 first; rows of one id are ordered by their text; a single document is its own neighbour; an empty
 table gives no rows; other columns are ignored.
 """
@@ -103,7 +103,7 @@ def level_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
 
 def rarity_ranks(counts: np.ndarray) -> np.ndarray:
-    """Rank per level: 0 for the rarest; ``LEVELS`` for levels that make no feature."""
+    """Rank per level: 0 for the rarest; ``LEVELS`` for levels that make no feature beside others."""
     ranks = np.empty(LEVELS, np.int64)
     ranks[np.lexsort((np.arange(LEVELS), counts))] = np.arange(LEVELS)
     ranks[:int(LEAST_ENTROPY * LEVELS)] = LEVELS
@@ -139,6 +139,14 @@ def features(data: np.ndarray, offsets: np.ndarray, ranks: np.ndarray) -> tuple[
         docs.append(doc)
         hashes.append(mix(h))
     sizes = np.diff(offsets)
+    # texts of runs of few characters only: their windows are all they have
+    some = np.zeros(texts, bool)
+    some[np.concatenate([*docs, np.zeros(0, np.int64)])] = True
+    for i in np.flatnonzero((sizes >= WINDOW) & ~some):
+        own = data[offsets[i]:offsets[i + 1]]
+        _, h = features(own, np.array([0, len(own)]), np.where(ranks >= LEVELS, np.arange(LEVELS), ranks))
+        docs.append(np.full(len(h), i))
+        hashes.append(h)
     for i in np.flatnonzero((sizes > 0) & (sizes < WINDOW)):
         whole = data[offsets[i]:offsets[i + 1]].astype(np.uint64) + np.uint64(1)
         docs.append(np.array([i]))

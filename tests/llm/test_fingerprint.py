@@ -30,6 +30,17 @@ def test_digest_does_not_depend_on_its_batch():
     assert P.likeness(own[0], own[3]) == 0 and P.likeness(own[3], own[4]) < 0.2
 
 
+def test_texts_of_few_characters_are_told_apart():
+    ranks = P.rarity_ranks(np.arange(P.LEVELS))
+    texts = ["a" * 500, "b" * 5000, "a" * 499, "", "x" * 31, "x" * 32, "=-" * 200, prose(random.Random(4), 80) + "a" * 500]
+    own = P.digests(texts, ranks)
+    assert all(d.n > 0 for d, t in zip(own, texts, strict=True) if t)
+    like = [[P.likeness(a, b) for b in own] for a in own]
+    assert like[0][1] == like[0][3] == like[1][2] == like[0][6] == 0 and like[0][2] == 1 and like[0][7] < 0.1
+    # a text with other windows keeps to these
+    assert P.digests([texts[7]], ranks)[0].text() == own[7].text() and own[7].n > 5
+
+
 def test_likeness_follows_shared_text():
     r = random.Random(2)
     ranks = P.rarity_ranks(np.arange(P.LEVELS))
