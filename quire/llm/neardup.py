@@ -10,7 +10,7 @@
    of one class is settled.  All texts of the others, inside a pivot's class or not, are compared
    exactly: texts that may be linked share one of their rarest words, ``1 + words * (1 - SIMILARITY)``
    of each in one order for all (the prefix filter of set similarity joins), so these words are
-   blocks, split by length.  Where they hold many pairs of two classes, ``LEVELS`` - 1 rounds first
+   blocks, large ones split by length.  Where they hold many pairs of two classes, ``LEVELS`` - 1 rounds first
    compare a block's rows with a new pivot, the least id of its largest class, which brings groups of
    near copies together at one comparison a text.  Then every pair of a block that is of two classes
    still and that the lengths and a bound on common words do not rule out is a candidate, in salted
@@ -49,7 +49,7 @@ WORDS, PICK, SKETCHES, SIMILARITY = 5, 2, 48, 0.8
 #: Buckets of so many texts are compared pair by pair at once; rounds of pivots before all pairs are.
 SMALL, LEVELS = 6, 3
 #: Texts of one part of a block; slots of the word counts that order words; 64-bit words of a text's bit set.
-PART, SLOTS, BITS = 256, 1 << 16, 8
+PART, SLOTS, BITS = 256, 1 << 20, 8
 
 _SEEDS = mix(np.arange(1, 513, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -262,13 +262,15 @@ def _word_counts(bodies: DataFrame) -> np.ndarray:
         unpack, total = zstandard.ZstdDecompressor(), np.zeros(SLOTS, np.int64)
         for batch in batches:
             for body in batch.column(0).to_pylist():
-                total += np.bincount(_slot(_labelled_words(body, unpack)), minlength=SLOTS)
+                slot, n = np.unique(_slot(_labelled_words(body, unpack)), return_counts=True)
+                total[slot] += n
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["slot", "n"])
 
-    out = np.zeros(SLOTS, np.int64)
-    for r in bodies.select("body").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
-        out[r["slot"]] = r["n"]
+    found = bodies.select("body").mapInArrow(run, "slot long, n long").groupBy("slot").agg(
+        F.least(F.sum("n"), F.lit(2 ** 31 - 1)).cast("int").alias("n")).select(F.col("slot").cast("int"), "n").toArrow()
+    out = np.zeros(SLOTS, np.int32)
+    out[found["slot"].to_numpy()] = found["n"].to_numpy()
     return out
 
 
@@ -314,6 +316,11 @@ def _mixed(rows: DataFrame, key: str) -> DataFrame:
     return rows.join(groups.filter("_low <> _high").drop("_low", "_high"), key)
 
 
+def _blocks(profiles: DataFrame, classes: DataFrame) -> DataFrame:
+    """(id, class, key): every text under each of its rarest words; classes meet texts, not rows of blocks."""
+    return _classed(profiles.select("id", "keys"), classes).select("id", "class", F.explode("keys").alias("key"))
+
+
 def _pairs_of_two_classes(rows: DataFrame) -> int:
     """How many pairs of the same block are of two classes."""
     of = rows.groupBy("key", "class").agg(F.count(F.lit(1)).cast("double").alias("n")).groupBy("key").agg(
@@ -337,17 +344,31 @@ def _with_pivots(rows: DataFrame, profiles: DataFrame, similarity: float) -> Dat
 
 
 def _across_classes(rows: DataFrame, profiles: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): all pairs within a block that are of two classes and may be linked.  A block of many
-    rows is dealt into parts of about ``PART``, and each pair of parts is a group of its own."""
+    """(a, b): all pairs within a block that are of two classes and may be linked.  A block of more than
+    ``PART`` rows is split by length, then dealt into parts of about ``PART``, and each pair of parts
+    is a group of its own."""
+    told = materialize(rows.join(profiles.select("id", "words", "bits"), "id"))
+    may = (F.col("x.class") != F.col("y.class")) & _may_link("x", "y", similarity)
+
+    def pairs(x: DataFrame, y: DataFrame, same: Column) -> DataFrame:
+        return x.alias("x").join(y.alias("y"), same & may).select(
+            F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+
+    one = told.filter(F.col("n") <= PART)
+    found = pairs(one, one, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")))
+    large = told.filter(F.col("n") > PART)
+    if large.isEmpty():
+        return found.distinct()
+    # lengths of linked texts are at most one step of 1 / similarity apart, so two texts' steps meet one up
+    step = F.floor(F.log(F.col("words").cast("double")) / F.lit(-np.log(similarity)) + F.lit(1e-9)) if similarity < 1 else F.col("words")
+    large = materialize(_mixed(large.drop("n").withColumn("step", F.explode(F.array(step, step + 1))).withColumn(
+        "key", F.xxhash64("key", "step")).drop("step"), "key"))
     parts = F.ceil(F.col("n") / F.lit(PART)).cast("long")
-    dealt = rows.join(profiles.select("id", "words", "bits"), "id").select(
-        "key", "id", "class", "words", "bits", F.pmod(F.xxhash64("id"), parts).alias("own"),
-        F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("other"))
-    x, y = dealt.filter("own <= other").alias("x"), dealt.filter("own >= other").alias("y")
-    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.own") == F.col("y.other")) & (F.col("x.other") == F.col("y.own"))
+    dealt = large.withColumn("own", F.pmod(F.xxhash64("id"), parts)).withColumn(
+        "other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    met = (F.col("x.key") == F.col("y.key")) & (F.col("x.own") == F.col("y.other")) & (F.col("x.other") == F.col("y.own"))
     once = (F.col("x.own") < F.col("x.other")) | (F.col("x.id") < F.col("y.id"))
-    return x.join(y, same & once & (F.col("x.class") != F.col("y.class")) & _may_link("x", "y", similarity)).select(
-        F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    return found.unionAll(pairs(dealt.filter("own <= other"), dealt.filter("own >= other"), met & once)).distinct()
 
 
 def _links(texts: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float, small: int, levels: int) -> DataFrame:
@@ -368,14 +389,9 @@ def _links(texts: DataFrame, docs: DataFrame, id_col: str, text_col: str, simila
     if unsettled.isEmpty():
         return links[0]
     profiles = materialize(_profiles(bodies.join(unsettled, "id", "left_semi"), similarity))
-    # lengths of linked texts are at most one step of 1 / similarity apart, or two texts' steps meet one up
-    step = F.floor(F.log(F.col("words").cast("double")) / F.lit(-np.log(similarity)) + F.lit(1e-9)) if similarity < 1 else F.col("words")
-    keys = F.flatten(F.transform("keys", lambda w: F.array(F.xxhash64(w, step), F.xxhash64(w, step + 1))))
-    blocks = profiles.select("id", F.explode(keys).alias("key"))
-    blocks = materialize(blocks.join(blocks.groupBy("key").count().filter("count > 1"), "key", "left_semi"))
-    texts_open, rest = profiles.count(), blocks
+    texts_open, rest = profiles.count(), None
     for _ in range(levels - 1):
-        rows = materialize(_mixed(_classed(rest, classes), "key"))
+        rows = materialize(_mixed(_blocks(profiles, classes) if rest is None else _classed(rest, classes), "key"))
         if _pairs_of_two_classes(rows) <= small * small * texts_open:
             break
         rest = materialize(_pivoted(rows.filter(F.col("n") > small)))
@@ -384,7 +400,7 @@ def _links(texts: DataFrame, docs: DataFrame, id_col: str, text_col: str, simila
             links.append(found)
             classes = components(_union(links))
         rest = rest.select("key", "id")                      # goes on to new pivots
-    links.append(verified(_across_classes(_mixed(_classed(blocks, classes), "key"), profiles, similarity)))
+    links.append(verified(_across_classes(_mixed(_blocks(profiles, classes), "key"), profiles, similarity)))
     return _union(links)
 
 
