@@ -88,6 +88,10 @@ def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     lineitem = read_table(spark, sf_dir, "lineitem")
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
 
+    def dealt(rows, key, tasks=spark.sparkContext.defaultParallelism):
+        """Long pages, or very many, come from a few bytes of keys: not all in one task."""
+        return rows.repartition(tasks, key)
+
     n_slug = F.concat(F.lit("n"), F.col("n_nationkey").cast("string"))
     s_slug = F.concat(n_slug, F.lit("-s"), F.col("s_suppkey").cast("string"))
     ns = nation.join(supplier, supplier.s_nationkey == nation.n_nationkey)
@@ -96,12 +100,17 @@ def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("n_nationkey"), _li(F.concat(F.lit("/2024/01/"), n_slug, F.lit("/")), F.col("n_name"))).alias("children"))
     l2_links = ns.groupBy("n_nationkey").agg(_ordered_concat(
         F.col("s_suppkey"), _li(F.concat(F.lit("/2024/02/"), s_slug, F.lit("/")), F.col("s_name"))).alias("children"))
-    pairs = lineitem.select(F.col("l_suppkey").alias("s_suppkey"), F.col("l_partkey").alias("p_partkey")).distinct()
-    pairs = pairs.join(ns.select("s_suppkey", "n_nationkey"), "s_suppkey")
+    # children and line items travel as keys and numbers; their markup is written where the page is
+    nations = ns.groupBy("s_suppkey").agg(F.array_sort(F.collect_list(F.col("n_nationkey").cast("string"))).alias("nations"))
+    sold = lineitem.groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.array_sort(F.collect_set("l_partkey")).alias("parts"))
+
+    def part_link(n, p):
+        slug = F.concat(F.lit("n"), n, F.lit("-s"), F.col("s_suppkey").cast("string"), F.lit("-p"), p.cast("string"))
+        return _li(F.concat(F.lit("/2024/03/"), slug, F.lit("/")), F.concat(F.lit("Part "), p.cast("string")))
+
+    part_links = F.array_join(F.flatten(F.transform("parts", lambda p: F.transform("nations", lambda n: part_link(n, p)))), "")
     p_slug = F.concat(s_slug, F.lit("-p"), F.col("p_partkey").cast("string"))
     p_title = F.concat(F.lit("Part "), F.col("p_partkey").cast("string"))
-    l3_links = pairs.groupBy("s_suppkey").agg(_ordered_concat(
-        F.col("p_partkey"), _li(F.concat(F.lit("/2024/03/"), p_slug, F.lit("/")), p_title)).alias("children"))
 
     r_slug = F.concat(F.lit("r"), F.col("r_regionkey").cast("string"))
     lvl0 = (region.join(l1_links, region.r_regionkey == l1_links.n_regionkey, "left")
@@ -125,33 +134,36 @@ def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = nation.filter(F.col("n_nationkey") % 5 == 0).select(
         (F.lit(OLD_ID) + F.col("n_nationkey")).alias("page_id"), F.lit(1).alias("lvl"),
         F.concat(F.lit(BASE + "/2024/01/"), n_slug).alias("url"), F.lit(OLD_CAPTURE).alias("html"))
-    lvl1 = (nation.join(l2_links, "n_nationkey", "left").join(doc_links, F.col("d_nationkey") == F.col("n_nationkey"), "left")
+    lvl1 = (dealt(nation, "n_nationkey").join(l2_links, "n_nationkey", "left").join(doc_links, F.col("d_nationkey") == F.col("n_nationkey"), "left")
             .join(docs, docs.doc_id == nation.n_nationkey, "left")
             .select((F.lit(L1_ID) + F.col("n_nationkey")).alias("page_id"), F.lit(1).alias("lvl"),
                     F.concat(F.lit(BASE + "/2024/01/"), n_slug, F.lit("/")).alias("url"),
                     _page(F.concat(F.lit("/2024/01/"), n_slug, F.lit("/")), F.col("n_name"),
                           _doc_body(F.col("text")), l1_children).alias("html")))
-    lvl2 = (ns.filter(F.col("s_acctbal") >= 0).join(l3_links, "s_suppkey", "left")
+    children2 = F.when(F.col("parts").isNotNull(), part_links)
+    lvl2 = (dealt(ns.filter(F.col("s_acctbal") >= 0), "s_suppkey").join(nations, "s_suppkey", "left").join(sold, "s_suppkey", "left")
             .join(docs, docs.doc_id == F.col("s_suppkey"), "left")
             .select((F.lit(L2_ID) + F.col("s_suppkey")).alias("page_id"), F.lit(2).alias("lvl"),
                     F.concat(F.lit(BASE + "/2024/02/"), s_slug, F.lit("/")).alias("url"),
                     _page(F.concat(F.lit("/2024/02/"), s_slug, F.lit("/")), F.col("s_name"),
-                          _doc_body(F.col("text")), F.col("children"), F.col("s_suppkey") % 7 != 0,
+                          _doc_body(F.col("text")), children2, F.col("s_suppkey") % 7 != 0,
                           F.col("s_suppkey") % 5 != 0).alias("html")))
-    items = lineitem.select(F.col("l_suppkey").alias("s_suppkey"), F.col("l_partkey").alias("p_partkey"),
-                            "l_orderkey", "l_linenumber", "l_quantity")
-    item_line = F.concat(F.lit("<p>Order "), F.col("l_orderkey").cast("string"), F.lit(" line "),
-                         F.col("l_linenumber").cast("string"), F.lit(": "),
-                         F.col("l_quantity").cast("bigint").cast("string"), F.lit(" units</p>"))
-    item_body = items.groupBy("s_suppkey", "p_partkey").agg(_ordered_concat(
-        F.struct("l_orderkey", "l_linenumber", F.col("l_quantity").cast("bigint")), item_line).alias("lines"))
+    items = lineitem.select(F.col("l_suppkey").alias("s_suppkey"), F.col("l_partkey").alias("p_partkey"), F.struct(
+        F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("l"), F.col("l_quantity").cast("bigint").alias("q")).alias("i"))
+    # dealt by part: the pairs, their line items and their parts meet in one shuffle.  Whichever side of the
+    # join with suppliers is broadcast, the other one is dealt out
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pairs = dealt(items, "p_partkey", n).groupBy("s_suppkey", "p_partkey").agg(F.array_sort(F.collect_list("i")).alias("items"))
+    pairs = pairs.join(dealt(ns.select("s_suppkey", "n_nationkey"), "s_suppkey", n), "s_suppkey")
+    lines = F.array_join(F.transform("items", lambda i: F.concat(
+        F.lit("<p>Order "), i["o"].cast("string"), F.lit(" line "), i["l"].cast("string"), F.lit(": "), i["q"].cast("string"), F.lit(" units</p>"))), "")
     part_cols = part.select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
     body3 = F.concat(F.lit("<p>"), _esc(F.coalesce(F.col("p_name"), F.lit(""))), F.lit("</p><p>Brand "),
                      _esc(F.coalesce(F.col("p_brand"), F.lit(""))), F.lit(", type "),
                      _esc(F.coalesce(F.col("p_type"), F.lit(""))), F.lit(", size "),
                      F.coalesce(F.col("p_size").cast("string"), F.lit("")), F.lit("</p>"),
-                     F.coalesce(F.col("lines"), F.lit("")))
-    lvl3 = (pairs.join(part_cols, "p_partkey", "left").join(item_body, ["s_suppkey", "p_partkey"], "left")
+                     lines)
+    lvl3 = (pairs.join(part_cols, "p_partkey", "left")
             .select((F.lit(L3_ID) + F.col("s_suppkey") * F.lit(10**9) + F.col("p_partkey")).alias("page_id"),
                     F.lit(3).alias("lvl"),
                     F.concat(F.lit(BASE + "/2024/03/"), p_slug, F.lit("/")).alias("url"),
