@@ -12,7 +12,7 @@ partitions (a hub page shared by many books) with its skew-join handling.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import urls as U
@@ -21,8 +21,38 @@ from quire.functions import urls as U
 def page_keys(pages: DataFrame) -> DataFrame:
     """``(page_key, page_id)``: one captured page per normalised URL (smallest id),
     so joins on the key never fan out when the same URL was captured twice."""
-    return (pages.select(U.url_norm_key(U.url_defrag(F.col("url"))).alias("page_key"), "page_id")
-            .groupBy("page_key").agg(F.min("page_id").alias("page_id")))
+    return first_captures(key_rows(pages))
+
+
+def key_rows(pages: DataFrame) -> DataFrame:
+    """``(page_key, page_id)`` of every captured page, as they lie."""
+    return pages.select(U.url_norm_key(U.url_defrag(F.col("url"))).alias("page_key"), "page_id")
+
+
+def first_captures(keys: DataFrame) -> DataFrame:
+    return keys.groupBy("page_key").agg(F.min("page_id").alias("page_id"))
+
+
+def key_hash(key: Column) -> Column:
+    """What ``wanted_keys`` compares: short enough for very many keys to be broadcast."""
+    return F.xxhash64(key).alias("key_hash")
+
+
+def wanted_keys(keys: DataFrame, hashes: DataFrame) -> DataFrame:
+    """``page_keys`` of the ``key_rows`` that some hash stands for (and, by chance, a few others):
+    a join on the key itself follows, and no other key is shuffled for it."""
+    found = few_rows(keys.withColumn("key_hash", key_hash(F.col("page_key"))), hashes, "key_hash")
+    return first_captures(found.drop("key_hash"))
+
+
+def few_rows(rows: DataFrame, ids: DataFrame, by: str) -> DataFrame:
+    """The rows with these ids.  ``ids`` is a written table: its size is known when the join is
+    planned, so it is broadcast below the session's limit; above it the ids are hashed per
+    partition, and the rows are not sorted."""
+    limit = ids.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    if ids.count() * 16 > limit:
+        ids = ids.hint("shuffle_hash")
+    return rows.join(ids, by, "left_semi")
 
 
 def book_roots(books: DataFrame, keys: DataFrame) -> DataFrame:

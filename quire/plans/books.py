@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import Compiled
-from quire.functions.urls import url_slug
+from quire.functions.urls import url_defrag, url_norm_key, url_slug
 from quire.operators.book import book_lines, header_footer, section_numbers
 from quire.operators.html import page_items
 from quire.operators.links import DEFAULT_MAX_CHAPTERS, DEFAULT_SELECTOR, chapter_links
-from quire.operators.site import (CONFIG_COLS, available_style, book_roots, follow_links, page_keys,
-                                  template_lookup)
+from quire.operators.site import (CONFIG_COLS, available_style, book_roots, few_rows, follow_links, key_hash, key_rows,
+                                  template_lookup, wanted_keys)
 from quire.operators.slices import content_of, marked_items
 from quire.session import ensure_checkpoint_dir, written
 from quire.sources.tables import compiled_configs
@@ -140,13 +140,8 @@ def config_table(spark: SparkSession, configs: dict[str, BookConfig]) -> DataFra
 
 
 def reached_pages(pages: DataFrame, ids: DataFrame) -> DataFrame:
-    """The pages with these ids.  ``ids`` is a written table: its size is known when the join is
-    planned, so it is broadcast below the session's limit; above it the ids are hashed per
-    partition, and the pages' html is not sorted."""
-    limit = ids.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    if ids.count() * 16 > limit:
-        ids = ids.hint("shuffle_hash")
-    return pages.join(ids, "page_id", "left_semi")
+    """The pages with these ids, a written table; html is not sorted."""
+    return few_rows(pages, ids, "page_id")
 
 
 def gate(books: DataFrame, configs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -186,11 +181,11 @@ def build_books(pages: DataFrame, books: DataFrame, configs: BookConfig | DataFr
 
     cfg = cut(compiled_configs(configs))
     known = cfg.agg(F.max("max_depth").alias("depth"), F.max("include_images").alias("images"),
-                    F.collect_set("selector").alias("selectors")).first()
+                    F.max("max_chapters").alias("cap"), F.collect_set("selector").alias("selectors")).first()
     good, rejects = gate(books, cfg)
     good, rejects = cut(good), cut(rejects)
-    keys = cut(page_keys(pages))
-    roots = cut(book_roots(good, keys))
+    keys = cut(key_rows(pages))
+    roots = cut(book_roots(good, wanted_keys(keys, cut(good.select(key_hash(url_norm_key(url_defrag(F.col("url"))))).distinct()))))
     limits = good.select("book_id", *CONFIG_COLS[1:])
     parents = roots.filter(F.col("root_page_id").isNotNull()).join(limits, "book_id").select(
         "book_id", *CONFIG_COLS, F.lit(0).alias("n1"), F.lit(0).alias("n2"), F.lit(0).alias("n3"),
@@ -200,7 +195,8 @@ def build_books(pages: DataFrame, books: DataFrame, configs: BookConfig | DataFr
         parents = parents.filter(F.col("max_depth") >= level)
         need = cut(parents.select("page_id").distinct())
         links = cut(chapter_links(reached_pages(pages, need), sorted(known["selectors"]) or None))
-        sec = cut(follow_links(parents, links, keys, level, child_only=level > 1))
+        aims = cut(links.filter(F.col("link_no") <= F.lit(known["cap"])).select(key_hash(F.col("norm_url"))).distinct())
+        sec = cut(follow_links(parents, links, wanted_keys(keys, aims), level, child_only=level > 1))
         found.append(links)
         levels.append(sec)
         parents = sec.filter(F.col("page_id").isNotNull())

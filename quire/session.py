@@ -79,7 +79,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a table under the shared checkpoint folder: lineage is cut, lost executors lose
-    nothing of it, and its size is known to the planner."""
+    nothing of it, and its size is known to the planner.  ``zstd``: markup and URLs repeat much."""
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
