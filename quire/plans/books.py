@@ -14,6 +14,7 @@ or, above the session's broadcast limit, dealt out by id; pages in a page store
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import asdict, dataclass
 from functools import cached_property
 
@@ -53,6 +54,10 @@ class BookConfig:
                    toc_selector=str(d.get("toc_selector", DEFAULT_SELECTOR)))
 
 
+#: Makes ``(page_id, url, html)`` of rows that hold what html is made of (a packed body, parts).
+PageReader = Callable[[DataFrame], DataFrame]
+
+
 @dataclass
 class BookRun:
     """What a run has written, and what follows from it; items are taken when first asked for."""
@@ -64,6 +69,7 @@ class BookRun:
     sections: DataFrame
     rejects: DataFrame
     checkpoint: bool = True
+    read: PageReader | None = None
 
     @cached_property
     def marked(self) -> DataFrame:
@@ -75,7 +81,7 @@ class BookRun:
             self.configs.select("config_id", "start_re", "stop_re", "removed", "include_images"), "config_id"), self.checkpoint)
         ids = _cut(reach.select("page_id").distinct(), self.checkpoint)
         images = bool(self.configs.agg(F.max("include_images")).first()[0])
-        items = page_items(reached_pages(self.pages, ids), include_images=images)
+        items = page_items(reached_pages(self.pages, ids, self.read), include_images=images)
         # a page's items under each of its configs: without images the others close up
         own = items.join(reach, "page_id").filter((F.col("type") != "image") | F.col("include_images"))
         own = own.withColumn("idx", F.row_number().over(Window.partitionBy(*PER_PAGE).orderBy("idx")) - 1)
@@ -139,9 +145,14 @@ def config_table(spark: SparkSession, configs: dict[str, BookConfig]) -> DataFra
     return spark.createDataFrame([(k, *(asdict(c)[n] for n in names)) for k, c in configs.items()], CONFIG_ROW)
 
 
-def reached_pages(pages: DataFrame, ids: DataFrame) -> DataFrame:
-    """The pages with these ids, a written table; html is not sorted."""
-    return few_rows(pages, ids, "page_id")
+def reached_pages(pages: DataFrame, ids: DataFrame, read: PageReader | None = None) -> DataFrame:
+    """The pages with these ids, a written table; html is not sorted.  With ``read``, html is made of the
+    reached rows only, after these are dealt out: a row may be short and its page long."""
+    found = few_rows(pages, ids, "page_id")
+    if read is None:
+        return found
+    tasks = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return read(found.repartition(tasks, "page_id")).select("page_id", "url", "html")
 
 
 def gate(books: DataFrame, configs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -157,7 +168,7 @@ def gate(books: DataFrame, configs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def build_books(pages: DataFrame, books: DataFrame, configs: BookConfig | DataFrame,
-                checkpoint: bool = True) -> BookRun:
+                checkpoint: bool = True, read: PageReader | None = None) -> BookRun:
     """Sections and book lines for every book of the manifest.
 
     ``configs``: one config for all books, or a table of configs (``read_config``,
@@ -167,9 +178,11 @@ def build_books(pages: DataFrame, books: DataFrame, configs: BookConfig | DataFr
     Each level is written as a table in the session's checkpoint folder, which cuts lineage
     (a lost executor replays one level, not the crawl) and keeps every plan small.  Books that
     can't be built are in ``rejects`` with the reason; the others are built all the same.
+    ``read``: for pages that hold no ``html`` but what it is made of beside ``page_id`` and ``url``.
     """
     spark = pages.sparkSession
-    pages = pages.select("page_id", "url", "html")
+    if read is None:
+        pages = pages.select("page_id", "url", "html")
     if isinstance(configs, BookConfig):
         configs = config_table(spark, {ONE_CONFIG: configs})
         books = books.withColumn("config_id", F.lit(ONE_CONFIG))
@@ -194,7 +207,7 @@ def build_books(pages: DataFrame, books: DataFrame, configs: BookConfig | DataFr
     for level in range(1, (known["depth"] or 1) + 1):                  # J5: 1 to 3 levels
         parents = parents.filter(F.col("max_depth") >= level)
         need = cut(parents.select("page_id").distinct())
-        links = cut(chapter_links(reached_pages(pages, need), sorted(known["selectors"]) or None))
+        links = cut(chapter_links(reached_pages(pages, need, read), sorted(known["selectors"]) or None))
         aims = cut(links.filter(F.col("link_no") <= F.lit(known["cap"])).select(key_hash(F.col("norm_url"))).distinct())
         sec = cut(follow_links(parents, links, wanted_keys(keys, aims), level, child_only=level > 1))
         found.append(links)
@@ -205,4 +218,4 @@ def build_books(pages: DataFrame, books: DataFrame, configs: BookConfig | DataFr
         sections, links = sections.unionByName(sec), links.unionByName(more)
     sections = cut(section_numbers(sections))
 
-    return BookRun(pages, good, cfg, links.dropDuplicates(["page_id", "selector", "link_no"]), roots, sections, rejects, checkpoint)
+    return BookRun(pages, good, cfg, links.dropDuplicates(["page_id", "selector", "link_no"]), roots, sections, rejects, checkpoint, read)

@@ -19,7 +19,7 @@ from quire.operators import links as L
 from quire.operators import site as S
 from quire.operators import slices as M
 from quire.plans.books import ONE_CONFIG, BookConfig, build_books, config_table, paragraphs
-from quire.plans.site_fixture import SITE_CONFIG, site_books, site_pages
+from quire.plans.site_fixture import SITE_CONFIG, put_together, site_books, site_pages, site_parts
 from quire.session import ensure_checkpoint_dir, written
 from quire.sources.tables import (book_manifest, compiled_configs, image_lookup, lines_as_items, marker_table,
                                   parse_configs, read_manifest, read_table, turns_as_items)
@@ -263,12 +263,12 @@ _SITE_CFG = BookConfig.from_dict(SITE_CONFIG)
 
 def _site_run(spark, sf):
     cfg = BookConfig.from_dict({**SITE_CONFIG, "include_images": True})
-    return build_books(_captured(spark, sf), site_books(spark, sf), cfg)
+    return build_books(_captured(spark, sf), site_books(spark, sf), cfg, read=put_together)
 
 
 def _captured(spark, sf):
-    """The derived site as a written table: a job reads its pages several times."""
-    return written(site_pages(spark, sf).select("page_id", "url", "html"))
+    """The derived site as a written table of what its pages are put together from: a job reads its pages several times."""
+    return written(site_parts(spark, sf))
 
 
 def q_site_items(spark: SparkSession, sf: str) -> DataFrame:
@@ -343,7 +343,7 @@ BOOK_CONFIGS = ["long", "short", "long", "odd", "unknown"]
 
 def _config_run(spark, sf):
     books = site_books(spark, sf).withColumn("config_id", F.element_at(F.array(*map(F.lit, BOOK_CONFIGS)), F.col("book_id").cast("int") + 1))
-    return build_books(_captured(spark, sf), books, config_table(spark, CONFIGS))
+    return build_books(_captured(spark, sf), books, config_table(spark, CONFIGS), read=put_together)
 
 
 def q_config_book_lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -386,7 +386,7 @@ def q_manifest_books(spark: SparkSession, sf: str) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark)}/manifest-{uuid.uuid4().hex}"
     rows.write.text(path)
     manifest = written(read_manifest(spark, path))
-    run = build_books(_captured(spark, sf), manifest, config_table(spark, {"site": CONFIGS["long"]}))
+    run = build_books(_captured(spark, sf), manifest, config_table(spark, {"site": CONFIGS["long"]}), read=put_together)
     built = run.sections.groupBy("book_id").agg(F.count(F.lit(1)).alias("sections")).select(
         "book_id", F.lit(None).cast("string").alias("reason"), "sections")
     return built.unionByName(run.rejects.select("book_id", "reason", F.lit(None).cast("long").alias("sections")))

@@ -38,6 +38,7 @@ PLANNED = "".join(f'<li><a href="/2024/01/x{i}/">Planned {i}</a></li>' for i in
 EXTRA = ('</h2><ol><li>First <i>step</i> of <b><i>two</i></b></li><li>Second<br>half</li></ol><h4>Small</h4>'
          '<p>XXX1 and HHH1</p><table><tr><td>cell a<td>cell b</tr></table>')
 OLD_CAPTURE = "<p>An older capture of this address</p>"
+OLD_LEVEL = -1                                     # in ``site_parts``; a page of level 1
 
 
 def _esc(c):
@@ -60,7 +61,7 @@ def _ordered_concat(key, value):
                                     lambda s: s["v"]), "")
 
 
-def _page(url_path, title, body, children, start=None, stop=None):
+def _page(url_path, title, body, children, start, stop):
     noise = F.concat(
         F.lit('<li><a href="#top">Top</a></li><li><a href="mailto:books@example.org">Mail</a></li>'),
         F.lit('<li><a href="https://elsewhere.example.com'), url_path, F.lit('">Elsewhere</a></li>'),
@@ -69,18 +70,21 @@ def _page(url_path, title, body, children, start=None, stop=None):
         F.lit('<!DOCTYPE html><html><head><title>'), _esc(title),
         F.lit('</title><script>var t="</p>";</script></head><body>'
               '<nav><ul><li><a href="/">Home</a></li></ul></nav><article><h1>'), _esc(title),
-        F.lit("</h1><p>Before</p><p>"), F.lit(f"Start {START_MARKER} ") if start is None
-        else F.when(start, F.lit(f"Start {START_MARKER} ")).otherwise(F.lit("Unmarked ")), _esc(title), F.lit("</p>"),
+        F.lit("</h1><p>Before</p><p>"), F.when(start, F.lit(f"Start {START_MARKER} ")).otherwise(F.lit("Unmarked ")), _esc(title), F.lit("</p>"),
         body, F.lit("<h2>Notes on "), _esc(title), F.lit(EXTRA + '<p>Figure<img src="/img/'), _esc(title), F.lit('.png" alt=" Plate ">'
                     '<img src="data:image/png;base64,AAAA"><img src=""><img src="../shared/logo.png"></p>'),
         F.lit(f"<p>{REMOVE_LINE}</p><ul>"), noise, F.coalesce(children, F.lit("")),
-        F.lit("</ul>"), F.lit(f"<p>End {STOP_MARKER}</p>") if stop is None
-        else F.when(stop, F.lit(f"<p>End {STOP_MARKER}</p>")).otherwise(F.lit("")), F.lit("<p>After</p></article>"
+        F.lit("</ul>"), F.when(stop, F.lit(f"<p>End {STOP_MARKER}</p>")).otherwise(F.lit("")), F.lit("<p>After</p></article>"
               "<footer>&copy; books &middot; example</footer></body></html>"))
 
 
-def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(page_id, lvl, url, html)`` of the derived site."""
+#: What a page of the site is put together from; levels leave out (null) what they have not.
+PARTS = ["page_id", "lvl", "url", "title", "text", "children", "nations", "parts", "s_suppkey", "p_name", "p_brand", "p_type", "p_size",
+         "items", "start", "stop"]
+
+
+def site_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived site before its markup is written: one row a page, the columns ``PARTS``."""
     region = read_table(spark, sf_dir, "region")
     nation = read_table(spark, sf_dir, "nation")
     supplier = read_table(spark, sf_dir, "supplier")
@@ -104,21 +108,13 @@ def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     nations = ns.groupBy("s_suppkey").agg(F.array_sort(F.collect_list(F.col("n_nationkey").cast("string"))).alias("nations"))
     sold = lineitem.groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.array_sort(F.collect_set("l_partkey")).alias("parts"))
 
-    def part_link(n, p):
-        slug = F.concat(F.lit("n"), n, F.lit("-s"), F.col("s_suppkey").cast("string"), F.lit("-p"), p.cast("string"))
-        return _li(F.concat(F.lit("/2024/03/"), slug, F.lit("/")), F.concat(F.lit("Part "), p.cast("string")))
-
-    part_links = F.array_join(F.flatten(F.transform("parts", lambda p: F.transform("nations", lambda n: part_link(n, p)))), "")
     p_slug = F.concat(s_slug, F.lit("-p"), F.col("p_partkey").cast("string"))
-    p_title = F.concat(F.lit("Part "), F.col("p_partkey").cast("string"))
-
     r_slug = F.concat(F.lit("r"), F.col("r_regionkey").cast("string"))
     lvl0 = (region.join(l1_links, region.r_regionkey == l1_links.n_regionkey, "left")
             .join(docs, docs.doc_id == region.r_regionkey, "left")
             .select(F.col("r_regionkey").cast("long").alias("page_id"), F.lit(0).alias("lvl"),
-                    F.concat(F.lit(BASE + "/"), r_slug, F.lit("/")).alias("url"),
-                    _page(F.concat(F.lit("/"), r_slug, F.lit("/")), F.col("r_name"),
-                          _doc_body(F.col("text")), F.concat(F.lit(PLANNED), F.coalesce("children", F.lit("")))).alias("html")))
+                    F.concat(F.lit(BASE + "/"), r_slug, F.lit("/")).alias("url"), F.col("r_name").alias("title"), "text",
+                    F.concat(F.lit(PLANNED), F.coalesce("children", F.lit(""))).alias("children")))
     d_slug = F.concat(F.lit("n"), F.col("d_nationkey").cast("string"), F.lit("-d"), F.col("doc_id").cast("string"))
     d_title = F.concat(F.lit("Document "), F.col("doc_id").cast("string"))
     shelf = docs.select("*", (F.col("doc_id") % 25).cast("int").alias("d_nationkey"))
@@ -126,28 +122,24 @@ def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id"), _li(F.concat(F.lit("/2024/02/"), d_slug, F.lit("/")), d_title)).alias("doc_children"))
     lvl2d = shelf.select(
         (F.lit(DOC_ID) + F.col("doc_id")).alias("page_id"), F.lit(2).alias("lvl"),
-        F.concat(F.lit(BASE + "/2024/02/"), d_slug, F.lit("/")).alias("url"),
-        _page(F.concat(F.lit("/2024/02/"), d_slug, F.lit("/")), d_title, _doc_body(F.col("text")), F.lit(""),
-              F.col("doc_id") % 7 != 0, F.col("doc_id") % 5 != 0).alias("html"))
+        F.concat(F.lit(BASE + "/2024/02/"), d_slug, F.lit("/")).alias("url"), d_title.alias("title"), "text",
+        (F.col("doc_id") % 7 != 0).alias("start"), (F.col("doc_id") % 5 != 0).alias("stop"))
     next_link = _li(F.concat(F.lit("/2024/01/n"), ((F.col("n_nationkey") + 1) % 25).cast("string"), F.lit("/")), F.lit("Next nation"))
     l1_children = F.concat(F.coalesce("children", F.lit("")), F.coalesce("doc_children", F.lit("")), next_link)
     old = nation.filter(F.col("n_nationkey") % 5 == 0).select(
-        (F.lit(OLD_ID) + F.col("n_nationkey")).alias("page_id"), F.lit(1).alias("lvl"),
-        F.concat(F.lit(BASE + "/2024/01/"), n_slug).alias("url"), F.lit(OLD_CAPTURE).alias("html"))
+        (F.lit(OLD_ID) + F.col("n_nationkey")).alias("page_id"), F.lit(OLD_LEVEL).alias("lvl"),
+        F.concat(F.lit(BASE + "/2024/01/"), n_slug).alias("url"))
     lvl1 = (dealt(nation, "n_nationkey").join(l2_links, "n_nationkey", "left").join(doc_links, F.col("d_nationkey") == F.col("n_nationkey"), "left")
             .join(docs, docs.doc_id == nation.n_nationkey, "left")
             .select((F.lit(L1_ID) + F.col("n_nationkey")).alias("page_id"), F.lit(1).alias("lvl"),
-                    F.concat(F.lit(BASE + "/2024/01/"), n_slug, F.lit("/")).alias("url"),
-                    _page(F.concat(F.lit("/2024/01/"), n_slug, F.lit("/")), F.col("n_name"),
-                          _doc_body(F.col("text")), l1_children).alias("html")))
-    children2 = F.when(F.col("parts").isNotNull(), part_links)
+                    F.concat(F.lit(BASE + "/2024/01/"), n_slug, F.lit("/")).alias("url"), F.col("n_name").alias("title"), "text",
+                    l1_children.alias("children")))
     lvl2 = (dealt(ns.filter(F.col("s_acctbal") >= 0), "s_suppkey").join(nations, "s_suppkey", "left").join(sold, "s_suppkey", "left")
             .join(docs, docs.doc_id == F.col("s_suppkey"), "left")
             .select((F.lit(L2_ID) + F.col("s_suppkey")).alias("page_id"), F.lit(2).alias("lvl"),
-                    F.concat(F.lit(BASE + "/2024/02/"), s_slug, F.lit("/")).alias("url"),
-                    _page(F.concat(F.lit("/2024/02/"), s_slug, F.lit("/")), F.col("s_name"),
-                          _doc_body(F.col("text")), children2, F.col("s_suppkey") % 7 != 0,
-                          F.col("s_suppkey") % 5 != 0).alias("html")))
+                    F.concat(F.lit(BASE + "/2024/02/"), s_slug, F.lit("/")).alias("url"), F.col("s_name").alias("title"), "text",
+                    "nations", "parts", "s_suppkey",
+                    (F.col("s_suppkey") % 7 != 0).alias("start"), (F.col("s_suppkey") % 5 != 0).alias("stop")))
     items = lineitem.select(F.col("l_suppkey").alias("s_suppkey"), F.col("l_partkey").alias("p_partkey"), F.struct(
         F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("l"), F.col("l_quantity").cast("bigint").alias("q")).alias("i"))
     # dealt by part: the pairs, their line items and their parts meet in one shuffle.  Whichever side of the
@@ -155,21 +147,48 @@ def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     pairs = dealt(items, "p_partkey", n).groupBy("s_suppkey", "p_partkey").agg(F.array_sort(F.collect_list("i")).alias("items"))
     pairs = pairs.join(dealt(ns.select("s_suppkey", "n_nationkey"), "s_suppkey", n), "s_suppkey")
+    part_cols = part.select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    lvl3 = (pairs.join(part_cols, "p_partkey", "left")
+            .select((F.lit(L3_ID) + F.col("s_suppkey") * F.lit(10**9) + F.col("p_partkey")).alias("page_id"),
+                    F.lit(3).alias("lvl"),
+                    F.concat(F.lit(BASE + "/2024/03/"), p_slug, F.lit("/")).alias("url"),
+                    F.concat(F.lit("Part "), F.col("p_partkey").cast("string")).alias("title"),
+                    "items", "p_name", "p_brand", "p_type", "p_size", (F.col("p_partkey") % 9 != 0).alias("stop")))
+    rows = lvl0
+    for more in (lvl1, lvl2, lvl2d, lvl3, old):
+        rows = rows.unionByName(more, allowMissingColumns=True)
+    return rows.select(*PARTS)
+
+
+def put_together(parts: DataFrame) -> DataFrame:
+    """``(page_id, lvl, url, html)`` of the rows of ``site_parts``: what a row's page says follows from the
+    row alone, so rows that are filtered out cost no markup."""
+    lvl = F.col("lvl")
+
+    def part_link(n, p):
+        slug = F.concat(F.lit("n"), n, F.lit("-s"), F.col("s_suppkey").cast("string"), F.lit("-p"), p.cast("string"))
+        return _li(F.concat(F.lit("/2024/03/"), slug, F.lit("/")), F.concat(F.lit("Part "), p.cast("string")))
+
+    part_links = F.array_join(F.flatten(F.transform("parts", lambda p: F.transform("nations", lambda n: part_link(n, p)))), "")
     lines = F.array_join(F.transform("items", lambda i: F.concat(
         F.lit("<p>Order "), i["o"].cast("string"), F.lit(" line "), i["l"].cast("string"), F.lit(": "), i["q"].cast("string"), F.lit(" units</p>"))), "")
-    part_cols = part.select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
     body3 = F.concat(F.lit("<p>"), _esc(F.coalesce(F.col("p_name"), F.lit(""))), F.lit("</p><p>Brand "),
                      _esc(F.coalesce(F.col("p_brand"), F.lit(""))), F.lit(", type "),
                      _esc(F.coalesce(F.col("p_type"), F.lit(""))), F.lit(", size "),
                      F.coalesce(F.col("p_size").cast("string"), F.lit("")), F.lit("</p>"),
                      lines)
-    lvl3 = (pairs.join(part_cols, "p_partkey", "left")
-            .select((F.lit(L3_ID) + F.col("s_suppkey") * F.lit(10**9) + F.col("p_partkey")).alias("page_id"),
-                    F.lit(3).alias("lvl"),
-                    F.concat(F.lit(BASE + "/2024/03/"), p_slug, F.lit("/")).alias("url"),
-                    _page(F.concat(F.lit("/2024/03/"), p_slug, F.lit("/")), p_title, body3,
-                          F.lit(""), None, F.col("p_partkey") % 9 != 0).alias("html")))
-    return lvl0.unionByName(lvl1).unionByName(lvl2).unionByName(lvl2d).unionByName(lvl3).unionByName(old)
+    body = F.when(lvl == 3, body3).otherwise(_doc_body(F.col("text")))
+    children = F.coalesce("children", F.when(F.col("parts").isNotNull(), part_links))
+    path = F.substring("url", len(BASE) + 1, 1 << 30)
+    # levels 0 and 1 always have both markers, level 3 the first one
+    start, stop = (lvl != 2) | F.col("start"), (lvl < 2) | F.col("stop")
+    html = F.when(lvl == OLD_LEVEL, F.lit(OLD_CAPTURE)).otherwise(_page(path, F.col("title"), body, children, start, stop))
+    return parts.select("page_id", F.when(lvl == OLD_LEVEL, F.lit(1)).otherwise(lvl).alias("lvl"), "url", html.alias("html"))
+
+
+def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(page_id, lvl, url, html)`` of the derived site."""
+    return put_together(site_parts(spark, sf_dir))
 
 
 def site_books(spark: SparkSession, sf_dir: str) -> DataFrame:
