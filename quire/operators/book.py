@@ -156,6 +156,8 @@ def book_lines(books: DataFrame, sections: DataFrame, content: DataFrame,
         "runs", F.transform("runs", lambda r: r.withField("text", fill_placeholders(r["text"], F.col("_book_title"))))).withColumn(
         "text", fill_placeholders(F.col("text"), F.col("_book_title"))).withColumn(
         "markup", fill_placeholders(F.col("markup"), F.col("_book_title"))).drop("_book_title")
+    # dealt by sub-chapter, which holds its sections whole: what renders sub-chapters shuffles nothing again
+    allrows = allrows.repartition("book_id", "n1", "n2")
     w = Window.partitionBy("book_id", "n1", "n2", "n3").orderBy("rank", "idx")
     return allrows.select("book_id", "n1", "n2", "n3", F.row_number().over(w).alias("line_no"),
                           "kind", "style", "text", "markup", "img_url", "font_pt", "alt", "runs")

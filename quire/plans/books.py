@@ -77,9 +77,12 @@ class BookRun:
         root_rows = self._root_rows()
         reach = root_rows.select(F.col("root_page_id").alias("page_id"), "config_id").unionByName(
             self.sections.filter(F.col("page_id").isNotNull()).select("page_id", "config_id")).distinct()
-        reach = _cut(reach.join(self.pages.select("page_id", F.col("url").alias("_page_url")), "page_id").join(
-            self.configs.select("config_id", "start_re", "stop_re", "removed", "include_images"), "config_id"), self.checkpoint)
+        reach = _cut(reach, self.checkpoint)
         ids = _cut(reach.select("page_id").distinct(), self.checkpoint)
+        # of all pages only the reached ones' URLs are shuffled
+        urls = few_rows(self.pages.select("page_id", F.col("url").alias("_page_url")), ids, "page_id")
+        reach = _cut(reach.join(urls, "page_id").join(
+            self.configs.select("config_id", "start_re", "stop_re", "removed", "include_images"), "config_id"), self.checkpoint)
         images = bool(self.configs.agg(F.max("include_images")).first()[0])
         items = page_items(reached_pages(self.pages, ids, self.read), include_images=images)
         # a page's items under each of its configs: without images the others close up
@@ -94,7 +97,9 @@ class BookRun:
 
     @cached_property
     def lines(self) -> DataFrame:
-        return book_lines(self.books, self.sections, self.content, self._root_rows())
+        # the lines are numbered again per section: the content's own numbers only order them
+        content = content_of(self.marked, "_page_url", renumber=False, by=PER_PAGE).drop("_page_url")
+        return book_lines(self.books, self.sections, content, self._root_rows())
 
     def _root_rows(self) -> DataFrame:
         return self.roots.filter(F.col("root_page_id").isNotNull()).select("book_id", "config_id", "root_page_id")
