@@ -101,6 +101,11 @@ class BookRun:
         content = content_of(self.marked, "_page_url", renumber=False, by=PER_PAGE).drop("_page_url")
         return book_lines(self.books, self.sections, content, self._root_rows())
 
+    def keep_lines(self) -> BookRun:
+        """Writes ``lines``, for a job that reads them more than once."""
+        self.lines = _cut(self.lines, self.checkpoint)
+        return self
+
     def _root_rows(self) -> DataFrame:
         return self.roots.filter(F.col("root_page_id").isNotNull()).select("book_id", "config_id", "root_page_id")
 
@@ -127,9 +132,11 @@ def paragraphs(run: BookRun, templates: DataFrame, folders: DataFrame, styles: D
     styled = available_style(lines.filter(text), styles)
     # the sign is put before the first run by line_pieces; the text has it already
     other = lines.filter(~text).withColumn("used_style", F.col("style")).withColumn("bullet_indent", F.lit(False))
-    rows = styled.unionByName(other)
     sizes = images.select(F.col("url").alias("img_url"), F.octet_length("content").alias("image_bytes")).dropDuplicates(["img_url"])
-    rows = rows.join(sizes, "img_url", "left").filter((F.col("kind") != "image") | F.col("image_bytes").isNotNull())
+    # only images meet the table of images: all other lines have the same key, none
+    image = F.col("kind") == "image"
+    rows = styled.unionByName(other.filter(~image)).withColumn("image_bytes", F.lit(None).cast("int")).unionByName(
+        other.filter(image).join(sizes, "img_url"))
     ends = header_footer(run.books, default_header, default_footer).join(b, "book_id")
     none = {f.name: F.lit(None).cast(f.dataType) for f in rows.schema}
     for number, kind in enumerate(("header", "footer"), 1):

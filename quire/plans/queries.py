@@ -309,7 +309,7 @@ def _captured_images(lines: DataFrame) -> DataFrame:
 
 
 def _paragraphs(spark, sf):
-    run = _site_run(spark, sf)
+    run = _site_run(spark, sf).keep_lines()
     templates = spark.createDataFrame([(ONE_CONFIG, *t) for t in SITE_TEMPLATES], "config_id string, book_type string, language string, file string")
     folders = spark.createDataFrame([(ONE_CONFIG, SITE_FOLDER)], "config_id string, template_folder string")
     styles = spark.createDataFrame(SITE_STYLES, "template string, styles array<string>")
@@ -331,7 +331,8 @@ def q_book_runs(spark: SparkSession, sf: str) -> DataFrame:
 def q_run_report(spark: SparkSession, sf: str) -> DataFrame:
     """A3 in full: missing pages, markers not found, items kept and removed, links cut, images failed."""
     run = _site_run(spark, sf)
-    return B.run_report(run.sections, run.marked, run.links, run.lines, _captured_images(run.lines))
+    images = written(run.lines.filter("kind = 'image'").select("book_id", "n1", "n2", "n3", "kind", "img_url"))
+    return B.run_report(run.sections, run.marked, run.links, images, _captured_images(images))
 
 
 # Two configs under one manifest; one with a selector of another shape, one that is unknown.
