@@ -41,17 +41,21 @@ def _settled(links: DataFrame) -> DataFrame:
     return links.filter("a <> b").distinct()
 
 
+def _stars(links: DataFrame) -> bool:
+    """Whether every node points straight at its component's least node: at one node only, which
+    points at none and is less."""
+    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("points"), (F.col("a") < F.col("b")).alias("wrong")).unionAll(
+        links.select(F.col("b").alias("node"), F.lit(0).alias("points"), F.lit(False).alias("wrong")))
+    nodes = ends.groupBy("node").agg(F.sum("points").alias("out"), F.count(F.lit(1)).alias("n"), F.max("wrong").alias("wrong"))
+    return nodes.filter("wrong or out > 1 or (out = 1 and n > 1)").isEmpty()
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, component)`` for every node of an undirected link table; the component's name
     is its least node.  Null ends and loops don't count; repeated links count once; a table
     without links gives no rows."""
     now = materialize(_settled(links.select(F.col(a).alias("a"), F.col(b).alias("b")).dropna()))
-    before = None
-    while True:
+    while not _stars(now):
         now = materialize(_settled(_small_star(_settled(_large_star(now)))))
-        state = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if before == tuple(state):
-            break
-        before = tuple(state)
     roots = now.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(roots)

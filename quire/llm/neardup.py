@@ -5,17 +5,19 @@
    number.  Each of ``SKETCHES`` hash functions picks the ``PICK`` least labelled k-mers; kept in
    text order, their hash is a bucket.  Two texts share a bucket only if they share the picked
    k-mers in the same order, which follows edit similarity rather than set overlap.
-3. Candidates.  In buckets of at most ``SMALL`` texts all pairs are candidates.  In larger ones
-   every text is compared with the bucket's least id, the pivot.  A large bucket whose texts are then
-   of one class is settled.  All texts of the others, inside a pivot's class or not, are compared
-   exactly: texts that may be linked share one of their rarest words, ``1 + words * (1 - SIMILARITY)``
-   of each in one order for all (the prefix filter of set similarity joins), so these words are
-   blocks, large ones split by length.  Where they hold many pairs of two classes, ``LEVELS`` - 1 rounds first
-   compare a block's rows with a new pivot, the least id of its largest class, which brings groups of
-   near copies together at one comparison a text.  Then every pair of a block that is of two classes
-   still and that the lengths and a bound on common words do not rule out is a candidate, in salted
-   parts of a block.  So every link between texts that share a bucket is found, or its ends are of
-   one class anyway; no pair is dropped but by a bound.
+3. Candidates.  In buckets of at most ``SMALL`` texts all pairs are candidates.  A text of larger ones
+   is compared with the least id, the pivot, of its largest bucket.  A large bucket whose texts are then
+   of one class is settled; in the others, texts outside the largest class meet its least id.  All texts
+   of buckets still unsettled are compared exactly: texts that may be linked share one of their rarest
+   pairs of neighbouring words, ``1 + 2 * words * (1 - SIMILARITY)`` of each in one order for all (the
+   prefix filter of set similarity joins; an edit undoes at most two pairs), so these are blocks.  Where
+   they hold many pairs of two classes, ``LEVELS`` - 1 rounds first compare a block's rows with a new
+   pivot, which brings groups of near copies together at one comparison a text.  Then every pair of a
+   block that is of two classes still and that the lengths and a bound on common words do not rule out
+   is a candidate.  Texts of blocks with more than ``PART`` rows, which share most of a long passage, are
+   dealt anew into blocks by their ``1 + words * (1 - SIMILARITY)`` rarest words, which reach beyond it,
+   large ones split by length and compared in salted parts.  So every link between texts that share a
+   bucket is found, or its ends are of one class anyway; no pair is dropped but by a bound.
 4. Verification.  A candidate is a link if 1 - (word edit distance / words of the longer text) is
    ``SIMILARITY`` or more: the exact distance from a banded bit-vector alignment.
 5. Classes are the connected components of the links; the class id is its least ``doc_id``.
@@ -48,7 +50,7 @@ from quire.llm.components import components
 WORDS, PICK, SKETCHES, SIMILARITY = 5, 2, 48, 0.8
 #: Buckets of so many texts are compared pair by pair at once; rounds of pivots before all pairs are.
 SMALL, LEVELS = 6, 3
-#: Texts of one part of a block; slots of the word counts that order words; 64-bit words of a text's bit set.
+#: Texts of one part of a block; slots of the counts that order k-mers; 64-bit words of a text's bit set.
 PART, SLOTS, BITS = 256, 1 << 20, 8
 
 _SEEDS = mix(np.arange(1, 513, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -148,23 +150,31 @@ def banded_distance(a: list[str], b: list[str], limit: int) -> int:
         right = (right << 1 | 1) & full
         left = left << 1 & full
         plus, minus = left | ~(right | diagonal) & full, right & diagonal
+        if j % 64 == 0 and columns - j > 32 and _least_end(plus, minus, low, above, rows, columns - j, width) > limit:
+            return limit + 1
     own = (1 << (rows - low + 1)) - 1
     distance = above + (plus & own).bit_count() - (minus & own).bit_count()
     return min(distance, limit + 1)
 
 
-def distance_bound(a: list[str], b: list[str], similarity: float) -> tuple[int, bool]:
-    """(distance, linked).  Exact for linked texts and for those up to twice the allowed
-    distance apart; else a lower bound."""
+def _least_end(plus: int, minus: int, low: int, above: int, rows: int, after: int, width: int) -> int:
+    """The least distance that a column of the band leaves room for, with ``after`` columns to come:
+    a cell's value and the insertions or deletions that its rows and columns to come differ by."""
+    bits = lambda x: np.unpackbits(np.frombuffer(x.to_bytes((width + 7) // 8, "little"), np.uint8), bitorder="little")
+    end = min(width, rows - low + 1)
+    steps = bits(plus)[:end].astype(np.int64) - bits(minus)[:end]
+    value = above + np.concatenate([[0], np.cumsum(steps)])
+    return int((value + np.abs(rows - low + 1 - np.arange(end + 1) - after)).min())
+
+
+def is_linked(a: list[str], b: list[str], similarity: float) -> bool:
+    """Whether the edit distance is at most ``1 - similarity`` of the longer list.  It is at least
+    the longer list less the common words, which is told before any alignment."""
     longer = max(len(a), len(b))
     allowed = int((1 - similarity) * longer + 1e-9)
-    common = sum((Counter(a) & Counter(b)).values())
-    if longer - common > 2 * allowed:
-        return longer - common, False
-    d = banded_distance(a, b, allowed)
-    if d <= allowed:
-        return d, True
-    return banded_distance(a, b, 2 * allowed), False
+    if longer - min(len(a), len(b)) > allowed or longer - sum((Counter(a) & Counter(b)).values()) > allowed:
+        return False
+    return banded_distance(a, b, allowed) <= allowed
 
 
 # ---------------------------------------------------------------- the job
@@ -224,8 +234,10 @@ def _bodies(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> D
 
 
 def _compare(pairs: DataFrame, bodies: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, distance, words_a, words_b, linked) of candidate pairs."""
-    both = pairs.join(bodies.select(F.col("id").alias("a"), F.col("body").alias("body_a")), "a").join(
+    """(a, b) of the candidate pairs that are links.  Pivots are at ``a``, whose join is split where
+    skewed; the second join is dealt by ``b`` in a set number of parts, as pairs take time, not bytes."""
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = pairs.join(bodies.select(F.col("id").alias("a"), F.col("body").alias("body_a")), "a").repartition(parts, "b").join(
         bodies.select(F.col("id").alias("b"), F.col("body").alias("body_b")), "b").select("a", "b", "body_a", "body_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,34 +247,37 @@ def _compare(pairs: DataFrame, bodies: DataFrame, similarity: float) -> DataFram
             return _normal(unpack.decompress(body).decode("utf-8", "surrogatepass"))
 
         for batch in batches:
-            out = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = words(x), words(y)
-                d, linked = distance_bound(x, y, similarity)
-                out.append((d, len(x), len(y), linked))
-            d, nx, ny, linked = zip(*out, strict=True) if out else ([], [], [], [])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(d, pa.int64()), pa.array(nx, pa.int64()), pa.array(ny, pa.int64()),
-                 pa.array(linked, pa.bool_())], ["a", "b", "distance", "words_a", "words_b", "linked"])
+            linked = [is_linked(words(x), words(y), similarity)
+                      for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
+
+    return both.mapInArrow(run, "a long, b long")
 
-    return both.mapInArrow(run, "a long, b long, distance long, words_a long, words_b long, linked boolean")
 
+def gram(similarity: float) -> int:
+    """Words of a block key: 2 if linked texts are bound to share a pair of neighbouring words.  With
+    t = 1 - similarity, edits undo at most 2 t words of the words - 1 pairs of a text, and the shorter of two
+    texts that are an edit apart has (1 - t) / t words or more, so one is left if (1 - 2 t)(1 - t) >= 2 t."""
+    t = 1 - similarity
+    return 2 if (1 - 2 * t) * (1 - t) >= 2 * t else 1
 
-def _labelled_words(body: bytes, unpack: zstandard.ZstdDecompressor) -> np.ndarray:
-    return labelled_kmers(_normal(unpack.decompress(body).decode("utf-8", "surrogatepass")), 1)
+
+def _labelled(body: bytes, unpack: zstandard.ZstdDecompressor, *ks: int) -> list[np.ndarray]:
+    words = _normal(unpack.decompress(body).decode("utf-8", "surrogatepass"))
+    return [labelled_kmers(words, k) for k in ks]
 
 
 def _slot(words: np.ndarray) -> np.ndarray:
     return (words % np.uint64(SLOTS)).astype(np.int64)
 
 
-def _word_counts(bodies: DataFrame) -> np.ndarray:
-    """How often the words of each slot occur: a bounded table that tells common words from rare ones."""
+def _gram_counts(bodies: DataFrame, k: int) -> np.ndarray:
+    """How often the k-mers of each slot occur: a bounded table that tells common ones from rare ones."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack, total = zstandard.ZstdDecompressor(), np.zeros(SLOTS, np.int64)
         for batch in batches:
             for body in batch.column(0).to_pylist():
-                slot, n = np.unique(_slot(_labelled_words(body, unpack)), return_counts=True)
+                slot, n = np.unique(_slot(*_labelled(body, unpack, k)), return_counts=True)
                 total[slot] += n
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["slot", "n"])
@@ -274,21 +289,21 @@ def _word_counts(bodies: DataFrame) -> np.ndarray:
     return out
 
 
-def _profiles(bodies: DataFrame, similarity: float) -> DataFrame:
-    """(id, words, bits, keys): length, parity bits of the words, and the rarest words of each text."""
-    counts = bodies.sparkSession.sparkContext.broadcast(_word_counts(bodies))
+def _profiles(bodies: DataFrame, similarity: float, k: int) -> DataFrame:
+    """(id, words, bits, keys): length, parity bits of the words, and the rarest k-mers of each text."""
+    counts = bodies.sparkSession.sparkContext.broadcast(_gram_counts(bodies, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             n, bits, keys = [], [], []
             for body in batch.column(1).to_pylist():
-                w = _labelled_words(body, unpack)
+                w, g = _labelled(body, unpack, 1, k)
                 odd = np.bincount((w >> np.uint64(32)).astype(np.int64) % (64 * BITS), minlength=64 * BITS) & 1
                 n.append(len(w))
                 bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64).tolist())
-                order = np.lexsort((w, counts.value[_slot(w)]))[:int((1 - similarity) * len(w) + 1e-9) + 1]
-                keys.append(w[order].view(np.int64).tolist())
+                order = np.lexsort((g, counts.value[_slot(g)]))[:int(k * (1 - similarity) * len(w) + 1e-9) + 1]
+                keys.append(g[order].view(np.int64).tolist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(bits, pa.list_(pa.int64())),
                                               pa.array(keys, pa.list_(pa.int64()))], ["id", "words", "bits", "keys"])
 
@@ -317,7 +332,7 @@ def _mixed(rows: DataFrame, key: str) -> DataFrame:
 
 
 def _blocks(profiles: DataFrame, classes: DataFrame) -> DataFrame:
-    """(id, class, key): every text under each of its rarest words; classes meet texts, not rows of blocks."""
+    """(id, class, key): every text under each of its rarest k-mers; classes meet texts, not rows of blocks."""
     return _classed(profiles.select("id", "keys"), classes).select("id", "class", F.explode("keys").alias("key"))
 
 
@@ -336,11 +351,11 @@ def _pivoted(rows: DataFrame) -> DataFrame:
 
 
 def _with_pivots(rows: DataFrame, profiles: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): rows and their pivots that may be linked."""
+    """(a, b): pivots and rows that may be linked."""
     own = profiles.select("id", "words", "bits")
     return rows.select("id", "pivot").distinct().join(own.alias("x"), "id").join(
         own.alias("y"), F.col("pivot") == F.col("y.id")).filter(_may_link("x", "y", similarity)).select(
-        F.least("pivot", "x.id").alias("a"), F.greatest("pivot", "x.id").alias("b")).distinct()
+        F.col("pivot").alias("a"), F.col("x.id").alias("b"))
 
 
 def _across_classes(rows: DataFrame, profiles: DataFrame, similarity: float) -> DataFrame:
@@ -371,44 +386,56 @@ def _across_classes(rows: DataFrame, profiles: DataFrame, similarity: float) ->
     return found.unionAll(pairs(dealt.filter("own <= other"), dealt.filter("own >= other"), met & once)).distinct()
 
 
-def _links(texts: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float, small: int, levels: int) -> DataFrame:
-    """(a, b): verified links between different texts that join all texts of a class."""
+def _classes(texts: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float, small: int, levels: int) -> DataFrame:
+    """(node, component): the classes of two different texts or more."""
     live = materialize(_shared(_buckets(texts)))
     bodies = materialize(_bodies(docs, id_col, text_col, live.select("id").distinct()))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        return materialize(_compare(pairs, bodies, similarity).filter("linked").select("a", "b"))
+        return materialize(_compare(pairs, bodies, similarity))
+
+    def grown(classes: DataFrame, found: DataFrame) -> DataFrame:
+        """The classes with the links found: texts that have a class stay one link of it."""
+        if found.isEmpty():
+            return classes
+        return components(classes.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(found))
+
+    def settled(rows: DataFrame, profiles: DataFrame, classes: DataFrame) -> DataFrame:
+        """The classes once all pairs of two classes in the blocks are compared or ruled out."""
+        most, rest = small * small * profiles.count(), rows
+        for _ in range(levels - 1):
+            if _pairs_of_two_classes(rest) <= most:
+                break
+            rest = materialize(_pivoted(rest.filter(F.col("n") > small)))
+            classes = grown(classes, verified(_with_pivots(rest, profiles, similarity)))
+            rest = materialize(_mixed(_classed(rest.select("key", "id"), classes), "key"))   # goes on to new pivots
+        left = rows if rest is rows else materialize(_mixed(_classed(rows.select("key", "id"), classes), "key"))
+        return grown(classes, verified(_across_classes(left, profiles, similarity)))
 
     large = live.filter(F.col("n") > small)
-    links = [verified(_all_pairs(live.filter(F.col("n") <= small)).unionAll(
-        large.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"))).distinct())]
+    nearest = large.groupBy("id").agg(F.min(F.struct(-F.col("n"), "pivot")).alias("top")).select(
+        F.col("top.pivot").alias("a"), F.col("id").alias("b")).filter("a <> b")
+    classes = components(verified(_all_pairs(live.filter(F.col("n") <= small)).unionAll(nearest).distinct()))
     if large.isEmpty():
-        return links[0]
-    classes = components(links[0])
-    unsettled = materialize(_mixed(_classed(large.select("bucket", "id"), classes), "bucket").select("id").distinct())
-    if unsettled.isEmpty():
-        return links[0]
-    profiles = materialize(_profiles(bodies.join(unsettled, "id", "left_semi"), similarity))
-    texts_open, rest = profiles.count(), None
-    for _ in range(levels - 1):
-        rows = materialize(_mixed(_blocks(profiles, classes) if rest is None else _classed(rest, classes), "key"))
-        if _pairs_of_two_classes(rows) <= small * small * texts_open:
-            break
-        rest = materialize(_pivoted(rows.filter(F.col("n") > small)))
-        found = verified(_with_pivots(rest, profiles, similarity))
-        if not found.isEmpty():
-            links.append(found)
-            classes = components(_union(links))
-        rest = rest.select("key", "id")                      # goes on to new pivots
-    links.append(verified(_across_classes(_mixed(_blocks(profiles, classes), "key"), profiles, similarity)))
-    return _union(links)
-
-
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionAll(f)
-    return out
+        return classes
+    rows = materialize(_mixed(_classed(large.select(F.col("bucket").alias("key"), "id"), classes), "key"))
+    if rows.isEmpty():
+        return classes
+    step = gram(similarity)
+    profiles = materialize(_profiles(bodies.join(rows.select("id").distinct(), "id", "left_semi"), similarity, step))
+    classes = grown(classes, verified(_with_pivots(_pivoted(rows), profiles, similarity)))
+    still = materialize(_mixed(_classed(rows.select("key", "id"), classes), "key").select("id").distinct())
+    if still.isEmpty():
+        return classes
+    if step > 1:
+        profiles = materialize(profiles.join(still, "id", "left_semi"))
+        rows = materialize(_mixed(_blocks(profiles, classes), "key"))
+        classes = settled(rows.filter(F.col("n") <= PART), profiles, classes)
+        still = materialize(_mixed(_classed(rows.filter(F.col("n") > PART).select("key", "id"), classes), "key").select("id").distinct())
+        if still.isEmpty():
+            return classes
+    profiles = materialize(_profiles(bodies.join(still, "id", "left_semi"), similarity, 1))
+    return settled(materialize(_mixed(_blocks(profiles, classes), "key")), profiles, classes)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY,
@@ -420,7 +447,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     member = materialize(features.join(copies, ["h1", "h2"]).select(
         "doc_id", "copy_of", F.when(F.col("doc_id") == F.col("copy_of"), F.col("sketch")).alias("sketch")))
     texts = member.filter("sketch is not null").select(F.col("doc_id").alias("id"), "sketch").dropDuplicates(["id"])
-    classes = components(_links(texts, docs, id_col, text_col, similarity, small, levels))
+    classes = _classes(texts, docs, id_col, text_col, similarity, small, levels)
     return member.select("doc_id", "copy_of").join(classes.withColumnRenamed("node", "copy_of"), "copy_of", "left").select(
         "doc_id", "copy_of", F.coalesce("component", "copy_of").alias("class_id"))
 

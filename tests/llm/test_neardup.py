@@ -139,3 +139,73 @@ def test_edge_rows(spark):
     assert kept.columns == edge.docs(spark).columns
     assert edge.ids(kept) == [None, None, 1, 3, 5, 6, 7, 9, 10]
     assert N.near_duplicates(edge.empty(spark)).count() == 0 and N.drop_near_duplicates(edge.empty(spark)).count() == 0
+
+
+def seen(monkeypatch, name, at):
+    """Rows of the tables that a step is called with."""
+    counts, step = [], getattr(N, name)
+
+    def run(*args):
+        counts.append(args[at].count())
+        return step(*args)
+    monkeypatch.setattr(N, name, run)
+    return counts
+
+
+def test_a_group_of_near_copies_is_compared_with_one_pivot_a_text(spark, monkeypatch):
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(f"e{r.randrange(9999)}" if r.random() < 0.05 else w for w in base) for _ in range(80)]
+    compared = seen(monkeypatch, "_compare", 0)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    small = 2                                                # so few buckets are compared pair by pair
+    assert {x["class_id"] for x in N.near_duplicates(df, small=small).collect()} == {0}
+    assert sum(compared) <= 3 * len(texts)
+
+
+def test_words_that_unlike_texts_share_make_no_blocks(spark, monkeypatch):
+    r = random.Random(7)
+    text = lambda n: [f"w{r.randrange(1500)}" for _ in range(n)]
+    passage = text(40)
+    texts = [" ".join(passage + text(100)) for _ in range(80)]
+    texts.append(" ".join([*texts[3].split()[:-9], *text(9)]))
+    rows = seen(monkeypatch, "_across_classes", 0)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [x["class_id"] for x in N.near_duplicates(df).orderBy("doc_id").collect()] == [*range(80), 3] == brute_classes(texts)
+    assert sum(rows) <= 5 * len(texts)
+
+
+def test_texts_of_large_blocks_are_dealt_by_words(spark, monkeypatch):
+    monkeypatch.setattr(N, "PART", 8)
+    calls = seen(monkeypatch, "_profiles", 0)
+    texts = fixture()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: x["class_id"] for x in N.near_duplicates(df, small=3).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_classes(texts)
+    assert len(calls) == 2
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.integers(0, 2 ** 32), st.sampled_from([0.8, 0.85, 0.9]), st.sampled_from([4, 5, 9, 30, 150]))
+def test_linked_texts_share_a_block(seed, similarity, n):
+    r = random.Random(seed)
+    a = [f"w{r.randrange(n)}" for _ in range(n)]
+    b = list(a)
+    for _ in range(r.randrange(n // 2 + 1)):
+        at = r.randrange(len(b) + 1)
+        b[at:at + r.randrange(2)] = ["x"] * r.randrange(2)
+    longer = max(len(a), len(b))
+    linked = edit_distance(a, b) <= int((1 - similarity) * longer + 1e-9)
+    assert N.is_linked(a, b, similarity) == linked
+    k = N.gram(similarity)
+    keys = [set(np.sort(N.labelled_kmers(x, k))[:int(k * (1 - similarity) * len(x) + 1e-9) + 1]) for x in (a, b)]
+    assert k == 2 and (not linked or keys[0] & keys[1])
+
+
+def test_long_alignments_stop_only_where_no_link_is_left():
+    r = random.Random(2)
+    for share in (0.02, 0.18, 0.22, 0.5):
+        a = [f"w{r.randrange(50)}" for _ in range(400)]
+        b = [f"x{i}" if r.random() < share else w for i, w in enumerate(a)][r.randrange(20):]
+        for limit in (10, 80, 160):
+            assert N.banded_distance(a, b, limit) == min(edit_distance(a, b), limit + 1)
