@@ -36,6 +36,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def narrow(df: DataFrame) -> DataFrame:
+    """``df``, a table of ids, in fewer partitions: its tasks and files are short, so each takes up to
+    eight shuffle partitions, but there stay two for a core."""
+    spark = df.sparkSession
+    return df.coalesce(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -14,14 +14,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import materialize
+from quire.llm.common import materialize, narrow
 
 
 def _star(pairs: DataFrame) -> DataFrame:
     """(node, other) -> (node, other, least): the least of a node and its others."""
     least = pairs.groupBy("node").agg(F.min("other").alias("least"))
-    return pairs.join(least.select(F.col("node").alias("_n"), F.least("node", "least").alias("least")),
-                      F.col("node") == F.col("_n")).drop("_n")
+    return narrow(pairs.join(least.select(F.col("node").alias("_n"), F.least("node", "least").alias("least")),
+                             F.col("node") == F.col("_n")).drop("_n"))
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -32,13 +32,13 @@ def _large_star(links: DataFrame) -> DataFrame:
 
 def _small_star(links: DataFrame) -> DataFrame:
     down = links.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("other"))
-    stars = _star(down)
-    return stars.select(F.col("other").alias("a"), F.col("least").alias("b")).unionAll(
-        stars.select(F.col("node").alias("a"), F.col("least").alias("b")))
+    # one link for each: the link to the least is the node's own, the others point at the least
+    return _star(down).select(F.when(F.col("other") == F.col("least"), F.col("node")).otherwise(F.col("other")).alias("a"),
+                              F.col("least").alias("b"))
 
 
 def _settled(links: DataFrame) -> DataFrame:
-    return links.filter("a <> b").distinct()
+    return narrow(links.filter("a <> b").distinct())
 
 
 def _stars(links: DataFrame) -> bool:
@@ -47,7 +47,7 @@ def _stars(links: DataFrame) -> bool:
     ends = links.select(F.col("a").alias("node"), F.lit(1).alias("points"), (F.col("a") < F.col("b")).alias("wrong")).unionAll(
         links.select(F.col("b").alias("node"), F.lit(0).alias("points"), F.lit(False).alias("wrong")))
     nodes = ends.groupBy("node").agg(F.sum("points").alias("out"), F.count(F.lit(1)).alias("n"), F.max("wrong").alias("wrong"))
-    return nodes.filter("wrong or out > 1 or (out = 1 and n > 1)").isEmpty()
+    return narrow(nodes.filter("wrong or out > 1 or (out = 1 and n > 1)")).isEmpty()
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -56,6 +56,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     without links gives no rows."""
     now = materialize(_settled(links.select(F.col(a).alias("a"), F.col(b).alias("b")).dropna()))
     while not _stars(now):
-        now = materialize(_settled(_small_star(_settled(_large_star(now)))))
+        now = materialize(_settled(_small_star(_large_star(now))))
     roots = now.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(roots)

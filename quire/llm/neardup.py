@@ -7,17 +7,18 @@
    k-mers in the same order, which follows edit similarity rather than set overlap.
 3. Candidates.  In buckets of at most ``SMALL`` texts all pairs are candidates.  A text of larger ones
    is compared with the least id, the pivot, of its largest bucket.  A large bucket whose texts are then
-   of one class is settled; in the others, texts outside the largest class meet its least id.  All texts
-   of buckets still unsettled are compared exactly: texts that may be linked share one of their rarest
+   of one class is settled.  All texts of the others are compared exactly: texts that may be linked share one of their rarest
    pairs of neighbouring words, ``1 + 2 * words * (1 - SIMILARITY)`` of each in one order for all (the
    prefix filter of set similarity joins; an edit undoes at most two pairs), so these are blocks.  Where
    they hold many pairs of two classes, ``LEVELS`` - 1 rounds first compare a block's rows with a new
-   pivot, which brings groups of near copies together at one comparison a text.  Then every pair of a
+   pivot, which brings groups of near copies together at one comparison a text, until most are unlike it.  Then every pair of a
    block that is of two classes still and that the lengths and a bound on common words do not rule out
-   is a candidate.  Texts of blocks with more than ``PART`` rows, which share most of a long passage, are
-   dealt anew into blocks by their ``1 + words * (1 - SIMILARITY)`` rarest words, which reach beyond it,
-   large ones split by length and compared in salted parts.  So every link between texts that share a
-   bucket is found, or its ends are of one class anyway; no pair is dropped but by a bound.
+   is a candidate.  Blocks of more than ``PART`` rows with the same largest class are one block, of that
+   class and all others in them: texts that share most of a long passage meet under many pairs of words,
+   but take one row.  Their texts are dealt anew into blocks by their ``1 + words * (1 - SIMILARITY)``
+   rarest words, which reach beyond the passage, large ones joined likewise, split by length and compared
+   in salted parts.  So every link between texts that share a bucket is found, or its ends are of one
+   class anyway; no pair is dropped but by a bound.
 4. Verification.  A candidate is a link if 1 - (word edit distance / words of the longer text) is
    ``SIMILARITY`` or more: the exact distance from a banded bit-vector alignment.
 5. Classes are the connected components of the links; the class id is its least ``doc_id``.
@@ -44,7 +45,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import POWERS, materialize, mix, small_batches
+from quire.llm.common import POWERS, materialize, mix, narrow, small_batches
 from quire.llm.components import components
 
 WORDS, PICK, SKETCHES, SIMILARITY = 5, 2, 48, 0.8
@@ -120,8 +121,10 @@ def banded_distance(a: list[str], b: list[str], limit: int) -> int:
     ``limit`` rows on either side of the diagonal, and slides down with the columns.  Cells beyond
     the band are taken as one more than their neighbours inside, which some path costs, so values
     in the band are exact as far as they are ``limit`` or less."""
-    while a and b and a[-1] == b[-1]:
-        a, b = a[:-1], b[:-1]
+    end = 0
+    while end < min(len(a), len(b)) and a[-1 - end] == b[-1 - end]:
+        end += 1
+    a, b = a[:len(a) - end], b[:len(b) - end]
     same = 0
     while same < min(len(a), len(b)) and a[same] == b[same]:
         same += 1
@@ -246,9 +249,13 @@ def _compare(pairs: DataFrame, bodies: DataFrame, similarity: float) -> DataFram
         def words(body: bytes) -> list[str]:
             return _normal(unpack.decompress(body).decode("utf-8", "surrogatepass"))
 
+        last, own = None, []                                 # rows of one b follow each other
         for batch in batches:
-            linked = [is_linked(words(x), words(y), similarity)
-                      for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            linked = []
+            for b, x, y in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                if b != last:
+                    last, own = b, words(y)
+                linked.append(is_linked(words(x), own, similarity))
             yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
     return both.mapInArrow(run, "a long, b long")
@@ -325,15 +332,43 @@ def _classed(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.join(own, "id", "left").withColumn("class", F.coalesce("_class", "id")).drop("_class")
 
 
+def _of_two_classes(rows: DataFrame, key: str) -> DataFrame:
+    """The groups that have more than one class, with their size."""
+    groups = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("_low"), F.max("class").alias("_high"))
+    return groups.filter("_low <> _high").drop("_low", "_high")
+
+
 def _mixed(rows: DataFrame, key: str) -> DataFrame:
     """The rows of groups that have more than one class, with the group's size."""
-    groups = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("_low"), F.max("class").alias("_high"))
-    return rows.join(groups.filter("_low <> _high").drop("_low", "_high"), key)
+    return rows.join(_of_two_classes(rows, key), key)
+
+
+def _mixed_ids(rows: DataFrame, key: str) -> DataFrame:
+    """The ids in groups that have more than one class."""
+    return narrow(rows.join(_of_two_classes(rows, key), key, "left_semi").select("id").distinct())
 
 
-def _blocks(profiles: DataFrame, classes: DataFrame) -> DataFrame:
-    """(id, class, key): every text under each of its rarest k-mers; classes meet texts, not rows of blocks."""
-    return _classed(profiles.select("id", "keys"), classes).select("id", "class", F.explode("keys").alias("key"))
+def _largest_class(rows: DataFrame) -> DataFrame:
+    """(key, n, top): of blocks of two classes or more the size and the largest class, with its own size and least id."""
+    sizes = rows.groupBy("key", "class").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("least"))
+    return sizes.groupBy("key").agg(F.sum("m").alias("n"), F.max(F.struct("m", (-F.col("least")).alias("_first"), "least", "class")).alias("top"),
+                                    F.count(F.lit(1)).alias("_classes")).filter("_classes > 1").drop("_classes")
+
+
+def _blocks(profiles: DataFrame, classes: DataFrame, over: int) -> tuple[DataFrame, DataFrame]:
+    """(key, id, class, n) twice: the blocks of at most ``over`` texts of a rare k-mer, and the larger ones, of which those
+    with the same largest class are one: that class, once, and all texts of other classes that share a k-mer's block
+    with it.  So texts that meet under many k-mers of a long passage take one row, not one for each k-mer."""
+    texts = _classed(profiles.select("id", "keys"), classes)
+    rows = texts.select("id", "class", F.explode("keys").alias("key"))
+    joined = F.col("n") > over
+    found = materialize(narrow(rows.join(_largest_class(rows), "key").filter(~joined | (F.col("class") != F.col("top.class"))).select(
+        F.when(joined, F.col("top.class")).otherwise(F.col("key")).alias("key"), "id", "class",
+        F.when(~joined, F.col("n")).alias("n")).distinct()))
+    outside = found.filter("n is null").select("key", "id", "class")
+    own, met = _classed(profiles.select("id"), classes), outside.select(F.col("key").alias("class")).distinct()
+    inside = own.join(met, "class", "left_semi").select(F.col("class").alias("key"), "id", "class")
+    return found.filter("n is not null"), materialize(narrow(_mixed(inside.unionAll(outside), "key")))
 
 
 def _pairs_of_two_classes(rows: DataFrame) -> int:
@@ -345,9 +380,7 @@ def _pairs_of_two_classes(rows: DataFrame) -> int:
 
 def _pivoted(rows: DataFrame) -> DataFrame:
     """(key, id, pivot): the rows that are not of their block's largest class, with its least id."""
-    sizes = rows.groupBy("key", "class").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("least"))
-    largest = sizes.groupBy("key").agg(F.max(F.struct("m", "least", "class")).alias("top"))
-    return rows.join(largest, "key").filter("class <> top.class").select("key", "id", F.col("top.least").alias("pivot"))
+    return rows.join(_largest_class(rows), "key").filter("class <> top.class").select("key", "id", F.col("top.least").alias("pivot"))
 
 
 def _with_pivots(rows: DataFrame, profiles: DataFrame, similarity: float) -> DataFrame:
@@ -362,7 +395,7 @@ def _across_classes(rows: DataFrame, profiles: DataFrame, similarity: float) ->
     """(a, b): all pairs within a block that are of two classes and may be linked.  A block of more than
     ``PART`` rows is split by length, then dealt into parts of about ``PART``, and each pair of parts
     is a group of its own."""
-    told = materialize(rows.join(profiles.select("id", "words", "bits"), "id"))
+    told = materialize(narrow(rows.join(profiles.select("id", "words", "bits"), "id")))
     may = (F.col("x.class") != F.col("y.class")) & _may_link("x", "y", similarity)
 
     def pairs(x: DataFrame, y: DataFrame, same: Column) -> DataFrame:
@@ -388,7 +421,7 @@ def _across_classes(rows: DataFrame, profiles: DataFrame, similarity: float) ->
 
 def _classes(texts: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float, small: int, levels: int) -> DataFrame:
     """(node, component): the classes of two different texts or more."""
-    live = materialize(_shared(_buckets(texts)))
+    live = materialize(narrow(_shared(_buckets(texts))))
     bodies = materialize(_bodies(docs, id_col, text_col, live.select("id").distinct()))
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -406,10 +439,13 @@ def _classes(texts: DataFrame, docs: DataFrame, id_col: str, text_col: str, simi
         for _ in range(levels - 1):
             if _pairs_of_two_classes(rest) <= most:
                 break
-            rest = materialize(_pivoted(rest.filter(F.col("n") > small)))
-            classes = grown(classes, verified(_with_pivots(rest, profiles, similarity)))
-            rest = materialize(_mixed(_classed(rest.select("key", "id"), classes), "key"))   # goes on to new pivots
-        left = rows if rest is rows else materialize(_mixed(_classed(rows.select("key", "id"), classes), "key"))
+            rest = materialize(narrow(_pivoted(rest.filter(F.col("n") > small))))
+            found = verified(_with_pivots(rest, profiles, similarity))
+            classes = grown(classes, found)
+            if 2 * found.count() < rest.count():             # mostly unlike texts, which no pivot brings together
+                break
+            rest = materialize(narrow(_mixed(_classed(rest.select("key", "id"), classes), "key")))   # goes on to new pivots
+        left = rows if rest is rows else materialize(narrow(_mixed(_classed(rows.select("key", "id"), classes), "key")))
         return grown(classes, verified(_across_classes(left, profiles, similarity)))
 
     large = live.filter(F.col("n") > small)
@@ -418,24 +454,20 @@ def _classes(texts: DataFrame, docs: DataFrame, id_col: str, text_col: str, simi
     classes = components(verified(_all_pairs(live.filter(F.col("n") <= small)).unionAll(nearest).distinct()))
     if large.isEmpty():
         return classes
-    rows = materialize(_mixed(_classed(large.select(F.col("bucket").alias("key"), "id"), classes), "key"))
-    if rows.isEmpty():
-        return classes
-    step = gram(similarity)
-    profiles = materialize(_profiles(bodies.join(rows.select("id").distinct(), "id", "left_semi"), similarity, step))
-    classes = grown(classes, verified(_with_pivots(_pivoted(rows), profiles, similarity)))
-    still = materialize(_mixed(_classed(rows.select("key", "id"), classes), "key").select("id").distinct())
+    still = materialize(_mixed_ids(_classed(large.select(F.col("bucket").alias("key"), "id"), classes), "key"))
     if still.isEmpty():
         return classes
+    step = gram(similarity)
     if step > 1:
-        profiles = materialize(profiles.join(still, "id", "left_semi"))
-        rows = materialize(_mixed(_blocks(profiles, classes), "key"))
-        classes = settled(rows.filter(F.col("n") <= PART), profiles, classes)
-        still = materialize(_mixed(_classed(rows.filter(F.col("n") > PART).select("key", "id"), classes), "key").select("id").distinct())
+        profiles = materialize(narrow(_profiles(bodies.join(still, "id", "left_semi"), similarity, step)))
+        rows, large = _blocks(profiles, classes, PART)
+        classes = settled(rows, profiles, classes)
+        still = materialize(_mixed_ids(_classed(large.select("key", "id"), classes), "key"))
         if still.isEmpty():
             return classes
-    profiles = materialize(_profiles(bodies.join(still, "id", "left_semi"), similarity, 1))
-    return settled(materialize(_mixed(_blocks(profiles, classes), "key")), profiles, classes)
+    profiles = materialize(narrow(_profiles(bodies.join(still, "id", "left_semi"), similarity, 1)))
+    rows, large = _blocks(profiles, classes, small)
+    return settled(materialize(narrow(rows.unionByName(large))), profiles, classes)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY,
@@ -444,8 +476,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     small_batches(docs.sparkSession)
     features = materialize(_features(docs, id_col, text_col))
     copies = features.groupBy("h1", "h2").agg(F.min("doc_id").alias("copy_of"))
-    member = materialize(features.join(copies, ["h1", "h2"]).select(
-        "doc_id", "copy_of", F.when(F.col("doc_id") == F.col("copy_of"), F.col("sketch")).alias("sketch")))
+    member = materialize(narrow(features.join(copies, ["h1", "h2"]).select(
+        "doc_id", "copy_of", F.when(F.col("doc_id") == F.col("copy_of"), F.col("sketch")).alias("sketch"))))
     texts = member.filter("sketch is not null").select(F.col("doc_id").alias("id"), "sketch").dropDuplicates(["id"])
     classes = _classes(texts, docs, id_col, text_col, similarity, small, levels)
     return member.select("doc_id", "copy_of").join(classes.withColumnRenamed("node", "copy_of"), "copy_of", "left").select(

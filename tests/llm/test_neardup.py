@@ -185,6 +185,22 @@ def test_texts_of_large_blocks_are_dealt_by_words(spark, monkeypatch):
     assert len(calls) == 2
 
 
+def test_texts_that_share_a_long_passage_take_few_rows_of_large_blocks(spark, monkeypatch):
+    monkeypatch.setattr(N, "PART", 8)
+    r = random.Random(13)
+    passage = [f"p{i}" for i in range(60)]
+    own = lambda n: [f"o{r.randrange(10 ** 6)}" for _ in range(n)]
+    texts = [" ".join([*own(n), *passage]) for n in (10, 12, 13, 14) * 5 + (22, 25, 30) * 10]
+    texts.append(" ".join([*texts[25].split()[:-6], *own(6)]))
+    rows = seen(monkeypatch, "_across_classes", 0)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute_classes(texts)
+    assert want.count(0) == 20 and want[-1] == 25
+    got = {x["doc_id"]: x["class_id"] for x in N.near_duplicates(df).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    assert sum(rows) <= 4 * len(texts)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.integers(0, 2 ** 32), st.sampled_from([0.8, 0.85, 0.9]), st.sampled_from([4, 5, 9, 30, 150]))
 def test_linked_texts_share_a_block(seed, similarity, n):
