@@ -22,11 +22,12 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.functions import urls as U
-from quire.operators import tree
+from quire.operators import tree, walk
 from quire.session import bounded_batches
 
-# The fold goes to the workers with the plan: they need not have this package.
+# The fold and the walk go to the workers with the plan: they need not have this package.
 cloudpickle.register_pickle_by_value(tree)
+cloudpickle.register_pickle_by_value(walk)
 
 # Fixed values --------------------------------------------------------------
 BLOCK_TAGS = ["p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "th", "blockquote", "pre"]
@@ -167,10 +168,68 @@ def _style(tag: Column, up: Column) -> Column:
         F.lit("List Bullet"))).otherwise(style)
 
 
+# ---------------------------------------------------------------- pages of their own id
+MOST_SHARED = 1000
+
+
+def apart(pages: DataFrame) -> tuple[DataFrame | None, DataFrame]:
+    """The pages whose id no other page has, and the others, which have to meet by id.  A job finds the ids of several
+    pages; above ``MOST_SHARED`` of them (and where ids are null) all pages meet: none is told to be alone."""
+    ids = pages.select("page_id").filter(F.col("page_id").isNotNull()).groupBy("page_id").count().filter(F.col("count") > 1)
+    shared = [r.page_id for r in ids.select("page_id").limit(MOST_SHARED + 1).collect()]
+    if len(shared) > MOST_SHARED:
+        return None, pages
+    meet = F.col("page_id").isNull()
+    if shared:
+        meet = meet | F.col("page_id").isin(shared)
+    return pages.filter(~meet), pages.filter(meet)
+
+
+def walked(pages: DataFrame, rows: walk.Batches, columns: str) -> DataFrame:
+    """``rows`` of every page, made in the scan's tasks: ``page_id`` and ``columns``."""
+    bounded_batches(pages.sparkSession)
+    schema = f"page_id {pages.schema['page_id'].dataType.simpleString()}, {columns}"
+    return pages.select("page_id", "url", F.make_valid_utf8("html").alias("html")).mapInArrow(rows, schema)
+
+
 # ---------------------------------------------------------------- H15 items
 RUN_TYPE = "array<struct<pos:int,text:string,bold:boolean,italic:boolean>>"
 
 
+ITEM = ["page_id", "idx", "type", "style", "runs", "full_text", "markup", "img_url", "alt"]
+FLAT_ITEM = ["page_id", "idx", "type", "style", "full_text", "img_url", "alt", "n_runs", "bold_text"]
+
+
+def flat_items(items: DataFrame) -> DataFrame:
+    """Items with the number of their runs and the bold texts instead of the runs."""
+    bold = F.array_join(F.transform(F.filter("runs", lambda r: r["bold"]), lambda r: r["text"]), "|")
+    return items.select(*FLAT_ITEM[:7], F.coalesce(F.size("runs"), F.lit(0)).alias("n_runs"),
+                        F.coalesce(bold, F.lit("")).alias("bold_text"))
+
+
+def items_by_page(pages: DataFrame, include_images: bool = False, root: str = "auto", strip_tags: list[str] | None = None,
+               dedup: bool = True, flat: bool = False, texts: bool = True) -> DataFrame:
+    """``page_items`` of very many pages: those whose id no other page has are walked one by one (``quire.operators.walk``)
+    and shuffle nothing, the others meet by id as there.  ``flat``: as ``flat_items``; without ``texts``: images only."""
+    alone, meet = apart(pages)
+    items = page_items(meet, include_images, root, strip_tags, dedup)
+    items = flat_items(items) if flat else items
+    if not texts:
+        items = items.filter("type = 'image'")
+    if alone is None:
+        return items
+    strip = frozenset(STRIP_TAGS if strip_tags is None else strip_tags)
+    rows = walked(alone, walk.item_rows(strip, root, include_images, dedup, not flat, texts),
+                  "idx int, style string, full_text string, img_url string, src string, base_url string, alt string, "
+                  + ("n_runs int, bold_text string" if flat else f"runs {RUN_TYPE}"))
+    is_img = F.col("alt").isNotNull()
+    rows = U.with_resolved_url(rows, "base_url", "src", "_url")
+    rows = rows.withColumn("img_url", F.coalesce("img_url", "_url")).withColumn("type", F.when(is_img, F.lit("image")).otherwise(F.lit("text")))
+    if not flat:
+        rows = rows.withColumn("markup", F.when(~is_img, F.array_join(F.transform("runs", _run_markup), " ")))
+    return rows.select(*items.columns).unionByName(items)
+
+
 def page_items(pages: DataFrame, include_images: bool = False, root: str = "auto",
                strip_tags: list[str] | None = None, dedup: bool = True) -> DataFrame:
     """``items(page_id, idx, type, style, runs, full_text, markup, img_url, alt)``.

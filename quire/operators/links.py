@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.functions import urls as U
-from quire.operators.html import _attr, _has_attr, _kind, placed_tokens
+from quire.operators import walk
+from quire.operators.html import STRIP_TAGS, _attr, _has_attr, _kind, apart, placed_tokens, walked
 
 # Fixed values --------------------------------------------------------------
 RESERVED_TITLES = ["table of contents", "introduction"]
@@ -56,12 +57,31 @@ def anchors(pages: DataFrame, parents: list[str] | None = None, strip_tags: list
     return a.filter(F.col("href").isNotNull()).select("page_id", F.col("own").alias("pos"), "href", "base_url", "text", "up")
 
 
+def page_anchors(pages: DataFrame, parents: list[str], strip_tags: list[str] | None = None, root: str = "auto",
+                 skip_reserved: bool = True, most: int | None = None) -> DataFrame:
+    """``anchors`` of pages whose id no other page has, without those that ``chapter_links`` drops for sure.  No Exchange."""
+    strip = frozenset(STRIP_TAGS if strip_tags is None else strip_tags)
+    reserved = tuple(RESERVED_TITLES) if skip_reserved else None
+    return walked(pages, walk.anchor_rows(strip, root, frozenset(parents), reserved, most if len(parents) == 1 else None),
+                  "pos int, href string, base_url string, text string, up string")
+
+
 def chapter_links(pages: DataFrame, parents: list[str] | None = None, strip_tags: list[str] | None = None,
-                  root: str = "auto", dedup: bool = True, skip_reserved: bool = True) -> DataFrame:
+                  root: str = "auto", dedup: bool = True, skip_reserved: bool = True, by_page: bool = False,
+                  most: int | None = None) -> DataFrame:
     """L1-L4 for several selectors at once: ``links(page_id, selector, link_no, title, url, norm_url,
-    slug)``, where ``selector`` is the parent tag (empty: any) and ``link_no`` counts from 1, uncapped."""
+    slug)``, where ``selector`` is the parent tag (empty: any) and ``link_no`` counts from 1, uncapped.
+
+    ``by_page``, for very many pages: those whose id no other page has are walked one by one, and only links that may
+    be kept are shuffled; with ``most`` and one selector, links of a number above it may be missing."""
     parents = parents or ["li"]
-    a = anchors(pages, parents, strip_tags, root)
+    if by_page:
+        alone, meet = apart(pages)
+        a = anchors(meet, parents, strip_tags, root)
+        if alone is not None:
+            a = page_anchors(alone, parents, strip_tags, root, skip_reserved, most).unionByName(a)
+    else:
+        a = anchors(pages, parents, strip_tags, root)
     a = a.filter(U.href_usable(F.col("href")))
     a = U.with_resolved_url(a, "base_url", "href", "url")
     a = a.withColumn("url", U.url_defrag(F.col("url")))
@@ -88,9 +108,11 @@ def chapter_links(pages: DataFrame, parents: list[str] | None = None, strip_tags
 
 def detect_chapters(pages: DataFrame, max_chapters: int | None = DEFAULT_MAX_CHAPTERS,
                     strip_tags: list[str] | None = None, root: str = "auto",
-                    parent_tag: str = "li", cap: bool = True, dedup: bool = True, skip_reserved: bool = True) -> DataFrame:
+                    parent_tag: str = "li", cap: bool = True, dedup: bool = True, skip_reserved: bool = True,
+                    by_page: bool = False) -> DataFrame:
     """``links(page_id, link_no, title, url, norm_url, slug)``, ``link_no`` from 1."""
-    a = chapter_links(pages, [parent_tag], strip_tags, root, dedup, skip_reserved).drop("selector")
-    if cap and max_chapters is not None:
-        a = a.filter(F.col("link_no") <= F.greatest(F.lit(1), F.lit(int(max_chapters))))
+    most = max(1, int(max_chapters)) if cap and max_chapters is not None else None
+    a = chapter_links(pages, [parent_tag], strip_tags, root, dedup, skip_reserved, by_page, most).drop("selector")
+    if most is not None:
+        a = a.filter(F.col("link_no") <= F.lit(most))
     return a

@@ -204,16 +204,9 @@ def q_html_root(spark: SparkSession, sf: str) -> DataFrame:
     return H.content_root(_pages(spark, sf)).select("page_id", "pos", "kind", "tag")
 
 
-def _flat_items(items: DataFrame) -> DataFrame:
-    bold = F.array_join(F.transform(F.filter("runs", lambda r: r["bold"]), lambda r: r["text"]), "|")
-    return items.select("page_id", "idx", "type", "style", "full_text", "img_url", "alt",
-                        F.coalesce(F.size("runs"), F.lit(0)).alias("n_runs"),
-                        F.coalesce(bold, F.lit("")).alias("bold_text"))
-
-
 def q_page_items(spark: SparkSession, sf: str) -> DataFrame:
     """Content items of every page (with style, runs, bold text)."""
-    return _flat_items(H.page_items(_pages(spark, sf)))
+    return H.flat_items(H.page_items(_pages(spark, sf)))
 
 
 def q_html_runs(spark: SparkSession, sf: str) -> DataFrame:
@@ -273,12 +266,12 @@ def _captured(spark, sf):
 
 def q_site_items(spark: SparkSession, sf: str) -> DataFrame:
     """H13-H15 with images on the derived site."""
-    return _flat_items(H.page_items(site_pages(spark, sf), include_images=True))
+    return H.flat_items(H.page_items(site_pages(spark, sf), include_images=True))
 
 
 def q_site_links(spark: SparkSession, sf: str) -> DataFrame:
     """L6 on the derived site (cap 150; reserved titles, self, external, mailto)."""
-    links = L.detect_chapters(site_pages(spark, sf), _SITE_CFG.max_chapters)
+    links = L.detect_chapters(site_pages(spark, sf), _SITE_CFG.max_chapters, by_page=True)
     return links.select("page_id", "link_no", "title", "url", "norm_url", "slug")
 
 
