@@ -266,7 +266,7 @@ def _captured(spark, sf):
 
 def q_site_items(spark: SparkSession, sf: str) -> DataFrame:
     """H13-H15 with images on the derived site."""
-    return H.flat_items(H.page_items(site_pages(spark, sf), include_images=True))
+    return H.items_by_page(site_pages(spark, sf), include_images=True, flat=True)
 
 
 def q_site_links(spark: SparkSession, sf: str) -> DataFrame:
