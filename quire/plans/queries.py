@@ -483,7 +483,7 @@ def q_style_fallback(spark: SparkSession, sf: str) -> DataFrame:
 def q_image_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """The images of the derived site that were captured, with their content's length."""
     # read twice: written, so that pages are cut into items once
-    items = written(H.page_items(site_pages(spark, sf), include_images=True).filter("type = 'image'").select("page_id", "idx", "type", "img_url", "alt"))
+    items = written(H.items_by_page(site_pages(spark, sf), include_images=True, texts=False).select("page_id", "idx", "type", "img_url", "alt"))
     urls = items.select(F.col("img_url").alias("url")).distinct()
     images = urls.filter(F.length("url") % 2 == 0).select("url", F.encode("url", "UTF-8").alias("content"))
     return image_lookup(items, images).select("page_id", "idx", "img_url", "alt", F.length("content").alias("n_bytes"))
